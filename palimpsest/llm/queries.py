@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontamination
-from palimpsest.llm.common import table
+from palimpsest.llm import decontamination, language_id, quality_rules
+from palimpsest.llm.common import held_out, table
 
 _SPACED = r"[^\x20\x09-\x0D]+"
 
@@ -46,8 +46,23 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.fit_quality_rules(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.apply_quality_rules(docs, model).drop("text")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit_language_model(docs)
+    found = language_id.identify_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_language_id": op9_language_id,
 }
 _ORACLES = {
     "op6_decontamination": OP6_SQL,
