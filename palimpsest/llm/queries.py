@@ -7,11 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontamination, language_id, quality_rules
+from palimpsest.llm import decontamination, language_id, mixing, quality_classifier, quality_rules
 from palimpsest.llm.common import held_out, table
 
-_SPACED = r"[^\x20\x09-\x0D]+"
-
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,13 +57,57 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit_quality_classifier(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score_quality(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP8_SQL = r"""
+WITH s AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
+w AS (
+  SELECT *, 3 * source_size AS cap,
+    CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS BIGINT) AS weight FROM src),
+o AS (
+  SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS pos,
+    CAST(sum(source_size) OVER () AS BIGINT)
+      - CAST(coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS remaining,
+    CAST(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS weights FROM w),
+lvl AS (SELECT remaining, weights FROM o WHERE cap * weights >= weight * remaining ORDER BY pos LIMIT 1),
+t AS (
+  SELECT source, source_size,
+    CASE WHEN source_size = 0 THEN 0.0::DOUBLE
+      WHEN cap * lvl.weights < weight * lvl.remaining THEN cap::DOUBLE
+      ELSE (weight * lvl.remaining)::DOUBLE / lvl.weights::DOUBLE END AS target,
+    CAST('0x' || substr(md5('mix' || coalesce(':' || source, '')), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u
+  FROM o, lvl),
+r AS (
+  SELECT s.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate,
+    row_number() OVER (PARTITION BY s.source ORDER BY size, doc_id) AS pos
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(size * least(greatest(CAST(floor(rate * pos::DOUBLE + u) AS BIGINT) - CAST(floor(rate * (pos - 1)::DOUBLE + u) AS BIGINT), 0), 3) AS BIGINT) AS taken
+FROM r
+"""
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_decontamination": op6_decontamination,
+    "op8_mixing": op8_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op9_language_id": op9_language_id,
 }
 _ORACLES = {
     "op6_decontamination": OP6_SQL,
+    "op8_mixing": OP8_SQL,
 }
 
 
