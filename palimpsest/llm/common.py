@@ -89,3 +89,14 @@ def small_batches(batch: pa.RecordBatch, text: str, limit: int = 1 << 22) -> Ite
     cuts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:]):
         yield batch.slice(int(a), int(b - a))
+
+
+def one_of_each(docs: DataFrame, chosen: DataFrame, *, text: str, doc_id: str) -> DataFrame:
+    """The rows of docs that `chosen` (__id, __th, __rows) names by id and text_hash: one row for each.
+
+    __rows says how many rows there are; where it is over 1, rows alike in id and text give one of them.
+    """
+    kept = [col(c) for c in docs.columns]
+    joined = docs.join(chosen, col(doc_id).eqNullSafe(F.col("__id")) & text_hash(text).eqNullSafe(F.col("__th")))
+    twins = joined.where("__rows > 1").groupBy("__id", "__th").agg(F.first(F.struct(*kept)).alias("__row"))
+    return joined.where("__rows = 1").select(*kept).unionByName(twins.select("__row.*"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontamination, language_id, mixing, quality_classifier, quality_rules
+from palimpsest.llm import chat, decontamination, language_id, line_dedup, mixing, quality_classifier, quality_rules, simhash
 from palimpsest.llm.common import held_out, table
 
 
@@ -98,7 +98,38 @@ FROM r
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.remove_spread_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key FROM l),
+s AS (SELECT key, min(doc_id) AS keeper FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT source) >= 8)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE keeper IS NOT NULL AND keeper <> doc_id) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN s USING (key) GROUP BY doc_id
+"""
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = chat.transcripts(table(spark, sf_dir, "conversations"))
+    found = chat.format_chats(known, chat.fit_chat_model(known))
+    return found.select("conv_id", held_out("conv_id").alias("held_out"), "n_turns", F.array_join("turns.role", ",").alias("roles"), "rendered")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
+    "op3_simhash": op3_simhash,
+    "op4_chat": op4_chat,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_decontamination": op6_decontamination,
     "op8_mixing": op8_mixing,
@@ -106,6 +137,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
 }
 _ORACLES = {
+    "op2_line_dedup": OP2_SQL,
     "op6_decontamination": OP6_SQL,
     "op8_mixing": OP8_SQL,
 }
