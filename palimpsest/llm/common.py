@@ -8,6 +8,7 @@ Clashes. A result column replaces an input column of the same name, whatever its
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,12 +38,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """df from a checkpoint in the shared folder of the cluster; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
+def cut(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder of the cluster (spark.checkpoint.dir) and read back.
+
+    Lineage ends there, all executors can read it, and it is compressed. Where no folder is set, as in tests, one of our
+    own is used. The folder's owner clears it.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager)
+    path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_hash(text: str) -> Column:

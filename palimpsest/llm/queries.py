@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, decontamination, language_id, line_dedup, mixing, quality_classifier, quality_rules, simhash
+from palimpsest.llm import chat, decontamination, language_id, line_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup
 from palimpsest.llm.common import held_out, table
 
 
@@ -98,6 +98,26 @@ FROM r
 """
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substring_dedup.remove_repeated_windows(docs)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, p, md5(array_to_string(w[p : p + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS least FROM win GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM win JOIN f USING (h) WHERE least < doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed, list(q) AS qs FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN n_removed IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda q: NOT list_contains(qs, q)), lambda q: w[q]) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.remove_spread_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -127,6 +147,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
     "op4_chat": op4_chat,
@@ -137,6 +158,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
 }
 _ORACLES = {
+    "op1_substring_dedup": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
     "op6_decontamination": OP6_SQL,
     "op8_mixing": OP8_SQL,

@@ -169,24 +169,79 @@ def slide_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(roll: Rolling, length: int, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Winnowed phrases of one sequence: phrase hash, phrase position, first and last window start.
+class Anchors:
+    """Winnowed phrases of a block of sequences: every window of n symbols belongs to one phrase.
 
-    Every window of n symbols belongs to one phrase: its k-gram of least hash, the leftmost of equals. That depends on
-    the window's content alone, so equal windows have equal phrases at equal distance.
+    A window's phrase is its k-gram of least hash, the leftmost of equals. That depends on the window's content alone, so
+    equal windows have equal phrases at equal distance. A run is a maximal stretch of windows with one phrase occurrence:
+    `phrase` (hash), `at` (its position), `first` and `last` (window starts), `owner` (its sequence).
     """
-    if length < n:
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, U), z, z, z
-    h = roll.windows(k)
-    bits = U(max(21, int(length).bit_length()))
-    order = (h >> bits << bits) | np.arange(len(h), dtype=U)
-    least = slide_min(order, n - k + 1)
-    at = (least & ((U(1) << bits) - U(1))).astype(np.int64)
-    turns = np.flatnonzero(np.diff(at)) + 1
-    first = np.r_[0, turns]
-    last = np.r_[turns, len(at)] - 1
-    return h[at[first]], at[first], first, last
+
+    def __init__(self, roll: Rolling, bounds: np.ndarray, n: int, k: int):
+        length = len(roll.sums) - 1
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        starts = np.flatnonzero(owner[: length - n + 1] == owner[n - 1 :]) if length >= n else np.zeros(0, np.int64)
+        if not len(starts):
+            self.phrase, self.at = np.zeros(0, U), starts
+            self.first = self.last = self.owner = starts
+            return
+        h = roll.windows(k)
+        bits = U(max(21, int(length).bit_length()))
+        least = slide_min((h >> bits << bits) | np.arange(len(h), dtype=U), n - k + 1)[starts]
+        at = (least & ((U(1) << bits) - U(1))).astype(np.int64)
+        turns = np.flatnonzero((np.diff(at) != 0) | (np.diff(starts) != 1)) + 1
+        self.first = starts[np.r_[0, turns]]
+        self.last = starts[np.r_[turns, len(starts)] - 1]
+        self.at = at[np.r_[0, turns]]
+        self.phrase = h[self.at]
+        self.owner = owner[self.first]
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def keep(self, mask: np.ndarray) -> "Anchors":
+        out = object.__new__(Anchors)
+        for name in ("phrase", "at", "first", "last", "owner"):
+            setattr(out, name, getattr(self, name)[mask])
+        return out
+
+
+def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All whole numbers from each first to its last, and for each the pair it comes from."""
+    n = last - first + 1
+    pair = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[pair], pair
+
+
+def covered(starts: np.ndarray, n: int, length: int) -> np.ndarray:
+    """True for the places within n of a start."""
+    change = np.zeros(length + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, np.minimum(starts + n, length), -1)
+    return np.cumsum(change)[:-1] > 0
+
+
+def join_words(words: Words, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kept words of each text joined by one space: bytes, and each text's bounds."""
+    mask = np.zeros(len(words.data) + 1, np.int8)
+    starts, ends = words.starts[kept], words.ends[kept]
+    mask[starts] += 1
+    np.add.at(mask, ends, -1)
+    mask = np.cumsum(mask[:-1], dtype=np.int8) > 0 if len(words.data) else np.zeros(0, bool)
+    out = words.data.copy()
+    owner = words.owner()[kept]
+    # A word but the first that its text keeps has a byte before it that is no part of a word.
+    gaps = starts[1:][owner[1:] == owner[:-1]] - 1
+    mask[gaps] = True
+    out[gaps] = 32
+    place = np.r_[0, np.cumsum(mask)]
+    return out[mask], place[words.text_bounds]
+
+
+def string_array(data: np.ndarray, bounds: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    """An Arrow array of the stretches of data between bounds."""
+    kind = kind or pa.string()
+    return pa.Array.from_buffers(kind, len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def as_list(values: pa.Array, counts: np.ndarray) -> pa.Array:
