@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, decontamination, language_id, line_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup
+from palimpsest.llm import chat, decontamination, language_id, line_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup
 from palimpsest.llm.common import held_out, table
 
 
@@ -146,6 +146,12 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", held_out("conv_id").alias("held_out"), "n_turns", F.array_join("turns.role", ",").alias("roles"), "rendered")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.remove_repeated_strings(docs)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -156,6 +162,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op9_language_id": op9_language_id,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 _ORACLES = {
     "op1_substring_dedup": OP1_SQL,

@@ -75,7 +75,7 @@ def _confirmer(n: int, k: int):
     """For a shard's documents and candidate phrases: (shard, phrase, window, least, most, code), each window once."""
     names = ["shard", "phrase", "window", "least", "most", "code"]
 
-    def run(key, docs: pa.Table, facts: pa.Table) -> pa.Table:
+    def run(key, docs, facts):
         wanted = np.unique(_numbers(facts, "phrase").view(np.uint64))
         parts, codes = [], {}
         if len(wanted) and docs.num_rows:
@@ -114,7 +114,7 @@ def _confirmer(n: int, k: int):
 def _remover(n: int, k: int):
     """For a shard's documents and its confirmed windows, phrase codes and copies: the result rows."""
 
-    def run(key, docs: pa.Table, facts: pa.Table) -> pa.Table:
+    def run(key, docs, facts):
         kind = facts.column("kind").to_numpy()
         phrase, window, least = (_numbers(facts, c) for c in ("phrase", "window", "least"))
         hashes = phrase.view(np.uint64)
