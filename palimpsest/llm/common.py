@@ -72,13 +72,14 @@ def add_columns(
     """
     names = [f.name for f in fields]
     kept = without(df, *names)
-    source = df.select(*[col(c) for c in kept], col(text).alias("__text"))
-    schema = StructType([f for f in df.schema.fields if f.name in kept] + fields)
+    # By number, so that no name of a column can clash or be taken for a path.
+    source = df.select(*[col(c).alias(f"_{i}") for i, c in enumerate(kept)], col(text).alias("_text"))
+    schema = StructType([df.schema[c] for c in kept] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for whole in batches:
-            for batch in small_batches(whole, "__text"):
+            for batch in small_batches(whole, "_text"):
                 columns = [batch.column(i) for i in range(batch.num_columns - 1)] + compute(batch.column(batch.num_columns - 1))
                 yield pa.RecordBatch.from_arrays(columns, names=kept + names)
 

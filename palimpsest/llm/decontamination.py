@@ -115,32 +115,37 @@ def _scanner(windows: WindowSet):
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    n: int = 10, block_bytes: int = BLOCK_BYTES,
+    n: int = 10, block_bytes: int = BLOCK_BYTES, prefix: str = "",
 ) -> DataFrame:
-    """docs with n_words, hit_starts and hit_ends (byte spans), hit_words (words of each span) and items."""
+    """docs with n_words, hit_starts and hit_ends (byte spans), hit_from (first word), hit_words (words) and items.
+
+    The names of these columns come after `prefix`.
+    """
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(col(item_id).cast("string").alias("item"), col(item_text).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
+    fields = [StructField(prefix + f.name, f.dataType) for f in _FIELDS]
     found = docs
     for block in range(n_blocks):
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block)
         windows = sc.broadcast(WindowSet([tuple(r) for r in part.collect()], n))
-        before = None if block == 0 else found.select("*", *[F.col(f.name).alias(f"__{f.name}") for f in _FIELDS])
-        found = add_columns(docs if before is None else before, text, _FIELDS, lambda w=windows: _scanner(w.value))
-        if before is not None:
-            found = _merge(found)
+        if block == 0:
+            found = add_columns(docs, text, fields, lambda w=windows: _scanner(w.value))
+        else:
+            before = found.select("*", *[col(f.name).alias(f"__{f.name}") for f in fields])
+            found = _merge(add_columns(before, text, fields, lambda w=windows: _scanner(w.value)), prefix)
     return found
 
 
-def _merge(found: DataFrame) -> DataFrame:
+def _merge(found: DataFrame, p: str) -> DataFrame:
     """The union of the blocks' spans so far and of the last block's, and all items."""
+    names = ("hit_from", "hit_words", "hit_starts", "hit_ends")
     spans = F.array_sort(F.concat(*[
-        F.transform(F.arrays_zip(*[F.col(f"{p}{f}").alias(f) for f in ("hit_from", "hit_words", "hit_starts", "hit_ends")]),
+        F.transform(F.arrays_zip(*[col(f"{q}{p}{f}").alias(f) for f in names]),
                     lambda x: F.struct(x["hit_from"].alias("f"), (x["hit_from"] + x["hit_words"]).alias("t"),
                                        x["hit_starts"].alias("s"), x["hit_ends"].alias("e")))
-        for p in ("__", "")]))
-    none = F.slice(spans, 1, 0)
+        for q in ("__", "")]))
 
     def join(done, x):
         last = F.try_element_at(done, F.lit(-1))
@@ -149,12 +154,12 @@ def _merge(found: DataFrame) -> DataFrame:
         touches = (F.size(done) > 0) & (x["f"] <= last["t"])
         return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
 
-    out = found.withColumn("__spans", F.aggregate(spans, none, join))
+    out = found.withColumn("__spans", F.aggregate(spans, F.slice(spans, 1, 0), join))
     return out.withColumns({
-        "hit_starts": F.transform("__spans", lambda x: x["s"]), "hit_ends": F.transform("__spans", lambda x: x["e"]),
-        "hit_from": F.transform("__spans", lambda x: x["f"]), "hit_words": F.transform("__spans", lambda x: x["t"] - x["f"]),
-        "items": F.array_sort(F.array_distinct(F.concat("__items", "items"))),
-    }).drop("__spans", *[f"__{f.name}" for f in _FIELDS])
+        f"{p}hit_starts": F.transform("__spans", lambda x: x["s"]), f"{p}hit_ends": F.transform("__spans", lambda x: x["e"]),
+        f"{p}hit_from": F.transform("__spans", lambda x: x["f"]), f"{p}hit_words": F.transform("__spans", lambda x: x["t"] - x["f"]),
+        f"{p}items": F.array_sort(F.array_distinct(F.concat(f"__{p}items", f"{p}items"))),
+    }).drop("__spans", *[f"__{p}{f.name}" for f in _FIELDS])
 
 
 def remove_contamination(
@@ -164,13 +169,13 @@ def remove_contamination(
 
     Each span becomes one line break, so that what stood around it doesn't run together.
     """
-    kept = [c for c in docs.columns]
-    found = find_contamination(docs.withColumn("__kept", col(text)), benchmark, text=text, **options)
-    hit = F.aggregate("hit_words", F.lit(0), lambda a, x: a + x)
-    found = found.where((F.size("hit_words") == 0) | (hit <= F.lit(drop_share) * F.col("n_words")))
-    raw = F.col("__kept").cast("binary")
-    starts = F.concat(F.array(F.lit(0)), F.col("hit_ends"))
-    ends = F.concat(F.col("hit_starts"), F.array(F.octet_length("__kept")))
+    p = "__found_"
+    found = find_contamination(docs, benchmark, text=text, prefix=p, **options)
+    hit = F.aggregate(f"{p}hit_words", F.lit(0), lambda a, x: a + x)
+    found = found.where((F.size(f"{p}hit_words") == 0) | (hit <= F.lit(drop_share) * F.col(f"{p}n_words")))
+    raw = col(text).cast("binary")
+    starts = F.concat(F.array(F.lit(0)), F.col(f"{p}hit_ends"))
+    ends = F.concat(F.col(f"{p}hit_starts"), F.array(F.octet_length(raw)))
     pieces = F.zip_with(starts, ends, lambda s, e: F.decode(F.substring(raw, s + 1, F.greatest(e - s, F.lit(0))), "UTF-8"))
-    clean = F.when(F.size("hit_starts") == 0, F.col("__kept")).otherwise(F.array_join(pieces, "\n"))
-    return found.withColumn("__clean", clean).select(*[F.col("__clean").alias(c) if c == text else col(c) for c in kept])
+    clean = F.when(F.size(f"{p}hit_starts") == 0, col(text)).otherwise(F.array_join(pieces, "\n"))
+    return found.select(*[clean.alias(c) if c == text else col(c) for c in docs.columns])

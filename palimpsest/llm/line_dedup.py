@@ -43,19 +43,19 @@ def spread_lines(docs: DataFrame, *, text: str = "text", site: str = "source", d
     return cut(sure.select("h1", "h2", "first").unionByName(exact.where(F.col("n") >= min_sites).select("h1", "h2", "first")))
 
 
-def remove_spread_lines(docs: DataFrame, *, text: str = "text", site: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs with the text without spread lines, and n_lines and n_removed."""
+def remove_spread_lines(docs: DataFrame, *, text: str = "text", site: str = "source", doc_id: str = "doc_id", prefix: str = "", **options) -> DataFrame:
+    """docs with the text without spread lines, and n_lines and n_removed, their names after `prefix`."""
     spread = spread_lines(docs, text=text, site=site, doc_id=doc_id, **options)
     mine = F.col("first.id").eqNullSafe(F.col("id")) & F.col("first.th").eqNullSafe(F.col("th"))
     gone = _keyed(docs, text, site, doc_id).join(spread, ["h1", "h2"]).where(~mine)
     gone = gone.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("__gone"))
-    base = docs.select(*[col(c) for c in without(docs, "n_lines", "n_removed")])
+    base = docs.select(*[col(c) for c in without(docs, f"{prefix}n_lines", f"{prefix}n_removed")])
     joined = base.join(gone, col(doc_id).eqNullSafe(F.col("__id")) & text_hash(text).eqNullSafe(F.col("__th")), "left")
     lines = _lines(col(text))
     clean = F.when(F.col("__gone").isNull(), col(text)).otherwise(
         F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n"))
     return joined.select(
         *[clean.alias(c) if c == text else col(c) for c in base.columns],
-        F.when(col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(f"{prefix}n_lines"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(f"{prefix}n_removed"),
     )

@@ -134,8 +134,8 @@ def fit_quality_classifier(docs: DataFrame, labels: DataFrame, *, text: str = "t
     return fit(found[:, 0], found[:, 1 : 1 + d], found[:, 1 + d :].reshape(2, d, d), **options)
 
 
-def score_quality(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted (1 if score >= threshold)."""
+def score_quality(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
+    """docs with score and predicted (1 if score >= threshold), their names after `prefix`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -147,5 +147,5 @@ def score_quality(docs: DataFrame, model: Model, *, text: str = "text", threshol
 
         return compute
 
-    scored = add_columns(docs, text, [StructField("score", DoubleType())], make)
-    return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    scored = add_columns(docs, text, [StructField(f"{prefix}score", DoubleType())], make)
+    return scored.withColumn(f"{prefix}predicted", F.when(F.col(f"{prefix}score") >= threshold, 1).otherwise(0))
