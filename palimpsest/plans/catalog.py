@@ -1,15 +1,3 @@
 """Queries over the bundled tables; importing this module registers them."""
 
-from __future__ import annotations
-
-from pyspark.sql import functions as F
-
-from palimpsest.plans.registry import query, table
-
-
-@query(
-    "AG-01_count_by_group",
-    "SELECT o_orderstatus, count(*) AS n_orders FROM orders GROUP BY o_orderstatus",
-)
-def count_by_group(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n_orders"))
+from palimpsest.plans import aggregates, documents, filters, history, joins, records, retrieval, scalars, streams  # noqa: F401
