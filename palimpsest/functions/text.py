@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
 def collapse_space(x: Column) -> Column:
@@ -102,7 +102,7 @@ def nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("struct<start:int,stop:int>")
+@F.pandas_udf(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))
 def quote_offsets(block: pd.Series, quote: pd.Series) -> pd.DataFrame:
     """Where the quote stands in the block, white space being free; null if nowhere."""
 
