@@ -34,7 +34,8 @@ def term_share(text: Column, terms: list[str]) -> Column:
 def bm25(docs: DataFrame, terms: list[str], *, key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of documents with a term: Okapi BM25 with idf ln(1 + (N - n + 0.5) / (n + 0.5))."""
     rows = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t"))
-    sized = rows.select("key", F.size("t").alias("size"), *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"f{i}") for i, w in enumerate(terms)])
+    times = lambda word: F.size(F.filter("t", lambda x: x == F.lit(word)))
+    sized = rows.select("key", F.size("t").alias("size"), *[times(w).alias(f"f{i}") for i, w in enumerate(terms)])
     stats = sized.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):

@@ -1 +1,306 @@
-"""Queries."""
+"""Domain operators (DM): identity, resolution, assembly, review and integrity."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from palimpsest.operators import identity, integrity, records, resolution
+from palimpsest.operators.latest import effective_overrides
+from palimpsest.plans.registry import query, table
+
+
+def _strings(*values):
+    return F.array(*values).cast("array<string>") if values else F.array().cast("array<string>")
+
+
+def _signature(prefix, year, rounds, day):
+    none = _strings()
+    return F.struct(
+        _strings(year).alias("fact_years"), none.alias("name_years"), none.alias("fact_terms"), none.alias("name_terms"), none.alias("halves"),
+        rounds.alias("rounds"), none.alias("cohorts"), F.array(day).alias("deadlines"), F.array().cast("array<date>").alias("starts")).alias(prefix)
+
+
+@query("DM-01_edition_verdict", """
+WITH p AS (SELECT a.o_orderkey AS l, b.o_orderkey AS r, (a.o_orderkey * 7 + b.o_orderkey) % 100 / 100.0::DOUBLE AS score, year(a.o_orderdate) AS ly, year(b.o_orderdate) AS ry,
+  a.o_orderpriority = '1-URGENT' AS lr, b.o_orderpriority = '1-URGENT' AS rr, abs(CAST(a.o_orderdate AS DATE) - CAST(b.o_orderdate AS DATE)) AS gap
+  FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey)
+SELECT l, r, CASE WHEN score < 0.55 THEN 'different' WHEN ly <> ry OR gap > 150 THEN 'different_edition' WHEN lr <> rr THEN 'uncertain' WHEN score >= 0.82 THEN 'same' ELSE 'uncertain' END AS verdict FROM p""")
+def edition_verdict(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    none = _strings()
+    rounds = F.when(F.col("o_orderpriority") == "1-URGENT", _strings(F.lit("1"))).otherwise(none)
+    side = lambda p: orders.select("o_custkey", F.col("o_orderkey").alias(f"{p}k"), _signature(p, F.year("o_orderdate"), rounds, F.to_date("o_orderdate")))
+    pairs = side("left").join(side("right"), "o_custkey").where("leftk < rightk")
+    score = (F.col("leftk") * 7 + F.col("rightk")) % 100 / F.lit(100.0)
+    return pairs.select(F.col("leftk").alias("l"), F.col("rightk").alias("r"), identity.verdict(score, "left", "right").alias("verdict"))
+
+
+@query("DM-02_signatures", """
+SELECT l_orderkey, string_agg(DISTINCT strftime(l_shipdate, '%Y-%m-%d'), ',' ORDER BY strftime(l_shipdate, '%Y-%m-%d')) AS deadlines FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY l_orderkey""")
+def signatures(spark, sf_dir):
+    days = F.array_join(F.array_sort(F.collect_set(F.date_format("l_shipdate", "yyyy-MM-dd"))), ",")
+    return table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "N")).groupBy("l_orderkey").agg(days.alias("deadlines"))
+
+
+@query("DM-03_proposals", """
+WITH p AS (SELECT a.o_orderkey AS subject, b.o_orderkey AS candidate, round(1 - abs(a.o_totalprice - b.o_totalprice) / greatest(a.o_totalprice, b.o_totalprice), 6) AS score
+  FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey),
+v AS (SELECT *, CASE WHEN score < 0.55 THEN 'different' WHEN score >= 0.82 THEN 'same' ELSE 'uncertain' END AS verdict FROM p)
+SELECT subject, candidate, verdict FROM v WHERE verdict IN ('same', 'uncertain') QUALIFY row_number() OVER (PARTITION BY subject ORDER BY CASE verdict WHEN 'same' THEN 0 ELSE 1 END, score DESC, candidate) <= 3""")
+def proposals(spark, sf_dir):
+    side = lambda k, v: table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias(k), F.col("o_totalprice").alias(v))
+    pairs = side("subject", "a").join(side("candidate", "b"), "o_custkey").where("subject <> candidate")
+    scored = pairs.withColumn("score", F.round(1 - F.abs(F.col("a") - F.col("b")) / F.greatest("a", "b"), 6))
+    ruled = scored.withColumn("verdict", F.when(F.col("score") < identity.DIFFERENT, "different").when(F.col("score") >= identity.SAME, "same").otherwise("uncertain"))
+    return identity.proposals(ruled, subject="subject", candidate="candidate").select("subject", "candidate", "verdict")
+
+
+@query("DM-04_match_items")
+def match_items(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    records_ = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("notice"), F.col("o_orderkey").alias("record"), F.col("o_orderpriority").alias("name"))
+    items = orders.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("notice"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("name"))
+    return identity.match_items(items, records_)
+
+
+@query("DM-05_version_rows", """
+SELECT l_orderkey, coalesce(max(l_quantity) FILTER (WHERE l_returnflag = 'A'), max(l_quantity) FILTER (WHERE l_returnflag = 'N')) AS capacity, count(*) AS n_windows FROM lineitem GROUP BY l_orderkey""")
+def version_rows(spark, sf_dir):
+    best = lambda f: F.max(F.when(F.col("l_returnflag") == f, F.col("l_quantity")))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.coalesce(best("A"), best("N")).alias("capacity"), F.count("*").alias("n_windows"))
+
+
+@query("DM-06_quality_ladder", """
+SELECT l_orderkey, CASE WHEN count(*) FILTER (WHERE l_quantity > 48) > 0 OR bool_or(l_returnflag = 'R') THEN 'needs_review' WHEN bool_or(l_linestatus = 'O') THEN 'partial' ELSE 'complete' END AS quality FROM lineitem GROUP BY l_orderkey""")
+def quality_ladder(spark, sf_dir):
+    flags = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.count_if(F.col("l_quantity") > 48).alias("w"), F.bool_or(F.col("l_returnflag") == "R").alias("c"), F.bool_or(F.col("l_linestatus") == "O").alias("p"))
+    return flags.select("l_orderkey", records.quality(F.col("w"), F.col("c"), F.lit("complete"), F.col("p")).alias("quality"))
+
+
+@query("DM-07_window_rows", """
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 'conflicting' WHEN l_linestatus = 'F' THEN 'confirmed' ELSE 'unknown' END AS confirmation,
+  CASE WHEN l_returnflag = 'A' THEN 'rolling' WHEN l_linestatus = 'F' THEN 'fixed' ELSE 'unknown' END AS closing FROM lineitem""")
+def window_rows(spark, sf_dir):
+    end = F.when(F.col("l_linestatus") == "F", F.col("l_shipdate"))
+    state = F.when(F.col("l_returnflag") == "R", "conflict").otherwise("stated")
+    stated = F.when(F.col("l_returnflag") == "A", "rolling").otherwise("fixed")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", records.confirmation(state, end).alias("confirmation"), records.closing_rule(stated, end).alias("closing"))
+
+
+@query("DM-08_benefit_rows", """
+WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag <> 'R' THEN l_quantity END AS lo, CASE WHEN l_linestatus = 'O' THEN 25.0 END AS hi, CASE WHEN l_tax > 0.04 THEN l_tax END AS pct FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN CASE WHEN lo = hi THEN 'fixed' ELSE 'range' END WHEN hi IS NOT NULL THEN 'maximum' WHEN pct IS NOT NULL THEN 'percentage' ELSE 'unknown' END AS shape FROM b""")
+def benefit_rows(spark, sf_dir):
+    low, high, percent = F.when(F.col("l_returnflag") != "R", F.col("l_quantity")), F.when(F.col("l_linestatus") == "O", F.lit(25.0)), F.when(F.col("l_tax") > 0.04, F.col("l_tax"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", records.benefit_shape(low, high, percent).alias("shape"))
+
+
+@query("DM-09_dimension_status", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'unrestricted' WHEN 'F' THEN 'restricted' ELSE 'unknown' END AS status FROM orders")
+def dimension_status(spark, sf_dir):
+    state = F.when(F.col("o_orderstatus") == "O", "explicitly_none").when(F.col("o_orderstatus") == "F", "stated").otherwise("not_found")
+    return table(spark, sf_dir, "orders").select("o_orderkey", records.dimension_status(state).alias("status"))
+
+
+@query("DM-10_evidence_rows")
+def evidence_rows(spark, sf_dir):
+    from palimpsest.functions.json import walk_facts
+
+    evidence = F.array(F.struct(F.col("event_type").alias("quote")))
+    fact = F.to_json(F.struct(F.struct(F.col("value").alias("value"), F.when(F.col("value") < 10, "conflict").otherwise("stated").alias("state"), evidence.alias("evidence")).alias("amount")))
+    rows = table(spark, sf_dir, "events").select("event_id", F.explode(walk_facts(fact)).alias("f"))
+    return rows.select("event_id", "f.path", F.when(F.col("f.state") == "conflict", "conflicting").otherwise("candidate").alias("status"), F.element_at("f.quotes", 1).alias("quote"))
+
+
+@query("DM-11_evidence_validation", r"""
+SELECT d.doc_id, contains(regexp_replace(text, '\s+', '', 'g'), regexp_replace(split_part(text, '.', 1), '\s+', '', 'g')) AS valid FROM documents d""")
+def evidence_validation(spark, sf_dir):
+    from palimpsest.functions.text import contains_compact
+
+    return table(spark, sf_dir, "documents").select("doc_id", contains_compact(F.col("text"), F.split_part("text", F.lit("."), F.lit(1))).alias("valid"))
+
+
+@query("DM-12_fact_values", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_totalprice END AS value FROM orders")
+def fact_values(spark, sf_dir):
+    fact = F.struct(F.col("o_totalprice").alias("value"), F.when(F.col("o_orderstatus") == "O", "stated").otherwise("unknown").alias("state"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", fact.alias("f")).select("o_orderkey", records.fact_value(F.col("f")).alias("value"))
+
+
+@query("DM-13_placeholder_headcount", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber <= 3 THEN CAST(l_linenumber AS INTEGER) END AS digits FROM lineitem")
+def placeholder_headcount(spark, sf_dir):
+    written = F.when(F.col("l_linenumber") <= 3, F.concat(F.repeat(F.lit("0"), F.col("l_linenumber")), F.lit("명"))).otherwise(F.concat(F.col("l_linenumber").cast("string"), F.lit("0명")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", records.headcount_digits(written).alias("digits"))
+
+
+@query("DM-14_title_revision", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'cancellation' WHEN '2-HIGH' THEN 'extension' WHEN '3-MEDIUM' THEN 'correction' WHEN '5-LOW' THEN 'repost' END AS kind FROM orders")
+def title_revision(spark, sf_dir):
+    words = {"1-URGENT": "[취소] 공고 연장", "2-HIGH": "[기간연장]", "3-MEDIUM": "(정정) 변경", "5-LOW": "[재게시]"}
+    title = F.lit("장학생 모집")
+    for k, v in words.items():
+        title = F.when(F.col("o_orderpriority") == k, v).otherwise(title)
+    return table(spark, sf_dir, "orders").select("o_orderkey", records.title_revision(title).alias("kind"))
+
+
+_DM15 = """
+WITH c AS (SELECT l_orderkey, l_returnflag AS key, CAST(min(l_partkey) % 3 AS VARCHAR) AS value FROM lineitem GROUP BY 1, 2),
+l AS (SELECT * FROM c a WHERE NOT (key <> 'R' AND EXISTS (SELECT 1 FROM c b WHERE b.l_orderkey = a.l_orderkey AND b.key = 'R'))),
+r AS (SELECT l_orderkey, count(DISTINCT value) AS v, min(key) AS k, count(*) AS n FROM l GROUP BY 1), t AS (SELECT l_orderkey, count(*) AS n FROM c GROUP BY 1)
+SELECT t.l_orderkey, CASE WHEN v <> 1 THEN 'unresolved' WHEN r.n < t.n THEN 'resolved_explicit_update' ELSE 'agreed' END AS outcome, CASE WHEN v = 1 THEN k END AS selected FROM t JOIN r USING (l_orderkey)"""
+
+
+def _candidates(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("key")).agg((F.min("l_partkey") % 3).cast("string").alias("value"))
+
+
+@query("DM-15_resolution_by_joins", _DM15)
+def resolution_by_joins(spark, sf_dir):
+    c = _candidates(spark, sf_dir)
+    newer = c.where("key = 'R'").select("l_orderkey")
+    superseded = c.where("key <> 'R'").join(newer, "l_orderkey", "left_semi")
+    return resolution.resolve_acyclic(c, superseded, ["l_orderkey"])
+
+
+@query("DM-15_resolution_grouped", _DM15)
+def resolution_grouped(spark, sf_dir):
+    c = _candidates(spark, sf_dir)
+    others = c.where("key <> 'R'").groupBy("l_orderkey").agg(F.collect_set("key").alias("superseded"))
+    directives = c.where("key = 'R'").join(others, "l_orderkey").select("l_orderkey", F.lit("d1").alias("key"), F.lit("R").alias("selected"), "superseded", F.lit(True).alias("verified"))
+    return resolution.resolve_fields(c, directives, ["l_orderkey"])
+
+
+@query("DM-17_window_paths", """
+SELECT l_orderkey, '/application_windows/' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1) AS path, l_linenumber || ':' || l_partkey AS window_key FROM lineitem""")
+def window_paths(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("w"))
+    each = rows.select("l_orderkey", F.posexplode("w").alias("pos", "x"))
+    return each.select("l_orderkey", F.concat(F.lit("/application_windows/"), F.col("pos").cast("string")).alias("path"), F.concat_ws(":", F.col("x.l_linenumber").cast("string"), F.col("x.l_partkey").cast("string")).alias("window_key"))
+
+
+@query("DM-18_effective_overrides", """
+SELECT user_id, event_id FROM (SELECT DISTINCT ON (user_id) user_id, event_id, event_type FROM events ORDER BY user_id, ts DESC, event_id DESC) WHERE event_type <> 'view'""")
+def effective(spark, sf_dir):
+    commands = table(spark, sf_dir, "events").withColumn("action", F.when(F.col("event_type") == "view", "remove").otherwise("set"))
+    return effective_overrides(commands, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_id")
+
+
+@query("DM-19_redirect_chains", """
+WITH RECURSIVE r(k, t) AS (SELECT p_partkey, p_partkey - p_size FROM part WHERE p_partkey % 10 = 0 AND p_partkey - p_size > 0),
+c(k, t, d) AS (SELECT k, t, 0 FROM r UNION ALL SELECT c.k, r.t, d + 1 FROM c JOIN r ON r.k = c.t)
+SELECT k, arg_max(t, d) AS final FROM c GROUP BY k""")
+def redirect_chains(spark, sf_dir):
+    redirects = table(spark, sf_dir, "part").where("p_partkey % 10 = 0 AND p_partkey - p_size > 0").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") - F.col("p_size")).alias("t"))
+    return identity.follow_redirects(redirects, source="k", target="t", most=5000)
+
+
+@query("DM-20_winner", """
+SELECT a.o_orderkey AS l, b.o_orderkey AS r, CASE WHEN (a.o_orderstatus <> 'F', a.o_orderdate, a.o_orderkey) < (b.o_orderstatus <> 'F', b.o_orderdate, b.o_orderkey) THEN a.o_orderkey ELSE b.o_orderkey END AS winner
+FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey""")
+def winner(spark, sf_dir):
+    side = lambda p: table(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderkey", (F.col("o_orderstatus") == "F").alias("published"), "o_orderdate").alias(p))
+    pairs = side("x").join(side("y"), "o_custkey").where("x.o_orderkey < y.o_orderkey")
+    return pairs.select(F.col("x.o_orderkey").alias("l"), F.col("y.o_orderkey").alias("r"), identity.winner("x", "y", published="published", created="o_orderdate", key="o_orderkey").alias("winner"))
+
+
+@query("DM-21_in_force", "SELECT event_id FROM events WHERE event_id % 7 <> 0 AND event_id NOT IN (SELECT event_id - 3 FROM events WHERE event_id % 7 = 0)")
+def in_force(spark, sf_dir):
+    decisions = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.col("event_id") - 3).alias("reverses"))
+    return identity.in_force(decisions, key="event_id").select("event_id")
+
+
+@query("DM-22_split_item", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) = 2")
+def split_item(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("w"))
+    return rows.select("l_orderkey", F.posexplode("w").alias("pos", "x")).where("pos = 1").select("l_orderkey", "x.l_linenumber", "x.l_partkey")
+
+
+@query("DM-23_proposal_state", """
+SELECT p.event_id, coalesce(c.event_type, 'open') AS state FROM events p LEFT JOIN events c ON c.event_id = p.event_id + 5 AND c.event_id % 2 = 1 WHERE p.event_id % 2 = 0""")
+def proposal_state(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    closing = events.where("event_id % 2 = 1").select((F.col("event_id") - 5).alias("supersedes"), "event_type")
+    open_ = events.where("event_id % 2 = 0").select("event_id")
+    return open_.join(closing, F.col("event_id") == F.col("supersedes"), "left").select("event_id", F.coalesce("event_type", F.lit("open")).alias("state"))
+
+
+@query("DM-25_quality_clearing", "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'needs_review' WHEN bool_or(l_linestatus = 'O') THEN 'partial' ELSE 'complete' END AS quality FROM lineitem GROUP BY l_orderkey")
+def quality_clearing(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("c"), F.bool_or(F.col("l_linestatus") == "O").alias("p"))
+    return f.select("l_orderkey", records.cleared_quality(F.col("c"), F.col("p")).alias("quality"))
+
+
+@query("DM-26_publishable", """
+SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
+  AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity < 5) AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)""")
+def publishable(spark, sf_dir):
+    drafts, lines = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'"), table(spark, sf_dir, "lineitem")
+    has = drafts.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").join(lines.where("l_quantity < 5"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+    return has.join(table(spark, sf_dir, "customer").where("c_acctbal < 0"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("o_orderkey")
+
+
+@query("DM-27_violations", """
+SELECT 'order without customer' AS rule, CAST(o_orderkey AS VARCHAR) AS subject FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'discount over 9%', CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE NOT l_discount <= 0.09
+UNION ALL SELECT 'two lines of one number', CAST(l_orderkey AS VARCHAR) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
+UNION ALL SELECT 'order without lines', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT 'negative balance', CAST(c_custkey AS VARCHAR) FROM customer WHERE NOT c_acctbal >= 0""")
+def violations(spark, sf_dir):
+    orders, lines, customers = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
+    return integrity.report({
+        "order without customer": (integrity.orphans(orders, customers, "o_custkey", "c_custkey"), "o_orderkey"),
+        "discount over 9%": (integrity.broken(lines, F.col("l_discount") <= 0.09), "l_orderkey"),
+        "two lines of one number": (integrity.not_unique(lines, ["l_orderkey", "l_linenumber"]), "l_orderkey"),
+        "order without lines": (integrity.orphans(orders, lines, "o_orderkey", "l_orderkey"), "o_orderkey"),
+        "negative balance": (integrity.broken(customers, F.col("c_acctbal") >= 0), "c_custkey"),
+    })
+
+
+@query("DM-28_rewritten_rows", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'deleted' ELSE 'changed' END AS how FROM orders WHERE o_orderkey % 97 = 0 OR o_orderkey % 89 = 0""")
+def rewritten_rows(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    after = orders.where("o_orderkey % 97 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 89 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return integrity.rewritten(orders, after, "o_orderkey", ["o_custkey", "o_totalprice", "o_orderstatus"])
+
+
+@query("DM-29_pointer_guard", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def pointer_guard(spark, sf_dir):
+    return integrity.orphans(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier").where("s_acctbal > 0"), "l_suppkey", "s_suppkey").select("l_orderkey", "l_partkey")
+
+
+@query("DM-31_unprocessed", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label > 2)")
+def unprocessed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return docs.join(table(spark, sf_dir, "embeddings").where("label > 2").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+
+
+@query("DM-32_missing_candidates", "SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) NOT IN (SELECT s_suppkey FROM supplier)")
+def missing_candidates(spark, sf_dir):
+    k = table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("bigint").alias("k")).where("k IS NOT NULL").distinct()
+    return k.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), "k", "left_anti")
+
+
+@query("DM-33_config_precedence", """
+SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 5000 THEN c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN 'ENV' END, 'DEFAULT') AS value,
+  CASE WHEN c_acctbal > 5000 AND c_mktsegment IS NOT NULL THEN 'admin' WHEN c_custkey % 2 = 0 THEN 'env' ELSE 'default' END AS source FROM customer""")
+def config_precedence(spark, sf_dir):
+    admin, env = F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")), F.when(F.col("c_custkey") % 2 == 0, F.lit("ENV"))
+    source = F.when(admin.isNotNull(), "admin").when(env.isNotNull(), "env").otherwise("default")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(admin, env, F.lit("DEFAULT")).alias("value"), source.alias("source"))
+
+
+@query("DM-34_audit_subjects", """
+SELECT 'customer' AS kind, c_custkey AS id, c_name AS title FROM customer WHERE c_custkey IN (SELECT user_id FROM events) UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT user_id FROM events)""")
+def audit_subjects(spark, sf_dir):
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    c = table(spark, sf_dir, "customer").join(users, F.col("c_custkey") == F.col("user_id"), "left_semi").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
+    s = table(spark, sf_dir, "supplier").join(users, F.col("s_suppkey") == F.col("user_id"), "left_semi").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"))
+    return c.unionByName(s)
+
+
+@query("DM-35_dashboard", """
+SELECT n_name, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders, count(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS open FROM nation
+LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name""")
+def dashboard(spark, sf_dir):
+    n, c, o = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
+    joined = n.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return joined.groupBy("n_name").agg(F.countDistinct("c_custkey").alias("customers"), F.count("o_orderkey").alias("orders"), F.count(F.when(F.col("o_orderstatus") == "O", F.col("o_orderkey"))).alias("open"))

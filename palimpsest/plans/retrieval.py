@@ -1 +1,113 @@
-"""Queries."""
+"""Hybrid search and its parts (RT)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from palimpsest.functions.vectors import cosine_distance
+from palimpsest.operators.retrieval import bm25, hybrid_search, query_terms, term_share, tokens
+from palimpsest.plans.registry import query, table
+
+_TERMS = query_terms("the and")
+
+#: Hybrid score of every document in DuckDB, for the weights w0 and w1.
+_SCORES = """
+WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+lex AS (SELECT doc_id, round(len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: t <> '')), ['the', 'and'])) / 2.0::DOUBLE, 6) AS lexical FROM documents),
+vec AS (SELECT vec_id, max(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[])) AS v FROM embeddings, q GROUP BY vec_id),
+s AS (SELECT doc_id, lexical, round(coalesce(v, 0.0), 6) AS vector FROM lex LEFT JOIN vec ON vec_id = doc_id)
+"""
+
+
+def _search(spark, sf_dir, mode, top=20):
+    vectors = table(spark, sf_dir, "embeddings")
+    first = vectors.where("vec_id = 0").select("embedding").first()
+    return hybrid_search(table(spark, sf_dir, "documents"), vectors, key="doc_id", text="text", query="the and", query_vector=first["embedding"] if first else None, mode=mode, top=top)
+
+
+@query("RT-06_hybrid_search", _SCORES + "SELECT doc_id, lexical, vector, round(lexical * 0.45 + vector * 0.55, 6) AS score FROM s ORDER BY score DESC, doc_id LIMIT 20")
+def hybrid(spark, sf_dir):
+    return _search(spark, sf_dir, "hybrid")
+
+
+@query("RT-04_lexical_mode", _SCORES + "SELECT doc_id, lexical, 0.0::DOUBLE AS vector, lexical AS score FROM s ORDER BY score DESC, doc_id LIMIT 20")
+def lexical(spark, sf_dir):
+    return _search(spark, sf_dir, "lexical")
+
+
+@query("RT-05_vector_mode", _SCORES + "SELECT doc_id, lexical, vector, vector AS score FROM s ORDER BY score DESC, doc_id LIMIT 20")
+def vector(spark, sf_dir):
+    return _search(spark, sf_dir, "vector")
+
+
+@query("RT-01_chunk_text", "SELECT p_partkey, concat_ws(chr(10), p_name, nullif(p_brand, ''), nullif(p_type, 'PROMO')) AS chunk FROM part")
+def chunk_text(spark, sf_dir):
+    parts = [F.col("p_name"), F.nullif(F.col("p_brand"), F.lit("")), F.nullif(F.col("p_type"), F.lit("PROMO"))]
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("\n", *parts).alias("chunk"))
+
+
+@query("RT-02_token_postings", """
+SELECT token, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS token FROM documents) WHERE token <> '' GROUP BY token""")
+def token_postings(spark, sf_dir):
+    postings = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    return postings.groupBy("token").agg(F.count("*").alias("docs"))
+
+
+@query("RT-03_bm25", """
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents),
+f AS (SELECT doc_id, len(t) AS size, len(list_filter(t, lambda x: x = 'the')) AS f0, len(list_filter(t, lambda x: x = 'of')) AS f1 FROM t),
+s AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (WHERE f0 > 0) AS n0, count(*) FILTER (WHERE f1 > 0) AS n1 FROM f)
+SELECT doc_id, round(ln(1 + (n - n0 + 0.5) / (n0 + 0.5)) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * size / mean)) + ln(1 + (n - n1 + 0.5) / (n1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS score
+FROM f, s WHERE f0 > 0 OR f1 > 0""")
+def bm25_query(spark, sf_dir):
+    return bm25(table(spark, sf_dir, "documents"), ["the", "of"], key="doc_id", text="text").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("RT-08_empty_query", "SELECT doc_id, 0.0::DOUBLE AS score FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
+def empty_query(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", term_share(F.col("text"), []).alias("score"), "n_chars").orderBy(F.col("score").desc(), F.col("n_chars").desc(), "doc_id").limit(20).select("doc_id", "score")
+
+
+@query("RT-09_profile_keys", "SELECT DISTINCT 'local:' || lang || ':64:lines' AS profile, sha256('local:' || lang || ':64:lines') AS config_sha FROM documents")
+def profile_keys(spark, sf_dir):
+    key = F.concat_ws(":", F.lit("local"), "lang", F.lit("64"), F.lit("lines"))
+    return table(spark, sf_dir, "documents").select(key.alias("profile")).distinct().select("profile", F.sha2("profile", 256).alias("config_sha"))
+
+
+@query("RT-10_backfill_queue", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL)")
+def backfill_queue(spark, sf_dir):
+    have = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id").join(have, "doc_id", "left_anti")
+
+
+@query("RT-11_activation", "SELECT lang, count(*) AS total, count(vec_id) AS embedded, count(*) = count(vec_id) AS can_activate FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY lang")
+def activation(spark, sf_dir):
+    have = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("has"))
+    joined = table(spark, sf_dir, "documents").select("doc_id", "lang").join(have, "doc_id", "left")
+    return joined.groupBy("lang").agg(F.count("*").alias("total"), F.count("has").alias("embedded"), (F.count("*") == F.count("has")).alias("can_activate"))
+
+
+@query("RT-12_search_debug", _SCORES + "SELECT doc_id, lexical, vector FROM s")
+def search_debug(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    q = vectors.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    near = vectors.crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("doc_id"), (F.lit(1.0) - cosine_distance(F.col("embedding"), F.col("q"))).alias("v"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.round(term_share(F.col("text"), _TERMS), 6).alias("lexical"))
+    return docs.join(near, "doc_id", "left").select("doc_id", "lexical", F.round(F.coalesce("v", F.lit(0.0)), 6).alias("vector"))
+
+
+@query("RT-13_hash_embedding")
+def hash_embedding(spark, sf_dir):
+    from palimpsest.functions.embedding import embed
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(embed(F.col("text")), lambda x: F.round(x, 5)).alias("vector"))
+
+
+@query("RT-12_group_best", "SELECT label, max(round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6)) AS best FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) GROUP BY label")
+def group_best(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    q = vectors.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return vectors.crossJoin(F.broadcast(q)).groupBy("label").agg(F.max(F.round(F.lit(1.0) - cosine_distance(F.col("embedding"), F.col("q")), 6)).alias("best"))
+
+
