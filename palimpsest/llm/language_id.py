@@ -75,8 +75,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], labels: list[str], *, epochs: int = 5, rate: float = 0.5, reject_rate: float = 0.01, seed: int = 7) -> Model:
-    """Mini-batch SGD; a fifth of the rows is kept for temperature and threshold."""
+def fit(texts: list[str], labels: list[str], *, passes: int = 12_000, rate: float = 0.5, reject_rate: float = 0.01, seed: int = 7) -> Model:
+    """Mini-batch SGD over `passes` texts, in whole epochs; a fifth of the rows is kept for temperature and threshold."""
     languages = sorted(set(labels))
     if not languages:
         return Model([])
@@ -88,8 +88,9 @@ def fit(texts: list[str], labels: list[str], *, epochs: int = 5, rate: float = 0
     rows = rng.permutation(np.flatnonzero(counts > 0))
     held, rows = rows[: len(rows) // 5], rows[len(rows) // 5 :]
     embed = rng.normal(0, 0.1, (BINS, WIDTH)).astype(np.float32)
-    layer = np.zeros((WIDTH, len(languages)), np.float32)
+    layer = rng.normal(0, 1, (WIDTH, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
+    epochs = -(-passes // max(len(rows), 1))
     steps = max(1, epochs * -(-len(rows) // 16))
     step = 0
     for _ in range(epochs):
