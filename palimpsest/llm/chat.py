@@ -25,6 +25,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from palimpsest.llm.common import add_columns, col, held_out
 
+#: Share of lines for which the markers' own meaning counts, whatever the training transcripts hold.
+MARKED = 0.05
 ROLES = ("system", "user", "assistant")
 STATES = tuple((role, begins) for role in ROLES for begins in (True, False))
 #: Speaker markers at the start of a line, by role.
@@ -100,7 +102,15 @@ def fit(starts: np.ndarray, moves: np.ndarray, emits: list[np.ndarray], smooth:
     # A line goes on only with the role before it, and no transcript starts in the middle of a turn.
     allowed = np.array([[begins or role == before for role, begins in STATES] for before, _ in STATES])
     first = np.array([begins for _, begins in STATES])
-    return Model(np.where(first, log(starts), -1e9), np.where(allowed, log(moves), -1e9), [log(e) for e in emits])
+    tables = [log(e) for e in emits]
+    # A marker tells the role that it names also where the training transcripts have none; that of another role hardly
+    # ever begins a line, unless training shows it.
+    named = np.array([[0.05 if begins else 1.0] + [(0.95 if begins else 1e-4) if r == role else 1e-7 for r in ROLES] for role, begins in STATES])
+    named /= named.sum(axis=1, keepdims=True)
+    seen = emits[0] / np.maximum(emits[0].sum(axis=1, keepdims=True), 1)
+    share = np.where(emits[0].sum(axis=1, keepdims=True) > 0, 1 - MARKED, 0)
+    tables[0] = np.log(share * seen + (1 - share) * named)
+    return Model(np.where(first, log(starts), -1e9), np.where(allowed, log(moves), -1e9), tables)
 
 
 def transcripts(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
