@@ -30,7 +30,8 @@ def numbered(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 def copies(rows: DataFrame) -> DataFrame:
     """(id, th, least): of texts that several ids or rows have, each id, and the least id with that text."""
     light = cut(rows.select("id", "th", F.xxhash64(F.lit(1), "text").alias("other")))
-    groups = light.groupBy("th", "other").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    # The groups are cut, so that the join is one of two exchanges of its own, in which a group of many copies is split.
+    groups = cut(light.groupBy("th", "other").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"))
     return cut(light.join(groups, ["th", "other"]).select("id", "th", "least").distinct())
 
 
