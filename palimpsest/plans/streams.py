@@ -1 +1,28 @@
-"""Queries."""
+"""Streaming forms of the incremental operators, on events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from palimpsest.plans.registry import query
+from palimpsest.streaming.incremental import first_requests, missing_streaks, settle, stream_table, tumbling_counts
+
+
+@query("SM-15_stream_usage", "SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_usage(spark, sf_dir):
+    counted = tumbling_counts(stream_table(spark, sf_dir, "events"), keys=["event_type"], at="ts", width="10 minutes", late="30 days")
+    return settle(counted, ["event_type", "start"]).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SM-16_stream_requests", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_requests(spark, sf_dir):
+    first = first_requests(stream_table(spark, sf_dir, "events"), keys=["user_id", "event_type"], at="ts", late="60 days")
+    return settle(first.select("user_id", "event_type"), ["user_id", "event_type"], mode="append")
+
+
+@query("SM-10_stream_missing", """
+WITH o AS (SELECT user_id, event_type = 'view' AS miss, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+SELECT user_id, coalesce(min(r) FILTER (WHERE NOT miss) - 1, count(*)) AS missing FROM o GROUP BY user_id""")
+def stream_missing(spark, sf_dir):
+    rows = stream_table(spark, sf_dir, "events").withColumn("seen", F.col("event_type") != "view")
+    return settle(missing_streaks(rows, key="user_id", at="ts", tie="event_id", seen="seen"), ["user_id"])
