@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import col, cut, text_hash
 
-SLOTS = 1 << 20
+SLOTS = 1 << 23
 NO_ID = (1 << 63) - 1
 
 
@@ -37,11 +37,13 @@ def copies(rows: DataFrame) -> DataFrame:
 
 def in_slots(rows: DataFrame, wanted: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     """(rows in a slot of `wanted`, with their shard; the other rows)."""
-    taken = cut(wanted.select(slot().alias("slot")).distinct())
-    marked = rows.withColumn("slot", slot())
-    inside = marked.join(F.broadcast(taken), "slot", "left_semi").drop("slot")
-    outside = marked.join(F.broadcast(taken), "slot", "left_anti").drop("slot")
-    return inside.withColumn("shard", shard(shards)), outside
+    bit = F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")
+    word = F.floor(F.col("slot") / 64).cast("int")
+    taken = cut(wanted.select(slot().alias("slot")).groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")))
+    marked = rows.withColumn("slot", slot()).withColumn("word", word).join(F.broadcast(taken), "word", "left")
+    hit = F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))
+    columns = rows.columns
+    return marked.where(hit).select(*columns, shard(shards).alias("shard")), marked.where(~hit).select(*columns)
 
 
 def shard(shards: int) -> Column:
