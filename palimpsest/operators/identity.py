@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.dates import least_gap_days
+from palimpsest.operators.lineage import cut
 
 SAME, DIFFERENT, GAP_DAYS = 0.82, 0.55, 150
 
@@ -55,13 +56,19 @@ def in_force(decisions: DataFrame, *, key: str = "id", reverses: str = "reverses
     return decisions.where(F.col(reverses).isNull()).join(undone, F.col(key) == F.col("__undone"), "left_anti")
 
 
-def follow_redirects(redirects: DataFrame, *, source: str, target: str, most: int = 20) -> DataFrame:
-    """(source, final): the end of each chain of redirects, by pointer doubling; a cycle ends at its least member."""
-    chain = redirects.select(F.col(source).alias("k"), F.col(target).alias("to"))
-    for _ in range(most.bit_length()):
+def follow_redirects(redirects: DataFrame, *, source: str, target: str, most: int = 40) -> DataFrame:
+    """(source, final): the end of each chain of redirects, by pointer doubling, so in rounds logarithmic in its length.
+
+    Each round is cut, and the last is the one that changes nothing. ValueError for a cycle, which has no end.
+    """
+    chain = cut(redirects.select(F.col(source).alias("k"), F.col(target).alias("to")))
+    for _ in range(most):
         step = chain.select(F.col("k").alias("to"), F.col("to").alias("next"))
-        chain = chain.join(step, "to", "left").select("k", F.coalesce("next", "to").alias("to"))
-    return chain.select(F.col("k").alias(source), F.col("to").alias("final"))
+        moved = cut(chain.join(step, "to", "left").select("k", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        chain = moved.select("k", "to")
+        if moved.where("moved").isEmpty():
+            return chain.select(F.col("k").alias(source), F.col("to").alias("final"))
+    raise ValueError("redirects form a cycle")
 
 
 def match_items(items: DataFrame, records: DataFrame) -> DataFrame:

@@ -189,7 +189,7 @@ c(k, t, d) AS (SELECT k, t, 0 FROM r UNION ALL SELECT c.k, r.t, d + 1 FROM c JOI
 SELECT k, arg_max(t, d) AS final FROM c GROUP BY k""")
 def redirect_chains(spark, sf_dir):
     redirects = table(spark, sf_dir, "part").where("p_partkey % 10 = 0 AND p_partkey - p_size > 0").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") - F.col("p_size")).alias("t"))
-    return identity.follow_redirects(redirects, source="k", target="t", most=5000)
+    return identity.follow_redirects(redirects, source="k", target="t")
 
 
 @query("DM-20_winner", """

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
+from palimpsest.operators.lineage import shared_folder
+
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stream of a table's files; time stamps without zone become ones with the session's."""
@@ -50,8 +52,7 @@ def missing_streaks(rows: DataFrame, *, key: str, at: str, tie: str, seen: str)
 def settle(stream: DataFrame, keys: Sequence[str], *, mode: str = "update") -> DataFrame:
     """Run the stream over what there is, and return the last row of each key. Batches go to the shared folder."""
     spark = stream.sparkSession
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    out = f"{root}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = StructType([*stream.schema.fields, StructField("__batch", LongType())])
 
     def write(batch: DataFrame, number: int) -> None:

@@ -200,3 +200,10 @@ def test_integrity(spark):
     assert [r.c for r in integrity.orphans(children, parents, "p", "p").collect()] == [2]
     after = spark.createDataFrame([(1, 1), (2, 8)], "c long, p long")
     assert {(r.c, r.how) for r in integrity.rewritten(children, after, "c", ["p"]).collect()} == {(2, "changed"), (3, "deleted")}
+
+
+def test_redirects(spark):
+    chain = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8)], "k long, t long")
+    assert {r.k: r.final for r in identity.follow_redirects(chain, source="k", target="t").collect()} == {1: 4, 2: 4, 3: 4, 9: 8}
+    with pytest.raises(ValueError):
+        identity.follow_redirects(spark.createDataFrame([(1, 2), (2, 1)], "k long, t long"), source="k", target="t", most=4)
