@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 HEADINGS = {"h1", "h2", "h3", "h4"}
 SKIPPED = {"script", "style", "noscript", "template"}
@@ -217,6 +217,18 @@ def transcription_blocks(text: str | None) -> list[dict]:
     return out
 
 
+def list_items(html: str | None) -> dict:
+    """Items of a page's lists, each with its link; strict: without a list, or with an item without a link, it fails whole."""
+    nodes = [n for n in parse(html).walk() if n.tag == "li"]
+    items = []
+    for n in nodes:
+        link = next((a for a in n.walk() if a.tag == "a" and a.attrs.get("href")), None)
+        if link is None:
+            return {"ok": False, "error": "item without a link", "items": []}
+        items.append({"href": link.attrs["href"], "title": " ".join(inline_text(link).split())})
+    return {"ok": True, "error": None, "items": items} if items else {"ok": False, "error": "no list", "items": []}
+
+
 _S = StringType()
 _BLOCKS = ArrayType(StructType([StructField("kind", _S), StructField("text", _S), StructField("xpath", _S)]))
 
@@ -249,3 +261,8 @@ def html_links(html: pd.Series) -> pd.Series:
 @F.pandas_udf(ArrayType(StructType([StructField("kind", _S), StructField("offset", IntegerType()), StructField("context", _S)])))
 def signals(text: pd.Series) -> pd.Series:
     return text.map(revision_signals)
+
+
+@F.pandas_udf(StructType([StructField("ok", BooleanType()), StructField("error", _S), StructField("items", ArrayType(StructType([StructField("href", _S), StructField("title", _S)])))]))
+def html_list(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([list_items(x) for x in html], columns=["ok", "error", "items"])

@@ -92,3 +92,19 @@ def title_revision(title: Column) -> Column:
     for pattern, kind in TITLE_MARKERS:
         out = out.when(title.rlike(pattern), kind)
     return out
+
+
+def review_action(kind: Column, confidence: Column, allowed: Sequence[str], kinds: Sequence[str]) -> Column:
+    """What a second review may do: nothing for kinds it doesn't review, apply an allowed correction at high confidence, else escalate."""
+    return F.when(~kind.isin(*kinds), "ignore").when(kind.isin(*allowed) & (confidence == "high"), "apply").otherwise("escalate")
+
+
+def apply_revision(base: DataFrame, patches: DataFrame, *, version: str, new_version: Column, key: Sequence[str], value: str) -> DataFrame:
+    """base's rows under a new version, with `value` from patches (key, value) where there is one, and `revised` saying so.
+
+    base stays as it is: the caller appends the rows.
+    """
+    patch = patches.select(*key, F.col(value).alias("__new"), F.lit(True).alias("__has"))
+    both = base.join(patch, list(key), "left")
+    revised = F.coalesce(F.col("__has"), F.lit(False))
+    return both.withColumns({version: new_version, value: F.when(revised, F.col("__new")).otherwise(F.col(value)), "revised": revised}).select(*base.columns, "revised")

@@ -115,3 +115,9 @@ SELECT event_id % 1000 AS article, arg_max(event_type, (event_id // 1000, event_
 def later_pages_win(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select((F.col("event_id") % 1000).alias("article"), F.floor(F.col("event_id") / 1000).alias("page"), "event_id", "event_type")
     return rows.groupBy("article").agg(F.max_by("event_type", F.struct("page", "event_id")).alias("title"))
+
+
+@query("DOC-04_list_items")
+def list_items(spark, sf_dir):
+    rows = _pages(spark, sf_dir).select("page_id", html.html_list("html").alias("l"))
+    return rows.select("page_id", "l.ok", "l.error", F.size("l.items").alias("n_items"))

@@ -252,3 +252,15 @@ def feed_scan(spark, sf_dir):
 @query("SRC-01_bound_parameters", "SELECT o_orderkey FROM orders WHERE o_totalprice > 150000 AND o_orderstatus = 'O'")
 def bound_parameters(spark, sf_dir):
     return spark.sql("SELECT o_orderkey FROM {orders} WHERE o_totalprice > :least AND o_orderstatus = :status", args={"least": 150000, "status": "O"}, orders=table(spark, sf_dir, "orders"))
+
+
+@query("SM-22_revalidate", """
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+SELECT user_id, arg_min(event_id, r) AS event_id FROM l WHERE r <= 3 AND CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50 GROUP BY user_id""")
+def revalidate(spark, sf_dir):
+    from palimpsest.functions.json import lenient_json
+    from palimpsest.operators.latest import latest_by
+
+    last = latest_by(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], keep=3)
+    valid = last.where(F.get_json_object(lenient_json(F.col("props")), "$.k").cast("bigint") >= 50)
+    return valid.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))

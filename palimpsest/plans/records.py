@@ -304,3 +304,22 @@ def dashboard(spark, sf_dir):
     n, c, o = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
     joined = n.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
     return joined.groupBy("n_name").agg(F.countDistinct("c_custkey").alias("customers"), F.count("o_orderkey").alias("orders"), F.count(F.when(F.col("o_orderstatus") == "O", F.col("o_orderkey"))).alias("open"))
+
+
+@query("DM-16_apply_revision", """
+SELECT l_orderkey, l_partkey, l_suppkey, l_orderkey + 1000000 AS version, CASE WHEN n IS NOT NULL THEN n ELSE q END AS quantity, n IS NOT NULL AS revised
+FROM (SELECT l_orderkey, l_partkey, l_suppkey, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3)
+LEFT JOIN (SELECT l_orderkey, l_partkey, l_suppkey, min(l_quantity) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2, 3) USING (l_orderkey, l_partkey, l_suppkey)""")
+def apply_revision(spark, sf_dir):
+    keys = ["l_orderkey", "l_partkey", "l_suppkey"]
+    lines = table(spark, sf_dir, "lineitem")
+    base = lines.groupBy(*keys).agg(F.max("l_quantity").alias("quantity")).withColumn("version", F.col("l_orderkey"))
+    patches = lines.where("l_returnflag = 'R'").groupBy(*keys).agg(F.min("l_quantity").alias("quantity"))
+    return records.apply_revision(base, patches, version="version", new_version=F.col("version") + 1_000_000, key=keys, value="quantity")
+
+
+@query("DM-24_review_policy", """
+SELECT event_id, CASE WHEN event_type NOT IN ('click', 'purchase') THEN 'ignore' WHEN event_type = 'click' AND value >= 50 THEN 'apply' ELSE 'escalate' END AS action FROM events""")
+def review_policy(spark, sf_dir):
+    confidence = F.when(F.col("value") >= 50, "high").otherwise("low")
+    return table(spark, sf_dir, "events").select("event_id", records.review_action(F.col("event_type"), confidence, ["click"], ["click", "purchase"]).alias("action"))
