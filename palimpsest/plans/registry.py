@@ -44,4 +44,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["AG-01_count_by_group"](spark, sf_dir)
+    return queries()["RT-06_hybrid_search"](spark, sf_dir)
