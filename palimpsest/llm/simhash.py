@@ -153,7 +153,11 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that stay: of each component the document of least id, once."""
-    found = near_duplicates(docs, text=text, doc_id=doc_id, **options)
+    return keep_least(docs, near_duplicates(docs, text=text, doc_id=doc_id, **options), text=text, doc_id=doc_id)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, *, text: str, doc_id: str) -> DataFrame:
+    """The rows of docs that stay if `found` has (doc_id, __th, component): of each component the document of least id, once."""
     rows = found.groupBy("component", "doc_id", "__th").agg(F.count("*").alias("__rows"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__th", "__rows"))
     chosen = rows.groupBy("component").agg(best.alias("best")).select(
