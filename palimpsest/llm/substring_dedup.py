@@ -12,7 +12,8 @@ starts in a document of smaller id; windows are judged on the input, not on what
    and looks up the windows around every occurrence. A shard's automaton holds only phrases of its own documents, so its
    size is bounded by theirs, and each document passes one automaton.
 
-Words are coded as three letters each for the automaton (18 bits of the word's hash); the window's hash decides.
+Words are coded as three letters each for the automaton (18 bits of the word's hash), so that phrases can share a code; the
+phrase's and the window's hash decide.
 Copies of a text are settled by the text's hash: all but the one of least id lose all words if they have `n`.
 
 Cases. Null and empty texts have no words; a null id is smaller than none and larger than all others, and rows with a
@@ -123,15 +124,13 @@ def _remover(n: int, k: int):
         order = np.argsort(window[sure].view(np.uint64))
         windows, owners, firsts = window[sure].view(np.uint64)[order], hashes[sure][order], least[sure][order]
         confirmed = np.unique(owners)
-        automaton, known = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         code = facts.column("code")
         for i in np.flatnonzero(kind == 1).tolist():
             j = np.searchsorted(confirmed, hashes[i])
             if j < len(confirmed) and confirmed[j] == hashes[i]:
-                automaton.add_word(code[i].as_py(), len(known))
-                known.append(hashes[i])
-        known = np.array(known, np.uint64)
-        if len(known):
+                automaton.add_word(code[i].as_py(), i)
+        if len(automaton):
             automaton.make_automaton()
         ids, ths = _numbers(docs, "id"), _numbers(docs, "th")
         out, at = [], 0
@@ -140,8 +139,8 @@ def _remover(n: int, k: int):
                 words = _words(data, bounds)
                 own_ids = ids[at + a : at + b]
                 gone = np.zeros(len(words), bool)
-                if len(known):
-                    gone = _covered(words, own_ids, automaton, known, windows, owners, firsts, n, k)
+                if len(automaton):
+                    gone = _covered(words, own_ids, automaton, windows, owners, firsts, n, k)
                 whole = np.array([(i, t) in copy for i, t in zip(own_ids.tolist(), ths[at + a : at + b].tolist())], bool) & (words.counts >= n)
                 gone |= np.repeat(whole, words.counts)
                 out.append(_result(words, own_ids, ths[at + a : at + b], gone))
@@ -154,21 +153,22 @@ def _remover(n: int, k: int):
 _SCHEMA = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
 
-def _covered(words, ids, automaton, known, windows, owners, firsts, n, k) -> np.ndarray:
+def _covered(words, ids, automaton, windows, owners, firsts, n, k) -> np.ndarray:
     """True for the words that a confirmed window of a smaller document covers."""
     h = words.hashes()
-    hits = [(e, v) for e, v in automaton.iter(_letters(h).decode()) if e % 3 == 2]
-    if not hits:
+    ends = [e for e, _ in automaton.iter(_letters(h).decode()) if e % 3 == 2]
+    if not ends:
         return np.zeros(len(words), bool)
-    ends, values = np.array(hits, np.int64).T
-    at = (ends + 1) // 3 - k
+    at = (np.array(ends, np.int64) + 1) // 3 - k
+    roll = scan.Rolling(h)
+    phrase = roll.of(at, at + k)
     starts, pair = scan.spread(np.maximum(at - (n - k), 0), np.minimum(at, len(words) - n))
     inside = words.within(n)
     fits = inside[starts]
     starts, pair = starts[fits], pair[fits]
-    w = scan.Rolling(h).of(starts, starts + n)
+    w = roll.of(starts, starts + n)
     near = np.minimum(np.searchsorted(windows, w), len(windows) - 1)
-    earlier = (windows[near] == w) & (owners[near] == known[values[pair]]) & (firsts[near] < ids[words.owner()[starts]])
+    earlier = (windows[near] == w) & (owners[near] == phrase[pair]) & (firsts[near] < ids[words.owner()[starts]])
     return scan.covered(starts[earlier], n, len(words))
 
 
