@@ -155,6 +155,8 @@ _SCHEMA = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int6
 
 def _covered(words, ids, automaton, windows, owners, firsts, n, k) -> np.ndarray:
     """True for the words that a confirmed window of a smaller document covers."""
+    if len(words) < n:
+        return np.zeros(len(words), bool)
     h = words.hashes()
     ends = [e for e, _ in automaton.iter(_letters(h).decode()) if e % 3 == 2]
     if not ends:
