@@ -12,7 +12,7 @@ discarded (a Hamming distance is a metric), and the survivors are verified.
 Large buckets. A pair of quarters that more than `BUCKET` distinct fingerprints share isn't paired. Each of these
 fingerprints instead names itself and the 64 that differ from it in one bit, and those that name the same are linked
 through the least of them: two are at most two bits apart exactly if they name one in common. So the work per fingerprint
-is bounded and no link is lost. (For max_bits over 2 use a larger BUCKET: this way holds for 2 and less.)
+is bounded and no link is lost. Both ways hold for 2 bits and less; `links` refuses more.
 
 Components are the fixed point of minimum propagation with pointer jumping, on distinct linked fingerprints only; each
 round is cut by a checkpoint. Cases: null and empty texts have fingerprint zero and link like any other; repeated rows
@@ -91,6 +91,8 @@ def with_pivot_distances(prints: DataFrame, pivots: int = PIVOTS) -> DataFrame:
 
 def links(prints: DataFrame, *, max_bits: int = MAX_BITS, pivots: int = PIVOTS, bucket: int = BUCKET) -> DataFrame:
     """(a, b), a < b: enough links between distinct fingerprints to connect all that are max_bits or fewer apart."""
+    if max_bits > 2:
+        raise ValueError(f"max_bits is {max_bits}: pairs of equal quarters find all links up to 2 bits only")
     quarter = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
     keys = F.array(*[
         F.lit(10 * i + j) + F.lit(100) * (quarter(i) * F.lit(1 << 16) + quarter(j)) for i in range(4) for j in range(i + 1, 4)])
