@@ -84,9 +84,9 @@ def match_items(items: DataFrame, records: DataFrame) -> DataFrame:
 
     def match(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         claimed, rows = set(), []
-        known = sorted(zip(old["record"], old["name"].map(core_name))) if len(old) else []
-        for notice, pos, name in sorted(new[["notice", "pos", "name"]].itertuples(index=False, name=None), key=lambda x: x[1]):
-            same = [r for r, n in known if n == core_name(name) and r not in claimed]
+        known = sorted(zip(old["record"], old["core"])) if len(old) else []
+        for notice, pos, core in sorted(new[["notice", "pos", "core"]].itertuples(index=False, name=None), key=lambda x: x[1]):
+            same = [r for r, n in known if n == core and r not in claimed]
             how, record = ("same", same[0]) if len(same) == 1 else (None, None)
             if record is None and len(new) == 1 and len(known) == 1 and known[0][0] not in claimed:
                 how, record = "renamed", known[0][0]
@@ -95,4 +95,5 @@ def match_items(items: DataFrame, records: DataFrame) -> DataFrame:
             rows.append((notice, pos, record, how))
         return pd.DataFrame(rows, columns=["notice", "pos", "record", "how"]).astype({"record": "Int64"})
 
-    return items.groupBy("notice").cogroup(records.groupBy("notice")).applyInPandas(match, "notice long, pos long, record long, how string")
+    cored = lambda df, key: df.select("notice", key, core_name(F.col("name")).alias("core")).groupBy("notice")
+    return cored(items, "pos").cogroup(cored(records, "record")).applyInPandas(match, "notice long, pos long, record long, how string")

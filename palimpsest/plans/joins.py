@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.text import name_similarity
 from palimpsest.operators.compare import full_diff, predecessor
 from palimpsest.operators.latest import latest_by
-from palimpsest.operators.paging import keyset_page, offset_page
+from palimpsest.operators.paging import keyset_page, offset_page, page_count
 from palimpsest.operators.similarity import trigram_pairs
 from palimpsest.plans.registry import query, table
 
@@ -162,7 +162,6 @@ def as_of_predecessor(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("ts").alias("t"), "event_id")
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("t"), F.col("o_orderdate").alias("d"))
     both = events.withColumn("d", F.lit(None).cast("timestamp_ntz")).unionByName(orders.withColumn("event_id", F.lit(None).cast("bigint")))
-    before = Window.partitionBy("k").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     # Events sort before orders of the same moment: only earlier ones count.
     rows = Window.partitionBy("k").orderBy("t", F.col("event_id").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("last_order", F.max("d").over(rows)).where("event_id IS NOT NULL").select("event_id", "last_order")
@@ -182,8 +181,13 @@ def weighted_top(spark, sf_dir):
 
 @query("SO-02_offset_page", "SELECT p_partkey, count(*) OVER () > 20 AS has_more FROM (SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 21 OFFSET 40) QUALIFY row_number() OVER (ORDER BY (SELECT NULL)) <= 20")
 def offset_page_query(spark, sf_dir):
-    rows, more = offset_page(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), [F.col("p_retailprice").desc(), F.col("p_partkey")], offset=40, limit=20)
-    return rows.select("p_partkey", F.lit(more).alias("has_more"))
+    page = offset_page(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), [F.col("p_retailprice").desc(), F.col("p_partkey")], offset=40, limit=20)
+    return page.select("p_partkey", "has_more")
+
+
+@query("SO-07_page_count", "SELECT count(*) AS n_rows, greatest(CAST(ceil(count(*) / 30.0) AS BIGINT), 1) AS n_pages FROM part WHERE p_size > 10")
+def page_count_query(spark, sf_dir):
+    return page_count(table(spark, sf_dir, "part").where("p_size > 10"), 30)
 
 
 @query("SO-03_keyset_page", "SELECT event_id, event_type FROM events WHERE event_id > 500 ORDER BY event_id LIMIT 50")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.functions import dates, text, vectors
-from palimpsest.functions.edition import core_name_udf, edition_tokens, term_code
+from palimpsest.functions import dates, edition, text, vectors
+from palimpsest.functions.edition import term_code
 from palimpsest.functions.json import canonical_json, lenient_json, pointer_set, walk_facts
 from palimpsest.plans.joins import GRAMS
 from palimpsest.plans.registry import query, table
@@ -26,15 +26,39 @@ def normalize_name(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.normalize_name(F.col("p_type"), ["promo", "brushed"]).alias("name"))
 
 
-@query("SC-04_core_name")
-def core_name(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", core_name_udf(F.col("p_name"), F.col("p_brand")).alias("core_name"))
+#: Titles of part names in six forms, and the core that each has by construction.
+_FORMS = (
+    ("'[' || p_brand || '] 2026학년도 1학기 ' || p_name || ' 장학금 선발 안내'", "p || '장학'"),
+    ("'’26년 ' || p_name || ' 장학생 2차 모집 (추가)'", "p || '장학'"),
+    ("p_brand || ' ' || p_name || ' 장학금 추가모집 신청'", "p || '장학'"),
+    ("p_name || ' 67, 68기 [기간연장]'", "p"),
+    ("'2024 ' || p_name || ' 하반기 재선발 공고'", "p"),
+    ("p_name || ' 26-2학기 대상자 알림'", "p"),
+)
+_CASE = "CASE p_partkey % 6 {} END".format
 
 
-@query("SC-05_edition_tokens")
-def edition(spark, sf_dir):
-    titled = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.year("o_orderdate"), F.lit("학년도 "), F.when(F.month("o_orderdate") < 7, "1").otherwise("2"), F.lit("학기 장학금")).alias("title"))
-    return titled.select("o_orderkey", edition_tokens(F.col("title")).alias("e")).select("o_orderkey", F.array_join("e.years", ",").alias("years"), F.array_join("e.terms", ",").alias("terms"))
+@query("SC-04_core_name", f"""
+SELECT p_partkey, {_CASE(' '.join(f'WHEN {i} THEN {c}' for i, (_, c) in enumerate(_FORMS)))} AS core_name
+FROM (SELECT p_partkey, regexp_replace(lower(p_name), '[^0-9a-z]', '', 'g') AS p FROM part)""")
+def core_name(spark, sf_dir):
+    title = F.expr(_CASE(" ".join(f"WHEN {i} THEN {t}" for i, (t, _) in enumerate(_FORMS))))
+    return table(spark, sf_dir, "part").select("p_partkey", edition.core_name(title, F.col("p_brand")).alias("core_name"))
+
+
+@query("SC-05_edition_tokens", """
+WITH o AS (SELECT o_orderkey, CAST(year(o_orderdate) + 25 AS VARCHAR) AS y, month(o_orderdate) < 7 AS early, o_orderkey % 2 = 0 AS even, day(o_orderdate) AS d, o_custkey % 90 AS c FROM orders)
+SELECT o_orderkey, y || CASE WHEN o_orderkey % 3 = 0 AND y <> '2026' THEN ',2026' ELSE '' END AS years, CASE WHEN early THEN 'spring' ELSE 'fall' END || CASE WHEN even THEN ',winter' ELSE '' END AS terms,
+  CASE WHEN even THEN '' ELSE 'h2' END AS halves, CAST(d AS VARCHAR) || CASE WHEN even THEN ',additional' ELSE '' END AS rounds, CAST(c + 1 AS VARCHAR) || ',' || CAST(c AS VARCHAR) AS cohorts FROM o""")
+def edition_query(spark, sf_dir):
+    even, cohort = F.col("o_orderkey") % 2 == 0, F.col("o_custkey") % 90
+    title = F.concat(
+        (F.year("o_orderdate") + 25).cast("string"), F.lit("학년도 "), F.when(F.month("o_orderdate") < 7, "1").otherwise("2"), F.lit("학기 "),
+        F.when(F.col("o_orderkey") % 3 == 0, "26년 ").otherwise(""), F.when(even, "동계 ").otherwise("하반기 "),
+        F.dayofmonth("o_orderdate").cast("string"), F.lit("차 "), F.when(even, "추가 모집 ").otherwise(""),
+        cohort.cast("string"), F.lit(", "), (cohort + 1).cast("string"), F.lit("기"))
+    found = table(spark, sf_dir, "orders").select("o_orderkey", edition.edition_tokens(title).alias("e"))
+    return found.select("o_orderkey", *[F.array_join(f"e.{k}", ",").alias(k) for k in ("years", "terms", "halves", "rounds", "cohorts")])
 
 
 @query("SC-06_trigrams", f"SELECT p_partkey, len({GRAMS.format(x='lower(p_name)')}) AS n_grams FROM part")

@@ -20,12 +20,21 @@ def one(spark, column, **values):
     return df.select(column.alias("x")).first()["x"]
 
 
-def test_question_filters():
-    found = predicates.question_filters("서울 거주 대학생이 이번 달 신청 가능한 100만원 이상 생활비 소득 8구간 이하", date(2026, 10, 6))
-    assert found == {
-        "student_type": "undergraduate", "benefit": "living_cost", "end_from": date(2026, 10, 6), "end_to": date(2026, 10, 31), "min_amount": 1_000_000,
+def filters(spark, question, today="2026-10-06"):
+    found = one(spark, predicates.question_filters(F.lit(question), F.lit(today).cast("date"))).asDict()
+    return {k: v for k, v in found.items() if v is not None}
+
+
+def test_question_filters(spark):
+    assert filters(spark, "서울 거주 대학생이 이번 달 신청 가능한 100만원 이상 생활비 소득 8구간 이하") == {
+        "student_type": "undergraduate", "benefit_type": "living_cost", "end_from": date(2026, 10, 6), "end_to": date(2026, 10, 31), "min_amount": 1_000_000,
         "income_bracket_max": 8, "region": "서울", "status": "active"}
-    assert predicates.question_filters("석사 과정 대학생", date(2026, 1, 1))["student_type"] == "graduate" and predicates.question_filters("", date(2026, 1, 1)) == {}
+    assert filters(spark, "석사 과정 대학생")["student_type"] == "graduate" and filters(spark, "") == {}
+    assert filters(spark, "경기도에 사는 학생, 3,000원 초과") == {"region": "경기", "min_amount": 3000}
+    assert filters(spark, "부산광역시 주민 소득 8분위 이하") == {"region": "부산"}
+    stated = predicates.question_filters(F.lit("서울 거주 대학생"), F.lit("2026-10-06").cast("date"))
+    both = one(spark, predicates.with_explicit(stated, {"region": F.lit("부산"), "student_type": F.lit(None).cast("string")}))
+    assert (both.region, both.student_type) == ("부산", "undergraduate")
 
 
 def test_cursors():
@@ -46,9 +55,21 @@ def test_edition_tokens(spark):
     assert one(spark, edition.edition_tokens(F.lit("'25학년도 하반기"))).years == ["2025"]
 
 
-def test_core_names():
-    assert edition.core_name("[기간연장] 2026학년도 1학기 희망장학금 선발 안내") == edition.core_name("희망 장학금")
-    assert edition.core_name("한빛재단 희망장학금", "한빛재단") == edition.core_name("희망장학금")
+def test_edition_tokens_in_lists_and_short_forms(spark):
+    found = one(spark, edition.edition_tokens(F.lit("'26년 후반기 67, 68기 후보생 모집")))
+    assert found.years == ["2026"] and sorted(found.cohorts) == ["67", "68"]
+    assert one(spark, edition.edition_tokens(F.lit("２６-1학기 안내"))).asDict() == {"years": ["2026"], "terms": ["spring"], "halves": [], "rounds": [], "cohorts": []}
+    assert one(spark, edition.edition_tokens(F.lit("12345차 제3차 2차년도 재 모집"))).rounds == ["3", "re"]
+
+
+@pytest.mark.parametrize("name,provider,same", [
+    ("[기간연장] 2026학년도 1학기 희망장학금 선발 안내", None, "희망 장학금"), ("한빛재단 희망장학금", "한빛재단", "희망장학금"), ("2024 희망장학금", None, "희망장학금"),
+    ("24년 희망장학금 67, 68기 모집", None, "희망 장학생"), ("26-1학기 희망장학금 하계 추가모집 2차", None, "희망장학금"), ("한빛재단", "한빛재단", "한빛재단"),
+    ("희망장학금(교외>", None, "희망장학금"), ("선발", None, "선발"),
+])
+def test_core_names(spark, name, provider, same):
+    core = lambda n, p: one(spark, edition.core_name(F.lit(n), F.lit(p).cast("string")))
+    assert core(name, provider) == core(same, None)
 
 
 def test_dates(spark):
