@@ -153,8 +153,16 @@ def near_duplicates(
     return printed.join(by_print, printed["fingerprint"] == by_print["fp"]).drop("fp")
 
 
-def drop_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that stay: of each component the document of least id, once."""
+def drop_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", at_least: float | None = None, **options) -> DataFrame:
+    """The rows of docs that stay: of each component the document of least id, once.
+
+    With `at_least`, documents link by the Jaccard coefficient of their shingle sets (see shingle_dedup) instead: pairs of
+    0.8 lie 3 to 20 bits apart, where pivot distances of 64-bit fingerprints discard next to nothing.
+    """
+    if at_least is not None:
+        from palimpsest.llm import shingle_dedup
+
+        return shingle_dedup.drop_similar(docs, text=text, doc_id=doc_id, at_least=at_least, **options)
     return keep_least(docs, near_duplicates(docs, text=text, doc_id=doc_id, **options), text=text, doc_id=doc_id)
 
 
