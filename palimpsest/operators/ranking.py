@@ -7,15 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.lineage import cut
+
 
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """df with 1, 2, ... in `order`, which has to be total.
 
     Rows are range-partitioned, counted by partition, and numbered within each from the count before it; only one row
-    for each partition is ever together. The order's distribution is sampled, so rows are read twice.
+    for each partition is ever together. The dealt rows are cut: counts and ranks have to see one dealing, also after a
+    lost executor's tasks run again.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    dealt = cut(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
