@@ -1,49 +1,73 @@
-"""Exact nearest neighbours: a stated set of queries, in blocks, against all vectors."""
+"""Exact search for a stated set of queries: blocks of queries of bounded size against all rows, the best of each kept."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of a block of queries, as it is broadcast.
+BLOCK_BYTES = 32 << 20
+
+
+def query_blocks(queries: DataFrame, each: int, *, block_bytes: int = BLOCK_BYTES) -> Iterator[list]:
+    """The rows of queries (id first), in blocks of about block_bytes if a row takes `each` bytes; one row at least."""
+    rows = queries.count()
+    n = max(1, -(-rows * each // block_bytes))
+    for i in range(n if rows else 0):
+        found = (queries if n == 1 else queries.where(F.pmod(F.xxhash64(queries.columns[0]), F.lit(n)) == i)).collect()
+        if found:
+            yield found
+
+
+def first_of_each(values: np.ndarray, keys: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the `top` least values of each row, ties by key; infinite values are never among them."""
+    order = np.argsort(keys, kind="stable")
+    best = order[np.argsort(values[:, order], axis=1, kind="stable")[:, :top]]
+    row = np.repeat(np.arange(len(values)), best.shape[1])
+    fits = np.isfinite(values[row, best.ravel()])
+    return row[fits], best.ravel()[fits]
+
+
+def unit(vectors) -> np.ndarray:
+    """One row for each vector, of length 1; all zero for a null vector or one of length 0."""
+    size = max((len(v) for v in vectors if v is not None), default=0)
+    x = np.array([v if v is not None else np.zeros(size) for v in vectors], float).reshape(len(vectors), size)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
 
-def nearest(queries: DataFrame, vectors: DataFrame, *, key: str, vector: str, top: int, block: int = 1024) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, *, key: str, vector: str, top: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(q_id, key, distance): for each query the `top` others by cosine distance, ties by key.
 
-    Queries are read in blocks of `block`, which bounds each broadcast; every task keeps `top` rows for each query, and
-    these are ranked over all tasks. Vectors of length 0 have no direction and are left out.
+    Every task keeps `top` rows for each query of the block, and these are ranked over all tasks. Vectors of length 0 have
+    no direction and are left out. Each block is one pass over the vectors; a block's broadcast has a fixed bound.
     """
     sc = queries.sparkSession.sparkContext
-    ids = queries.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("v IS NOT NULL")
-    n_blocks = max(1, -(-ids.count() // block))
-    out = None
-    for i in range(n_blocks):
-        rows = (ids if n_blocks == 1 else ids.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == i)).collect()
-        rows = [r for r in rows if any(r["v"])]
-        if not rows:
-            continue
-        q = np.array([r["v"] for r in rows], float)
-        shared = sc.broadcast((np.array([r["id"] for r in rows]), q / np.linalg.norm(q, axis=1, keepdims=True)))
+    asked = queries.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(F.exists("v", lambda x: x != 0))
+    out = vectors.select(F.col(key).alias("q_id"), key, F.lit(0.0).alias("distance")).where("false")
+    width = asked.agg(F.max(F.size("v"))).first()[0] or 0
+    for rows in query_blocks(asked, 8 * (width + 1), block_bytes=block_bytes):
+        shared = sc.broadcast((np.array([r["id"] for r in rows]), unit([r["v"] for r in rows])))
 
         def near(batches, shared=shared):
             q_ids, q = shared.value
             for batch in batches:
-                batch = batch[batch["v"].map(lambda v: v is not None and any(v))]
-                if not len(batch):
+                x, keys = unit(batch["v"].tolist()), batch["id"].to_numpy()
+                some = x.any(axis=1)
+                x, keys = x[some], keys[some]
+                if not len(x):
                     continue
-                x = np.stack(batch["v"].to_numpy()).astype(float)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                distance = np.round(1 - q @ x.T, 6)
-                keys = batch["id"].to_numpy()
-                for j, q_id in enumerate(q_ids):
-                    other = np.flatnonzero(keys != q_id)
-                    best = other[np.lexsort((keys[other], distance[j][other]))[:top]]
-                    yield pd.DataFrame({"q_id": q_id, key: keys[best], "distance": distance[j][best]})
+                for at in range(0, len(q), 256):
+                    distance = np.round(1 - q[at : at + 256] @ x.T, 6)
+                    distance[q_ids[at : at + 256, None] == keys] = np.inf
+                    row, best = first_of_each(distance, keys, top)
+                    yield pd.DataFrame({"q_id": q_ids[at + row], key: keys[best], "distance": distance[row, best]})
 
         part = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInPandas(near, f"q_id long, {key} long, distance double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.select(F.col(key).alias("q_id"), key, F.lit(0.0).alias("distance")).limit(0)
+        out = out.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", key))
     return out.withColumn("__r", rank).where(F.col("__r") <= top).drop("__r")

@@ -1,34 +1,42 @@
-"""Filtered hybrid search: token postings, lexical score, exact vector distance, weighted fusion."""
+"""Filtered hybrid search: token postings, lexical score, exact vector distance, weighted fusion.
+
+Tokens are runs of letters and digits of any script, lower-cased. The lexical score is the share of a query's distinct
+tokens that a text has; with a title it is the greater of that and the trigram similarity of title and query.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import jaccard, trigrams
 from palimpsest.functions.vectors import cosine_distance
+from palimpsest.operators.nearest import BLOCK_BYTES, first_of_each, query_blocks, unit
 
-#: Weights of the lexical and the vector score, by mode.
+#: Weights of the lexical and the vector score, by mode.
 WEIGHTS = {"hybrid": (0.45, 0.55), "lexical": (1.0, 0.0), "vector": (0.0, 1.0)}
 
 
 def tokens(x: Column) -> Column:
-    """Runs of a-z and 0-9 of the lower-cased text."""
-    return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+    """Runs of letters and digits of the lower-cased text."""
+    return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def query_terms(query: str) -> list[str]:
-    import re
-
-    return list(dict.fromkeys(re.findall("[a-z0-9]+", query.lower())))
+    """The distinct tokens of a query, in order."""
+    return list(dict.fromkeys("".join(c if c.isalpha() or c.isnumeric() else " " for c in query.lower()).split()))
 
 
 def term_share(text: Column, terms: list[str]) -> Column:
     """Share of the distinct query terms that the text has; 0 without terms."""
     if not terms:
         return F.lit(0.0)
-    return F.size(F.array_intersect(F.array_distinct(tokens(text)), F.array(*map(F.lit, terms)))) / F.lit(float(len(terms)))
+    return F.size(F.array_intersect(tokens(text), F.array(*map(F.lit, terms)))) / F.lit(float(len(terms)))
 
 
 def bm25(docs: DataFrame, terms: list[str], *, key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -46,21 +54,92 @@ def bm25(docs: DataFrame, terms: list[str], *, key: str, text: str, k1: float =
     return sized.select(F.col("key").alias(key), score.alias("score")).where("score > 0")
 
 
+def embedded(embed: Callable[[str], list[float]], query: str, mode: str) -> tuple[list[float] | None, str | None]:
+    """(vector, error) of a query: a failure is told, and ends the search only where the mode needs the vector."""
+    if mode == "lexical" or not query:
+        return None, None
+    try:
+        return embed(query), None
+    except Exception as failure:  # whatever the embedding service raises
+        error = f"{type(failure).__name__}: {failure}"[:300]
+        if mode == "vector":
+            raise RuntimeError(f"vector search is unavailable: {error}") from failure
+        return None, error
+
+
 def hybrid_search(
     items: DataFrame, vectors: DataFrame | None, *, key: str, text: str, query: str, query_vector: list[float] | None, mode: str = "hybrid",
+    title: str | None = None, published: str | None = None, where: Column | None = None,
     vector_key: str = "vec_id", vector: str = "embedding", top: int = 20, offset: int = 0,
 ) -> DataFrame:
-    """(key, lexical, vector, score): the best items; without an item's vector, or a query vector, that score is 0.
+    """(key, lexical, vector, score) of one request: the best items that meet `where`, newest first among equals, then by key.
 
-    A mode without weight on vectors, or no query vector, leaves the vector table unread.
+    Without an item's vector, or a query vector, that score is 0. A mode without weight on vectors, or no query vector,
+    leaves the vector table unread; `where` is applied before any score is computed.
     """
     lexical_weight, vector_weight = WEIGHTS[mode]
-    lexical = items.select(F.col(key).alias("key"), F.round(term_share(F.col(text), query_terms(query)), 6).alias("lexical"))
+    rows = items if where is None else items.where(where)
+    share = term_share(F.col(text), query_terms(query)) if lexical_weight else F.lit(0.0)
+    if title is not None and lexical_weight and query:
+        share = F.greatest(share, jaccard(trigrams(F.lower(F.coalesce(F.col(title), F.lit("")))), trigrams(F.lit(query.lower()))))
+    newest = F.col(published) if published else F.lit(None).cast("int")
+    lexical = rows.select(F.col(key).alias("key"), newest.alias("published"), F.round(share, 6).alias("lexical"))
     if vectors is None or query_vector is None or vector_weight == 0:
         scored = lexical.withColumn("vector", F.lit(0.0))
     else:
         q = F.array(*[F.lit(float(x)) for x in query_vector])
         near = vectors.select(F.col(vector_key).alias("key"), (F.lit(1.0) - cosine_distance(F.col(vector), q)).alias("v")).groupBy("key").agg(F.max("v").alias("v"))
-        scored = lexical.join(near, "key", "left").select("key", "lexical", F.round(F.coalesce("v", F.lit(0.0)), 6).alias("vector"))
-    score = F.round(F.col("lexical") * lexical_weight + F.col("vector") * vector_weight, 6)
-    return scored.withColumn("score", score).orderBy(F.col("score").desc(), "key").offset(offset).limit(top).withColumnRenamed("key", key)
+        scored = lexical.join(near, "key", "left").select("key", "published", "lexical", F.round(F.coalesce("v", F.lit(0.0)), 6).alias("vector"))
+    score = F.round(F.col("lexical") * lexical_weight + F.col("vector") * vector_weight, 8)
+    best = scored.withColumn("score", score).orderBy(F.col("score").desc(), F.col("published").desc_nulls_first(), "key").offset(offset).limit(top)
+    return best.select(F.col("key").alias(key), "lexical", "vector", "score")
+
+
+def search_all(
+    queries: DataFrame, items: DataFrame, vectors: DataFrame, *, key: str, text: str, mode: str = "hybrid", vector_key: str = "vec_id",
+    vector: str = "embedding", top: int = 20, terms: int = 64, block_bytes: int = BLOCK_BYTES // 4,
+) -> DataFrame:
+    """(q_id, key, lexical, vector, score): the `top` items of each of many queries (q_id, query, vector), ties by key.
+
+    Each item's tokens are split once for a block of queries and compared to all of them in Arrow batches; a task keeps
+    the `top` of each query, and these are ranked over all tasks. A query counts its `terms` first distinct tokens. An
+    item without vectors, or a query without one, has vector score 0; of several vectors of an item the best counts.
+    """
+    sc, (lexical_weight, vector_weight) = queries.sparkSession.sparkContext, WEIGHTS[mode]
+    hashed = lambda x: F.transform(F.array_distinct(tokens(x)), lambda t: F.xxhash64(t))
+    asked = queries.select("q_id", F.slice(hashed(F.col("query")), 1, terms).alias("terms"), F.col("vector").alias("v"))
+    own = vectors.groupBy(F.col(vector_key).alias("own")).agg(F.collect_list(vector).alias("v"))
+    rows = items.select(F.col(key).alias("id"), hashed(F.col(text)).alias("terms")).join(own, F.col("id") == F.col("own"), "left").select("id", "terms", "v")
+    out = items.select(F.col(key).alias("q_id"), key, *[F.lit(0.0).alias(c) for c in ("lexical", "vector", "score")]).where("false")
+    for block in query_blocks(asked, 4096, block_bytes=block_bytes):
+        flat = np.concatenate([np.array(r["terms"], np.int64) for r in block])
+        who = np.repeat(np.arange(len(block)), [len(r["terms"]) for r in block])
+        order = np.argsort(flat, kind="stable")
+        known, first = np.unique(flat[order], return_index=True)
+        n = np.maximum(np.bincount(who, minlength=len(block)), 1)
+        shared = sc.broadcast((np.array([r["q_id"] for r in block]), known, np.r_[first, len(flat)], who[order], n, unit([r["v"] for r in block])))
+
+        def best(batches, shared=shared):
+            q_ids, known, first, who, n, q = shared.value
+            for whole in batches:
+                for start in range(0, len(whole), step := max(1, (1 << 21) // len(q_ids))):
+                    batch = whole.iloc[start : start + step]
+                    keys, counts = batch["id"].to_numpy(), batch["terms"].map(len).to_numpy()
+                    own = np.concatenate([np.asarray(t, np.int64) for t in batch["terms"]])
+                    at = np.searchsorted(known, own)
+                    hit = np.flatnonzero((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == own)) if len(known) else own[:0]
+                    # Every query that has a token that the item has, once for each such token.
+                    at, item = at[hit], np.repeat(np.arange(len(keys)), counts)[hit]
+                    times = first[at + 1] - first[at]
+                    place = np.arange(times.sum()) + np.repeat(first[at] - (np.cumsum(times) - times), times)
+                    shares = np.bincount(who[place] * len(keys) + np.repeat(item, times), minlength=len(q_ids) * len(keys)).reshape(len(q_ids), -1)
+                    lexical, vector = np.round(shares / n[:, None], 6), np.zeros((len(q_ids), len(keys)))
+                    for i in np.flatnonzero(batch["v"].notna().to_numpy()) if q.shape[1] else ():
+                        vector[:, i] = np.round((q @ unit(list(batch["v"].iloc[i])).T).max(axis=1), 6)
+                    score = np.round(lexical * lexical_weight + vector * vector_weight, 8)
+                    row, column = first_of_each(-score, keys, top)
+                    yield pd.DataFrame({"q_id": q_ids[row], key: keys[column], "lexical": lexical[row, column], "vector": vector[row, column], "score": score[row, column]})
+
+        out = out.unionByName(rows.mapInPandas(best, f"q_id long, {key} long, lexical double, vector double, score double"))
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("score").desc(), key))
+    return out.withColumn("__r", rank).where(F.col("__r") <= top).drop("__r")

@@ -5,39 +5,105 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions.vectors import cosine_distance
-from palimpsest.operators.retrieval import bm25, hybrid_search, query_terms, term_share, tokens
+from palimpsest.operators.predicates import exists_child
+from palimpsest.operators.retrieval import bm25, embedded, hybrid_search, query_terms, search_all, term_share, tokens
 from palimpsest.plans.registry import query, table
 
-_TERMS = query_terms("the and")
+#: A request in two of the documents' languages.
+_REQUEST = "The São größer"
+_TERMS = query_terms(_REQUEST)
+#: Distinct tokens of x in DuckDB.
+_TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> ''))"
 
-#: Hybrid score of every document in DuckDB, for the weights w0 and w1.
-_SCORES = """
+#: Lexical, vector and title score of every document for one request in DuckDB.
+_SCORES = f"""
 WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
-lex AS (SELECT doc_id, round(len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: t <> '')), ['the', 'and'])) / 2.0::DOUBLE, 6) AS lexical FROM documents),
+lex AS (SELECT doc_id, round(len(list_intersect({_TOKENS.format(x='text')}, [{', '.join(repr(t) for t in _TERMS)}])) / {len(_TERMS)}.0::DOUBLE, 6) AS lexical FROM documents),
 vec AS (SELECT vec_id, max(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[])) AS v FROM embeddings, q GROUP BY vec_id),
 s AS (SELECT doc_id, lexical, round(coalesce(v, 0.0), 6) AS vector FROM lex LEFT JOIN vec ON vec_id = doc_id)
 """
 
+#: The best 20 documents for each document whose id is divisible by 50, by its first 64 distinct tokens and its vector.
+_ALL = f"""
+WITH t AS (SELECT doc_id, text, {_TOKENS.format(x='text')} AS t FROM documents),
+o AS (SELECT doc_id AS q_id, tok, min(pos) AS pos FROM (
+  SELECT doc_id, unnest(w) AS tok, unnest(range(1, len(w) + 1)) AS pos FROM (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM documents WHERE doc_id % 50 = 0)) GROUP BY 1, 2),
+q AS (SELECT d.doc_id AS q_id, coalesce(list(tok) FILTER (WHERE tok IS NOT NULL), []) AS terms, any_value(embedding) AS q
+  FROM documents d LEFT JOIN (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY pos) <= 64) o ON o.q_id = d.doc_id LEFT JOIN embeddings ON vec_id = d.doc_id WHERE d.doc_id % 50 = 0 GROUP BY 1),
+v AS (SELECT vec_id, embedding AS e FROM embeddings),
+s AS (SELECT q_id, doc_id, CASE WHEN len(terms) = 0 THEN 0.0 ELSE round(len(list_intersect(t, terms)) / len(terms)::DOUBLE, 6) END AS lexical,
+  round(coalesce(list_cosine_similarity(q::DOUBLE[], e::DOUBLE[]), 0.0), 6) AS vector FROM q, t LEFT JOIN v ON vec_id = doc_id),
+r AS (SELECT *, round(lexical * W0 + vector * W1, 8) AS score FROM s)
+SELECT q_id, doc_id, lexical, vector, score FROM r QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) <= 20
+"""
 
-def _search(spark, sf_dir, mode, top=20):
-    vectors = table(spark, sf_dir, "embeddings")
-    first = vectors.where("vec_id = 0").select("embedding").first()
-    return hybrid_search(table(spark, sf_dir, "documents"), vectors, key="doc_id", text="text", query="the and", query_vector=first["embedding"] if first else None, mode=mode, top=top)
+
+def _weighted(lexical, vector):
+    return _ALL.replace("W0", str(lexical)).replace("W1", str(vector))
+
+
+def _search_all(spark, sf_dir, mode):
+    docs, vectors = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "embeddings")
+    asked = docs.where("doc_id % 50 = 0").join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return search_all(asked.select(F.col("doc_id").alias("q_id"), F.col("text").alias("query"), F.col("embedding").alias("vector")), docs, vectors, key="doc_id", text="text", mode=mode)
 
 
-@query("RT-06_hybrid_search", _SCORES + "SELECT doc_id, lexical, vector, round(lexical * 0.45 + vector * 0.55, 6) AS score FROM s ORDER BY score DESC, doc_id LIMIT 20")
+@query("RT-06_hybrid_search", _weighted(0.45, 0.55))
 def hybrid(spark, sf_dir):
-    return _search(spark, sf_dir, "hybrid")
+    return _search_all(spark, sf_dir, "hybrid")
 
 
-@query("RT-04_lexical_mode", _SCORES + "SELECT doc_id, lexical, 0.0::DOUBLE AS vector, lexical AS score FROM s ORDER BY score DESC, doc_id LIMIT 20")
+@query("RT-04_lexical_mode", _weighted(1, 0))
 def lexical(spark, sf_dir):
-    return _search(spark, sf_dir, "lexical")
+    return _search_all(spark, sf_dir, "lexical")
 
 
-@query("RT-05_vector_mode", _SCORES + "SELECT doc_id, lexical, vector, vector AS score FROM s ORDER BY score DESC, doc_id LIMIT 20")
+@query("RT-05_vector_mode", _weighted(0, 1))
 def vector(spark, sf_dir):
-    return _search(spark, sf_dir, "vector")
+    return _search_all(spark, sf_dir, "vector")
+
+
+def _request(spark, sf_dir, **options):
+    vectors = table(spark, sf_dir, "embeddings")
+    first = vectors.where("vec_id = 0").select("embedding").first()
+    return hybrid_search(
+        exists_child(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "of"), "doc_id", "of", F.col("quality") == 1), vectors,
+        key="doc_id", text="text", title="source", published="n_chars", query=_REQUEST,
+        where=F.col("lang").isin("en", "de", "fr", "es", "pt") | (F.col("n_chars") >= 100), **{"query_vector": first["embedding"] if first else None} | options)
+
+
+def _request_sql(w0, w1, vector, limit, extra=""):
+    from palimpsest.plans.joins import GRAMS
+
+    q = f"'{_REQUEST.lower()}'"
+    return _SCORES + f""", g AS (SELECT doc_id, n_chars, {GRAMS.format(x="lower(coalesce(source, ''))")} AS a, {GRAMS.format(x=q)} AS b FROM documents
+  WHERE (lang IN ('en', 'de', 'fr', 'es', 'pt') OR n_chars >= 100) AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+f AS (SELECT doc_id, n_chars, round(greatest(lexical, CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END), 6) AS lexical, {vector} AS vector FROM g JOIN s USING (doc_id))
+SELECT doc_id, lexical, vector, round(lexical * {w0} + vector * {w1}, 8) AS score{extra} FROM f ORDER BY score DESC, n_chars DESC NULLS FIRST, doc_id {limit}"""
+
+
+@query("RT-06_filtered_search", _request_sql(0.45, 0.55, "vector", "LIMIT 20 OFFSET 5"))
+def filtered(spark, sf_dir):
+    return _request(spark, sf_dir, offset=5)
+
+
+@query("RT-07_degraded_search", _request_sql(0.45, 0.55, "0.0::DOUBLE", "LIMIT 20", ", 'ConnectionError: no embedding service' AS vector_error"))
+def degraded(spark, sf_dir):
+    def embed(text):
+        raise ConnectionError("no embedding service")
+
+    vector, error = embedded(embed, _REQUEST, "hybrid")
+    return _request(spark, sf_dir, query_vector=vector).withColumn("vector_error", F.lit(error))
+
+
+@query("SO-09_vector_top", """
+SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS distance FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY distance, vec_id LIMIT 30""")
+def vector_top(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    q = vectors.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    near = vectors.crossJoin(F.broadcast(q)).select("vec_id", F.round(cosine_distance(F.col("embedding"), F.col("q")), 6).alias("distance"))
+    return near.orderBy("distance", "vec_id").limit(30)
 
 
 @query("RT-01_chunk_text", "SELECT p_partkey, concat_ws(chr(10), p_name, nullif(p_brand, ''), nullif(p_type, 'PROMO')) AS chunk FROM part")
@@ -46,15 +112,15 @@ def chunk_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("\n", *parts).alias("chunk"))
 
 
-@query("RT-02_token_postings", """
-SELECT token, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS token FROM documents) WHERE token <> '' GROUP BY token""")
+@query("RT-02_token_postings", r"""
+SELECT token, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS token FROM documents) WHERE token <> '' GROUP BY token""")
 def token_postings(spark, sf_dir):
     postings = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     return postings.groupBy("token").agg(F.count("*").alias("docs"))
 
 
-@query("RT-03_bm25", """
-WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents),
+@query("RT-03_bm25", r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents),
 f AS (SELECT doc_id, len(t) AS size, len(list_filter(t, lambda x: x = 'the')) AS f0, len(list_filter(t, lambda x: x = 'of')) AS f1 FROM t),
 s AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (WHERE f0 > 0) AS n0, count(*) FILTER (WHERE f1 > 0) AS n1 FROM f)
 SELECT doc_id, round(ln(1 + (n - n0 + 0.5) / (n0 + 0.5)) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * size / mean)) + ln(1 + (n - n1 + 0.5) / (n1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS score
