@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -54,18 +54,23 @@ def resolve(candidates: list[dict], directives: list[dict], pending: list[dict])
     return {"outcome": "resolved_explicit_update" if gone else "agreed", "selected": sinks[0], "notes": notes}
 
 
-def resolve_fields(candidates: DataFrame, directives: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """(scope, outcome, selected) for scopes of any shape, by grouped map: candidates (scope, key, value), directives
-    (scope, key, selected, superseded array, verified). A group is one field of one record."""
-    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.select(*scope).schema.fields)
+def resolve_fields(candidates: DataFrame, directives: DataFrame, scope: Sequence[str], pending: DataFrame | None = None) -> DataFrame:
+    """(scope, outcome, selected) for scopes of any shape, in batches of gathered fields: candidates (scope, key, value), directives
+    (scope, key, selected, superseded array, verified), pending amendments (scope, key, verified). A group is one field of
+    one record; a verified pending amendment leaves it unresolved, and one with pending amendments alone isn't stated."""
+    gather = lambda df, name, *fields: df.groupBy(*scope).agg(F.collect_list(F.struct(*fields)).alias(name))
+    fields = gather(candidates, "__c", "key", "value").join(gather(directives, "__d", "key", "selected", "superseded", "verified"), list(scope), "full")
+    if pending is not None:
+        fields = fields.join(gather(pending, "__p", "key", "verified"), list(scope), "full")
 
-    def run(c: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        found = resolve(c[["key", "value"]].to_dict("records"), [x | {"superseded": list(x["superseded"])} for x in d[["key", "selected", "superseded", "verified"]].to_dict("records")], [])
-        at = (c if len(c) else d)[list(scope)].iloc[0].tolist()
-        return pd.DataFrame([[*at, found["outcome"], found["selected"]]], columns=[*scope, "outcome", "selected"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            parts = [[[] if x is None else list(x) for x in rows[c]] if c in rows else [[]] * len(rows) for c in ("__c", "__d", "__p")]
+            found = [resolve(*group) for group in zip(*parts)]
+            yield rows[list(scope)].assign(outcome=[x["outcome"] for x in found], selected=[x["selected"] for x in found])
 
-    own = directives.select(*[F.col(c).alias(c) for c in directives.columns])  # columns apart from those of candidates
-    return candidates.groupBy(*scope).cogroup(own.groupBy(*scope)).applyInPandas(run, f"{names}, outcome string, selected string")
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.select(*scope).schema.fields)
+    return fields.mapInPandas(run, f"{names}, outcome string, selected string")
 
 
 def resolve_acyclic(candidates: DataFrame, superseded: DataFrame, scope: Sequence[str]) -> DataFrame:

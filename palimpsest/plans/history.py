@@ -108,9 +108,9 @@ def rate_limit(spark, sf_dir):
     return trailing_count(table(spark, sf_dir, "events"), ["user_id"], "ts", seconds=24 * 3600, name="recent").select("event_id", "recent")
 
 
-@query("SM-15_usage_by_minute", "SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SM-15_usage_by_minute", "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY 1, 2")
 def usage_by_minute(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("n"))
 
 
 @query("SM-16_idempotent_requests", "SELECT DISTINCT ON (user_id, event_type) user_id, event_type, event_id FROM events ORDER BY user_id, event_type, ts, event_id")
@@ -190,9 +190,9 @@ def upsert_query(spark, sf_dir):
     return upsert(best(orders.where("y < 1996")), best(orders.where("y >= 1996")), ["k"], {"v": lambda old, new: F.coalesce(new, old)}).select("k", "v", "existed")
 
 
-@query("SNK-04_insert_absent", "SELECT DISTINCT user_id AS k FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders)")
+@query("SNK-04_insert_absent", "SELECT DISTINCT user_id AS k FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def insert_absent_query(spark, sf_dir):
-    return insert_absent(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "events").select(F.col("user_id").alias("k")), ["k"])
+    return insert_absent(table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "events").select(F.col("user_id").alias("k")), ["k"])
 
 
 @query("SNK-05_conditional_upsert", """

@@ -160,12 +160,25 @@ def resolution_by_joins(spark, sf_dir):
     return resolution.resolve_acyclic(c, superseded, ["l_orderkey"])
 
 
+def _directives(c):
+    others = c.where("key <> 'R'").groupBy("l_orderkey").agg(F.collect_set("key").alias("superseded"))
+    return c.where("key = 'R'").join(others, "l_orderkey").select("l_orderkey", F.lit("d1").alias("key"), F.lit("R").alias("selected"), "superseded", F.lit(True).alias("verified"))
+
+
 @query("DM-15_resolution_grouped", _DM15)
 def resolution_grouped(spark, sf_dir):
     c = _candidates(spark, sf_dir)
-    others = c.where("key <> 'R'").groupBy("l_orderkey").agg(F.collect_set("key").alias("superseded"))
-    directives = c.where("key = 'R'").join(others, "l_orderkey").select("l_orderkey", F.lit("d1").alias("key"), F.lit("R").alias("selected"), "superseded", F.lit(True).alias("verified"))
-    return resolution.resolve_fields(c, directives, ["l_orderkey"])
+    return resolution.resolve_fields(c, _directives(c), ["l_orderkey"])
+
+
+@query("DM-15_pending_amendments", f"""
+SELECT o_orderkey AS l_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'unresolved' ELSE coalesce(outcome, 'not_stated') END AS outcome, CASE WHEN o_orderpriority <> '1-URGENT' THEN selected END AS selected
+FROM orders LEFT JOIN ({_DM15}) x ON x.l_orderkey = o_orderkey WHERE x.l_orderkey IS NOT NULL OR o_orderpriority IN ('1-URGENT', '2-HIGH')""")
+def pending_amendments(spark, sf_dir):
+    c = _candidates(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    pending = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.lit("p1").alias("key"), (F.col("o_orderpriority") == "1-URGENT").alias("verified"))
+    return resolution.resolve_fields(c, _directives(c), ["l_orderkey"], pending)
 
 
 @query("DM-17_window_paths", """
@@ -273,10 +286,10 @@ def unprocessed(spark, sf_dir):
     return docs.join(table(spark, sf_dir, "embeddings").where("label > 2").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
 
 
-@query("DM-32_missing_candidates", "SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) NOT IN (SELECT s_suppkey FROM supplier)")
+@query("DM-32_missing_candidates", "SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
 def missing_candidates(spark, sf_dir):
     k = table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("bigint").alias("k")).where("k IS NOT NULL").distinct()
-    return k.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), "k", "left_anti")
+    return k.join(table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k")), "k", "left_anti")
 
 
 @query("DM-33_config_precedence", """

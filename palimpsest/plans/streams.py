@@ -8,9 +8,9 @@ from palimpsest.plans.registry import query
 from palimpsest.streaming.incremental import first_requests, missing_streaks, settle, stream_table, tumbling_counts
 
 
-@query("SM-15_stream_usage", "SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SM-15_stream_usage", "SELECT event_type, time_bucket(INTERVAL 1 MINUTE, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_usage(spark, sf_dir):
-    counted = tumbling_counts(stream_table(spark, sf_dir, "events"), keys=["event_type"], at="ts", width="10 minutes", late="30 days")
+    counted = tumbling_counts(stream_table(spark, sf_dir, "events"), keys=["event_type"], at="ts", width="1 minute", late="30 days")
     return settle(counted, ["event_type", "start"]).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
