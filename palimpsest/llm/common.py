@@ -7,6 +7,7 @@ Clashes. A result column replaces an input column of the same name, whatever its
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,13 +42,16 @@ def partitions(spark: SparkSession) -> int:
 def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder of the cluster (spark.checkpoint.dir) and read back.
 
-    Lineage ends there, all executors can read it, and it is compressed. Where no folder is set, as in tests, one of our
-    own is used. The folder's owner clears it.
+    Lineage ends there, all executors can read it, and it is compressed. Where no folder is set, one of our own is used
+    on a local master, as in tests; a cluster has to name one. The folder's owner clears it.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

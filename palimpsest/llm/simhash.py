@@ -33,7 +33,7 @@ from pyspark.sql.types import LongType, StructField
 from palimpsest.llm import scan
 from palimpsest.llm.common import SPACES, add_columns, col, cut, one_of_each, text_hash
 
-SHINGLE, MAX_BITS, PIVOTS, BUCKET = 3, 2, 16, 64
+SHINGLE, MAX_BITS, PIVOTS, BUCKET, SALTS = 3, 2, 16, 64, 16
 
 
 def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -113,11 +113,19 @@ def links(prints: DataFrame, *, max_bits: int = MAX_BITS, pivots: int = PIVOTS,
     return pairs.unionByName(through).distinct()
 
 
+def _salted(rows: DataFrame, facts: DataFrame, at: str, key: str) -> DataFrame:
+    """rows left-joined with facts where rows.at = facts.key; the rows of one key are dealt over `SALTS` tasks."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    each = facts.select("*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    return rows.withColumn("salt", salt).join(each.withColumnRenamed(key, at), [at, "salt"], "left").drop("salt")
+
+
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """(node, root): for every node of the edges (a, b) the least node that it is connected to.
 
     Each round, every node takes the least root among its neighbours' roots, and roots follow their own roots; rounds are
-    logarithmic in a component's diameter in practice, and end when nothing changes.
+    logarithmic in a component's diameter in practice, and end when nothing changes. A large component's nodes share a
+    root, so joins on roots are salted; those on nodes have a row for each link.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")))
     roots = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
@@ -126,9 +134,11 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         mine = roots.join(around, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("to"))
         # A root that some node can improve is improved too, so that whole trees move at once.
         hooks = mine.where("to < old").groupBy(F.col("old").alias("root")).agg(F.min("to").alias("hook"))
-        hooked = mine.join(hooks, mine["old"] == hooks["root"], "left").select("node", "old", F.least("to", F.coalesce("hook", "to")).alias("to"))
-        jump = roots.select(F.col("node").alias("to"), F.col("root").alias("next"))
-        moved = cut(hooked.join(jump, "to", "left").select("node", "old", F.least(F.col("to"), F.coalesce("next", "to")).alias("root")))
+        hooked = _salted(mine, hooks, "old", "root").select("node", "old", F.least("to", F.coalesce("hook", "to")).alias("to"))
+        # Only a node that is a root can be jumped from.
+        tops = roots.select("root").distinct().withColumnRenamed("root", "node")
+        jump = roots.join(tops, "node", "left_semi").select("node", F.col("root").alias("next"))
+        moved = cut(_salted(hooked, jump, "to", "node").select("node", "old", F.least(F.col("to"), F.coalesce("next", "to")).alias("root")))
         roots = moved.select("node", "root")
         if moved.where("old <> root").isEmpty():
             return roots
