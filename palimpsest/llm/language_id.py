@@ -6,6 +6,7 @@ a softmax. Embeddings and layer are trained together; for scoring both are folde
 
 Rejection. A confidence below `threshold` is rejected; the threshold is the quantile `reject_rate` of the confidence
 that the true language got on a calibration part of the sample which the weights never saw, after temperature scaling.
+The sample holds at most `SAMPLE` rows and `SAMPLE_BYTES` bytes of whole texts.
 Cases. A null text, or one without a letter, is `und` with score 0. With no training row every text is `und`.
 """
 
@@ -23,7 +24,7 @@ from palimpsest.llm.common import add_columns, col
 from palimpsest.llm.labels import sample_of
 
 BINS, WIDTH, GRAMS = 1 << 16, 12, (2, 4)
-SAMPLE = 3000
+SAMPLE, SAMPLE_BYTES = 3000, 6 << 20
 _LETTERS = bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 
 
@@ -63,10 +64,11 @@ class Model:
 
     def logits(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         bins, ends = subwords(data, bounds)
-        counts = np.maximum(np.diff(ends), 1)
-        out = np.empty((len(bounds) - 1, len(self.languages)))
-        for j in range(len(self.languages)):
-            out[:, j] = scan.sums(self.scores[:, j][bins], ends) / counts
+        counts = np.diff(ends)
+        out = np.zeros((len(bounds) - 1, len(self.languages)))
+        some = np.flatnonzero(counts > 0)
+        if len(some):
+            out[some] = np.add.reduceat(self.scores[bins], ends[some], axis=0, dtype=np.float64) / counts[some][:, None]
         return out + self.bias
 
 
@@ -127,12 +129,22 @@ def _rows_logits(model: Model, bins: np.ndarray, ends: np.ndarray, rows: np.ndar
     return np.array([model.scores[bins[ends[i] : ends[i + 1]]].mean(axis=0) for i in rows]) + model.bias
 
 
-def fit_language_model(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, **options) -> Model:
-    """A model from at most `sample` documents with a language, outside the held-out fold."""
-    rows = sorted(sample_of(docs, col(lang).cast("string"), text=text, doc_id=doc_id, limit=sample, max_bytes=4096))
+def fit_language_model(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, **options) -> Model:
+    """A model from at most `sample` documents with a language, outside the held-out fold, of at most `sample_bytes` together."""
+    rows = sorted(sample_of(docs, col(lang).cast("string"), text=text, doc_id=doc_id, limit=sample, budget=sample_bytes))
     return fit([t for t, _ in rows], [v for _, v in rows], **options)
 
 
+def _has_letter(texts: pa.Array) -> np.ndarray:
+    """True for the texts with a letter; only those without an ASCII letter are looked into by code points."""
+    data, bounds = scan.utf8(texts)
+    some = np.r_[0, np.cumsum(scan.class_table(_LETTERS[:52], True)[data])]
+    found = some[bounds[1:]] > some[bounds[:-1]]
+    for i in np.flatnonzero(~found & (np.diff(bounds) > 0)).tolist():
+        found[i] = any(map(str.isalpha, texts[i].as_py()))
+    return found
+
+
 def identify_language(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (the probability of lang_pred) and rejected (score below the calibrated threshold)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -142,7 +154,7 @@ def identify_language(docs: DataFrame, model: Model, *, text: str = "text") -> D
         m = shared.value
 
         def compute(texts: pa.Array) -> list[pa.Array]:
-            letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+            letters = _has_letter(texts)
             best, score = np.zeros(len(texts), int), np.zeros(len(texts))
             if m.languages:
                 for a, b, data, bounds in scan.blocks(texts):

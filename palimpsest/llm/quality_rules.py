@@ -1,9 +1,10 @@
 """Quality rules: fixed thresholds on counts of a document, then a hashed n-gram logistic regression.
 
 Base rules: `n_words` under `MIN_WORDS`, or more than half the words in three-word windows that recur in the text, fail.
-The model sees hashed words and byte 4-grams, each family as relative frequencies, in `BINS` weights. It is fitted on a
-bounded sample of labelled rows, calibrated by Platt scaling on a part it never saw, and scored in Arrow batches. A
-document is kept if it passes the base rules and its probability reaches `KEEP`.
+The model sees hashed words, pairs of neighbouring words and 4-grams of code points, each family as relative frequencies,
+in `BINS` weights. It is fitted on a sample of labelled rows (at most `SAMPLE` rows and `SAMPLE_BYTES` bytes of whole
+texts), calibrated by Platt scaling on a part it never saw, and scored in Arrow batches. A document is kept if it passes
+the base rules and its probability reaches `KEEP`.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Cases: a null or empty text has no words and fails; of equal lines the first is not a
 repeat; lines without a word are never repeats; with no training row, or one label only, the base rules decide alone.
@@ -23,7 +24,7 @@ from palimpsest.llm.common import SPACES, add_columns
 from palimpsest.llm.labels import sample_with
 
 BINS = 1 << 16
-SAMPLE = 6000
+SAMPLE, SAMPLE_BYTES = 6000, 12 << 20
 MIN_WORDS, MAX_REPEAT_PERCENT, KEEP = 50, 50, 0.3
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -56,10 +57,14 @@ def _repeated_lines(data: np.ndarray, bounds: np.ndarray, in_word: np.ndarray) -
     roll = scan.Rolling(scan.byte_values(0)[data])
     text = np.searchsorted(bounds, starts[full], "right") - 1
     h = roll.of(starts[full], ends[full]) + np.uint64(0x9E3779B97F4A7C15) * text.astype(np.uint64)
-    _, first = np.unique(h, return_index=True)
-    repeat = np.ones(len(full), bool)
-    repeat[first] = False
-    return np.bincount(text[repeat], minlength=len(bounds) - 1)
+    _, group, times = np.unique(h, return_inverse=True, return_counts=True)
+    # Lines of equal hash are compared by their bytes: a polynomial modulo 2**64 has collisions of long lines.
+    seen, repeats = set(), np.zeros(len(bounds) - 1, np.int64)
+    for i in np.flatnonzero(times[group] > 1).tolist():
+        line = (text[i], data[starts[full[i]] : ends[full[i]]].tobytes())
+        repeats[text[i]] += line in seen
+        seen.add(line)
+    return repeats
 
 
 def _repeated_words(words: scan.Words) -> np.ndarray:
@@ -75,17 +80,37 @@ def _repeated_words(words: scan.Words) -> np.ndarray:
     return scan.sums(np.cumsum(marked)[:-1] > 0, words.bounds)
 
 
-def features(words: scan.Words) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-    """For each family of n-grams: bins, and the bounds of each text's among them."""
-    half = np.uint64(BINS // 2 - 1)
-    of_words = (words.hashes() & half).astype(np.int64)
-    data, bounds = words.data.astype(np.uint64), words.text_bounds
-    n = max(len(data) - 3, 0)
-    code = (data[:n] << np.uint64(24)) | (data[1 : n + 1] << np.uint64(16)) | (data[2 : n + 2] << np.uint64(8)) | data[3 : n + 3]
-    of_chars = (((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) & half).astype(np.int64) + BINS // 2
-    # Grams that reach into the next text are not counted: a text's grams end three bytes before it does.
-    stops = np.minimum(np.maximum(bounds[1:] - 3, bounds[:-1]), n)
-    return [(of_words, words.bounds[:-1], words.bounds[1:]), (of_chars, np.minimum(bounds[:-1], n), stops)]
+def _code_points(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each code point (its bytes), and each text's bounds among them."""
+    first = (data & 0xC0) != 0x80
+    first[bounds[:-1][bounds[:-1] < len(data)]] = True
+    at = np.flatnonzero(first)
+    size = np.diff(np.r_[at, len(data)])
+    padded = np.r_[data, np.zeros(4, np.uint8)].astype(np.uint64)
+    code = padded[at]
+    for i in (1, 2, 3):
+        code |= np.where(size > i, padded[at + i], np.uint64(0)) << np.uint64(8 * i)
+    return code, np.searchsorted(at, bounds)
+
+
+def features(words: scan.Words) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each family of n-grams (words, pairs of words, 4-grams of code points): bins, and each text's bounds among them."""
+    quarter, half, odd = np.uint64(BINS // 4 - 1), np.uint64(BINS // 2 - 1), np.uint64(0x9E3779B97F4A7C15)
+    h, b = words.hashes(), words.bounds
+    pairs = scan.mix(h[:-1] * odd + h[1:]) & quarter
+    code, at = _code_points(words.data, words.text_bounds)
+    n = max(len(code) - 3, 0)
+    gram = code[:n]
+    for i in (1, 2, 3):
+        gram = gram * odd + code[i : n + i]
+    # Grams that reach into the next text are not counted.
+    ends = lambda bounds, size, most: np.minimum(np.maximum(bounds[1:] - (size - 1), bounds[:-1]), most)
+    starts = lambda bounds, most: np.minimum(bounds[:-1], most)
+    return [
+        ((h & quarter).astype(np.int64), b[:-1], b[1:]),
+        (pairs.astype(np.int64) + BINS // 4, starts(b, len(pairs)), ends(b, 2, len(pairs))),
+        ((scan.mix(gram) & half).astype(np.int64) + BINS // 2, starts(at, n), ends(at, 4, n)),
+    ]
 
 
 @dataclass
@@ -98,7 +123,7 @@ class Model:
     def probability(self, words: scan.Words) -> np.ndarray:
         z = np.full(len(words.counts), self.bias)
         for bins, starts, stops in features(words):
-            total = np.r_[0.0, np.cumsum(self.weights[bins])]
+            total = np.r_[0.0, np.cumsum(self.weights[bins], dtype=np.float64)]
             z += (total[stops] - total[starts]) / np.maximum(stops - starts, 1)
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -50, 50)))
 
@@ -156,9 +181,9 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
     return float(b[0]), float(b[1])
 
 
-def fit_quality_rules(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, **options) -> Model | None:
-    """A model from at most `sample` labelled documents outside the held-out fold."""
-    rows = sorted(sample_with(docs, labels, "quality", text=text, doc_id=doc_id, limit=sample, max_bytes=4096))
+def fit_quality_rules(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, **options) -> Model | None:
+    """A model from at most `sample` labelled documents outside the held-out fold, of at most `sample_bytes` together."""
+    rows = sorted(sample_with(docs, labels, "quality", text=text, doc_id=doc_id, limit=sample, budget=sample_bytes))
     return fit([t for t, _ in rows], [int(v) for _, v in rows], **options)
 
 

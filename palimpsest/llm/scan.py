@@ -2,7 +2,9 @@
 
 All work on a whole block of texts at once; a word or window never crosses from one text to the next.
 Hashes are polynomials over 64-bit values modulo 2**64 with an odd base, so that the hash of any stretch comes from two
-prefix sums; `mix` then spreads the bits. Two bases give independent hashes.
+prefix sums; `mix` then spreads the bits. Two bases give independent hashes. Such a polynomial has collisions of stretches
+of 1,024 bytes or more whatever its base, so words of over `LONG` bytes are hashed by XXH64 instead; the windows and
+runs that the passage operators hash are shorter than that.
 """
 
 from __future__ import annotations
@@ -12,8 +14,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
+#: Bytes beyond which a word isn't hashed by a polynomial.
+LONG = 256
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -134,8 +139,11 @@ class Words:
         return len(self.starts)
 
     def hashes(self, which: int = 0, data: np.ndarray | None = None) -> np.ndarray:
-        roll = Rolling(byte_values(which)[self.data if data is None else data], which)
-        return roll.of(self.starts, self.ends)
+        data = self.data if data is None else data
+        h = Rolling(byte_values(which)[data], which).of(self.starts, self.ends)
+        for i in np.flatnonzero(self.ends - self.starts > LONG).tolist():
+            h[i] = xxhash.xxh64_intdigest(data[self.starts[i] : self.ends[i]].tobytes(), which)
+        return h
 
     def owner(self) -> np.ndarray:
         """For each word, its text."""
