@@ -1,4 +1,4 @@
-"""What the two passage operators share: finding documents with recurring phrases and bringing them into shards.
+"""What operators share that look for few rows among many: a slot table, and the passage operators' shards.
 
 Documents that cannot hold a repeat never leave their scan. The others are sent, once, to the shard that a hash of their
 id names. Which they are is told by a table of at most `SLOTS` hash slots, so that its broadcast has a fixed bound: with
@@ -7,17 +7,17 @@ very many documents most slots are taken and the filter passes more, but nothing
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import col, cut, text_hash
+from palimpsest.llm.common import col, cut, partitions, text_hash
 
-SLOTS = 1 << 23
+SLOTS, SHARD_BYTES = 1 << 23, 32 << 20
 NO_ID = (1 << 63) - 1
 
 
-def slot() -> Column:
-    return F.pmod(F.xxhash64("id", "th"), F.lit(SLOTS)).cast("int")
+def slot(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*(keys or ("id", "th"))), F.lit(SLOTS)).cast("int")
 
 
 def numbered(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -27,23 +27,42 @@ def numbered(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         F.coalesce(col(text), F.lit("")).alias("text"))
 
 
-def copies(rows: DataFrame) -> DataFrame:
-    """(id, th, least): of texts that several ids or rows have, each id, and the least id with that text."""
-    light = cut(rows.select("id", "th", F.xxhash64(F.lit(1), "text").alias("other")))
+def copies(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(id, th, least): of texts that several ids or rows have, each id, and the least id with that text; and all bytes."""
+    light = cut(rows.select("id", "th", F.xxhash64(F.lit(1), "text").alias("other"), F.octet_length("text").cast("long").alias("size")))
     # The groups are cut, so that the join is one of two exchanges of its own, in which a group of many copies is split.
     groups = cut(light.groupBy("th", "other").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"))
-    return cut(light.join(groups, ["th", "other"]).select("id", "th", "least").distinct())
+    same = cut(light.join(groups, ["th", "other"]).select("id", "th", "least").distinct())
+    return same, light.agg(F.sum("size")).first()[0] or 0
+
+
+def shard_count(spark: SparkSession, size: int) -> int:
+    """Shards for texts of `size` bytes: of `SHARD_BYTES` at most, and one for each partition of a shuffle at least.
+
+    A task works on its shards one after another, so its memory follows a shard, not the number of partitions.
+    """
+    return max(partitions(spark), -(-size // SHARD_BYTES))
+
+
+def marked(rows: DataFrame, wanted: DataFrame, at: Column) -> tuple[DataFrame, Column]:
+    """rows with the bits of their slot's word, and whether a row of `wanted` is in the same slot."""
+    bit = F.expr("shiftleft(1L, CAST(__slot % 64 AS INT))")
+    word = F.floor(F.col("__slot") / 64).cast("int")
+    taken = cut(wanted.select(at.alias("__slot")).groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits")))
+    found = rows.withColumn("__slot", at).withColumn("__word", word).join(F.broadcast(taken), "__word", "left")
+    return found, F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
 
 
 def in_slots(rows: DataFrame, wanted: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     """(rows in a slot of `wanted`, with their shard; the other rows)."""
-    bit = F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")
-    word = F.floor(F.col("slot") / 64).cast("int")
-    taken = cut(wanted.select(slot().alias("slot")).groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")))
-    marked = rows.withColumn("slot", slot()).withColumn("word", word).join(F.broadcast(taken), "word", "left")
-    hit = F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))
-    columns = rows.columns
-    return marked.where(hit).select(*columns, shard(shards).alias("shard")), marked.where(~hit).select(*columns)
+    found, hit = marked(rows, wanted, slot())
+    return found.where(hit).select(*rows.columns, shard(shards).alias("shard")), found.where(~hit).select(*rows.columns)
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows with keys that `wanted` has, and a few others: those in one slot with such a key. Nothing is shuffled."""
+    found, hit = marked(rows, wanted, slot(*keys))
+    return found.where(hit).select(*rows.columns)
 
 
 def shard(shards: int) -> Column:

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import scan
-from palimpsest.llm.common import SPACES, cut, partitions, small_batches
-from palimpsest.llm.routing import NO_ID, copies, in_slots, numbered, shard
+from palimpsest.llm.common import SPACES, cut, small_batches
+from palimpsest.llm.routing import NO_ID, copies, in_slots, numbered, shard, shard_count
 
 N, K = 50, 20
 _OUT = "id long, th long, n_words long, n_removed long, kept_text string"
@@ -194,9 +194,9 @@ def _untouched(rows: DataFrame) -> DataFrame:
 
 def remove_repeated_windows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int = N, k: int = K) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) for each row of docs; kept words are joined by one space."""
-    shards = partitions(docs.sparkSession)
     rows = numbered(docs, text, doc_id)
-    same = copies(rows)
+    same, size = copies(rows)
+    shards = shard_count(docs.sparkSession, size)
     later = same.where("id > least").select("id", "th")
     every = cut(phrases(rows, n, k))
     recurring = every.groupBy("phrase").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("phrase")

@@ -7,10 +7,12 @@ same document too; overlaps count, and strings are judged on the input, not on w
    distance. Only phrases that occur twice can lie in a repeat.
 2. Segments. An occurrence of such a phrase, with the bytes around it that its strings reach, is a segment: up to n - k
    bytes, the phrase as one marker, up to n - k bytes. Equal segments are counted and inserted once.
-3. Construction. Segments are dealt by phrase, so all occurrences of a string meet. Each shard builds the transform and
-   the common prefixes of its segments column by column (module bwt), through sequential files. A string is repeated if
-   the suffix that starts with it shares n - k + 1 symbols (the marker stands for k bytes) with a neighbour, or if its
-   segment was counted twice.
+3. Construction. Segments are dealt by phrase, so all occurrences of a string meet. A phrase of more than `CROWD` segments
+   is dealt over many tasks, twice: a string has half of n - k bytes before its phrase or as many behind it, so once by
+   the bytes right before the phrase, for the former strings, and once by those right behind it, for the latter. Each
+   task builds the transform and the common prefixes of its segments column by column (module bwt), through files, in
+   collections of about `SYMBOLS` bytes of whole groups. A string is repeated if the suffix that starts with it shares
+   n - k + 1 symbols (the marker stands for k bytes) with a neighbour, or if its segment was counted twice.
 4. Marking. Repeated strings go back to the shards of the documents that hold them.
 
 Copies of a text are settled by the text's hash: all lose every byte if they have `n`.
@@ -27,10 +29,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import scan
 from palimpsest.llm.bwt import Collection
-from palimpsest.llm.common import cut, partitions, small_batches
-from palimpsest.llm.routing import NO_ID, copies, in_slots, numbered, shard
+from palimpsest.llm.common import cut, small_batches
+from palimpsest.llm.routing import NO_ID, copies, in_slots, marked, numbered, shard, shard_count, slot
 
-N, K = 400, 300
+N, K, CROWD, SYMBOLS = 400, 300, 256, 1 << 22
 _SCHEMA = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 _OUT = "id long, th long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -136,26 +138,32 @@ def _judge(n: int, k: int):
     """For a shard's segments: (phrase, run, first, last) stretches of repeated strings, by their start within the run."""
 
     def run(key, table):
-        phrase, runs = _longs(table, "phrase"), _longs(table, "run")
+        phrase, runs, group, side = (_longs(table, c) for c in ("phrase", "run", "group", "side"))
         many = table.column("many").to_numpy()
         left, right = table.column("left").to_pylist(), table.column("right").to_pylist()
         sizes = np.array([len(x) for x in left], np.int64)
         strings = sizes + np.array([len(x) for x in right], np.int64) - (n - k) + 1
         # A segment that was counted twice repeats whole; one whose strings' hashes are all its own can't repeat.
-        seg, start = _recurring(left, right, phrase, many, strings, n - k)
         live = np.zeros(len(left), bool)
-        live[seg] = True
+        live[_recurring(left, right, group, strings, n - k)] = True
+        s, at = [np.repeat(np.flatnonzero(many), strings[many])], [scan.spread(np.zeros(many.sum(), np.int64), strings[many] - 1)[0]]
         chosen = np.flatnonzero(live)
-        places = np.repeat(np.flatnonzero(many), strings[many]), np.concatenate([np.zeros(0, np.int64), *[np.arange(c) for c in strings[many].tolist()]])
-        if len(chosen) and not many[chosen].all():
-            groups = np.unique(phrase[chosen], return_inverse=True)[1]
-            built = Collection([left[i] for i in chosen], [right[i] for i in chosen], groups)
-            s, back = built.repeated(n - k + 1)
-            s = chosen[s]
-            fresh = ~many[s]
-            places = np.r_[places[0], s[fresh]], np.r_[places[1], (sizes[s] - back)[fresh]]
-        order = np.lexsort(places[::-1])
-        s, at = places[0][order], places[1][order]
+        chosen = chosen[np.argsort(group[chosen], kind="stable")]
+        for some in _collections(chosen, group, strings + 2 * (n - k)):
+            if not many[some].all():
+                built = Collection([left[i] for i in some], [right[i] for i in some], np.unique(group[some], return_inverse=True)[1])
+                found, back = built.repeated(n - k + 1)
+                found, back = some[found], back
+                fresh = ~many[found]
+                s.append(found[fresh])
+                at.append((sizes[found] - back)[fresh])
+        s, at = np.concatenate(s), np.concatenate(at)
+        # What is dealt twice decides on half of its strings each time.
+        before = sizes[s] - at >= (n - k) // 2
+        mine = (side[s] == 0) | ((side[s] == 1) == before)
+        s, at = s[mine], at[mine]
+        order = np.lexsort((at, s))
+        s, at = s[order], at[order]
         turn = np.r_[True, (np.diff(s) != 0) | (np.diff(at) != 1)][: len(s)]
         first = np.flatnonzero(turn)
         last = np.r_[first[1:], len(s)][: len(first)] - 1
@@ -164,18 +172,30 @@ def _judge(n: int, k: int):
     return run
 
 
-def _recurring(left, right, phrase, many, strings, side):
-    """(segment, start) of strings whose hash another string of the same phrase has."""
+def _collections(chosen: np.ndarray, group: np.ndarray, sizes: np.ndarray):
+    """Parts of chosen, in order of their groups, of about SYMBOLS bytes: whole groups, one at least."""
+    turn = np.flatnonzero(np.r_[True, np.diff(group[chosen]) != 0][: len(chosen)])
+    total = np.r_[0, np.cumsum(sizes[chosen])]
+    at = 0
+    while at < len(chosen):
+        ends = np.r_[turn[turn > at], len(chosen)]
+        fits = ends[total[ends] - total[at] <= SYMBOLS]
+        end = int(fits[-1] if len(fits) else ends[0])
+        yield chosen[at:end]
+        at = end
+
+
+def _recurring(left, right, group, strings, side):
+    """Segments with a string whose hash another string of the same group has."""
     joined = b"".join(x + b"\xff" + y for x, y in zip(left, right))
     data = np.frombuffer(joined, np.uint8)
     begin = np.cumsum([0] + [len(x) + len(y) + 1 for x, y in zip(left, right)])[:-1].astype(np.int64)
     if not len(begin):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     starts, seg = scan.spread(begin, begin + strings - 1)
-    h = scan.Rolling(scan.byte_values(0)[data]).of(starts, starts + side + 1) + scan.mix(phrase.view(np.uint64))[seg]
-    _, group, times = np.unique(h, return_inverse=True, return_counts=True)
-    keep = times[group] > 1
-    return seg[keep], (starts - begin[seg])[keep]
+    h = scan.Rolling(scan.byte_values(0)[data]).of(starts, starts + side + 1) + scan.mix(group.view(np.uint64))[seg]
+    _, where, times = np.unique(h, return_inverse=True, return_counts=True)
+    return seg[times[where] > 1]
 
 
 def _remover(n: int, k: int):
@@ -234,13 +254,23 @@ def _untouched(rows: DataFrame) -> DataFrame:
     return rows.select("id", "th", "text").mapInArrow(run, _OUT)
 
 
+def _dealt(segments: DataFrame, crowded: DataFrame, half: int, side: int) -> DataFrame:
+    """segments with group and side: 0 for the phrase's own group, 1 and 2 for the bytes before and behind a crowded phrase."""
+    found, hit = marked(segments, crowded, slot("phrase"))
+    deal = lambda at, group: F.struct(F.lit(at).alias("side"), group.alias("group"))
+    before = F.when(F.octet_length("left") >= half, deal(1, F.xxhash64(F.lit(1), "phrase", F.substring("left", -half, half))))
+    behind = F.when(F.octet_length("right") > side - half, deal(2, F.xxhash64(F.lit(2), "phrase", F.substring("right", 1, side - half))))
+    ways = F.when(hit, F.array_compact(F.array(before, behind))).otherwise(F.array(deal(0, F.col("phrase"))))
+    return found.select(*segments.columns, F.explode(ways).alias("way")).select(*segments.columns, "way.side", "way.group")
+
+
 def remove_repeated_strings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int = N, k: int = K) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of docs."""
     if not 0 < k < n:
         raise ValueError("k has to be shorter than n")
-    shards = partitions(docs.sparkSession)
     rows = numbered(docs, text, doc_id)
-    same = copies(rows)
+    same, size = copies(rows)
+    shards = shard_count(docs.sparkSession, size)
     copied, later = same.select("id", "th"), same.where("id > least").select("id", "th")
     every = cut(phrases(rows, n, k))
     recurring = every.groupBy("phrase").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.max("times").alias("t")).where("a <> b OR t > 1").select("phrase")
@@ -254,7 +284,8 @@ def remove_repeated_strings(docs: DataFrame, *, text: str = "text", doc_id: str
     distinct = counted.groupBy("phrase", "run").agg(F.sum("times").alias("times"), F.min("shard").alias("shard"))
     provided = distinct.select("shard", "phrase", "run", (F.col("times") > 1).alias("many"))
     segments = docs_in.cogroup(provided.groupBy("shard")).applyInArrow(_cutter(n, k), "phrase long, run long, many boolean, left binary, right binary")
-    dealt = segments.groupBy(F.pmod(F.hash("phrase"), F.lit(shards)).alias("part"))
+    crowded = distinct.groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+    dealt = _dealt(segments, crowded, (n - k) // 2, n - k).groupBy(F.pmod(F.hash("group"), F.lit(shards)).alias("part"))
     repeated = dealt.applyInArrow(_judge(n, k), "phrase long, run long, first int, last int")
     marks = counted.join(repeated, ["phrase", "run"]).select("shard", "phrase", "run", "first", "last", F.lit(0).alias("kind"))
     whole = copied.select(shard(shards).alias("shard"), F.col("id").alias("phrase"), F.col("th").alias("run"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(1).alias("kind"))
