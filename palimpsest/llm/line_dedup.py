@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import col, cut, text_hash, without
+from palimpsest.llm.routing import maybe_in
 
 MIN_SITES, MARGIN, LG_REGISTERS = 8, 0.25, 12
 
@@ -30,24 +31,28 @@ def _keyed(docs: DataFrame, text: str, site: str, doc_id: str) -> DataFrame:
     return rows.where(line != "").select("id", "th", "site", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
 
 
-def spread_lines(docs: DataFrame, *, text: str = "text", site: str = "source", doc_id: str = "doc_id", min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
+def spread_lines(docs: DataFrame, *, text: str = "text", site: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
     """(h1, h2, first): keys of lines on min_sites sites or more, and the document that keeps the line."""
-    lines = _keyed(docs, text, site, doc_id)
+    return _spread(_keyed(docs, text, site, doc_id), **options)
+
+
+def _spread(lines: DataFrame, *, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th"))
     sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_REGISTERS).alias("sites"), first.alias("first"))
     guessed = cut(sketched.select("h1", "h2", "first", F.hll_sketch_estimate("sites").alias("n")).where(F.col("n") >= min_sites * (1 - margin)))
-    near = guessed.where(F.col("n") <= min_sites * (1 + margin))
-    pairs = lines.where("site IS NOT NULL").select("h1", "h2", "site").distinct()
-    exact = pairs.join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.first("first").alias("first"))
-    sure = guessed.where(F.col("n") > min_sites * (1 + margin))
-    return cut(sure.select("h1", "h2", "first").unionByName(exact.where(F.col("n") >= min_sites).select("h1", "h2", "first")))
+    near, sure = (guessed.where(where) for where in (F.col("n") <= min_sites * (1 + margin), F.col("n") > min_sites * (1 + margin)))
+    # Sites are counted of the keys near the threshold only: other lines stay in their scan.
+    pairs = maybe_in(lines.where("site IS NOT NULL").select("h1", "h2", "site"), near, "h1", "h2").distinct()
+    exact = pairs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).join(near.select("h1", "h2", "first"), ["h1", "h2"])
+    return cut(sure.select("h1", "h2", "first").unionByName(exact.select("h1", "h2", "first")))
 
 
 def remove_spread_lines(docs: DataFrame, *, text: str = "text", site: str = "source", doc_id: str = "doc_id", prefix: str = "", **options) -> DataFrame:
     """docs with the text without spread lines, and n_lines and n_removed, their names after `prefix`."""
-    spread = spread_lines(docs, text=text, site=site, doc_id=doc_id, **options)
+    lines = _keyed(docs, text, site, doc_id)
+    spread = _spread(lines, **options)
     mine = F.col("first.id").eqNullSafe(F.col("id")) & F.col("first.th").eqNullSafe(F.col("th"))
-    gone = _keyed(docs, text, site, doc_id).join(spread, ["h1", "h2"]).where(~mine)
+    gone = maybe_in(lines.select("h1", "h2", "id", "th", "pos"), spread, "h1", "h2").join(spread, ["h1", "h2"]).where(~mine)
     gone = gone.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("__gone"))
     base = docs.select(*[col(c) for c in without(docs, f"{prefix}n_lines", f"{prefix}n_removed")])
     joined = base.join(gone, col(doc_id).eqNullSafe(F.col("__id")) & text_hash(text).eqNullSafe(F.col("__th")), "left")
