@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField
 
 from palimpsest.llm import scan
-from palimpsest.llm.common import SPACES, add_columns, col, held_out
+from palimpsest.llm.common import SPACES, add_columns, col, cut, held_out
+from palimpsest.llm.routing import maybe_in
 
 STATISTICS = (
     "words", "bytes_per_word", "word_length_spread", "symbols", "marks", "upper", "digits", "lines_per_word", "bars",
@@ -108,8 +109,11 @@ def fit_quality_classifier(docs: DataFrame, labels: DataFrame, *, text: str = "t
     """A model from all labelled documents outside the held-out fold; the sums are formed in the tasks and by Spark."""
     d = len(STATISTICS)
     known = labels.select(col(doc_id).alias("__id"), col(value).cast("int").alias("__label")).where("__id IS NOT NULL AND __label IN (0, 1)")
-    known = known.where(~held_out("__id")).groupBy("__id").agg(F.min("__label").alias("__label"))
-    stats = add_statistics(docs.select(col(doc_id).alias("__id"), col(text).alias("__body")).where(~held_out("__id")), text="__body")
+    known = cut(known.where(~held_out("__id")).groupBy("__id").agg(F.min("__label").alias("__label")))
+    # Only texts that may have a label are measured; they are found by a table of bounded size, so no text is shuffled.
+    key = F.col("__id").cast("string").alias("__key")
+    texts = docs.select(col(doc_id).alias("__id"), col(text).alias("__body")).where("__id IS NOT NULL").select("*", key)
+    stats = add_statistics(maybe_in(texts, known.select(key), "__key"), text="__body")
     rows = stats.select("__id", "statistics").join(known, "__id").select("__label", "statistics")
 
     def totals(batches):
