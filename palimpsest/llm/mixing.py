@@ -69,8 +69,9 @@ def mix(
     """(doc_id, __th, source, size, source_size, target, copies, taken) for each row of docs; __th tells texts of an id apart."""
     rows = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("__th"), col(source).cast("string").alias("source"), n_words(text).alias("size"))
     keys = (F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_last(), F.col("__th"))
-    # The cut fixes which partition a row is in: counts and ranks have to agree, also after a task is run again.
-    dealt = cut(rows.repartitionByRange(partitions(docs.sparkSession), *keys).withColumn("part", F.spark_partition_id()))
+    # The first cut keeps the range sampler from counting all words once more; the second fixes which partition a row is
+    # in: counts and ranks have to agree, also after a task is run again.
+    dealt = cut(cut(rows).repartitionByRange(partitions(docs.sparkSession), *keys).withColumn("part", F.spark_partition_id()))
     counts = cut(dealt.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     targets = source_targets(counts.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, max_times=max_times)
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
