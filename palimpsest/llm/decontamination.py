@@ -3,8 +3,10 @@
 A-Z are lower-cased; words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. An item's windows are its runs of `n` words; an
 item of fewer words, but not none, is one window. A hash hit is verified word by word before it counts.
 
-Size. Items are broadcast only in blocks of at most `block_bytes` of text. A larger benchmark is scanned block by block:
-each block is one more pass over the same rows, without a shuffle.
+Size. Items are broadcast only in blocks of about `block_bytes` of text, in arrays: the text once, and 17 bytes for each
+window, of which a byte of text gives half a one at most; so a block takes some 12 times its bytes and no more, in the
+driver and in each task. A larger benchmark is scanned block by block: each is one more pass over the same rows, without a
+shuffle.
 Cases. A null or empty text has no words, hence no hits; a null or wordless item matches nothing; items with equal
 windows are all named; repeated documents are judged each; items whose id is null are not named but their words count.
 """
@@ -23,7 +25,7 @@ from palimpsest.llm import scan
 from palimpsest.llm.common import add_columns, col, without
 
 WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 _FIELDS = [
     StructField("n_words", LongType()),
     StructField("hit_starts", ArrayType(IntegerType())),
@@ -39,38 +41,59 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> scan.Words:
 
 
 class WindowSet:
-    """Windows of benchmark items by length and hash."""
+    """Windows of benchmark items: for each length the hashes in rising order, with the place of each window's first word.
+
+    The items' words are kept once. Windows of equal words follow each other and have one number.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], n: int):
-        self.known: dict[int, dict[int, dict[bytes, list]]] = defaultdict(lambda: defaultdict(dict))
-        for item, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            words = _words(raw, np.array([0, len(raw)]))
-            if not len(words):
-                continue
-            size = min(n, len(words))
-            for at, h in enumerate(scan.Rolling(words.hashes()).windows(size).tolist()):
-                self.known[size][h].setdefault(_window(words, at, size), []).append(item)
-        self.known = {size: dict(found) for size, found in self.known.items()}
-        self.sorted = {size: np.array(sorted(found), np.uint64) for size, found in self.known.items()}
-        self.filters = {}
-        for size, hashes in self.sorted.items():
-            bits = max(16, int(len(hashes)).bit_length() + 5)
-            seen = np.zeros(1 << bits, bool)
-            seen[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
-            self.filters[size] = (np.uint64(64 - bits), seen)
+        self.names = [item for item, _ in items]
+        text = [(text or "").encode() for _, text in items]
+        bounds = np.r_[0, np.cumsum([len(x) for x in text])].astype(np.int64)
+        self.words = _words(np.frombuffer(b"".join(text), np.uint8), bounds)
+        self.owner = self.words.owner()
+        counts, roll = self.words.counts, scan.Rolling(self.words.hashes())
+        self.tables = {}
+        for size in np.unique(np.minimum(counts[counts > 0], n)).tolist():
+            fits = (counts >= n) if size == n else counts == size
+            at = np.flatnonzero(self.words.within(size) & fits[self.owner[: max(len(self.words) - size + 1, 0)]])
+            h = roll.of(at, at + size)
+            order = np.argsort(h, kind="stable")
+            self.tables[size] = self._grouped(h[order], at[order].astype(np.int32), size)
+
+    def _grouped(self, h: np.ndarray, at: np.ndarray, size: int):
+        """(hashes, places, whether a run of equal windows starts, filter); windows of one hash are put in order of their words."""
+        same = np.flatnonzero(np.r_[False, h[1:] == h[:-1]])
+        text = lambda p: _window(self.words, p, size)
+        turns = lambda: [i for i in same.tolist() if text(at[i]) != text(at[i - 1])]
+        for i in turns():
+            first, last = np.searchsorted(h, h[i], "left"), np.searchsorted(h, h[i], "right")
+            at[first:last] = sorted(at[first:last].tolist(), key=lambda p: (text(p), p))
+        starts = np.ones(len(h), bool)
+        starts[same] = False
+        starts[turns()] = True
+        bits = max(16, int(len(h)).bit_length() + 2)
+        seen = np.zeros(1 << bits, bool)
+        seen[(h >> np.uint64(64 - bits)).astype(np.int64)] = True
+        return h, at, starts, np.uint64(64 - bits), seen
 
     def hits(self, words: scan.Words, roll: scan.Rolling):
-        """(word, length, items) of every window of the block that an item holds too."""
-        for size, hashes in self.sorted.items():
+        """(word, length, items) of every window of the block that an item holds too, verified word by word."""
+        for size, (hashes, places, starts, shift, seen) in self.tables.items():
             h = roll.windows(size)
-            shift, seen = self.filters[size]
             maybe = np.flatnonzero(seen[(h >> shift).astype(np.int64)] & words.within(size)[: len(h)])
             near = np.searchsorted(hashes, h[maybe])
-            for at in maybe[hashes[np.minimum(near, len(hashes) - 1)] == h[maybe]].tolist():
-                items = self.known[size][int(h[at])].get(_window(words, at, size))
-                if items is not None:
-                    yield at, size, items
+            sure = hashes[np.minimum(near, len(hashes) - 1)] == h[maybe]
+            for at, first in zip(maybe[sure].tolist(), near[sure].tolist()):
+                mine = _window(words, at, size)
+                while first < len(hashes) and hashes[first] == h[at]:
+                    last = first + 1
+                    while last < len(hashes) and not starts[last]:
+                        last += 1
+                    if _window(self.words, places[first], size) == mine:
+                        yield at, size, [self.names[i] for i in np.unique(self.owner[places[first:last]])]
+                        break
+                    first = last
 
 
 def _window(words: scan.Words, at: int, size: int) -> bytes:
