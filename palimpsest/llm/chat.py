@@ -7,8 +7,8 @@ smoothed table for each feature, transitions one smoothed table; both come from
 transcripts whose roles are known. The most likely path (Viterbi, in logs) gives roles and turns; markers that agree with the role
 are stripped.
 
-Cases. A null, empty or blank transcript has no turns and renders to an empty string. Unknown roles in training rows are
-left out. Ties between paths go to the state that comes first in `STATES`. A transcript is worked on whole in one
+Cases. A null, empty or blank transcript has no turns and renders to an empty string. A training transcript with a role
+that isn't in `ROLES` is left out whole: its other turns would be learned with wrong neighbours. Ties between paths go to the state that comes first in `STATES`. A transcript is worked on whole in one
 task, as a document is.
 """
 

@@ -149,7 +149,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffix_dedup.remove_repeated_strings(docs)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_removed", "n_spans", "n_bytes", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
