@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions.dates import deadline_bucket
-from palimpsest.operators.predicates import array_member, bidirectional_prefix, exists_child, optional_equals, restricted_or_match, status_filter
+from palimpsest.operators.predicates import array_member, bidirectional_prefix, exists_child, optional_equals, question_filters, restricted_or_match, status_filter, with_explicit
 from palimpsest.plans.registry import query, table
 
 
@@ -109,6 +109,21 @@ def status_unrecognized(spark, sf_dir):
     return status_filter(table(spark, sf_dir, "orders"), "upcoming", {"cancelled": F.col("o_orderstatus") == "F"}).select("o_orderkey")
 
 
+#: Questions about customers, and the filters that each states by construction.
+_ASKED = "CASE c_custkey % 4 WHEN 0 THEN '서울특별시 거주 대학생 등록금' WHEN 1 THEN '경상남도에 사는 석사, ' || CAST(1 + c_custkey % 50 AS {s}) || '만원 이상' WHEN 2 THEN '소득 ' || CAST(c_custkey % 10 AS {s}) || '구간 이하 이번 달 신청 가능' ELSE c_name END"
+
+
+@query("FLT-14_question_filters", """
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'undergraduate' WHEN 1 THEN 'graduate' END AS student_type, CASE WHEN c_custkey % 4 = 0 THEN 'tuition' END AS benefit_type,
+  CASE WHEN c_custkey % 4 = 2 THEN 'active' END AS status, CASE WHEN c_custkey % 4 = 2 THEN DATE '1996-02-10' END AS end_from, CASE WHEN c_custkey % 4 = 2 THEN DATE '1996-02-29' END AS end_to,
+  CASE WHEN c_custkey % 4 = 1 THEN (1 + c_custkey % 50) * 10000 END AS min_amount, CASE WHEN c_custkey % 4 = 2 THEN c_custkey % 10 END AS income_bracket_max,
+  CASE WHEN c_acctbal > 5000 THEN '부산' WHEN c_custkey % 4 = 0 THEN '서울' WHEN c_custkey % 4 = 1 THEN '경남' END AS region FROM customer""")
+def question_filters_query(spark, sf_dir):
+    found = question_filters(F.expr(_ASKED.format(s="STRING")), F.lit("1996-02-10").cast("date"))
+    merged = with_explicit(found, {"region": F.when(F.col("c_acctbal") > 5000, F.lit("부산"))})
+    return table(spark, sf_dir, "customer").select("c_custkey", merged.alias("f")).select("c_custkey", "f.*")
+
+
 @query("FLT-15_optional_equals", "SELECT c_custkey FROM customer WHERE ('' = '' OR c_mktsegment = '') AND ('MACHINERY' = '' OR c_mktsegment = 'MACHINERY')")
 def optional_equals_query(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")

@@ -107,6 +107,29 @@ def trigram_blocking(spark, sf_dir):
     return found.select("left_key", "right_key", F.round("similarity", 6).alias("similarity"))
 
 
+#: Of the parts whose key is divisible by 50, the 50 nearest others by name or with an equal program, no supplier shared.
+CANDIDATES = f"""
+WITH s AS (SELECT p_partkey AS k, p_name || ' ' || p_type AS name, p_brand || p_size AS program FROM part),
+n AS (SELECT l_partkey AS k, list(DISTINCT l_suppkey) AS notices FROM lineitem WHERE l_quantity > 45 GROUP BY 1),
+g AS (SELECT s.*, {GRAMS.format(x='name')} AS g, coalesce(notices, []) AS notices FROM s LEFT JOIN n USING (k)),
+c AS (SELECT a.k AS subject, b.k AS candidate, len(list_intersect(a.g, b.g)) AS i, len(a.g) + len(b.g) AS t, a.program = b.program AS same FROM g a JOIN g b ON a.k % 50 = 0 AND a.k <> b.k AND len(list_intersect(a.notices, b.notices)) = 0)
+SELECT subject, candidate, i / (t - i)::DOUBLE AS similarity FROM c WHERE same OR i / (t - i)::DOUBLE >= 0.2
+QUALIFY row_number() OVER (PARTITION BY subject ORDER BY i / (t - i)::DOUBLE DESC, candidate) <= 50"""
+
+
+def candidates(spark, sf_dir):
+    from palimpsest.operators.similarity import identity_candidates
+
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("name"), F.concat("p_brand", F.col("p_size").cast("string")).alias("program"))
+    notices = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey")
+    return identity_candidates(parts, notices, key="p_partkey", name="name", program="program", notice="l_suppkey", asked=F.col("p_partkey") % 50 == 0)
+
+
+@query("JN-12_identity_candidates", f"SELECT subject, candidate, round(similarity, 6) AS similarity FROM ({CANDIDATES})")
+def identity_candidates_query(spark, sf_dir):
+    return candidates(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("JN-13_similarity_ranking", f"""
 WITH q AS (SELECT 'brand#11' AS q), s AS (
   SELECT p_partkey, lower(t) AS t FROM part, LATERAL (VALUES (p_brand), (p_type)) v(t)),

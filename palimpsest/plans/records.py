@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import identity, integrity, records, resolution
 from palimpsest.operators.latest import effective_overrides
+from palimpsest.plans.joins import CANDIDATES, candidates
 from palimpsest.plans.registry import query, table
 
 
@@ -42,16 +43,15 @@ def signatures(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "N")).groupBy("l_orderkey").agg(days.alias("deadlines"))
 
 
-@query("DM-03_proposals", """
-WITH p AS (SELECT a.o_orderkey AS subject, b.o_orderkey AS candidate, round(1 - abs(a.o_totalprice - b.o_totalprice) / greatest(a.o_totalprice, b.o_totalprice), 6) AS score
-  FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey),
-v AS (SELECT *, CASE WHEN score < 0.55 THEN 'different' WHEN score >= 0.82 THEN 'same' ELSE 'uncertain' END AS verdict FROM p)
-SELECT subject, candidate, verdict FROM v WHERE verdict IN ('same', 'uncertain') QUALIFY row_number() OVER (PARTITION BY subject ORDER BY CASE verdict WHEN 'same' THEN 0 ELSE 1 END, score DESC, candidate) <= 3""")
+@query("DM-03_proposals", f"""
+WITH p AS (SELECT subject, candidate, similarity, floor(a.p_retailprice)::BIGINT % 4 AS ly, floor(b.p_retailprice)::BIGINT % 4 AS ry FROM ({CANDIDATES}) JOIN part a ON a.p_partkey = subject JOIN part b ON b.p_partkey = candidate),
+v AS (SELECT *, CASE WHEN similarity < 0.55 THEN 'different' WHEN ly <> ry THEN 'different_edition' WHEN similarity >= 0.82 THEN 'same' ELSE 'uncertain' END AS verdict FROM p)
+SELECT subject, candidate, verdict FROM v WHERE verdict IN ('same', 'uncertain') QUALIFY row_number() OVER (PARTITION BY subject ORDER BY CASE verdict WHEN 'same' THEN 0 ELSE 1 END, similarity DESC, candidate) <= 3""")
 def proposals(spark, sf_dir):
-    side = lambda k, v: table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias(k), F.col("o_totalprice").alias(v))
-    pairs = side("subject", "a").join(side("candidate", "b"), "o_custkey").where("subject <> candidate")
-    scored = pairs.withColumn("score", F.round(1 - F.abs(F.col("a") - F.col("b")) / F.greatest("a", "b"), 6))
-    ruled = scored.withColumn("verdict", F.when(F.col("score") < identity.DIFFERENT, "different").when(F.col("score") >= identity.SAME, "same").otherwise("uncertain"))
+    year = (F.floor("p_retailprice") % 4).cast("string")
+    side = lambda key, p: table(spark, sf_dir, "part").select(F.col("p_partkey").alias(key), _signature(p, year, _strings(), F.lit(None).cast("date")))
+    pairs = candidates(spark, sf_dir).join(side("subject", "left"), "subject").join(side("candidate", "right"), "candidate")
+    ruled = pairs.select("subject", "candidate", F.col("similarity").alias("score"), identity.verdict(F.col("similarity"), "left", "right").alias("verdict"))
     return identity.proposals(ruled, subject="subject", candidate="candidate").select("subject", "candidate", "verdict")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, edition, text, vectors
@@ -78,10 +80,12 @@ def name_similarity(spark, sf_dir):
 @query("SC-09_quote_containment", r"""
 SELECT d.doc_id, contains(regexp_replace(d.text, '\s+', '', 'g'), regexp_replace(b.text, '\s+', '', 'g')) AS compact,
   contains(trim(regexp_replace(d.text, '\s+', ' ', 'g')), trim(regexp_replace(b.text, '\s+', ' ', 'g'))) AS collapsed
-FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40""")
+FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""")
 def quote_containment(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("block"), (F.col("doc_id") % 40).alias("item_id"))
-    both = docs.join(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "quote"), "item_id")
+    items = table(spark, sf_dir, "benchmark")
+    size = F.broadcast(items.agg(F.count("*").alias("size")))  # one row
+    docs = table(spark, sf_dir, "documents").crossJoin(size).select("doc_id", F.col("text").alias("block"), (F.col("doc_id") % F.col("size")).alias("item_id"))
+    both = docs.join(items.withColumnRenamed("text", "quote"), "item_id")
     b, q = F.col("block"), F.col("quote")
     return both.select("doc_id", text.contains_compact(b, q).alias("compact"), text.contains_collapsed(b, q).alias("collapsed"))
 
@@ -146,11 +150,66 @@ def fetch_rules(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", fetchable(F.col("url")).alias("allowed"))
 
 
-@query("SRC-06_sniff", "SELECT page_id, CASE WHEN starts_with(lower(ltrim(html)), '<!doctype html') OR starts_with(lower(ltrim(html)), '<html') THEN 'html' ELSE 'binary' END AS format FROM pages")
+#: Bytes put before a page's, as hex, and the format that the file then has.
+_WRAPPED = (
+    ("", None), ("255044462D", "pdf"), ("504B0304", "binary"), ("504B0304504B0506", "zip"),
+    ("504B0304" + "".join("504B0102" + "00" * 42 + n.encode().hex() for n in ("[Content_Types].xml", "word/document.xml")) + "504B0506", "docx"),
+    ("504B0304" + "".join("504B0102" + "00" * 42 + n.encode().hex() for n in ("mimetype", "Contents/content.hpf")) + "504B0506", "hwpx"),
+    ("D0CF11E0A1B11AE1", "ole"), ("D0CF11E0A1B11AE1" + "".join((n + "\0").encode("utf-16-le").hex() for n in ("FileHeader", "BodyText")), "hwp"),
+    ("D0CF11E0A1B11AE1" + "Book\0".encode("utf-16-le").hex(), "xls"),
+)
+
+
+@query("SRC-06_sniff", "SELECT page_id, CASE " + " ".join(f"WHEN page_id % {len(_WRAPPED)} = {i} THEN '{kind}'" for i, (_, kind) in enumerate(_WRAPPED) if kind) + """
+  WHEN starts_with(lower(ltrim(html)), '<!doctype html') OR starts_with(lower(ltrim(html)), '<html') THEN 'html' ELSE 'binary' END AS format FROM pages""")
 def sniff(spark, sf_dir):
     from palimpsest.sources.store import sniff as rule
 
-    return table(spark, sf_dir, "pages").select("page_id", rule(F.col("html").cast("binary"), F.lit(None).cast("string"))["format"].alias("format"))
+    before = F.element_at(F.array(*[F.unhex(F.lit(x)) for x, _ in _WRAPPED]), (F.col("page_id") % len(_WRAPPED) + 1).cast("int"))
+    content = F.concat(before, F.col("html").cast("binary"))
+    return table(spark, sf_dir, "pages").select("page_id", rule(content, F.lit(None).cast("string"))["format"].alias("format"))
+
+
+@query("SRC-05_object_read", """
+SELECT page_id, path, CASE WHEN page_id % 3 <> 0 THEN sha256(html) END AS sha FROM (
+  SELECT page_id, html, 'sha256/' || substr(sha256(html), 1, 2) || '/' || substr(sha256(html), 3, 2) || '/' || sha256(html) AS path FROM pages WHERE html IS NOT NULL)""")
+def object_read(spark, sf_dir):
+    from palimpsest.sources.store import get
+
+    pages, held = _stored_pages(spark, sf_dir)
+    found = get(held, pages.select("path").distinct()).where("found")
+    read = found.select(F.col("path").alias("p"), F.sha2("content", 256).alias("read"))
+    return pages.join(read, F.col("path") == F.col("p"), "left").select("page_id", "path", F.col("read").alias("sha"))
+
+
+def _stored_pages(spark, sf_dir):
+    """Pages with their store paths, and a store that was given two thirds of them."""
+    from palimpsest.operators.lineage import shared_folder
+    from palimpsest.sources.store import addressed, put
+
+    pages = table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", F.concat(F.col("html"), F.lit("")).cast("binary").alias("content"))
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    put(pages.where("page_id % 3 <> 0"), folder)
+    paths = addressed(pages).select("sha", "path")
+    return pages.withColumn("sha", F.sha2("content", 256)).join(paths, "sha"), spark.read.parquet(folder)
+
+
+@query("DM-30_object_integrity", """
+SELECT DISTINCT sha, CASE WHEN page_id % 3 = 0 THEN 'missing' ELSE 'size' END AS problem FROM (SELECT page_id, sha256(html) AS sha, strlen(html) AS n FROM pages WHERE html IS NOT NULL) WHERE page_id % 3 = 0 OR page_id % 7 = 0""")
+def object_integrity(spark, sf_dir):
+    from palimpsest.sources.store import verify
+
+    pages, held = _stored_pages(spark, sf_dir)
+    told = pages.select("sha", (F.octet_length("content") + F.when(F.col("page_id") % 7 == 0, 1).otherwise(0)).alias("size"))
+    return verify(held, told).select("sha", "problem")
+
+
+@query("SC-08_similarity", f"""
+WITH x AS (SELECT c_custkey, {GRAMS.format(x='lower(c_mktsegment)')} AS a, {GRAMS.format(x='lower(c_name)')} AS b FROM customer)
+SELECT c_custkey, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE, 6) AS similarity FROM x""")
+def similarity(spark, sf_dir):
+    score = text.jaccard(text.trigrams(F.lower("c_mktsegment")), text.trigrams(F.lower("c_name")))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(score, 6).alias("similarity"))
 
 
 @query("SC-21_application_status", """

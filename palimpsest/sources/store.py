@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +35,60 @@ def put(files: DataFrame, folder: str, content: str = "content") -> DataFrame:
     return new
 
 
-def verify(store: DataFrame) -> DataFrame:
-    """Rows whose content doesn't have the hash that addresses it."""
-    return store.where(F.sha2("content", 256) != F.col("sha")).select("sha", "path")
+def get(store: DataFrame, keys: DataFrame, key: str = "path") -> DataFrame:
+    """(key, content, found) for each of keys: what the store holds there, null where it holds nothing."""
+    held = store.select(F.col("path").alias("__path"), "content")
+    joined = keys.select(key).join(held, F.col(key) == F.col("__path"), "left")
+    return joined.select(key, "content", F.col("__path").isNotNull().alias("found"))
+
+
+def verify(store: DataFrame, objects: DataFrame | None = None) -> DataFrame:
+    """(sha, path, problem) of contents that don't have the hash that addresses them.
+
+    With objects (sha, size), what the records say is stored, also those that are missing or of another size.
+    """
+    bad = F.sha2("content", 256) != F.col("sha")
+    if objects is None:
+        return store.where(bad).select("sha", "path", F.lit("hash").alias("problem"))
+    told = objects.select(F.col("sha").alias("__sha"), F.col("size").alias("__size")).distinct()
+    both = store.join(told, F.col("sha") == F.col("__sha"), "full")
+    problem = F.when(F.col("sha").isNull(), "missing").when(bad, "hash").when(F.octet_length("content") != F.col("__size"), "size")
+    return both.select(F.coalesce("sha", "__sha").alias("sha"), "path", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+#: Entries by which a ZIP archive is told to be a document: all of them, the last as a folder's beginning.
+ZIPPED = {
+    "hwpx": ("mimetype", "Contents/content.hpf"), "docx": ("[Content_Types].xml", "word/"), "xlsx": ("[Content_Types].xml", "xl/"),
+    "pptx": ("[Content_Types].xml", "ppt/"),
+}
+#: Streams and storages by which a compound file is told to be a document: all of one of the sets.
+COMPOUND = {"hwp": (("FileHeader", "BodyText"),), "doc": (("WordDocument",),), "xls": (("Workbook",), ("Book",))}
+
+
+def _container(content: Column, kind: Column) -> Column:
+    """The document's format where kind is zip or ole, by the names in its directory; binary for a ZIP without one."""
+    text = F.decode(content, "ISO-8859-1")
+    # A name in a ZIP's central directory stands 46 bytes behind its entry's start; a compound file's is UTF-16 with a null at its end.
+    entry = lambda name: F.contains(text, F.lit("PK\x01\x02")) & F.rlike(text, F.lit(r"(?s)PK\x01\x02.{42}\Q" + name + r"\E"))
+    stream = lambda name: F.contains(text, F.lit("".join(c + "\0" for c in name) + "\0\0"))
+    every = lambda found: reduce(lambda a, b: a & b, found)
+    zipped = F.when(~F.contains(text, F.lit("PK\x05\x06")), "binary")
+    for name, entries in ZIPPED.items():
+        zipped = zipped.when(every([entry(e) for e in entries]), name)
+    ole = F.when(F.lit(False), "")
+    for name, sets in COMPOUND.items():
+        for streams in sets:
+            ole = ole.when(every([stream(s) for s in streams]), name)
+    return F.when(kind == "zip", F.coalesce(zipped, F.lit("zip"))).when(kind == "ole", F.coalesce(ole, F.lit("ole"))).otherwise(kind)
 
 
 def sniff(content: Column, name: Column) -> Column:
-    """(format, confidence): leading bytes first, then HTML's beginning, then the name's ending, else binary."""
+    """(format, confidence): leading bytes first, and what is in a container; then HTML's beginning, the name's ending, else binary."""
     head = F.hex(F.substring(content, 1, 8))
     found = F.when(F.lit(False), F.lit(""))
     for kind, magic in MAGIC.items():
         found = found.when(F.startswith(head, F.lit(magic)), kind)
+    found = _container(content, found)
     start = F.lower(F.ltrim(F.decode(F.substring(content, 1, 256), "ISO-8859-1")))
     html = F.startswith(start, F.lit("<!doctype html")) | F.startswith(start, F.lit("<html"))
     ending = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
