@@ -82,18 +82,25 @@ def match_items(items: DataFrame, records: DataFrame) -> DataFrame:
 
     from palimpsest.functions.edition import core_name
 
-    def match(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+    def matched(new: list, old: list) -> list[tuple]:
         claimed, rows = set(), []
-        known = sorted(zip(old["record"], old["core"])) if len(old) else []
-        for notice, pos, core in sorted(new[["notice", "pos", "core"]].itertuples(index=False, name=None), key=lambda x: x[1]):
-            same = [r for r, n in known if n == core and r not in claimed]
+        for item in sorted(new, key=lambda x: x["pos"]):
+            same = [r["record"] for r in old if r["core"] == item["core"] and r["record"] not in claimed]
             how, record = ("same", same[0]) if len(same) == 1 else (None, None)
-            if record is None and len(new) == 1 and len(known) == 1 and known[0][0] not in claimed:
-                how, record = "renamed", known[0][0]
-            if record is not None:
-                claimed.add(record)
-            rows.append((notice, pos, record, how))
-        return pd.DataFrame(rows, columns=["notice", "pos", "record", "how"]).astype({"record": "Int64"})
-
-    cored = lambda df, key: df.select("notice", key, core_name(F.col("name")).alias("core")).groupBy("notice")
-    return cored(items, "pos").cogroup(cored(records, "record")).applyInPandas(match, "notice long, pos long, record long, how string")
+            if record is None and len(new) == len(old) == 1:
+                how, record = "renamed", old[0]["record"]
+            claimed.add(record)
+            rows.append((item["pos"], record, how))
+        return rows
+
+    def run(batches):
+        for groups in batches:
+            rows = [(n, *row) for n, new, old in groups.itertuples(index=False, name=None) for row in matched(new, [] if old is None else list(old))]
+            yield pd.DataFrame(rows, columns=["notice", "pos", "record", "how"]).astype({"record": "Int64"})
+
+    def gathered(df: DataFrame, field: str, name: str) -> DataFrame:
+        fields = F.struct(field, core_name(F.col("name")).alias("core"))
+        return df.select("notice", fields.alias("x")).groupBy("notice").agg(F.array_sort(F.collect_list("x")).alias(name))
+
+    both = gathered(items, "pos", "new").join(gathered(records, "record", "old"), "notice", "left")
+    return both.select("notice", "new", "old").mapInPandas(run, "notice long, pos long, record long, how string")

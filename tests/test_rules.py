@@ -228,3 +228,20 @@ def test_redirects(spark):
     assert {r.k: r.final for r in identity.follow_redirects(chain, source="k", target="t").collect()} == {1: 4, 2: 4, 3: 4, 9: 8}
     with pytest.raises(ValueError):
         identity.follow_redirects(spark.createDataFrame([(1, 2), (2, 1)], "k long, t long"), source="k", target="t", most=4)
+
+
+def test_match_items_claims_each_record_once(spark):
+    items = spark.createDataFrame([(1, 0, "희망장학금 2026년"), (1, 1, "희망 장학생"), (1, 2, "다른 장학금"), (2, 0, "새 이름"), (3, 0, "홀로")], "notice long, pos long, name string")
+    old = spark.createDataFrame([(1, 10, "2025년 희망장학금"), (1, 11, "셋째"), (2, 20, "옛 이름")], "notice long, record long, name string")
+    got = {(r.notice, r.pos): (r.record, r.how) for r in identity.match_items(items, old).collect()}
+    assert got == {(1, 0): (10, "same"), (1, 1): (None, None), (1, 2): (None, None), (2, 0): (20, "renamed"), (3, 0): (None, None)}
+
+
+def test_container_formats(spark):
+    zipped = io.BytesIO()
+    with zipfile.ZipFile(zipped, "w") as z:
+        z.writestr("[Content_Types].xml", "x")
+        z.writestr("xl/workbook.xml", "word/")
+    found = one(spark, store.sniff(F.lit(bytearray(zipped.getvalue())), F.lit("a.bin")))
+    assert (found["format"], found.confidence) == ("xlsx", "magic")
+    assert one(spark, store.sniff(F.lit(bytearray(b"PK\x03\x04junk")), F.lit("a.zip")))["format"] == "binary"
