@@ -36,7 +36,11 @@ def first_requests(rows: DataFrame, *, keys: Sequence[str], at: str, late: str)
 
 
 def missing_streaks(rows: DataFrame, *, key: str, at: str, tie: str, seen: str) -> DataFrame:
-    """(key, missing): after each batch, how many rows in a row weren't seen. State holds one number for each key."""
+    """(key, missing): after each batch, how many rows in a row weren't seen. State holds one number for each key.
+
+    Rows are put in order within a batch; batches have to come in order of time, as files of a feed do. A row that comes
+    in a later batch than a younger one counts where it comes, so its streak can be wrong; the batch operator has none of that.
+    """
 
     def count(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         missing = state.get[0] if state.exists else 0
