@@ -66,8 +66,8 @@ def test_simhash(docs):
     assert {3, 4, 5} <= set(zero) and {r.component_id for r in zero.values()} == {3}
     assert [r.component_id for r in rows if r.doc_id is None] == [1]
     kept = simhash.drop_near_duplicates(docs).collect()
-    # 1 stands for its copy without an id; the repeated row of 2 stays once; 3 stands for the empty texts.
-    assert sorted((r.doc_id, r.text == WORDS + " tail") for r in kept if r.doc_id == 2) == [(2, False), (2, True)] or len([r for r in kept if r.doc_id == 2]) == 1
+    # 1 stands for its copy without an id and for the text that is two bits away; 3 stands for the empty texts.
+    assert [r.text for r in kept if r.doc_id == 2] == ["other text"]
     assert {r.doc_id for r in kept} >= {1, 3, 6, 7} and kept[0].asDict().keys() == set(docs.columns)
     assert simhash.near_duplicates(_empty(docs)).count() == 0 and simhash.drop_near_duplicates(_empty(docs)).count() == 0
 
