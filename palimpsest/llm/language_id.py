@@ -83,9 +83,13 @@ def fit(texts: list[str], labels: list[str], *, passes: int = 12_000, rate: floa
     if not languages:
         return Model([])
     rng = np.random.default_rng(seed)
-    data, bounds = scan.utf8(pa.array(texts, pa.large_string()))
-    bins, ends = subwords(data, bounds)
-    counts = np.diff(ends)
+    parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for _, _, data, bounds in scan.blocks(pa.array(texts, pa.large_string())):
+        found, stops = subwords(data, bounds)
+        parts.append(found.astype(np.int32))
+        sizes.append(np.diff(stops))
+    bins, counts = np.concatenate(parts), np.concatenate(sizes)
+    ends = np.r_[0, np.cumsum(counts)]
     target = np.searchsorted(languages, labels)
     rows = rng.permutation(np.flatnonzero(counts > 0))
     held, rows = rows[: len(rows) // 5], rows[len(rows) // 5 :]
@@ -113,7 +117,7 @@ def fit(texts: list[str], labels: list[str], *, passes: int = 12_000, rate: floa
             back = grad @ layer.T
             layer -= lr * (mean.T @ grad)
             bias -= lr * grad.sum(axis=0)
-            pair, times = np.unique(ids * len(part) + own, return_counts=True)
+            pair, times = np.unique(ids.astype(np.int64) * len(part) + own, return_counts=True)
             change = back[pair % len(part)] * (times / counts[part][pair % len(part)])[:, None]
             np.subtract.at(embed, pair // len(part), (lr * 20 * change).astype(np.float32))
     model = Model(languages, np.ascontiguousarray(embed @ layer, np.float32), bias.astype(np.float64))

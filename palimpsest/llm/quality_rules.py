@@ -134,17 +134,13 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 12, rate: float =
     if len(set(labels)) < 2:
         return None
     rng = np.random.default_rng(seed)
-    data, bounds = scan.utf8(pa.array(texts, pa.large_string()))
-    words = scan.Words(data, bounds, scan.class_table(SPACES, False))
     rows = []
-    families = features(words)
-    for i in range(len(texts)):
-        ids, values = [], []
-        for bins, starts, stops in families:
-            u, c = np.unique(bins[starts[i] : stops[i]], return_counts=True)
-            ids.append(u)
-            values.append(c / max(stops[i] - starts[i], 1))
-        rows.append((np.concatenate(ids), np.concatenate(values)))
+    for _, _, data, bounds in scan.blocks(pa.array(texts, pa.large_string())):
+        families = features(scan.Words(data, bounds, scan.class_table(SPACES, False)))
+        for i in range(len(bounds) - 1):
+            found = [np.unique(bins[starts[i] : stops[i]], return_counts=True) for bins, starts, stops in families]
+            shares = [c / max(stops[i] - starts[i], 1) for (_, c), (_, starts, stops) in zip(found, families)]
+            rows.append((np.concatenate([u for u, _ in found]).astype(np.int32), np.concatenate(shares).astype(np.float32)))
     order = rng.permutation(len(y))
     held, train = order[: len(y) // 5], order[len(y) // 5 :]
     share = np.clip(y[train].mean(), 0.01, 0.99)
