@@ -75,10 +75,11 @@ def resolve_fields(candidates: DataFrame, directives: DataFrame, scope: Sequence
 
 def resolve_acyclic(candidates: DataFrame, superseded: DataFrame, scope: Sequence[str]) -> DataFrame:
     """The same by joins alone, where valid directives form no cycle: superseded (scope, key) leave, the rest has to agree."""
-    left = candidates.join(superseded.select(*scope, "key").distinct(), [*scope, "key"], "left_anti")
-    all_ = candidates.groupBy(*scope).agg(F.count("*").alias("__all"))
-    rest = left.groupBy(*scope).agg(F.countDistinct("value").alias("__values"), F.min("key").alias("__least"), F.count("*").alias("__left"))
-    both = all_.join(rest, list(scope), "left")
-    agrees = F.col("__values") == 1
-    outcome = F.when(~F.coalesce(agrees, F.lit(False)), "unresolved").when(F.col("__left") < F.col("__all"), "resolved_explicit_update").otherwise("agreed")
-    return both.select(*scope, outcome.alias("outcome"), F.when(agrees, F.col("__least")).alias("selected"))
+    gone = superseded.select(*scope, "key").distinct().withColumn("__gone", F.lit(True))
+    marked = candidates.join(gone, [*scope, "key"], "left")
+    stays = F.col("__gone").isNull()
+    found = marked.groupBy(*scope).agg(
+        F.collect_set(F.when(stays, F.col("value"))).alias("__values"), F.min(F.when(stays, F.col("key"))).alias("__least"), F.bool_or(~stays).alias("__some"))
+    agrees = F.size("__values") == 1
+    outcome = F.when(~agrees, "unresolved").when(F.col("__some"), "resolved_explicit_update").otherwise("agreed")
+    return found.select(*scope, outcome.alias("outcome"), F.when(agrees, F.col("__least")).alias("selected"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import identity, integrity, records, resolution
@@ -155,8 +156,8 @@ def _candidates(spark, sf_dir):
 @query("DM-15_resolution_by_joins", _DM15)
 def resolution_by_joins(spark, sf_dir):
     c = _candidates(spark, sf_dir)
-    newer = c.where("key = 'R'").select("l_orderkey")
-    superseded = c.where("key <> 'R'").join(newer, "l_orderkey", "left_semi")
+    newer = F.bool_or(F.col("key") == "R").over(Window.partitionBy("l_orderkey"))
+    superseded = c.withColumn("newer", newer).where("newer AND key <> 'R'")
     return resolution.resolve_acyclic(c, superseded, ["l_orderkey"])
 
 
