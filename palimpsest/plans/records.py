@@ -103,7 +103,7 @@ def dimension_status(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", records.dimension_status(state).alias("status"))
 
 
-@query("DM-10_evidence_rows")
+@query("DM-10_evidence_rows", "SELECT event_id, '/amount' AS path, CASE WHEN value < 10 THEN 'conflicting' ELSE 'candidate' END AS status, event_type AS quote FROM events")
 def evidence_rows(spark, sf_dir):
     from palimpsest.functions.json import walk_facts
 

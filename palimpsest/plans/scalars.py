@@ -90,7 +90,10 @@ def quote_containment(spark, sf_dir):
     return both.select("doc_id", text.contains_compact(b, q).alias("compact"), text.contains_collapsed(b, q).alias("collapsed"))
 
 
-@query("SC-10_quote_offsets")
+@query("SC-10_quote_offsets", r"""
+WITH q AS (SELECT doc_id, regexp_split_to_array(text, '\.\s')[1] AS q FROM documents), t AS (SELECT doc_id, q, trim(regexp_replace(q, '\s+', ' ', 'g')) = '' AS none FROM q)
+SELECT doc_id, CASE WHEN NOT none THEN CAST(length(q) - length(regexp_replace(q, '^\s+', '')) AS INTEGER) END AS start,
+  CASE WHEN NOT none THEN CAST(length(regexp_replace(q, '\s+$', '')) AS INTEGER) END AS stop FROM t""")
 def quote_offsets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     quote = F.element_at(F.split("text", r"\.\s"), 1)
@@ -115,7 +118,7 @@ def amount_label(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.amount_label(kind, v, v, F.lit(50)).alias("label"))
 
 
-@query("SC-14_lenient_json")
+@query("SC-14_lenient_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def lenient(spark, sf_dir):
     broken = F.concat(F.lit("```json\n"), F.regexp_replace("props", r"\}$", ",}"), F.lit("\n```"))
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object(lenient_json(broken), "$.k").cast("bigint").alias("k"))
@@ -352,12 +355,12 @@ def json_counter(spark, sf_dir):
     return n.groupBy("user_id").agg(F.concat(F.lit("{"), F.array_join(each, ","), F.lit("}")).alias("metrics"))
 
 
-@query("SC-44_pointer_set")
+@query("SC-44_pointer_set", """SELECT event_id, '{"k": "' || event_type || '"}' AS props FROM events""")
 def pointer(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", pointer_set(F.col("props"), F.lit("/k"), F.col("event_type")).alias("props"))
 
 
-@query("SC-45_fact_walk")
+@query("SC-45_fact_walk", "SELECT o_orderkey, '/amount' AS path, CASE WHEN o_orderstatus = 'F' THEN 'conflict' ELSE 'stated' END AS state FROM orders")
 def fact_walk(spark, sf_dir):
     fact = F.to_json(F.struct(F.struct(F.col("o_totalprice").alias("value"), F.when(F.col("o_orderstatus") == "F", "conflict").otherwise("stated").alias("state")).alias("amount")))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(walk_facts(fact)).alias("f"))
