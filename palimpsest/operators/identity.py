@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.dates import least_gap_days
+from palimpsest.functions.edition import edition_tokens
 from palimpsest.operators.lineage import cut
 
 SAME, DIFFERENT, GAP_DAYS = 0.82, 0.55, 150
@@ -15,6 +16,19 @@ def _disjoint(a: Column, b: Column) -> Column:
     return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
 
 
+def signature(
+    name: Column, *, fact_years: Column | None = None, fact_terms: Column | None = None, deadlines: Column | None = None, starts: Column | None = None
+) -> Column:
+    """The struct that `verdict` compares: what facts state (arrays; none if left out) and what the name says, apart."""
+    said, none = edition_tokens(name), F.array().cast("array<string>")
+    dates = F.array().cast("array<date>")
+    return F.struct(
+        F.coalesce(none if fact_years is None else fact_years, none).alias("fact_years"), said["years"].alias("name_years"),
+        F.coalesce(none if fact_terms is None else fact_terms, none).alias("fact_terms"), said["terms"].alias("name_terms"),
+        said["halves"].alias("halves"), said["rounds"].alias("rounds"), said["cohorts"].alias("cohorts"),
+        F.coalesce(dates if deadlines is None else deadlines, dates).alias("deadlines"), F.coalesce(dates if starts is None else starts, dates).alias("starts"))
+
+
 def verdict(score: Column, left: str, right: str) -> Column:
     """same, different_edition, uncertain or different, by rules in this order.
 

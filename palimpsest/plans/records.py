@@ -38,10 +38,16 @@ def edition_verdict(spark, sf_dir):
 
 
 @query("DM-02_signatures", """
-SELECT l_orderkey, string_agg(DISTINCT strftime(l_shipdate, '%Y-%m-%d'), ',' ORDER BY strftime(l_shipdate, '%Y-%m-%d')) AS deadlines FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY l_orderkey""")
+WITH l AS (SELECT l_orderkey, string_agg(DISTINCT strftime(l_shipdate, '%Y-%m-%d'), ',' ORDER BY strftime(l_shipdate, '%Y-%m-%d')) AS deadlines FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1)
+SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS fact_years, CAST(year(o_orderdate) + 25 AS VARCHAR) AS name_years, CASE WHEN o_orderkey % 2 = 0 THEN 'spring' ELSE 'summer' END AS name_terms,
+  CAST(1 + o_custkey % 9 AS VARCHAR) AS rounds, coalesce(deadlines, '') AS deadlines FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
 def signatures(spark, sf_dir):
-    days = F.array_join(F.array_sort(F.collect_set(F.date_format("l_shipdate", "yyyy-MM-dd"))), ",")
-    return table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "N")).groupBy("l_orderkey").agg(days.alias("deadlines"))
+    days = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "N")).groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.to_date("l_shipdate"))).alias("days"))
+    title = F.concat((F.year("o_orderdate") + 25).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "학년도 1학기 제").otherwise("년 하계 제"), (1 + F.col("o_custkey") % 9).cast("string"), F.lit("차 장학생"))
+    rows = table(spark, sf_dir, "orders").join(days, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    found = rows.select("o_orderkey", identity.signature(title, fact_years=_strings(F.year("o_orderdate")), deadlines=F.col("days")).alias("s"))
+    dates = F.array_join(F.transform("s.deadlines", lambda d: F.date_format(d, "yyyy-MM-dd")), ",").alias("deadlines")
+    return found.select("o_orderkey", *[F.array_join(f"s.{k}", ",").alias(k) for k in ("fact_years", "name_years", "name_terms", "rounds")], dates)
 
 
 @query("DM-03_proposals", f"""
