@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -274,6 +276,56 @@ def violations(spark, sf_dir):
     })
 
 
+#: The tables of a publication, read from orders, line items, parts and suppliers; the same SQL runs in Spark and in DuckDB.
+_PUBLICATION = {
+    "versions": "SELECT o_orderkey AS id, o_custkey AS opportunity, CASE o_orderkey % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'needs_review' ELSE 'partial' END AS quality FROM orders WHERE o_orderstatus = 'F'",
+    "sources": """SELECT l_orderkey AS version, l_partkey AS notice_version, CASE WHEN l_quantity > 2 THEN 'confirmed' ELSE 'proposed' END AS relationship, l_linenumber <= 2 AS current,
+      CASE WHEN l_linenumber = 1 THEN l_suppkey END AS decision, CASE WHEN l_returnflag = 'R' THEN 'correction' ELSE 'original' END AS relation, l_suppkey AS run FROM lineitem WHERE l_orderkey % 11 <> 0""",
+    "notice_versions": "SELECT p_partkey AS id, p_partkey % 50 AS notice, p_size > 1 AS sealed, CASE WHEN p_size > 5 THEN 'complete' ELSE 'partial' END AS assets FROM part",
+    "runs": "SELECT s_suppkey AS id, s_acctbal > -500 AS sealed, CASE WHEN s_nationkey <> 3 THEN 'succeeded' ELSE 'failed' END AS status FROM supplier",
+    "resolutions": """SELECT o_orderkey AS id, o_orderkey AS version, CASE o_orderkey % 5 WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved_explicit_update' ELSE 'agreed' END AS status,
+      o_orderkey * 10 + 1 AS selected_evidence, o_orderkey % 7 AS selected_value, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey * 10 + 12 WHEN o_orderkey % 4 = 1 THEN o_orderkey * 10 + 2 END AS intent_evidence,
+      CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey * 10 + 3 END AS cross_evidence FROM orders""",
+    "evidence": """SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS version, CASE WHEN l_linenumber < 5 THEN l_orderkey END AS resolution, l_quantity > 3 AS verified,
+      CASE l_returnflag WHEN 'R' THEN 'superseded' WHEN 'A' THEN 'accepted' ELSE 'conflicting' END AS candidate, l_orderkey % 7 + CASE WHEN l_partkey % 9 = 0 THEN 1 ELSE 0 END AS value, l_suppkey AS document FROM lineitem""",
+    "decisions": "SELECT s_suppkey AS id, CASE WHEN s_acctbal > 0 THEN 'confirmed' ELSE 'proposed' END AS status, s_suppkey % 100 AS opportunity, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 70 END AS other FROM supplier",
+    "documents": "SELECT s_suppkey AS id, s_acctbal > -800 AS sealed, CASE WHEN s_nationkey = 3 THEN 'failed' WHEN s_nationkey = 4 THEN 'partial' ELSE 'succeeded' END AS status FROM supplier",
+    "chunks": "SELECT l_orderkey AS version, l_suppkey AS document FROM lineitem WHERE l_linenumber = 1",
+}
+#: The same joins in SQL, and what of them breaks each rule.
+_JOINED = {
+    "mapped": "SELECT s.*, n.sealed AS n_sealed, n.notice, n.assets, x.sealed AND x.status = 'succeeded' AS extracted FROM sources s, notice_versions n, runs x WHERE n.id = s.notice_version AND x.id = s.run",
+    "decided": "SELECT e.*, r.status AS outcome, coalesce(r.status IN ('agreed', 'resolved_explicit_update'), false) AS settled FROM evidence e LEFT JOIN resolutions r ON r.id = e.resolution",
+    "witnesses": "SELECT w.version, e.version AS of, e.verified FROM (SELECT version, unnest([intent_evidence, cross_evidence]) AS witness FROM resolutions) w JOIN evidence e ON e.id = w.witness",
+    "amended": "SELECT s.version, s.relation, s.decision, coalesce(d.status = 'confirmed' AND (d.opportunity = v.opportunity OR d.other = v.opportunity), false) AS confirmed FROM versions v JOIN sources s ON s.version = v.id LEFT JOIN decisions d ON d.id = s.decision",
+    "used": "SELECT u.version, d.sealed, d.status FROM (SELECT version, document FROM evidence UNION SELECT version, document FROM chunks) u JOIN documents d ON d.id = u.document",
+}
+_BROKEN = {
+    "no source": "SELECT id FROM versions EXCEPT SELECT version FROM sources",
+    "unconfirmed source": "SELECT version FROM mapped WHERE NOT (relationship = 'confirmed' AND n_sealed AND extracted)",
+    "open conflict": "SELECT version FROM decided WHERE candidate = 'conflicting' AND NOT settled EXCEPT SELECT id FROM versions WHERE quality = 'needs_review'",
+    "unresolved field": "SELECT version FROM resolutions WHERE status = 'unresolved' EXCEPT SELECT id FROM versions WHERE quality = 'needs_review'",
+    "value is not its evidence": "SELECT r.version FROM resolutions r JOIN evidence e ON e.id = r.selected_evidence WHERE NOT (e.verified AND e.candidate = 'accepted' AND e.value IS NOT DISTINCT FROM r.selected_value)",
+    "witness of another version": "SELECT version FROM witnesses WHERE NOT (verified AND of = version)",
+    "superseded without decision": "SELECT version FROM decided WHERE candidate = 'superseded' AND outcome IS NOT NULL AND NOT settled",
+    "two versions of one notice": "SELECT version FROM mapped WHERE current GROUP BY version, notice HAVING count(*) > 1",
+    "no watched source": "SELECT id FROM versions EXCEPT SELECT version FROM sources WHERE current",
+    "amendment without decision": "SELECT version FROM amended WHERE CASE WHEN decision IS NULL THEN relation IN ('extension', 'correction', 'cancellation', 'reopened') ELSE NOT confirmed END",
+    "unsealed document": "SELECT version FROM used WHERE NOT (sealed AND status IN ('succeeded', 'partial'))",
+    "incomplete provenance": "(SELECT version FROM mapped WHERE current AND assets <> 'complete' UNION SELECT version FROM used WHERE status <> 'succeeded') INTERSECT SELECT id FROM versions WHERE quality = 'complete'",
+}
+
+
+@query("DM-27_publication_guard", "WITH " + ", ".join(f"{k} AS ({v})" for k, v in {**_PUBLICATION, **_JOINED}.items()) + " " + " UNION ALL ".join(
+    f"SELECT id AS version, '{rule}' AS rule FROM versions WHERE id IN ({sql})" for rule, sql in _BROKEN.items()))
+def publication_guard(spark, sf_dir):
+    from palimpsest.operators.publication import publication_violations
+
+    known = {t: table(spark, sf_dir, t) for t in ("orders", "lineitem", "part", "supplier")}
+    sql = {k: re.sub(r"FROM (\w+)", r"FROM {\1}", v) for k, v in _PUBLICATION.items()}
+    return publication_violations({k: spark.sql(v, **{t: known[t] for t in re.findall(r"\{(\w+)\}", v)}) for k, v in sql.items()})
+
+
 @query("DM-28_rewritten_rows", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'deleted' ELSE 'changed' END AS how FROM orders WHERE o_orderkey % 97 = 0 OR o_orderkey % 89 = 0""")
 def rewritten_rows(spark, sf_dir):
