@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import scan
 from palimpsest.llm.bwt import Collection
 from palimpsest.llm.common import cut, small_batches
-from palimpsest.llm.routing import NO_ID, copies, in_slots, marked, numbered, shard, shard_count, slot
+from palimpsest.llm.routing import NO_ID, copies, in_slots, marked, maybe_in, numbered, shard, shard_count, slot
 
 N, K, CROWD, SYMBOLS = 400, 300, 256, 1 << 22
 _SCHEMA = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -273,8 +273,8 @@ def remove_repeated_strings(docs: DataFrame, *, text: str = "text", doc_id: str
     shards = shard_count(docs.sparkSession, size)
     copied, later = same.select("id", "th"), same.where("id > least").select("id", "th")
     every = cut(phrases(rows, n, k))
-    recurring = every.groupBy("phrase").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.max("times").alias("t")).where("a <> b OR t > 1").select("phrase")
-    candidates = cut(every.join(recurring, "phrase").join(later, ["id", "th"], "left_anti").select("id", "th", "phrase"))
+    recurring = cut(every.groupBy("phrase").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.max("times").alias("t")).where("a <> b OR t > 1").select("phrase"))
+    candidates = cut(maybe_in(every, recurring, "phrase").join(recurring, "phrase").join(later, ["id", "th"], "left_anti").select("id", "th", "phrase"))
     inside, outside = in_slots(rows, candidates.select("id", "th").union(copied), shards)
     docs_in = inside.groupBy("shard")
     zero = F.lit(0).cast("long")
