@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import scan
 from palimpsest.llm.common import SPACES, cut, small_batches
-from palimpsest.llm.routing import NO_ID, copies, in_slots, numbered, shard, shard_count
+from palimpsest.llm.routing import NO_ID, copies, in_slots, maybe_in, numbered, shard, shard_count
 
 N, K = 50, 20
 _OUT = "id long, th long, n_words long, n_removed long, kept_text string"
@@ -199,8 +199,8 @@ def remove_repeated_windows(docs: DataFrame, *, text: str = "text", doc_id: str
     shards = shard_count(docs.sparkSession, size)
     later = same.where("id > least").select("id", "th")
     every = cut(phrases(rows, n, k))
-    recurring = every.groupBy("phrase").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("phrase")
-    candidates = cut(every.join(recurring, "phrase").join(later, ["id", "th"], "left_anti").select("id", "th", "phrase"))
+    recurring = cut(every.groupBy("phrase").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("phrase"))
+    candidates = cut(maybe_in(every, recurring, "phrase").join(recurring, "phrase").join(later, ["id", "th"], "left_anti").select("id", "th", "phrase"))
     inside, outside = in_slots(rows, candidates.select("id", "th").union(later), shards)
     wanted = candidates.select(shard(shards).alias("shard"), "phrase").distinct()
     found = inside.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(
