@@ -167,7 +167,7 @@ def drop_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "
     """The rows of docs that stay: of each component the document of least id, once.
 
     With `at_least`, documents link by the Jaccard coefficient of their shingle sets (see shingle_dedup) instead: pairs of
-    0.8 lie 3 to 20 bits apart, where pivot distances of 64-bit fingerprints discard next to nothing.
+    0.8 lie up to 20 bits apart, a bound at which pivot distances of 64-bit fingerprints discard half a per cent of pairs.
     """
     if at_least is not None:
         from palimpsest.llm import shingle_dedup
