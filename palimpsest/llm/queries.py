@@ -1,4 +1,4 @@
-"""The ten numbered queries and the pipeline, with SQL oracles where SQL can state the result."""
+"""The numbered queries and the pipeline, with SQL oracles where SQL can state the result."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, decontamination, language_id, line_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup
+from palimpsest.llm import chat, decontamination, language_id, line_dedup, merkle, mixing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup
 from palimpsest.llm.common import held_out, table
 
 
@@ -152,6 +152,58 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_removed", "n_spans", "n_bytes", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tampered = F.col("doc_id").isNotNull() & held_out("doc_id")
+    return merkle.build_manifest(docs, tampered=tampered, becomes=F.translate("text", upper, lower)).check()
+
+
+OP12_SQL = r"""
+WITH RECURSIVE bits(doc_id, s, p, crc) AS (
+  SELECT DISTINCT doc_id, doc_id::VARCHAR, 1, 4294967295::BIGINT FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT doc_id, s, p + 1, list_reduce([xor(crc, ascii(s[p])::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)
+  FROM bits WHERE p <= length(s)),
+ids AS (SELECT doc_id, xor(crc, 4294967295::BIGINT) AS crc FROM bits WHERE p = length(s) + 1),
+d AS (
+  SELECT doc_id, source, sha256(f || t) AS leaf, sha256(f || CASE WHEN c THEN l ELSE t END) AS used FROM (
+    SELECT doc_id, source, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+        || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END AS f,
+      CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS t,
+      CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS l,
+      coalesce(crc % 5 = 0, false) AS c
+    FROM documents LEFT JOIN ids USING (doc_id))),
+s0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+node(lvl, source, pos, h, n) AS (
+  SELECT 0, source, pos, leaf, n FROM s0
+  UNION ALL
+  SELECT lvl + 1, source, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM node WHERE n > 1 GROUP BY lvl, source, pos // 16, n),
+sub AS (SELECT source, h AS subroot, lvl AS depth, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS places FROM node WHERE n = 1),
+top(lvl, pos, h, n) AS (
+  SELECT 0, place, subroot, places FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM top WHERE n > 1 GROUP BY lvl, pos // 16, n),
+root AS (SELECT h AS root FROM top WHERE n = 1),
+k AS (SELECT row_number() OVER () AS k, s0.*, depth, place, subroot FROM s0 JOIN sub ON sub.source IS NOT DISTINCT FROM s0.source),
+step AS (
+  SELECT k.k, a.lvl, a.pos < (k.pos >> (4 * a.lvl)) AS earlier, a.pos, a.h
+  FROM k JOIN node a ON a.source IS NOT DISTINCT FROM k.source AND a.lvl < depth AND a.pos >> 4 = k.pos >> (4 * a.lvl + 4) AND a.pos <> k.pos >> (4 * a.lvl)
+  UNION ALL
+  SELECT k.k, depth + a.lvl, a.pos < (place >> (4 * a.lvl)), a.pos, a.h
+  FROM k JOIN top a ON a.n > 1 AND a.pos >> 4 = place >> (4 * a.lvl + 4) AND a.pos <> place >> (4 * a.lvl)),
+run AS (SELECT k, lvl, coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE earlier), '') AS l, coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE NOT earlier), '') AS r FROM step GROUP BY k, lvl),
+proof AS (SELECT k, sha256(string_agg(l || r, '' ORDER BY lvl)) AS proof FROM run GROUP BY k),
+height AS (SELECT max(lvl) AS high FROM top),
+fold(k, lvl, h) AS (
+  SELECT k, 0, used FROM k
+  UNION ALL
+  SELECT f.k, f.lvl + 1, sha256(coalesce(l, '') || f.h || coalesce(r, '')) FROM fold f JOIN k USING (k) CROSS JOIN height LEFT JOIN run ON run.k = f.k AND run.lvl = f.lvl WHERE f.lvl < depth + high)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, fold.h AS folded_root, fold.h = root AS verified
+FROM k CROSS JOIN root CROSS JOIN height JOIN fold ON fold.k = k.k AND fold.lvl = depth + high LEFT JOIN proof ON proof.k = k.k
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -169,6 +221,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "pipeline": pipeline,
 }
 _ORACLES = {
@@ -176,6 +229,7 @@ _ORACLES = {
     "op2_line_dedup": OP2_SQL,
     "op6_decontamination": OP6_SQL,
     "op8_mixing": OP8_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
 
 
