@@ -39,20 +39,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder of the cluster (spark.checkpoint.dir) and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir).
 
-    Lineage ends there, all executors can read it, and it is compressed. Where no folder is set, one of our own is used
-    on a local master, as in tests; a cluster has to name one. The folder's owner clears it.
+    Where none is set, one of our own is used on a local master, as in tests; a cluster has to name one. The folder's
+    owner clears it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: lineage ends there, and all executors can read it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
