@@ -10,13 +10,16 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import jaccard, trigrams
 from palimpsest.functions.vectors import cosine_distance
-from palimpsest.operators.nearest import BLOCK_BYTES, first_of_each, query_blocks, unit
+from palimpsest.operators.lineage import cut
+from palimpsest.operators.nearest import first_of_each, unit
+from palimpsest.operators.packing import BLOCK_BYTES, block_pairs, few_records, numbered_blocks, packed, rows_of
 
 #: Weights of the lexical and the vector score, by mode.
 WEIGHTS = {"hybrid": (0.45, 0.55), "lexical": (1.0, 0.0), "vector": (0.0, 1.0)}
@@ -95,51 +98,113 @@ def hybrid_search(
     return best.select(F.col("key").alias(key), "lexical", "vector", "score")
 
 
+class _Sets:
+    """The sets of hashes that the queries of a block have, by element: which queries have it."""
+
+    def __init__(self, sets: pa.ListArray):
+        flat, sizes = sets.flatten().to_numpy(zero_copy_only=False), sets.value_lengths().to_numpy(zero_copy_only=False)
+        order = np.argsort(flat, kind="stable")
+        self.known, first = np.unique(flat[order], return_index=True)
+        self.first, self.who, self.sizes = np.r_[first, len(flat)], np.repeat(np.arange(len(sets)), sizes)[order], sizes
+
+    def shared(self, sets: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, items): how many elements each has of each; and the items' numbers of elements."""
+        flat, sizes = sets.flatten().to_numpy(zero_copy_only=False), sets.value_lengths().to_numpy(zero_copy_only=False)
+        if not len(self.known):
+            return np.zeros((len(self.sizes), len(sets)), np.int64), sizes
+        at = np.searchsorted(self.known, flat)
+        hit = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] == flat)
+        # Every query that has an element that the item has, once for each such element.
+        at, item = at[hit], np.repeat(np.arange(len(sets)), sizes)[hit]
+        times = self.first[at + 1] - self.first[at]
+        place = np.arange(times.sum()) + np.repeat(self.first[at] - (np.cumsum(times) - times), times)
+        counts = np.bincount(self.who[place] * len(sets) + np.repeat(item, times), minlength=len(self.sizes) * len(sets))
+        return counts.reshape(len(self.sizes), -1), sizes
+
+
+def _vectors(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of length 1, which element each is of) of an array of arrays of vectors."""
+    inner = lists.flatten()
+    who = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return unit(inner.to_pylist()), who
+
+
 def search_all(
-    queries: DataFrame, items: DataFrame, vectors: DataFrame, *, key: str, text: str, mode: str = "hybrid", vector_key: str = "vec_id",
-    vector: str = "embedding", top: int = 20, terms: int = 64, block_bytes: int = BLOCK_BYTES // 4,
+    queries: DataFrame, items: DataFrame, vectors: DataFrame, *, key: str, text: str, mode: str = "hybrid", title: str | None = None, published: str | None = None,
+    group: str | None = None, vector_key: str = "vec_id", vector: str = "embedding", top: int = 20, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """(q_id, key, lexical, vector, score): the `top` items of each of many queries (q_id, query, vector), ties by key.
+    """(q_id, key, lexical, vector, score): the `top` items of each of many queries (q_id, query, vector), by all their tokens.
+
+    With a title, an item's lexical score is the greater of the share of tokens and the trigram similarity of title and
+    query. published: a column of numbers, dates or times, by which the newest come first among equal scores (null before
+    all), then by key. group: a column of queries and items; a query meets the items of its group only, as filters that a
+    question states make it. An item without vectors, or a query without one, has vector score 0; of several vectors of an
+    item the best counts.
 
-    Each item's tokens are split once for a block of queries and compared to all of them in Arrow batches; a task keeps
-    the `top` of each query, and these are ranked over all tasks. A query counts its `terms` first distinct tokens. An
-    item without vectors, or a query without one, has vector score 0; of several vectors of an item the best counts.
+    Queries and items are packed into blocks where they are, and pairs of blocks are scored in numpy; a task sends on the
+    `top` of each query, and these are ranked over all tasks. No query passes the driver.
     """
-    sc, (lexical_weight, vector_weight) = queries.sparkSession.sparkContext, WEIGHTS[mode]
-    hashed = lambda x: F.transform(F.array_distinct(tokens(x)), lambda t: F.xxhash64(t))
-    asked = queries.select("q_id", F.slice(hashed(F.col("query")), 1, terms).alias("terms"), F.col("vector").alias("v"))
-    own = vectors.groupBy(F.col(vector_key).alias("own")).agg(F.collect_list(vector).alias("v"))
-    rows = items.select(F.col(key).alias("id"), hashed(F.col(text)).alias("terms")).join(own, F.col("id") == F.col("own"), "left").select("id", "terms", "v")
-    out = items.select(F.col(key).alias("q_id"), key, *[F.lit(0.0).alias(c) for c in ("lexical", "vector", "score")]).where("false")
-    for block in query_blocks(asked, 4096, block_bytes=block_bytes):
-        flat = np.concatenate([np.array(r["terms"], np.int64) for r in block])
-        who = np.repeat(np.arange(len(block)), [len(r["terms"]) for r in block])
-        order = np.argsort(flat, kind="stable")
-        known, first = np.unique(flat[order], return_index=True)
-        n = np.maximum(np.bincount(who, minlength=len(block)), 1)
-        shared = sc.broadcast((np.array([r["q_id"] for r in block]), known, np.r_[first, len(flat)], who[order], n, unit([r["v"] for r in block])))
-
-        def best(batches, shared=shared):
-            q_ids, known, first, who, n, q = shared.value
-            for whole in batches:
-                for start in range(0, len(whole), step := max(1, (1 << 21) // len(q_ids))):
-                    batch = whole.iloc[start : start + step]
-                    keys, counts = batch["id"].to_numpy(), batch["terms"].map(len).to_numpy()
-                    own = np.concatenate([np.asarray(t, np.int64) for t in batch["terms"]])
-                    at = np.searchsorted(known, own)
-                    hit = np.flatnonzero((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == own)) if len(known) else own[:0]
-                    # Every query that has a token that the item has, once for each such token.
-                    at, item = at[hit], np.repeat(np.arange(len(keys)), counts)[hit]
-                    times = first[at + 1] - first[at]
-                    place = np.arange(times.sum()) + np.repeat(first[at] - (np.cumsum(times) - times), times)
-                    shares = np.bincount(who[place] * len(keys) + np.repeat(item, times), minlength=len(q_ids) * len(keys)).reshape(len(q_ids), -1)
-                    lexical, vector = np.round(shares / n[:, None], 6), np.zeros((len(q_ids), len(keys)))
-                    for i in np.flatnonzero(batch["v"].notna().to_numpy()) if q.shape[1] else ():
-                        vector[:, i] = np.round((q @ unit(list(batch["v"].iloc[i])).T).max(axis=1), 6)
-                    score = np.round(lexical * lexical_weight + vector * vector_weight, 8)
-                    row, column = first_of_each(-score, keys, top)
-                    yield pd.DataFrame({"q_id": q_ids[row], key: keys[column], "lexical": lexical[row, column], "vector": vector[row, column], "score": score[row, column]})
-
-        out = out.unionByName(rows.mapInPandas(best, f"q_id long, {key} long, lexical double, vector double, score double"))
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("score").desc(), key))
-    return out.withColumn("__r", rank).where(F.col("__r") <= top).drop("__r")
+    lexical_weight, vector_weight = WEIGHTS[mode]
+    spark, kind = queries.sparkSession, items.schema[key].dataType.simpleString()
+    hashed = lambda x: F.transform(x, lambda t: F.xxhash64(t))
+    none, vectors_none = F.array().cast("array<bigint>"), F.array().cast("array<array<double>>")
+    words = lambda x: hashed(F.array_distinct(tokens(x)))
+    grams = lambda x: hashed(trigrams(F.lower(F.coalesce(x, F.lit(""))))) if title else none
+    of_group = lambda df: (F.col(group) if group else F.lit(0)).alias("in_group")
+    asked = queries.select("q_id", of_group(queries), words(F.col("query")).alias("terms"), grams(F.col("query")).alias("grams"),
+                           F.when(F.col("vector").isNull(), vectors_none).otherwise(F.array(F.col("vector").cast("array<double>"))).alias("v"))
+    own = vectors.groupBy(F.col(vector_key).alias("own")).agg(F.collect_list(F.col(vector).cast("array<double>")).alias("v"))
+    if published is None:
+        age = F.lit(0.0)
+    elif items.schema[published].dataType.typeName() in ("date", "timestamp", "timestamp_ntz"):
+        age = F.unix_micros(F.col(published).cast("timestamp")).cast("double")
+    else:
+        age = F.col(published).cast("double")
+    rows = items.select(F.col(key).alias("id"), of_group(items), words(F.col(text)).alias("terms"), (grams(F.col(title)) if title else none).alias("grams"), age.alias("age"))
+    rows = rows.join(own, F.col("id") == F.col("own"), "left").select("id", "in_group", "age", "terms", "grams", F.coalesce("v", vectors_none).alias("v"))
+    bytes_of = F.lit(64) + 8 * (F.size("terms") + F.size("grams") + F.aggregate("v", F.lit(0), lambda n, v: n + F.size(v)))
+    within = ("in_group",) if group else ()
+    left = cut(asked.withColumn("bytes", bytes_of))
+    n = max(1, -(-(left.agg(F.sum("bytes")).first()[0] or 0) // block_bytes))
+    left, right = left.drop("bytes").repartition(n, "q_id"), rows
+    if group:
+        # Rows of a group side by side, a large group over many tasks.
+        left, right = left.sortWithinPartitions("in_group"), rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "in_group", "id").sortWithinPartitions("in_group")
+    blocks = [cut(numbered_blocks(packed(df, name, block_bytes=block_bytes, within=within), f"{name}_block")) for df, name in ((left, "q"), (right, "x"))]
+    if group:
+        of = lambda df, name: df.withColumn(f"{name}_group", F.col(name)[0]["in_group"])
+        pairs = of(blocks[0], "q").join(of(blocks[1], "x"), F.col("q_group").eqNullSafe(F.col("x_group"))).select("q", "q_block", "x", "x_block")
+    else:
+        pairs = block_pairs(*blocks)
+
+    def best(batches):
+        known = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, x, number = rows_of(batch, "q", i), rows_of(batch, "x", i), batch.column(batch.schema.get_field_index("q_block"))[i].as_py()
+                if number not in known:
+                    known.clear()
+                    known[number] = _Sets(q.field("terms")), _Sets(q.field("grams")), *_vectors(q.field("v"))
+                terms, titles, qv, whose = known[number]
+                shared, _ = terms.shared(x.field("terms"))
+                lexical = shared / np.maximum(terms.sizes, 1)[:, None]
+                if title:
+                    both, sizes = titles.shared(x.field("grams"))
+                    lexical = np.maximum(lexical, both / np.maximum(titles.sizes[:, None] + sizes - both, 1))
+                lexical, near = np.round(lexical, 6), np.zeros(lexical.shape)
+                xv, of = _vectors(x.field("v"))
+                if len(qv) and len(xv):
+                    # The best of an item's vectors: rows of one item are side by side.
+                    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                    near[np.ix_(whose, of[starts])] = np.round(np.maximum.reduceat(qv @ xv.T, starts, axis=1), 6)
+                score = np.round(lexical * lexical_weight + near * vector_weight, 8)
+                keys, ages = x.field("id"), x.field("age").to_numpy(zero_copy_only=False)
+                order = pc.sort_indices(pa.table({"a": pc.is_valid(x.field("age")), "b": x.field("age"), "c": keys}), [("a", "ascending"), ("b", "descending"), ("c", "ascending")]).to_numpy()
+                row, column = first_of_each(-score, order, top)
+                columns = [q.field("q_id").take(pa.array(row)), keys.take(pa.array(column)), *[pa.array(m[row, column]) for m in (lexical, near, score)], pa.array(ages[column], from_pandas=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["q_id", key, "lexical", "vector", "score", "age"])
+
+    out = pairs.mapInArrow(best, f"q_id {queries.schema['q_id'].dataType.simpleString()}, {key} {kind}, lexical double, vector double, score double, age double")
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("age").desc_nulls_first(), key))
+    with few_records(spark):
+        return cut(out.withColumn("__r", rank).where(F.col("__r") <= top).drop("__r", "age"))

@@ -23,17 +23,14 @@ vec AS (SELECT vec_id, max(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE
 s AS (SELECT doc_id, lexical, round(coalesce(v, 0.0), 6) AS vector FROM lex LEFT JOIN vec ON vec_id = doc_id)
 """
 
-#: The best 20 documents for each document whose id is divisible by 50, by its first 64 distinct tokens and its vector.
+#: The best 20 documents for each document whose id is divisible by 50, by all its tokens and its vector.
 _ALL = f"""
-WITH t AS (SELECT doc_id, text, {_TOKENS.format(x='text')} AS t FROM documents),
-o AS (SELECT doc_id AS q_id, tok, min(pos) AS pos FROM (
-  SELECT doc_id, unnest(w) AS tok, unnest(range(1, len(w) + 1)) AS pos FROM (
-    SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS w FROM documents WHERE doc_id % 50 = 0)) GROUP BY 1, 2),
-q AS (SELECT d.doc_id AS q_id, coalesce(list(tok) FILTER (WHERE tok IS NOT NULL), []) AS terms, any_value(embedding) AS q
-  FROM documents d LEFT JOIN (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY pos) <= 64) o ON o.q_id = d.doc_id LEFT JOIN embeddings ON vec_id = d.doc_id WHERE d.doc_id % 50 = 0 GROUP BY 1),
+WITH t AS (SELECT doc_id, {_TOKENS.format(x='text')} AS t FROM documents),
 v AS (SELECT vec_id, embedding AS e FROM embeddings),
-s AS (SELECT q_id, doc_id, CASE WHEN len(terms) = 0 THEN 0.0 ELSE round(len(list_intersect(t, terms)) / len(terms)::DOUBLE, 6) END AS lexical,
-  round(coalesce(list_cosine_similarity(q::DOUBLE[], e::DOUBLE[]), 0.0), 6) AS vector FROM q, t LEFT JOIN v ON vec_id = doc_id),
+q AS (SELECT doc_id AS q_id, t AS terms, e AS q FROM t LEFT JOIN v ON vec_id = doc_id WHERE doc_id % 50 = 0),
+o AS (SELECT q_id, doc_id, count(*) AS n FROM (SELECT q_id, unnest(terms) AS tok FROM q) JOIN (SELECT doc_id, unnest(t) AS tok FROM t) USING (tok) GROUP BY 1, 2),
+s AS (SELECT q_id, t.doc_id, CASE WHEN len(terms) = 0 THEN 0.0 ELSE round(coalesce(n, 0) / len(terms)::DOUBLE, 6) END AS lexical,
+  round(coalesce(list_cosine_similarity(q::DOUBLE[], e::DOUBLE[]), 0.0), 6) AS vector FROM q CROSS JOIN t LEFT JOIN o USING (q_id, doc_id) LEFT JOIN v ON vec_id = t.doc_id),
 r AS (SELECT *, round(lexical * W0 + vector * W1, 8) AS score FROM s)
 SELECT q_id, doc_id, lexical, vector, score FROM r QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) <= 20
 """
@@ -129,6 +126,29 @@ def bm25_query(spark, sf_dir):
     return bm25(table(spark, sf_dir, "documents"), ["the", "of"], key="doc_id", text="text").select("doc_id", F.round("score", 6).alias("score"))
 
 
+#: BM25 of each benchmark item's distinct tokens against every document in DuckDB.
+_RANKED = r"""
+WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS f FROM w GROUP BY 1, 2),
+z AS (SELECT doc_id, sum(f) AS size FROM f GROUP BY 1),
+m AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM w) / (SELECT count(*) FROM documents)::DOUBLE AS mean),
+i AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM f, m GROUP BY term, n),
+q AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, round(sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM q JOIN i USING (term) JOIN f USING (term) JOIN z USING (doc_id), m GROUP BY 1, 2)
+SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS place FROM s
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+
+@query("RT-03_bm25_postings", _RANKED)
+def bm25_postings(spark, sf_dir):
+    from palimpsest.operators.postings import build_postings, search_postings
+
+    index = build_postings(table(spark, sf_dir, "documents"), key="doc_id", text="text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("query"))
+    return search_postings(index, items, top=10, key="doc_id")[0].withColumnRenamed("q_id", "item_id")
+
+
 @query("RT-08_empty_query", "SELECT doc_id, 0.0::DOUBLE AS score FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
 def empty_query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
