@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +24,10 @@ def restricted_or_match(status: Column, match: Column) -> Column:
     return (status != "restricted") | match
 
 
-def bidirectional_prefix(values: Column, wanted: str) -> Column:
+def bidirectional_prefix(values: Column, wanted: Column | str) -> Column:
     """Some value begins with the wanted one, or the wanted one with it."""
-    return F.exists(values, lambda v: F.startswith(v, F.lit(wanted)) | F.startswith(F.lit(wanted), v))
+    w = F.lit(wanted)
+    return F.exists(values, lambda v: F.startswith(v, w) | F.startswith(w, v))
 
 
 def optional_equals(df: DataFrame, column: str, value: str) -> DataFrame:
@@ -76,3 +80,21 @@ def with_explicit(found: Column, explicit: dict[str, Column]) -> Column:
     """The filters of `question_filters`, each replaced by the value of `explicit` where that has one that isn't null."""
     names = (*STATED, "end_from", "end_to", "min_amount", "income_bracket_max", "region")
     return F.struct(*[(F.coalesce(explicit[k], found[k]) if k in explicit else found[k]).alias(k) for k in names])
+
+
+def stated(filters: Column, conditions: dict[str, Callable[[Column], Column]]) -> Column:
+    """Whether an item meets every filter that is stated; a filter without a condition filters nothing."""
+    met = [filters[name].isNull() | F.coalesce(condition(filters[name]), F.lit(False)) for name, condition in conditions.items()]
+    return reduce(lambda a, b: a & b, met, F.lit(True))
+
+
+def admitted(items: DataFrame, questions: DataFrame, filters: str, conditions: dict[str, Callable[[Column], Column]], group: str) -> tuple[DataFrame, DataFrame]:
+    """items and questions with the column `group`: a question's items are those of its group, which meet its filters.
+
+    Questions with equal filters are one group, so an item comes once for each set of filters that admits it, however many
+    questions state them. The filters' JSON is the group's name.
+    """
+    name = F.to_json(F.col(filters), {"ignoreNullFields": "false"}).alias(group)
+    asked = questions.select("*", name)
+    sets = asked.select(group, F.col(filters).alias("__filters")).dropDuplicates([group])
+    return items.join(sets, stated(F.col("__filters"), conditions)).drop("__filters"), asked

@@ -126,6 +126,58 @@ def bm25_query(spark, sf_dir):
     return bm25(table(spark, sf_dir, "documents"), ["the", "of"], key="doc_id", text="text").select("doc_id", F.round("score", 6).alias("score"))
 
 
+#: Questions of the customers whose key is divisible by 20, with words that items have, and the day they are asked.
+_QUESTION = "CASE (c_custkey // 20) % 4 WHEN 0 THEN '서울특별시 거주 대학생 등록금' WHEN 1 THEN '경상남도에 사는 석사, ' || CAST(1 + c_custkey % 50 AS {s}) || '만원 이상' WHEN 2 THEN '소득 ' || CAST(c_custkey % 10 AS {s}) || '구간 이하 이번 달 신청 가능' ELSE '' END || ' ' || CASE WHEN c_acctbal > 5000 THEN 'red ring promo' ELSE 'small widget' END"
+_TODAY = "1996-02-10"
+#: Items with what their children state: windows and amounts of their lines; levels, regions, brackets of themselves.
+_OFFERS = """
+SELECT p_partkey, p_name, p_type, CASE WHEN p_size % 9 > 0 THEN p_size END AS day, p_size % 2 = 1 AS for_levels, CASE WHEN p_size % 4 = 1 THEN 'graduate' ELSE 'undergraduate' END AS level,
+  CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN 'tuition' ELSE 'housing' END AS kind, p_size % 10 AS bracket, p_size % 3 = 0 AS for_regions, CASE WHEN p_partkey % 2 = 0 THEN '서울특별시' ELSE '경남 창원' END AS region,
+  first_end, ends, amount, open FROM part LEFT JOIN (
+    SELECT l_partkey, max(l_quantity) * 10000 AS amount, min(CAST(l_shipdate AS DATE)) AS first_end, max(CAST(l_shipdate AS DATE)) AS ends,
+      max(CASE WHEN l_shipdate <= {ts} '1996-02-10' AND l_shipdate >= {ts} '1995-02-10' THEN 1 ELSE 0 END) = 1 AS open FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey"""
+_QUESTIONS_SQL = f"""
+WITH q AS (SELECT c_custkey AS q_id, {_QUESTION.format(s='VARCHAR')} AS query, (c_custkey // 20) % 4 AS form, c_custkey, embedding AS q FROM customer LEFT JOIN embeddings ON vec_id = c_custkey WHERE c_custkey % 20 = 0),
+x AS ({_OFFERS.format(ts='TIMESTAMP')}),
+p AS (SELECT * FROM q JOIN x ON CASE form
+  WHEN 0 THEN (NOT for_levels OR level = 'undergraduate') AND kind = 'tuition' AND (NOT for_regions OR region LIKE '서울%' OR '서울' LIKE region || '%')
+  WHEN 1 THEN (NOT for_levels OR level = 'graduate') AND amount >= (1 + c_custkey % 50) * 10000 AND (NOT for_regions OR region LIKE '경남%' OR '경남' LIKE region || '%')
+  WHEN 2 THEN bracket <= c_custkey % 10 AND ends >= DATE '{_TODAY}' AND first_end <= DATE '1996-02-29' AND open ELSE true END),
+t AS (SELECT *, {_TOKENS.format(x='query')} AS qt, {_TOKENS.format(x="p_type || ' ' || p_name")} AS xt, {{grams_name}} AS a, {{grams_query}} AS b FROM p),
+s AS (SELECT q_id, p_partkey, day, round(greatest(len(list_intersect(qt, xt)) / len(qt)::DOUBLE, CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END), 6) AS lexical,
+  round(coalesce(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 0.0), 6) AS vector FROM t LEFT JOIN embeddings ON vec_id = p_partkey),
+r AS (SELECT *, round(lexical * 0.45 + vector * 0.55, 8) AS score FROM s)
+SELECT q_id, p_partkey, lexical, vector, score FROM r QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, day DESC NULLS FIRST, p_partkey) <= 10
+"""
+
+
+def _with_grams(sql):
+    from palimpsest.plans.joins import GRAMS
+
+    return sql.replace("{grams_name}", GRAMS.format(x="lower(p_name)")).replace("{grams_query}", GRAMS.format(x="lower(query)"))
+
+
+@query("FLT-14_question_search", _with_grams(_QUESTIONS_SQL))
+def question_search(spark, sf_dir):
+    from palimpsest.operators.predicates import admitted, bidirectional_prefix, question_filters, restricted_or_match
+
+    tables = {t: table(spark, sf_dir, t) for t in ("part", "lineitem")}
+    offers = spark.sql(_OFFERS.format(ts="TIMESTAMP").replace("FROM part", "FROM {part}").replace("FROM lineitem", "FROM {lineitem}"), **tables)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    question = F.expr(_QUESTION.format(s="STRING").replace("//", "div"))
+    asked = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("q_id"), question.alias("query"))
+    asked = asked.withColumn("filters", question_filters(F.col("query"), F.lit(_TODAY).cast("date")))
+    asked = asked.join(vectors.withColumnsRenamed({"vec_id": "q_id", "embedding": "vector"}), "q_id", "left")
+    rule = lambda restricted: F.when(F.col(restricted), "restricted").otherwise("unrestricted")
+    conditions = {
+        "student_type": lambda x: restricted_or_match(rule("for_levels"), F.col("level") == x), "benefit_type": lambda x: F.col("kind") == x,
+        "status": lambda x: F.col("open"), "end_from": lambda x: F.col("ends") >= x, "end_to": lambda x: F.col("first_end") <= x, "min_amount": lambda x: F.col("amount") >= x,
+        "income_bracket_max": lambda x: F.col("bracket") <= x, "region": lambda x: restricted_or_match(rule("for_regions"), bidirectional_prefix(F.array("region"), x)),
+    }
+    items, asked = admitted(offers.withColumn("text", F.concat_ws(" ", "p_type", "p_name")), asked, "filters", conditions, "admitted")
+    return search_all(asked, items, vectors, key="p_partkey", text="text", title="p_name", published="day", group="admitted", top=10)
+
+
 #: BM25 of each benchmark item's distinct tokens against every document in DuckDB.
 _RANKED = r"""
 WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents),

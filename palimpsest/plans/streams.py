@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from palimpsest.plans.registry import query
-from palimpsest.streaming.incremental import first_requests, missing_streaks, settle, stream_table, tumbling_counts
+from palimpsest.plans.registry import query, table
+from palimpsest.operators.lineage import shared_folder
+from palimpsest.streaming.incremental import feed_in_order, first_requests, missing_streaks, run_to_end, settle, stream_table, tumbling_counts
 
 
 @query("SM-15_stream_usage", "SELECT event_type, time_bucket(INTERVAL 1 MINUTE, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
@@ -26,3 +29,25 @@ SELECT user_id, coalesce(min(r) FILTER (WHERE NOT miss) - 1, count(*)) AS missin
 def stream_missing(spark, sf_dir):
     rows = stream_table(spark, sf_dir, "events").withColumn("seen", F.col("event_type") != "view")
     return settle(missing_streaks(rows, key="user_id", at="ts", tie="event_id", seen="seen"), ["user_id"])
+
+
+#: What an event is to its user's queue of jobs.
+KINDS = {"signup": "add", "click": "claim", "view": "beat", "purchase": "done", "error": "fail"}
+
+
+def queue_of_events(rows):
+    """The transitions of the queues of users: signups are jobs, urgent from 30 up; errors under 15 pass by themselves."""
+    from palimpsest.streaming.queue import queue_transitions
+
+    kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("event_type")]
+    flag = F.when(F.col("event_type") == "error", F.col("value") < 15).otherwise(F.col("value") >= 30)
+    return queue_transitions(rows, key="user_id", number="event_id", at="ts", kind=kind, flag=flag)
+
+
+@query("SM-01_stream_queue")
+def stream_queue(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    path = feed_in_order(events, at="ts", files=4)
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found = run_to_end(queue_of_events(rows), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+    return found.select("user_id", "job", F.timestamp_millis("at").alias("at"), "change", "attempt")

@@ -67,3 +67,31 @@ def settle(stream: DataFrame, keys: Sequence[str], *, mode: str = "update") -> D
     rows = spark.read.schema(schema).parquet(f"{out}/rows")
     others = [c for c in stream.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "__batch").alias("x")).select(*keys, "x.*") if others else rows.select(*keys).distinct()
+
+
+def feed_in_order(rows: DataFrame, *, at: str, files: int) -> str:
+    """A folder of the shared one with the rows in files of consecutive times, written one after another, as a feed comes.
+
+    Times are cut at quantiles, so that all rows of one moment are in one file.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    ends = rows.select(micros.alias("m")).agg(F.percentile_approx("m", [i / files for i in range(1, files)], 10_000)).first()[0] if files > 1 else []
+    cuts = [None, *sorted(set(ends or [])), None]
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        part = rows if low is None else rows.where(micros > low)
+        (part if high is None else part.where(micros <= high)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def run_to_end(stream: DataFrame, out: str) -> DataFrame:
+    """Run the stream over what there is, from its checkpoint under `out` if there is one, and give all that it ever told."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(*stream.columns)
