@@ -86,35 +86,36 @@ def follow_redirects(redirects: DataFrame, *, source: str, target: str, most: in
 
 
 def match_items(items: DataFrame, records: DataFrame) -> DataFrame:
-    """Match a notice's new items to its records, each record once, items in extraction order.
+    """(notice, pos, record, how): a notice's new items matched to its records, each record once, in the items' order.
 
-    items (notice, pos, name), records (notice, record, name). An item takes the one unclaimed record whose core name is
-    equal; a notice with one item and one record takes it, marked as renamed, when no name is equal. Groups are a
-    notice's own items, which a notice bounds.
-    """
-    import pandas as pd
+    items (notice, pos, name, mark), records (notice, record, name, mark, previous): mark is a `signature`; previous is the
+    number of items of the extraction that made the record's last version. An item takes the one record that no item before
+    it took and that `verdict` finds the same; several such leave it without one. If none is the same, a notice's only item
+    takes its only record, unless that is another edition or came from an extraction with more items: how is then slot, or
+    renamed where the verdict is different, which people have to see. how is null without a record.
 
+    The items of a notice, which a notice bounds, are folded in the JVM with the records taken so far as the state.
+    """
     from palimpsest.functions.edition import core_name
-
-    def matched(new: list, old: list) -> list[tuple]:
-        claimed, rows = set(), []
-        for item in sorted(new, key=lambda x: x["pos"]):
-            same = [r["record"] for r in old if r["core"] == item["core"] and r["record"] not in claimed]
-            how, record = ("same", same[0]) if len(same) == 1 else (None, None)
-            if record is None and len(new) == len(old) == 1:
-                how, record = "renamed", old[0]["record"]
-            claimed.add(record)
-            rows.append((item["pos"], record, how))
-        return rows
-
-    def run(batches):
-        for groups in batches:
-            rows = [(n, *row) for n, new, old in groups.itertuples(index=False, name=None) for row in matched(new, [] if old is None else list(old))]
-            yield pd.DataFrame(rows, columns=["notice", "pos", "record", "how"]).astype({"record": "Int64"})
-
-    def gathered(df: DataFrame, field: str, name: str) -> DataFrame:
-        fields = F.struct(field, core_name(F.col("name")).alias("core"))
-        return df.select("notice", fields.alias("x")).groupBy("notice").agg(F.array_sort(F.collect_list("x")).alias(name))
-
-    both = gathered(items, "pos", "new").join(gathered(records, "record", "old"), "notice", "left")
-    return both.select("notice", "new", "old").mapInPandas(run, "notice long, pos long, record long, how string")
+    from palimpsest.functions.text import name_similarity
+
+    side = lambda df, key, p, *more: df.select("notice", key, core_name(F.col("name")).alias(f"{p}_core"), F.col("mark").alias(p), *more)
+    pairs = side(items, "pos", "left").join(side(records, "record", "right", F.col("previous").cast("long").alias("previous")), "notice", "left")
+    ruled = F.when(F.col("record").isNotNull(), F.struct("record", verdict(name_similarity(F.col("left_core"), F.col("right_core")), "left", "right").alias("verdict"), "previous"))
+    each = pairs.groupBy("notice", "pos").agg(F.array_sort(F.collect_list(ruled)).alias("found"))
+    notices = each.groupBy("notice").agg(F.array_sort(F.collect_list(F.struct("pos", "found"))).alias("items"))
+    pos, record = items.schema["pos"].dataType.simpleString(), records.schema["record"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<{record}>").alias("taken"), F.array().cast(f"array<struct<pos:{pos},record:{record},how:string>>").alias("out"))
+
+    def step(state: Column, item: Column) -> Column:
+        found = item["found"]
+        free = F.filter(found, lambda r: ~F.array_contains(state["taken"], r["record"]))
+        same = F.filter(free, lambda r: r["verdict"] == "same")
+        only = F.try_element_at(found, F.lit(1))
+        slot = (F.size(same) == 0) & (F.size("items") == 1) & (F.size(found) == 1) & (F.size(free) == 1) & (only["verdict"] != "different_edition") & (only["previous"] == 1)
+        taken = F.when(F.size(same) == 1, F.try_element_at(same, F.lit(1))["record"]).when(slot, only["record"])
+        how = F.when(F.size(same) == 1, "same").when(slot, F.when(only["verdict"] == "different", "renamed").otherwise("slot"))
+        out = F.struct(item["pos"].alias("pos"), taken.alias("record"), how.alias("how"))
+        return F.struct(F.when(taken.isNull(), state["taken"]).otherwise(F.concat(state["taken"], F.array(taken))).alias("taken"), F.concat(state["out"], F.array(out)).alias("out"))
+
+    return notices.select("notice", F.explode(F.aggregate("items", start, step)["out"]).alias("x")).select("notice", "x.*")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import identity, integrity, records, resolution
 from palimpsest.operators.latest import effective_overrides
-from palimpsest.plans.joins import CANDIDATES, candidates
+from palimpsest.plans.joins import CANDIDATES, GRAMS, candidates
 from palimpsest.plans.registry import query, table
 
 
@@ -64,11 +64,43 @@ def proposals(spark, sf_dir):
     return identity.proposals(ruled, subject="subject", candidate="candidate").select("subject", "candidate", "verdict")
 
 
-@query("DM-04_match_items")
+#: Orders as names of items and records: most words are unlike, two contain one another, one is near a third.
+_WORDS = {"1-URGENT": "harbourgrant", "2-HIGH": "harbourgrants", "3-MEDIUM": "forestaward", "4-NOT SPECIFIED": "forestawards", "5-LOW": "harborgrants"}
+_NAMES = "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _WORDS.items()) + " END"
+
+
+@query("DM-04_match_items", f"""
+WITH RECURSIVE o AS (
+  SELECT o_custkey * 20 + month(o_orderdate) AS notice, o_orderkey AS k, o_orderstatus AS st, {_NAMES} AS name, CASE WHEN o_orderkey % 3 > 0 THEN year(o_orderdate) % 2 END AS y,
+    o_orderkey % 11 = 0 AS rd, 1 + o_orderkey % 5 // 4 AS previous FROM orders),
+i AS (SELECT *, row_number() OVER (PARTITION BY notice ORDER BY k) AS n, count(*) OVER (PARTITION BY notice) AS items FROM o WHERE st = 'O'),
+r AS (SELECT *, count(*) OVER (PARTITION BY notice) AS records FROM o WHERE st = 'F'),
+words AS (SELECT name, {GRAMS.format(x='name')} AS g FROM (SELECT DISTINCT name FROM o)),
+g AS (SELECT i.notice, i.n, r.k AS record, r.previous, records, i.y AS iy, r.y AS ry, i.rd AS ir, r.rd AS rr,
+  CASE WHEN i.name = r.name THEN 1.0 WHEN length(i.name) <> length(r.name) AND (contains(i.name, r.name) OR contains(r.name, i.name)) THEN 0.9
+    ELSE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE END AS score
+  FROM i JOIN r USING (notice) JOIN words a ON a.name = i.name JOIN words b ON b.name = r.name),
+v AS (SELECT notice, n, list({{'record': record, 'previous': previous, 'records': records, 'verdict': CASE WHEN score < 0.55 THEN 'different' WHEN iy <> ry THEN 'different_edition' WHEN ir <> rr THEN 'uncertain'
+  WHEN score >= 0.82 AND iy = ry THEN 'same' ELSE 'uncertain' END}}) AS found FROM g GROUP BY 1, 2),
+f AS (SELECT i.notice, i.n, i.k AS pos, i.items, coalesce(found, []) AS found FROM i LEFT JOIN v USING (notice, n)),
+w AS (
+  SELECT notice, 0 AS n, NULL::BIGINT AS pos, []::BIGINT[] AS taken, NULL::BIGINT AS record, NULL::VARCHAR AS how FROM (SELECT DISTINCT notice FROM i)
+  UNION ALL
+  SELECT notice, n, pos, CASE WHEN how IS NULL THEN taken ELSE list_append(taken, record) END, record, how FROM (
+    SELECT *, CASE WHEN len(same) = 1 THEN same[1].record WHEN slot THEN found[1].record END AS record,
+      CASE WHEN len(same) = 1 THEN 'same' WHEN slot THEN CASE WHEN found[1].verdict = 'different' THEN 'renamed' ELSE 'slot' END END AS how
+    FROM (SELECT *, coalesce(len(same) = 0 AND items = 1 AND len(found) = 1 AND NOT list_contains(taken, found[1].record) AND found[1].verdict <> 'different_edition' AND found[1].previous = 1, false) AS slot
+      FROM (SELECT f.notice, f.n, f.pos, f.items, f.found, w.taken, list_filter(f.found, lambda x: x.verdict = 'same' AND NOT list_contains(w.taken, x.record)) AS same FROM w JOIN f ON f.notice = w.notice AND f.n = w.n + 1))))
+SELECT notice, pos, record, how FROM w WHERE n > 0""")
 def match_items(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    records_ = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("notice"), F.col("o_orderkey").alias("record"), F.col("o_orderpriority").alias("name"))
-    items = orders.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("notice"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("name"))
+    year = F.when(F.col("o_orderkey") % 3 > 0, _strings(F.year("o_orderdate") % 2)).otherwise(_strings())
+    rounds = F.when(F.col("o_orderkey") % 11 == 0, _strings(F.lit("1"))).otherwise(_strings())
+    orders = table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") * 20 + F.month("o_orderdate")).alias("notice"), "o_orderkey", "o_orderstatus", F.expr(_NAMES).alias("name"), _signature("mark", F.lit(""), rounds, F.lit(None).cast("date")),
+        year.alias("year"), (1 + F.floor(F.col("o_orderkey") % 5 / 4)).alias("previous"))
+    orders = orders.withColumn("mark", F.col("mark").withField("fact_years", F.col("year")).withField("deadlines", F.array().cast("array<date>")))
+    records_ = orders.where("o_orderstatus = 'F'").withColumn("record", F.col("o_orderkey"))
+    items = orders.where("o_orderstatus = 'O'").withColumn("pos", F.col("o_orderkey"))
     return identity.match_items(items, records_)
 
 

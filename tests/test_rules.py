@@ -177,13 +177,6 @@ def test_verdicts(spark):
         assert df.select(identity.verdict(F.lit(score), "l", "r").alias("v")).first()["v"] == want, (score, a, b)
 
 
-def test_match_items(spark):
-    items = spark.createDataFrame([(1, 0, "희망장학금"), (1, 1, "희망장학금"), (1, 2, "새장학금"), (2, 0, "새이름")], "notice long, pos long, name string")
-    known = spark.createDataFrame([(1, 10, "희망 장학금"), (2, 20, "옛이름"), (3, 30, "x")], "notice long, record long, name string")
-    got = {(r.notice, r.pos): (r.record, r.how) for r in identity.match_items(items, known).collect()}
-    assert got == {(1, 0): (10, "same"), (1, 1): (None, None), (1, 2): (None, None), (2, 0): (20, "renamed")}
-
-
 def test_lifecycle_kinds(spark):
     state = "struct<redirect:long,active:boolean,version:long,is_split:boolean,change:string>"
     cases = [
@@ -230,11 +223,25 @@ def test_redirects(spark):
         identity.follow_redirects(spark.createDataFrame([(1, 2), (2, 1)], "k long, t long"), source="k", target="t", most=4)
 
 
-def test_match_items_claims_each_record_once(spark):
-    items = spark.createDataFrame([(1, 0, "희망장학금 2026년"), (1, 1, "희망 장학생"), (1, 2, "다른 장학금"), (2, 0, "새 이름"), (3, 0, "홀로")], "notice long, pos long, name string")
-    old = spark.createDataFrame([(1, 10, "2025년 희망장학금"), (1, 11, "셋째"), (2, 20, "옛 이름")], "notice long, record long, name string")
-    got = {(r.notice, r.pos): (r.record, r.how) for r in identity.match_items(items, old).collect()}
-    assert got == {(1, 0): (10, "same"), (1, 1): (None, None), (1, 2): (None, None), (2, 0): (20, "renamed"), (3, 0): (None, None)}
+def test_match_items(spark):
+    years = lambda *y: identity.signature(F.col("name"), fact_years=F.when(F.col("year").isNull(), F.array().cast("array<string>")).otherwise(F.array("year")))
+    cases = {
+        # items (name, year), records (name, year, items of the extraction before), what is taken
+        "each once": ([("희망장학금", "26"), ("희망장학금", "26")], [("희망 장학금", "26", 2)], [(0, "same"), None]),
+        "two the same": ([("희망장학금", "26")], [("희망장학금", "26", 1), ("희망 장학금", "26", 1)], [None]),
+        "the other is left": ([("희망장학금", "26"), ("희망장학금", "27"), ("희망장학금", "26")], [("희망장학금", "26", 3), ("희망장학금", "27", 3)], [(0, "same"), (1, "same"), None]),
+        "name without anchor": ([("희망장학금", None)], [("희망장학금", None, 1)], [(0, "slot")]),
+        "renamed": ([("새이름", None)], [("옛장학금", None, 1)], [(0, "renamed")]),
+        "other edition": ([("희망장학금", "26")], [("희망장학금", "25", 1)], [None]),
+        "more items before": ([("새이름", None)], [("옛장학금", None, 2)], [None]), "unknown before": ([("새이름", None)], [("옛장학금", None, None)], [None]),
+        "more items now": ([("새이름", None), ("둘째", None)], [("옛장학금", None, 1)], [None, None]), "no record": ([("홀로", None)], [], [None]),
+    }
+    items = [(i, pos, *x) for i, (new, _, _) in enumerate(cases.values()) for pos, x in enumerate(new)]
+    known = [(i, 100 * i + j, *x) for i, (_, old, _) in enumerate(cases.values()) for j, x in enumerate(old)]
+    left = spark.createDataFrame(items, "notice long, pos long, name string, year string").withColumn("mark", years())
+    right = spark.createDataFrame(known, "notice long, record long, name string, year string, previous long").withColumn("mark", years())
+    got = {(r.notice, r.pos): (r.record - 100 * r.notice, r.how) if r.how else None for r in identity.match_items(left, right).collect()}
+    assert got == {(i, pos): x for i, (_, _, want) in enumerate(cases.values()) for pos, x in enumerate(want)}
 
 
 def test_container_formats(spark):
