@@ -366,6 +366,30 @@ def rewritten_rows(spark, sf_dir):
     return integrity.rewritten(orders, after, "o_orderkey", ["o_custkey", "o_totalprice", "o_orderstatus"])
 
 
+#: Orders a day later: some are gone, some have another price or customer, some are new. Orders of 1996 and before are sealed.
+_LATER = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 83 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 89 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, sealed FROM {o}
+WHERE o_orderkey % 97 <> 0 OR o_orderkey > {most} / 2 UNION ALL SELECT o_orderkey + 10000000, o_custkey, o_totalprice, sealed FROM {o} WHERE o_orderkey % 101 = 0"""
+_SEALED = "SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN year(o_orderdate) <= 1996 THEN o_orderdate END AS sealed FROM {orders}"
+
+
+@query("DM-28_guards", f"""
+WITH b AS ({_SEALED.format(orders="orders")}), m AS (SELECT max(o_orderkey) AS most FROM b), a AS ({_LATER.format(o="b", most="(SELECT most FROM m)")}),
+c AS (SELECT coalesce(b.o_orderkey, a.o_orderkey) AS key, CASE WHEN b.o_orderkey IS NULL THEN 'added' WHEN a.o_orderkey IS NULL THEN 'deleted' ELSE 'changed' END AS how, b.sealed, b.o_custkey AS bc, a.o_custkey AS ac
+  FROM b FULL JOIN a ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_custkey <> b.o_custkey OR a.o_totalprice <> b.o_totalprice),
+f AS (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)
+SELECT 'append_only' AS rule, key, how FROM c WHERE how <> 'added' UNION ALL SELECT 'sealed', key, how FROM c WHERE how <> 'added' AND sealed IS NOT NULL
+UNION ALL SELECT 'identity', key, how FROM c WHERE how = 'changed' AND bc <> ac UNION ALL SELECT 'frozen_child', key, how FROM c WHERE bc IN (FROM f) OR ac IN (FROM f)""")
+def guards(spark, sf_dir):
+    from palimpsest.operators.snapshots import changes, guard_violations, write_snapshot
+
+    before = spark.sql(_SEALED, orders=table(spark, sf_dir, "orders"))
+    after = spark.sql(_LATER.replace("{most}", "(SELECT max(o_orderkey) FROM {o})"), o=before)
+    found = changes(spark, *[write_snapshot(df, key="o_orderkey") for df in (before, after)])
+    finalized = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("id"))
+    return guard_violations(found, append_only=True, sealed="sealed", identity=["o_custkey"], parent="o_custkey", finalized=finalized)
+
+
 @query("DM-29_pointer_guard", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
 def pointer_guard(spark, sf_dir):
     return integrity.orphans(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier").where("s_acctbal > 0"), "l_suppkey", "s_suppkey").select("l_orderkey", "l_partkey")
