@@ -4,9 +4,10 @@ A-Z are lower-cased; words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. An item'
 item of fewer words, but not none, is one window. A hash hit is verified word by word before it counts.
 
 Size. Items are broadcast only in blocks of about `block_bytes` of text, in arrays: the text once, and 17 bytes for each
-window, of which a byte of text gives half a one at most; so a block takes some 12 times its bytes and no more, in the
-driver and in each task. A larger benchmark is scanned block by block: each is one more pass over the same rows, without a
-shuffle.
+window, of which a byte of text gives half a one at most; so a block takes some 12 times its bytes in the driver and in each
+task, whose one worker has it. A larger benchmark is scanned block by block, without a shuffle: each block is one more pass
+over the same rows, whose results are written before the next block is made, so that no stage and no driver ever has two
+blocks. An item is never divided: a block is larger by its longest item at most.
 Cases. A null or empty text has no words, hence no hits; a null or wordless item matches nothing; items with equal
 windows are all named; repeated documents are judged each; items whose id is null are not named but their words count.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 
 from palimpsest.llm import scan
-from palimpsest.llm.common import add_columns, col, without
+from palimpsest.llm.common import add_columns, col, cut, without
 
 WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 BLOCK_BYTES = 16 << 20
@@ -158,6 +159,9 @@ def find_contamination(
         else:
             before = found.select("*", *[col(f.name).alias(f"__{f.name}") for f in fields])
             found = _merge(add_columns(before, text, fields, lambda w=windows: _scanner(w.value)), prefix)
+        if n_blocks > 1:
+            found = cut(found)
+            windows.destroy()
     return found
 
 
