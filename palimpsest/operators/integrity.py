@@ -35,3 +35,21 @@ def rewritten(before: DataFrame, after: DataFrame, key: str, frozen: Sequence[st
     both = mark(before).withColumnRenamed("h", "__b").join(mark(after).withColumnRenamed("h", "__a"), key, "left")
     how = F.when(F.col("__a").isNull(), "deleted").when(F.col("__a") != F.col("__b"), "changed")
     return both.select(key, how.alias("how")).where("how IS NOT NULL")
+
+
+def unfounded_revalidations(fetches: DataFrame, *, key: str, reuses: str, same: Sequence[str], outcome: str, started: str, finished: str) -> DataFrame:
+    """Fetches that say `not_modified` without a successful one of the same resource before them.
+
+    The fetch that they name has to agree in the columns `same`, to be received or itself confirmed, and to have finished when
+    they started. An unknown value agrees with none.
+    """
+    earlier = fetches.where(F.col(outcome).isin("received", "not_modified"))
+    earlier = earlier.select(F.col(key).alias("__key"), F.col(finished).alias("__at"), *[F.col(c).alias(f"__{c}") for c in same])
+    fits = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{c}") for c in same], (F.col(reuses) == F.col("__key")) & (F.col("__at") <= F.col(started)))
+    return fetches.where(F.col(outcome) == "not_modified").join(earlier, fits, "left_anti")
+
+
+def foreign_blocks(links: DataFrame, chunks: DataFrame, blocks: DataFrame, *, chunk: str, block: str, document: str) -> DataFrame:
+    """(chunk, foreign_blocks): chunks with blocks of another document than their own, and how many; links (chunk, block)."""
+    owned = links.join(chunks.select(chunk, F.col(document).alias("__own")), chunk).join(blocks.select(block, F.col(document).alias("__of")), block)
+    return owned.where(F.col("__own") != F.col("__of")).groupBy(chunk).agg(F.countDistinct(block).alias("foreign_blocks"))

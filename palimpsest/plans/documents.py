@@ -117,6 +117,23 @@ def later_pages_win(spark, sf_dir):
     return rows.groupBy("article").agg(F.max_by("event_type", F.struct("page", "event_id")).alias("title"))
 
 
+@query("SRC-02_paged_crawl", """
+WITH l AS (SELECT 1 + page_id // 40 AS page, page_id % 170 AS article, url FROM pages WHERE 1 + page_id // 40 <> 2)
+SELECT CAST(page AS INT) AS page, article, url AS title, NULL AS error FROM l QUALIFY row_number() OVER (PARTITION BY article ORDER BY page DESC, url DESC) = 1 UNION ALL SELECT 2, NULL, NULL, 'missing'""")
+def paged_crawl(spark, sf_dir):
+    import uuid
+
+    from palimpsest.operators.lineage import shared_folder
+    from palimpsest.sources import paged
+
+    # The saved list: 40 entries a page, the second page lost, and articles that come again on later pages.
+    rows = table(spark, sf_dir, "pages").select((1 + F.floor(F.col("page_id") / 40)).cast("int").alias("page"), (F.col("page_id") % 170).alias("article"), F.col("url").alias("title"))
+    path = f"{shared_folder(spark)}/list-{uuid.uuid4().hex}"
+    total = F.broadcast(rows.agg(F.max("page").alias("total_pages")))  # one row
+    rows.crossJoin(total).where("page <> 2").repartition("page").write.partitionBy("page").json(path)
+    return paged.later_pages_win(paged.crawl(spark, path), key="article").select("page", "article", "title", "error")
+
+
 @query("DOC-04_list_items")
 def list_items(spark, sf_dir):
     rows = _pages(spark, sf_dir).select("page_id", html.html_list("html").alias("l"))

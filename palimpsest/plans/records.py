@@ -153,6 +153,44 @@ def evidence_rows(spark, sf_dir):
     return rows.select("event_id", "f.path", F.when(F.col("f.state") == "conflict", "conflicting").otherwise("candidate").alias("status"), F.element_at("f.quotes", 1).alias("quote"))
 
 
+#: Orders as extracted trees: a fact, and for each line a fact within a window, an object with evidence, and one without.
+_TREE_ROWS = """
+WITH l AS (SELECT l_orderkey, n - 1 AS i, l_suppkey, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM (
+  SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem))),
+r AS (
+  SELECT o_orderkey, '/name' AS path, 0 AS pos, 's' || o_custkey % 20 AS block_id, o_orderpriority AS quote, CASE WHEN o_orderkey % 4 = 0 THEN 'inferred' ELSE 'direct' END AS kind,
+    '"' || o_orderpriority || '"' AS value, CASE WHEN o_orderstatus = 'F' THEN 'conflict' ELSE 'stated' END AS state FROM orders
+  UNION ALL SELECT l_orderkey, '/windows/' || i || '/end', 0, 's' || l_suppkey, 'q' || l_partkey, 'direct', '' || l_partkey, CASE WHEN l_partkey % 7 = 0 THEN 'conflict' ELSE 'stated' END FROM l JOIN orders ON l_orderkey = o_orderkey
+  UNION ALL SELECT l_orderkey, '/windows/' || i || '/end', 1, 's' || (l_suppkey + 1), 'second', 'inferred', '' || l_partkey, CASE WHEN l_partkey % 7 = 0 THEN 'conflict' ELSE 'stated' END FROM l JOIN orders ON l_orderkey = o_orderkey
+  UNION ALL SELECT l_orderkey, '/windows/' || i || '/benefit', 0, 's' || l_suppkey, 'benefit', 'direct', '{"kind": "line"}', 'stated' FROM l JOIN orders ON l_orderkey = o_orderkey)
+SELECT o_orderkey, s_nationkey AS document, r.block_id, path, value, quote, kind,
+  CASE WHEN state = 'conflict' THEN 'conflicting' WHEN pending THEN 'candidate' ELSE 'accepted' END AS status, CASE WHEN pending THEN 'pending' ELSE 'verified' END AS verification
+FROM (SELECT *, kind = 'inferred' OR (path = '/windows/1/end' AND pos = 0) AS pending FROM r) r JOIN (SELECT 's' || s_suppkey AS block_id, s_nationkey FROM supplier WHERE s_acctbal > 0) USING (block_id)"""
+
+
+@query("DM-10_evidence_tree", _TREE_ROWS)
+def evidence_tree(spark, sf_dir):
+    from palimpsest.operators.evidence import evidence_rows as rows_of
+
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    ref = lambda block, quote, kind: F.struct(block.alias("block_id"), quote.alias("quote"), kind.alias("evidence_type"))
+    direct, x = F.lit("direct"), F.col
+    state = F.when(x("l_partkey") % 7 == 0, "conflict").otherwise("stated")
+    end = F.struct(x("l_partkey").alias("value"), state.alias("state"), F.array(ref(text("s", x("l_suppkey")), text("q", x("l_partkey")), direct), ref(text("s", x("l_suppkey") + 1), F.lit("second"), F.lit("inferred"))).alias("evidence"))
+    benefit = F.struct(F.lit("line").alias("kind"), F.array(ref(text("s", x("l_suppkey")), F.lit("benefit"), direct)).alias("evidence"))
+    window = F.struct(*[F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")], end.alias("end"), benefit.alias("benefit"), F.struct(F.struct(F.lit("unknown").alias("state")).alias("deep")).alias("rule"))
+    windows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(window)).alias("w"))
+    kept = F.transform("w", lambda w: F.struct(w["end"].alias("end"), w["benefit"].alias("benefit"), w["rule"].alias("rule")))
+    kind = F.when(x("o_orderkey") % 4 == 0, "inferred").otherwise("direct")
+    name = F.struct(x("o_orderpriority").alias("value"), F.when(x("o_orderstatus") == "F", "conflict").otherwise("stated").alias("state"), F.array(ref(text("s", x("o_custkey") % 20), x("o_orderpriority"), kind)).alias("evidence"))
+    orders = table(spark, sf_dir, "orders").join(windows, x("l_orderkey") == x("o_orderkey"), "left")
+    trees = orders.select("o_orderkey", F.to_json(F.struct(name.alias("name"), kept.alias("windows"))).alias("tree"))
+    blocks = orders.select("o_orderkey", F.explode(F.array_distinct(F.concat(F.array(x("o_custkey") % 20), F.flatten(F.transform(F.coalesce("w", F.array()), lambda w: F.array(w["l_suppkey"], w["l_suppkey"] + 1)))))).alias("s"))
+    blocks = blocks.join(table(spark, sf_dir, "supplier").where("s_acctbal > 0"), x("s") == x("s_suppkey")).select("o_orderkey", text("s", x("s")).alias("block_id"), x("s_nationkey").alias("document"))
+    warned = orders.select("o_orderkey", F.lit("/windows/1/end/evidence/0: the quote isn't there").alias("warning"))
+    return rows_of(trees, blocks, warned, key="o_orderkey", tree="tree")
+
+
 @query("DM-11_evidence_validation", r"""
 SELECT d.doc_id, contains(regexp_replace(text, '\s+', '', 'g'), regexp_replace(split_part(text, '.', 1), '\s+', '', 'g')) AS valid FROM documents d""")
 def evidence_validation(spark, sf_dir):
@@ -395,6 +433,31 @@ def pointer_guard(spark, sf_dir):
     return integrity.orphans(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier").where("s_acctbal > 0"), "l_suppkey", "s_suppkey").select("l_orderkey", "l_partkey")
 
 
+#: Fetches: each event of a user and type; views say that nothing changed since the event `k` before them.
+_FETCHES = """
+SELECT event_id, user_id, event_type = 'view' AS unchanged, CASE WHEN event_type = 'view' THEN event_id - {k} END AS reuses, user_id % 3 AS asset, CASE WHEN value < 30 THEN 'received' ELSE 'failed' END AS got, ts FROM {events}"""
+
+
+@query("DM-29_revalidation", f"""
+WITH f AS ({_FETCHES.format(events='events', k="CAST(json_extract_string(props, '$.k') AS BIGINT) % 5")})
+SELECT event_id FROM f WHERE unchanged AND NOT EXISTS (SELECT 1 FROM f p WHERE p.event_id = f.reuses AND p.user_id % 4 = f.user_id % 4 AND p.asset = f.asset AND (p.unchanged OR p.got = 'received') AND p.ts <= f.ts)""")
+def revalidation(spark, sf_dir):
+    fetches = spark.sql(_FETCHES.replace("{k}", "CAST(get_json_object(props, '$.k') AS BIGINT) % 5"), events=table(spark, sf_dir, "events"))
+    outcome = F.when(F.col("unchanged"), "not_modified").otherwise(F.col("got"))
+    rows = fetches.select("event_id", "reuses", (F.col("user_id") % 4).alias("resource"), "asset", outcome.alias("outcome"), "ts")
+    return integrity.unfounded_revalidations(rows, key="event_id", reuses="reuses", same=["resource", "asset"], outcome="outcome", started="ts", finished="ts").select("event_id")
+
+
+@query("DM-29_chunk_provenance", """
+WITH s AS (SELECT l_orderkey AS chunk, l_partkey % 50 AS block, o_custkey % 10 AS document FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT chunk, count(DISTINCT block) AS foreign_blocks FROM s WHERE block % 10 <> document GROUP BY chunk""")
+def chunk_provenance(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk"), (F.col("l_partkey") % 50).alias("block"))
+    chunks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk"), (F.col("o_custkey") % 10).alias("document"))
+    blocks = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("block")).distinct().withColumn("document", F.col("block") % 10)
+    return integrity.foreign_blocks(lines, chunks, blocks, chunk="chunk", block="block", document="document")
+
+
 @query("DM-31_unprocessed", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label > 2)")
 def unprocessed(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
@@ -434,6 +497,20 @@ def dashboard(spark, sf_dir):
     return joined.groupBy("n_name").agg(F.countDistinct("c_custkey").alias("customers"), F.count("o_orderkey").alias("orders"), F.count(F.when(F.col("o_orderstatus") == "O", F.col("o_orderkey"))).alias("open"))
 
 
+@query("DM-35_three_dashboards", """
+SELECT 'funnel' AS panel, NULL AS label, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus
+UNION ALL SELECT 'queue', event_type, CASE WHEN value < 10 THEN 'waiting' WHEN value < 20 THEN 'running' ELSE 'failed' END, count(*) FROM events GROUP BY 2, 3
+UNION ALL SELECT 'reviews', CAST(quality AS VARCHAR), NULL, count(*) FROM labels WHERE toxic = 0 GROUP BY quality""")
+def three_dashboards(spark, sf_dir):
+    from palimpsest.operators.dashboards import dashboards, typed
+
+    at = F.when(F.col("value") < 10, "waiting").when(F.col("value") < 20, "running").otherwise("failed")
+    facts = typed(table(spark, sf_dir, "orders"), "notice", kind=F.col("o_orderpriority"), status=F.col("o_orderstatus"))
+    facts = facts.unionByName(typed(table(spark, sf_dir, "events"), "job", kind=F.col("event_type"), status=at))
+    facts = facts.unionByName(typed(table(spark, sf_dir, "labels"), "review", kind=F.col("quality"), status=F.when(F.col("toxic") == 0, "open").otherwise("done")))
+    return dashboards(facts, {"funnel": ("notice", "status", ()), "queue": ("job", "both", ()), "reviews": ("review", "kind", ("open",))})
+
+
 @query("DM-16_apply_revision", """
 SELECT l_orderkey, l_partkey, l_suppkey, l_orderkey + 1000000 AS version, CASE WHEN n IS NOT NULL THEN n ELSE q END AS quantity, n IS NOT NULL AS revised
 FROM (SELECT l_orderkey, l_partkey, l_suppkey, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2, 3)
