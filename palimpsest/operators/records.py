@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Kinds of window that students apply in.
@@ -108,3 +109,54 @@ def apply_revision(base: DataFrame, patches: DataFrame, *, version: str, new_ver
     both = base.join(patch, list(key), "left")
     revised = F.coalesce(F.col("__has"), F.lit(False))
     return both.withColumns({version: new_version, value: F.when(revised, F.col("__new")).otherwise(F.col(value)), "revised": revised}).select(*base.columns, "revised")
+
+
+#: Fixed value: the title of a version whose name wasn't found.
+UNTITLED = "제목 확인 필요"
+
+
+def assemble_versions(drafts: DataFrame, versions: DataFrame) -> DataFrame:
+    """The version rows that drafts add to their records' histories; the caller appends them.
+
+    drafts: record, pos (order within the extraction), name, provenance (array of flags), warnings (array), conflict, coverage,
+    selected, nominated (numbers), benefits and conditions (arrays of texts). versions: record, version_no. A record's drafts
+    follow its last version and each other. Result: record, pos, version_no, supersedes, edit_kind, title, quality,
+    quality_flags, capacity, capacity_scope, support_summary, eligibility_summary. The final selection's number goes before
+    the university's nomination; a negative one leaves its scope without a capacity. Empty parts of a summary are left out,
+    and it is null if none is left.
+    """
+    last = versions.groupBy("record").agg(F.max("version_no").alias("__last"))
+    place = F.row_number().over(Window.partitionBy("record").orderBy("pos"))
+    before = F.coalesce("__last", F.lit(0)) + place - 1
+    flags = F.concat(F.coalesce("warnings", F.array().cast("array<string>")), F.when(F.coalesce("conflict", F.lit(False)), F.array(F.lit("field_conflict"))).otherwise(F.array().cast("array<string>")))
+    provenance = F.coalesce("provenance", F.array().cast("array<string>"))
+    state = quality(F.size("warnings"), F.coalesce("conflict", F.lit(False)), F.coalesce("coverage", F.lit("unknown")), F.size(provenance) > 0)
+    number = F.coalesce("selected", "nominated")
+    scope = F.when(F.col("selected").isNotNull(), "final_selection").when(F.col("nominated").isNotNull(), "university_nomination")
+    joined = lambda c, by: F.nullif(F.array_join(F.filter(c, lambda x: F.coalesce(x, F.lit("")) != ""), by), F.lit(""))
+    rows = drafts.withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>"))).join(last, "record", "left").withColumn("__before", before)
+    return rows.select(
+        "record", "pos", (F.col("__before") + 1).alias("version_no"), F.nullif(F.col("__before"), F.lit(0)).alias("supersedes"),
+        F.when(F.col("__before") == 0, "initial").otherwise("in_place_edit").alias("edit_kind"), F.coalesce(F.nullif(F.col("name"), F.lit("")), F.lit(UNTITLED)).alias("title"), state.alias("quality"),
+        F.when(state == "partial", F.concat(flags, provenance)).otherwise(flags).alias("quality_flags"), F.when(number >= 0, number).alias("capacity"), scope.alias("capacity_scope"),
+        joined("benefits", "; ").alias("support_summary"), joined("conditions", "\n").alias("eligibility_summary"))
+
+
+def resolve_subjects(audit: DataFrame, kinds: dict[str, tuple[DataFrame | None, Column | None, Column]], *, kind: str, entity: str) -> DataFrame:
+    """audit with link and subject: what a row's (kind, entity) names, by one join over the subjects of all kinds.
+
+    kinds: kind -> (rows, title, link). rows have `id`, title and link are columns over them. Rows of None make a kind
+    without a table: its link is the same for all, and its subject is the entity itself where title isn't None. An entity that
+    isn't there, or a kind that isn't known, has neither; a kind's own link is kept for an entity that isn't there only if
+    it doesn't depend on the rows.
+    """
+    parts = [rows.select(F.lit(name).alias("__kind"), F.col("id").cast("string").alias("__id"), title.cast("string").alias("subject"), link.cast("string").alias("link"))
+             for name, (rows, title, link) in kinds.items() if rows is not None]
+    found = audit.join(reduce(DataFrame.unionByName, parts), (F.col(kind) == F.col("__kind")) & (F.col(entity).cast("string") == F.col("__id")), "left")
+    plain = {name: (title, link) for name, (rows, title, link) in kinds.items() if rows is None}
+    subject, link = F.col("subject"), F.col("link")
+    for name, (title, its) in plain.items():
+        link = F.when(F.col(kind) == name, its).otherwise(link)
+        if title is not None:
+            subject = F.when(F.col(kind) == name, title).otherwise(subject)
+    return found.select(*[F.col(c) for c in audit.columns], link.alias("link"), subject.alias("subject"))

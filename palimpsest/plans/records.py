@@ -111,6 +111,33 @@ def version_rows(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.coalesce(best("A"), best("N")).alias("capacity"), F.count("*").alias("n_windows"))
 
 
+@query("DM-05_assembled_versions", """
+WITH d AS (SELECT DISTINCT o_custkey AS record, o_orderkey AS pos, CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END AS name, o_orderkey % 5 = 0 AS warned, o_orderkey % 11 = 0 AS conflict,
+    CASE WHEN o_orderstatus = 'P' THEN 'partial' ELSE 'complete' END AS coverage, o_orderkey % 3 = 0 AS unsure, s.n AS selected, m.n AS nominated, o_orderpriority AS p FROM orders
+  LEFT JOIN (SELECT l_orderkey, max(CAST(l_quantity AS BIGINT)) - 25 AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) s ON s.l_orderkey = o_orderkey
+  LEFT JOIN (SELECT l_orderkey, max(CAST(l_quantity AS BIGINT)) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1) m ON m.l_orderkey = o_orderkey WHERE o_orderstatus <> 'F'),
+v AS (SELECT o_custkey AS record, count(*) AS last FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+n AS (SELECT d.*, coalesce(last, 0) + row_number() OVER (PARTITION BY d.record ORDER BY pos) - 1 AS prev FROM d LEFT JOIN v USING (record)),
+q AS (SELECT *, CASE WHEN warned OR conflict OR coverage <> 'complete' THEN 'needs_review' WHEN unsure THEN 'partial' ELSE 'complete' END AS quality FROM n)
+SELECT record, pos, prev + 1 AS version_no, nullif(prev, 0) AS supersedes, CASE WHEN prev = 0 THEN 'initial' ELSE 'in_place_edit' END AS edit_kind, coalesce(name, '제목 확인 필요') AS title, quality,
+  array_to_string(list_filter([CASE WHEN warned THEN 'w' END, CASE WHEN conflict THEN 'field_conflict' END, CASE WHEN quality = 'partial' THEN 'asset_collection_incomplete' END], lambda x: x IS NOT NULL), ',') AS quality_flags,
+  CASE WHEN coalesce(selected, nominated) >= 0 THEN coalesce(selected, nominated) END AS capacity, CASE WHEN selected IS NOT NULL THEN 'final_selection' WHEN nominated IS NOT NULL THEN 'university_nomination' END AS capacity_scope,
+  'a; ' || p AS support_summary, CASE WHEN pos % 2 = 0 THEN p || chr(10) || 'b' END AS eligibility_summary FROM q""")
+def assembled_versions(spark, sf_dir):
+    orders, x = table(spark, sf_dir, "orders"), F.col
+    most = lambda flag, name: table(spark, sf_dir, "lineitem").where(x("l_returnflag") == flag).groupBy(x("l_orderkey").alias("o_orderkey")).agg(F.max(x("l_quantity").cast("long")).alias(name))
+    drafts = orders.where("o_orderstatus <> 'F'").join(most("A", "selected"), "o_orderkey", "left").join(most("N", "nominated"), "o_orderkey", "left")
+    some = lambda when, *values: F.when(when, _strings(*map(F.lit, values))).otherwise(_strings())
+    drafts = drafts.select(
+        x("o_custkey").alias("record"), x("o_orderkey").alias("pos"), F.when(x("o_orderkey") % 7 > 0, x("o_orderpriority")).alias("name"), some(x("o_orderkey") % 5 == 0, "w").alias("warnings"),
+        (x("o_orderkey") % 11 == 0).alias("conflict"), F.when(x("o_orderstatus") == "P", "partial").otherwise("complete").alias("coverage"), some(x("o_orderkey") % 3 == 0, "asset_collection_incomplete").alias("provenance"),
+        (x("selected") - 25).alias("selected"), "nominated", _strings(F.lit("a"), F.lit(None), x("o_orderpriority")).alias("benefits"),
+        F.when(x("o_orderkey") % 2 == 0, _strings(x("o_orderpriority"), F.lit(""), F.lit("b"))).otherwise(_strings()).alias("conditions"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    versions = orders.where("o_orderstatus = 'F'").select(x("o_custkey").alias("record"), place.alias("version_no"))
+    return records.assemble_versions(drafts, versions).withColumn("quality_flags", F.array_join("quality_flags", ","))
+
+
 @query("DM-06_quality_ladder", """
 SELECT l_orderkey, CASE WHEN count(*) FILTER (WHERE l_quantity > 48) > 0 OR bool_or(l_returnflag = 'R') THEN 'needs_review' WHEN bool_or(l_linestatus = 'O') THEN 'partial' ELSE 'complete' END AS quality FROM lineitem GROUP BY l_orderkey""")
 def quality_ladder(spark, sf_dir):
@@ -488,6 +515,37 @@ def audit_subjects(spark, sf_dir):
     return c.unionByName(s)
 
 
+#: Audit rows of eleven kinds, some of entities that aren't there or have no number.
+_AUDIT = """
+SELECT event_id, ['customer', 'supplier', 'part', 'order', 'nation', 'region', 'document', 'page', 'setting', 'job', 'unknown'][{first} + event_id % 11] AS kind,
+  CASE WHEN event_id % 13 = 0 THEN 'x' || user_id ELSE '' || user_id END AS entity FROM events"""
+
+
+@query("DM-34_subjects_of_all_kinds", f"""
+WITH a AS ({_AUDIT.format(first=1)}), s AS (
+  SELECT 'customer' AS kind, c_custkey AS id, c_name AS subject, '/customers/' || c_custkey AS link FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name, '/suppliers/' || s_suppkey FROM supplier
+  UNION ALL SELECT 'part', p_partkey, p_name, '/brands/' || p_brand FROM part UNION ALL SELECT 'order', o_orderkey, o_orderpriority, '/customers/' || o_custkey FROM orders
+  UNION ALL SELECT 'nation', n_nationkey, n_name, '/nations' FROM nation UNION ALL SELECT 'region', r_regionkey, r_name, '/regions' FROM region
+  UNION ALL SELECT 'document', doc_id, source, '/documents/' || doc_id FROM documents UNION ALL SELECT 'page', page_id, url, '/pages/' || page_id FROM pages)
+SELECT event_id, a.kind, entity, CASE a.kind WHEN 'setting' THEN '/settings' WHEN 'job' THEN '/jobs' ELSE link END AS link, CASE WHEN a.kind = 'setting' THEN entity ELSE subject END AS subject
+FROM a LEFT JOIN s ON s.kind = a.kind AND s.id::VARCHAR = entity""")
+def subjects_of_all_kinds(spark, sf_dir):
+    rows = lambda name, key: table(spark, sf_dir, name).withColumn("id", F.col(key))
+    to = lambda where, key="id": F.concat(F.lit(f"/{where}/"), F.col(key).cast("string"))
+    kinds = {
+        "customer": (rows("customer", "c_custkey"), F.col("c_name"), to("customers")), "supplier": (rows("supplier", "s_suppkey"), F.col("s_name"), to("suppliers")),
+        "part": (rows("part", "p_partkey"), F.col("p_name"), to("brands", "p_brand")), "order": (rows("orders", "o_orderkey"), F.col("o_orderpriority"), to("customers", "o_custkey")),
+        "nation": (rows("nation", "n_nationkey"), F.col("n_name"), F.lit("/nations")), "region": (rows("region", "r_regionkey"), F.col("r_name"), F.lit("/regions")),
+        "document": (rows("documents", "doc_id"), F.col("source"), to("documents")), "page": (rows("pages", "page_id"), F.col("url"), to("pages")),
+        "setting": (None, F.col("entity"), F.lit("/settings")), "job": (None, None, F.lit("/jobs")),
+    }
+    names = [*kinds, "unknown"]
+    kind = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 11 + 1).cast("int"))
+    entity = F.concat(F.when(F.col("event_id") % 13 == 0, "x").otherwise(""), F.col("user_id").cast("string"))
+    audit = table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), entity.alias("entity"))
+    return records.resolve_subjects(audit, kinds, kind="kind", entity="entity")
+
+
 @query("DM-35_dashboard", """
 SELECT n_name, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders, count(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS open FROM nation
 LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name""")

@@ -235,11 +235,18 @@ def search_debug(spark, sf_dir):
     return docs.join(near, "doc_id", "left").select("doc_id", "lexical", F.round(F.coalesce("v", F.lit(0.0)), 6).alias("vector"))
 
 
-@query("RT-13_hash_embedding")
+@query("RT-13_hash_embedding", r"""
+WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS token FROM documents),
+h AS (SELECT doc_id, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) AS h FROM t),
+s AS (SELECT doc_id, (h >> 1) % 64 AS at_, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM h GROUP BY 1, 2),
+n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM s GROUP BY 1),
+g AS (SELECT doc_id, unnest(range(64)) AS at_ FROM documents)
+SELECT doc_id, list(CASE WHEN n > 0 THEN round(coalesce(x, 0.0) / n, 5) ELSE 0.0 END ORDER BY at_) AS vector FROM g LEFT JOIN s USING (doc_id, at_) LEFT JOIN n USING (doc_id) GROUP BY doc_id""")
 def hash_embedding(spark, sf_dir):
-    from palimpsest.functions.embedding import embed
+    from palimpsest.functions.embedding import embed_texts
 
-    return table(spark, sf_dir, "documents").select("doc_id", F.transform(embed(F.col("text")), lambda x: F.round(x, 5)).alias("vector"))
+    found = embed_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), key="doc_id", tokens=tokens(F.col("text")))
+    return found.select("doc_id", F.transform("vector", lambda x: F.round(x, 5)).alias("vector"))
 
 
 @query("RT-12_group_best", "SELECT label, max(round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6)) AS best FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) GROUP BY label")
