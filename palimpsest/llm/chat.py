@@ -36,6 +36,8 @@ MARKERS = {
     "assistant": r"assistant|ai|bot|answer|a|agent|gpt",
 }
 _MARKER = re.compile(r"^\s*(?:[#>*\[<|]{0,4}\s*)(?:" + "|".join(f"(?P<{r}>{p})" for r, p in MARKERS.items()) + r")\s*[\]>|*]{0,4}\s*[:：]\s*(?:\*{2})?\s*", re.IGNORECASE)
+#: What a blank line may hold, here as in `transcripts`: ASCII white space. A line of other white space is a line.
+BLANKS = " \t\n\x0b\f\r"
 #: Values of each feature, in the order of line_features.
 SIZES = (4, 3, 2, 2, 8, 4)
 
@@ -44,7 +46,7 @@ def line_features(text: str) -> list[tuple[str, tuple[int, ...]]]:
     """(line, features) of the non-blank lines. Features: marker, lines before (first, after blank, after text), ends
     with a question mark, list or code, log length, number of lines to the next blank one up to three."""
     out, blank, lines = [], True, (text or "").split("\n")
-    full = [bool(x.strip()) for x in lines]
+    full = [bool(x.strip(BLANKS)) for x in lines]
     for i, line in enumerate(lines):
         if not full[i]:
             blank = True
@@ -55,7 +57,7 @@ def line_features(text: str) -> list[tuple[str, tuple[int, ...]]]:
         ahead = 0
         while ahead < 3 and i + ahead + 1 < len(lines) and full[i + ahead + 1]:
             ahead += 1
-        body = line.strip()
+        body = line.strip(BLANKS)
         length = min(7, max(0, len(body).bit_length() - 3))
         out.append((line, (marker, before, int(body[-1] in "?？"), int(bool(re.match(r"[-*•]\s|\d+[.)]\s|```|\s{4}", line))), length, ahead)))
         blank = False

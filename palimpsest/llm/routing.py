@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from palimpsest.llm.common import col, cut, partitions, text_hash
 
@@ -21,7 +22,13 @@ def slot(*keys: str) -> Column:
 
 
 def numbered(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(id, th, text): a null id becomes the largest long, so that it is smaller than none; a null text becomes empty."""
+    """(id, th, text): a null id becomes the largest long, so that it is smaller than none; a null text becomes empty.
+
+    Ids have to be whole numbers under 2 ** 63 - 1, by which texts are ordered and named; others are a ValueError.
+    """
+    kind = docs.select(col(doc_id)).schema[0].dataType
+    if not isinstance(kind, IntegralType):
+        raise ValueError(f"{doc_id} has to be a whole number, not {kind.simpleString()}")
     return docs.select(
         F.coalesce(col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(text_hash(text), F.lit(0)).alias("th"),
         F.coalesce(col(text), F.lit("")).alias("text"))

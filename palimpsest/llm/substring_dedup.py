@@ -16,7 +16,7 @@ Words are coded as three letters each for the automaton (18 bits of the word's h
 phrase's and the window's hash decide.
 Copies of a text are settled by the text's hash: all but the one of least id lose all words if they have `n`.
 
-Cases. Null and empty texts have no words; a null id is smaller than none and larger than all others, and rows with a
+Cases. Ids are whole numbers, else a ValueError. Null and empty texts have no words; a null id is smaller than none and larger than all others, and rows with a
 null id don't lose words to each other; rows with one id don't either; a text of under n words is kept whole.
 """
 

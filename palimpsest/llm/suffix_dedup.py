@@ -16,7 +16,7 @@ same document too; overlaps count, and strings are judged on the input, not on w
 4. Marking. Repeated strings go back to the shards of the documents that hold them.
 
 Copies of a text are settled by the text's hash: all lose every byte if they have `n`.
-Cases. A null or empty text has no bytes; a text of under n bytes is kept whole; repeated rows are copies of each other;
+Cases. Ids are whole numbers, else a ValueError. A null or empty text has no bytes; a text of under n bytes is kept whole; repeated rows are copies of each other;
 a removed span may end within a character, so what is left is bytes; ids, also null ones, don't matter to the result.
 """
 
