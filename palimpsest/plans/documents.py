@@ -134,6 +134,30 @@ def paged_crawl(spark, sf_dir):
     return paged.later_pages_win(paged.crawl(spark, path), key="article").select("page", "article", "title", "error")
 
 
+@query("SRC-08_saved_files", """
+WITH f AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '%PDF-1.7' WHEN 2 THEN 'GIF89a' ELSE 'PK' || chr(3) || chr(4) END || html || chr(10) AS content, html FROM pages WHERE html IS NOT NULL),
+k AS (SELECT page_id, strlen(content) AS length, sha256(content) AS sha, CASE page_id % 4 WHEN 1 THEN 'pdf' WHEN 2 THEN 'gif' WHEN 3 THEN 'binary'
+  ELSE CASE WHEN starts_with(lower(ltrim(html)), '<!doctype html') OR starts_with(lower(ltrim(html)), '<html') THEN 'html' ELSE 'txt' END END AS format FROM f)
+SELECT page_id, length, sha, format, CASE WHEN format IN ('binary', 'txt') THEN 'unsupported' WHEN format = 'pdf' AND page_id % 3 <> 0 THEN 'pdf_hybrid' ELSE 'direct' END AS parser,
+  CASE WHEN format IN ('binary', 'txt') THEN 'unsupported' WHEN page_id % 9 = 0 THEN 'failed' WHEN format = 'pdf' AND page_id % 3 = 0 THEN 'partial' ELSE 'succeeded' END AS status,
+  array_to_string(list_filter([CASE WHEN format = 'pdf' AND page_id % 3 = 0 THEN 'pdf_hybrid_failed:TimeoutError' END, CASE WHEN format IN ('pdf', 'gif', 'html') AND page_id % 9 = 0 THEN 'direct_failed:ValueError' END,
+    CASE WHEN format IN ('binary', 'txt') THEN 'unsupported:' || format END], lambda x: x IS NOT NULL), ' ') AS flags FROM k""")
+def saved_files(spark, sf_dir):
+    import uuid
+
+    from palimpsest.operators.lineage import shared_folder
+    from palimpsest.sources.registry import routed, scan_saved
+
+    pages = table(spark, sf_dir, "pages").where("html IS NOT NULL")
+    before = F.element_at(F.array(F.lit(""), F.lit("%PDF-1.7"), F.lit("GIF89a"), F.lit("PK\x03\x04")), (F.col("page_id") % 4 + 1).cast("int"))
+    folder = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    pages.select("page_id", F.concat(before, "html").alias("value")).write.partitionBy("page_id").text(folder)
+    files = scan_saved(spark, folder, names="*.txt").withColumn("page_id", F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("long")).drop("path", "confidence")
+    failed = lambda every, parser, error: pages.where(F.col("page_id") % every == 0).select("page_id", F.lit(parser).alias("parser"), F.lit(error).alias("error"))
+    failures = failed(3, "pdf_hybrid", "TimeoutError").unionByName(failed(9, "direct", "ValueError"))
+    return routed(files, failures, key="page_id").withColumn("flags", F.array_join("flags", " "))
+
+
 @query("DOC-04_list_items")
 def list_items(spark, sf_dir):
     rows = _pages(spark, sf_dir).select("page_id", html.html_list("html").alias("l"))

@@ -586,3 +586,31 @@ SELECT event_id, CASE WHEN event_type NOT IN ('click', 'purchase') THEN 'ignore'
 def review_policy(spark, sf_dir):
     confidence = F.when(F.col("value") >= 50, "high").otherwise("low")
     return table(spark, sf_dir, "events").select("event_id", records.review_action(F.col("event_type"), confidence, ["click"], ["click", "purchase"]).alias("action"))
+
+
+#: Reviews of events: kinds, verdicts and corrections by the event's numbers.
+_VERDICTS = "['dismiss', 'fix', 'merge', 'revise', 'unsure']"
+_PATHS = "['title', 'selection_capacity', 'windows/3/end_date', 'benefits/1/amount_min', 'published_at', 'academic_term']"
+_VALUES = "['x', '12', '2026-02-28', '1,000', 'fall', '-3']"
+
+
+@query("DM-24_review_outcomes", f"""
+WITH e AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'identity_uncertain' WHEN 'view' THEN 'revision_candidate' WHEN 'error' THEN 'parsing_failed' ELSE 'other' END AS kind, event_type <> 'signup' AS flags,
+  value >= 10 AS sure, {_VERDICTS}[1 + user_id % 5] AS verdict, {_PATHS}[1 + event_id % 6] AS path, {_VALUES}[1 + event_id // 6 % 6] AS v, event_id % 4 AS a, event_id % 3 AS b, user_id % 2 = 0 AS published FROM events),
+c AS (SELECT *, CASE path WHEN 'title' THEN true WHEN 'selection_capacity' THEN v = '12' WHEN 'windows/3/end_date' THEN v = '2026-02-28' WHEN 'benefits/1/amount_min' THEN v IN ('12', '1,000') WHEN 'academic_term' THEN v = 'fall' ELSE false END AS allowed FROM e)
+SELECT event_id, CASE WHEN kind = 'parsing_failed' OR kind = 'other' AND NOT flags THEN 'people' WHEN NOT sure THEN 'escalated' WHEN verdict = 'dismiss' THEN 'dismissed'
+  WHEN verdict = 'fix' AND kind = 'other' AND NOT published AND allowed THEN 'corrected' WHEN verdict = 'merge' AND kind = 'identity_uncertain' AND a <> b AND a < 3 THEN 'merged'
+  WHEN verdict = 'revise' AND kind = 'revision_candidate' AND a <> b + 1 AND b < 2 THEN 'revised' ELSE 'escalated' END AS outcome FROM c""")
+def review_outcomes(spark, sf_dir):
+    from palimpsest.operators.review import review_outcome
+
+    e = lambda sql: F.expr(sql.replace("[1 + ", "[").replace("['", "array('").replace("']", "')").replace("//", "div"))
+    events = table(spark, sf_dir, "events")
+    kind = F.expr("CASE event_type WHEN 'click' THEN 'identity_uncertain' WHEN 'view' THEN 'revision_candidate' WHEN 'error' THEN 'parsing_failed' ELSE 'other' END")
+    item = F.struct(kind.alias("kind"), F.lit("opportunity_version").alias("entity"), (F.col("event_type") != "signup").alias("has_flags"), (F.col("user_id") % 2 == 0).alias("published"),
+                    F.array(*map(F.lit, (0, 1, 2))).cast("array<bigint>").alias("related"), F.array(F.lit(0), F.lit(1)).cast("array<bigint>").alias("own"))
+    a, b = F.col("event_id") % 4, F.col("event_id") % 3
+    fix = F.struct(e(f"{_PATHS}[1 + event_id % 6]").alias("path"), e(f"{_VALUES}[1 + event_id // 6 % 6]").alias("value"))
+    revisions = F.array(F.struct(a.alias("target"), F.array(b).alias("merged")), F.struct((b + 1).alias("target"), F.array(b).alias("merged")))
+    said = F.struct(e(f"{_VERDICTS}[1 + user_id % 5]").alias("verdict"), F.when(F.col("value") >= 10, "high").otherwise("low").alias("confidence"), F.array(fix).alias("corrections"), F.array(a, b).alias("same"), revisions.alias("revisions"))
+    return events.select("event_id", review_outcome(item, said).alias("outcome"))

@@ -71,3 +71,59 @@ def test_guards_of_history(spark):
     links = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1), (3, None)], "chunk long, block long")
     blocks, chunks = (spark.createDataFrame(x, f"{n} long, document long") for n, x in (("block", [(1, 1), (2, 2)]), ("chunk", [(1, 1), (2, 1), (3, 1)])))
     assert [tuple(r) for r in foreign_blocks(links, chunks, blocks, chunk="chunk", block="block", document="document").collect()] == [(1, 1)]
+
+
+def test_routes_and_fallbacks(spark):
+    from palimpsest.sources.registry import routed
+
+    files = [(1, "pdf"), (2, "pdf"), (3, "pdf"), (4, "html"), (5, "html"), (6, "zip"), (7, "exe"), (8, "hwpx"), (9, "docx"), (10, None)]
+    failures = [(2, "pdf_hybrid", "TimeoutError"), (3, "pdf_hybrid", "A"), (3, "direct", "B"), (5, "direct", "C"), (8, "hwp_pdf", "D"), (9, "other", "E"), (1, "direct", "F")]
+    found = routed(spark.createDataFrame(files, "k long, format string"), spark.createDataFrame(failures, "k long, parser string, error string"), key="k")
+    assert {r.k: (r.parser, r.status, r.flags) for r in found.collect()} == {
+        1: ("pdf_hybrid", "succeeded", []), 2: ("direct", "partial", ["pdf_hybrid_failed:TimeoutError"]), 3: ("direct", "failed", ["pdf_hybrid_failed:A", "direct_failed:B"]),
+        4: ("direct", "succeeded", []), 5: ("direct", "failed", ["direct_failed:C"]), 6: ("archive", "succeeded", []), 7: ("unsupported", "unsupported", ["unsupported:exe"]),
+        8: ("direct", "partial", ["rhwp_failed:D"]), 9: ("docling", "succeeded", []), 10: ("unsupported", "unsupported", [])}
+
+
+def test_version_rows(spark):
+    from palimpsest.operators.records import UNTITLED, assemble_versions
+
+    schema = "record long, pos long, name string, provenance array<string>, warnings array<string>, conflict boolean, coverage string, selected long, nominated long, benefits array<string>, conditions array<string>"
+    drafts = [
+        (1, 0, "a", [], [], False, "complete", 5, 9, ["x", "", None, "y"], ["c", "d"]), (1, 1, "", ["doc"], None, None, "complete", None, 9, [], None), (1, 2, None, ["doc"], ["w"], True, "complete", -1, 9, None, [""]),
+        (2, 0, "b", None, None, None, None, None, None, ["z"], ["e"])]
+    found = assemble_versions(spark.createDataFrame(drafts, schema), spark.createDataFrame([(1, 3), (1, 4), (9, 7)], "record long, version_no long"))
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (1, 0, 5, 4, "in_place_edit", "a", "complete", [], 5, "final_selection", "x; y", "c\nd"), (1, 1, 6, 5, "in_place_edit", UNTITLED, "partial", ["doc"], 9, "university_nomination", None, None),
+        (1, 2, 7, 6, "in_place_edit", UNTITLED, "needs_review", ["w", "field_conflict"], None, "final_selection", None, None), (2, 0, 1, None, "initial", "b", "needs_review", [], None, None, "z", "e")]
+
+
+def test_subjects(spark):
+    from pyspark.sql import functions as F
+
+    from palimpsest.operators.records import resolve_subjects
+
+    people = spark.createDataFrame([(1, "Kim"), (2, None)], "id long, name string")
+    audit = spark.createDataFrame([(1, "person", "1"), (2, "person", "2"), (3, "person", "x"), (4, "setting", "s"), (5, "job", "j"), (6, "other", "1"), (7, None, None)], "n long, kind string, entity string")
+    kinds = {"person": (people, F.col("name"), F.concat(F.lit("/p/"), F.col("id").cast("string"))), "setting": (None, F.col("entity"), F.lit("/settings")), "job": (None, None, F.lit("/jobs"))}
+    found = resolve_subjects(audit, kinds, kind="kind", entity="entity")
+    assert {r.n: (r.link, r.subject) for r in found.collect()} == {
+        1: ("/p/1", "Kim"), 2: ("/p/2", None), 3: (None, None), 4: ("/settings", "s"), 5: ("/jobs", None), 6: (None, None), 7: (None, None)}
+
+
+def test_hashed_embedding(spark):
+    import hashlib
+    import math
+
+    from palimpsest.functions.embedding import embed_texts
+    from palimpsest.operators.retrieval import tokens
+    from pyspark.sql import functions as F
+
+    docs = [(1, "a b a é"), (2, ""), (3, None)]
+    found = {r.k: r.vector for r in embed_texts(spark.createDataFrame(docs, "k long, t string"), key="k", tokens=tokens(F.col("t")), size=8).collect()}
+    want = [0.0] * 8
+    for token in "a b a é".split():
+        h = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+        want[(h >> 1) % 8] += 1 if h & 1 else -1
+    length = math.sqrt(sum(x * x for x in want))
+    assert found[1] == pytest.approx([x / length if length else 0.0 for x in want]) and found[2] == found[3] == [0.0] * 8
