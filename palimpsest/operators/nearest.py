@@ -121,8 +121,8 @@ def _reach(asked: DataFrame, summaries: DataFrame, kind: str, first: int | None)
 
 
 def _meet(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, kind: str, top: int) -> DataFrame:
-    """(q_id, id, distance) of the `top` rows that each query finds in each block it meets."""
-    pairs = cut(pairs.select(F.col("id").alias("q_id"), "block"))
+    """(q_id, id, distance) of the `top` rows that each query finds in each block it meets; pairs (id, block) are cut."""
+    pairs = pairs.select(F.col("id").alias("q_id"), "block")
     sizes = pairs.groupBy("block").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"))
     dealt = pairs.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("q_id"), F.col("chunks").cast("long")))
     asked = dealt.join(queries.select(F.col("id").alias("q_id"), "v"), "q_id").select("block", "chunk", "q_id", "v")
@@ -163,9 +163,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, *, key: str, vector: str, to
     best = ranked(_meet(first, asked, blocks, kind, top))
     bars = asked.join(best.where(F.col("place") == top).select(F.col("q_id").alias("id"), F.col("distance").alias("bar")), "id", "left")
     with few_records(spark):
-        left = cut(_reach(in_blocks(bars.select("id", "far", "bar"), "q", "id", row_bytes=8 * PIVOTS), summaries, kind, None))
-    left = cut(left.join(first.select("id", "block"), ["id", "block"], "left_anti"))
-    best = ranked(best.drop("place").unionByName(_meet(left, asked, blocks, kind, top)))
+        left = _reach(in_blocks(bars.select("id", "far", "bar"), "q", "id", row_bytes=8 * PIVOTS), summaries, kind, None)
+        left = cut(left.join(first.select("id", "block"), ["id", "block"], "left_anti"))
+    best = best.drop("place").unionByName(_meet(left, asked, blocks, kind, top)).withColumn("place", place).where(F.col("place") <= top)
     found = best.select("q_id", F.col("id").alias(key), "distance")
     if not counts:
         return found

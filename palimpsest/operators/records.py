@@ -136,7 +136,7 @@ def assemble_versions(drafts: DataFrame, versions: DataFrame) -> DataFrame:
     joined = lambda c, by: F.nullif(F.array_join(F.filter(c, lambda x: F.coalesce(x, F.lit("")) != ""), by), F.lit(""))
     rows = drafts.withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>"))).join(last, "record", "left").withColumn("__before", before)
     return rows.select(
-        "record", "pos", (F.col("__before") + 1).alias("version_no"), F.nullif(F.col("__before"), F.lit(0)).alias("supersedes"),
+        "record", "pos", (F.col("__before") + 1).cast("long").alias("version_no"), F.nullif(F.col("__before"), F.lit(0)).cast("long").alias("supersedes"),
         F.when(F.col("__before") == 0, "initial").otherwise("in_place_edit").alias("edit_kind"), F.coalesce(F.nullif(F.col("name"), F.lit("")), F.lit(UNTITLED)).alias("title"), state.alias("quality"),
         F.when(state == "partial", F.concat(flags, provenance)).otherwise(flags).alias("quality_flags"), F.when(number >= 0, number).alias("capacity"), scope.alias("capacity_scope"),
         joined("benefits", "; ").alias("support_summary"), joined("conditions", "\n").alias("eligibility_summary"))
