@@ -13,7 +13,11 @@ same document too; overlaps count, and strings are judged on the input, not on w
    task builds the transform and the common prefixes of its segments column by column (module bwt), through files, in
    collections of about `SYMBOLS` bytes of whole groups. A string is repeated if the suffix that starts with it shares
    n - k + 1 symbols (the marker stands for k bytes) with a neighbour, or if its segment was counted twice.
-4. Marking. Repeated strings go back to the shards of the documents that hold them.
+4. Crowds. What is dealt so may still be a group of more than `CROWD` segments: a passage that very many texts share. Its
+   strings are counted by their hashes, pre-aggregated, and the two segments of least and greatest run stand for all that
+   hold a string. Only these two come to a transform, as a group of their own; a string that it finds repeated is marked
+   in every segment that has it. So no group that a task builds holds more than `CROWD` segments.
+5. Marking. Repeated strings go back to the shards of the documents that hold them.
 
 Copies of a text are settled by the text's hash: all lose every byte if they have `n`.
 Cases. Ids are whole numbers, else a ValueError. A null or empty text has no bytes; a text of under n bytes is kept whole; repeated rows are copies of each other;
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import scan
@@ -32,7 +36,7 @@ from palimpsest.llm.bwt import Collection
 from palimpsest.llm.common import cut, small_batches
 from palimpsest.llm.routing import NO_ID, copies, in_slots, marked, maybe_in, numbered, shard, shard_count, slot
 
-N, K, CROWD, SYMBOLS = 400, 300, 256, 1 << 22
+N, K, CROWD, SYMBOLS, SALTS = 400, 300, 256, 1 << 22, 16
 _SCHEMA = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 _OUT = "id long, th long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -185,19 +189,46 @@ def _collections(chosen: np.ndarray, group: np.ndarray, sizes: np.ndarray):
         at = end
 
 
-def _recurring(left, right, group, strings, side):
-    """Segments with a string whose hash another string of the same group has."""
+def _string_hashes(left, right, group, strings, side):
+    """(place within its segment, segment, hash) of every string; the hash is of the group and of the bytes beside the phrase."""
     joined = b"".join(x + b"\xff" + y for x, y in zip(left, right))
     data = np.frombuffer(joined, np.uint8)
     begin = np.cumsum([0] + [len(x) + len(y) + 1 for x, y in zip(left, right)])[:-1].astype(np.int64)
     if not len(begin):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     starts, seg = scan.spread(begin, begin + strings - 1)
     h = scan.Rolling(scan.byte_values(0)[data]).of(starts, starts + side + 1) + scan.mix(group.view(np.uint64))[seg]
+    return starts - begin[seg], seg, h
+
+
+def _recurring(left, right, group, strings, side):
+    """Segments with a string whose hash another string of the same group has."""
+    _, seg, h = _string_hashes(left, right, group, strings, side)
     _, where, times = np.unique(h, return_inverse=True, return_counts=True)
     return seg[times[where] > 1]
 
 
+def _strings(crowds: DataFrame, n: int, k: int) -> DataFrame:
+    """(group, key, phrase, run, at) of the strings that each dealt segment decides on; key is a hash of the string."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in small_batches(whole, "left", 1 << 18):
+                left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
+                phrase, runs, group, side = (batch.column(c).to_numpy().astype(np.int64) for c in ("phrase", "run", "group", "side"))
+                sizes = np.array([len(x) for x in left], np.int64)
+                strings = sizes + np.array([len(x) for x in right], np.int64) - (n - k) + 1
+                at, seg, h = _string_hashes(left, right, group, strings, n - k)
+                mine = (side[seg] == 1) == (sizes[seg] - at >= (n - k) // 2)
+                at, seg, h = at[mine], seg[mine], scan.mix(h[mine])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group[seg]), _signed(h), pa.array(phrase[seg]), pa.array(runs[seg]), pa.array(at.astype(np.int32))],
+                    names=["group", "key", "phrase", "run", "at"])
+
+    columns = crowds.select("phrase", "run", "left", "right", "side", "group")
+    return columns.mapInArrow(run, "group long, key long, phrase long, run long, at int")
+
+
 def _remover(n: int, k: int):
     """For a shard's documents, the repeated stretches of its runs (kind 0) and its copies (kind 1): the result rows."""
 
@@ -264,6 +295,43 @@ def _dealt(segments: DataFrame, crowded: DataFrame, half: int, side: int) -> Dat
     return found.select(*segments.columns, F.explode(ways).alias("way")).select(*segments.columns, "way.side", "way.group")
 
 
+def _in_crowds(dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dealt segments of groups that a task can build, those of groups over `CROWD`); a group is whole in one of them."""
+    crowds = dealt.where("side > 0").groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("group")
+    found, hit = marked(dealt, crowds, slot("group"))
+    crowded = hit & (F.col("side") > 0)
+    return found.where(~crowded).select(*dealt.columns), found.where(crowded).select(*dealt.columns)
+
+
+def _stand_ins(strings: DataFrame) -> DataFrame:
+    """(group, key, phrase, run, at, other) of strings that two segments have: the least run, the place in it, the greatest."""
+    ends = strings.groupBy("group", "key").agg(F.min(F.struct("run", "at", "phrase")).alias("a"), F.max("run").alias("other"))
+    return ends.where("a.run <> other").select("group", "key", "a.phrase", "a.run", "a.at", "other")
+
+
+def _pairs(twins: DataFrame, segments: DataFrame) -> DataFrame:
+    """The segments of each two runs that stand for others, as a group of two."""
+    both = twins.select("phrase", "run", "other").distinct().withColumn("group", F.xxhash64("phrase", "run", "other"))
+    members = both.select("phrase", "group", F.explode(F.array("run", "other")).alias("run"))
+    return members.join(segments, ["phrase", "run"]).select("phrase", "run", F.lit(False).alias("many"), "left", "right", F.lit(0).alias("side"), "group")
+
+
+def _crowd_stretches(crowds: DataFrame, segments: DataFrame, judged, n: int, k: int) -> DataFrame:
+    """(phrase, run, first, last) stretches of repeated strings of the dealt segments in crowds."""
+    strings = cut(_strings(crowds, n, k))
+    twins = cut(_stand_ins(strings))
+    found = judged(_pairs(twins, segments)).select("phrase", "run", F.explode(F.sequence("first", "last")).alias("at")).distinct()
+    # A string that very many segments have is one key: its rows are dealt over `SALTS` tasks.
+    sure = twins.join(found, ["phrase", "run", "at"]).select("group", "key", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    salted = strings.withColumn("salt", F.pmod(F.xxhash64("run"), F.lit(SALTS)).cast("int"))
+    hits = salted.join(sure, ["group", "key", "salt"]).select("phrase", "run", "at")
+    island = F.col("at") - F.row_number().over(Window.partitionBy("phrase", "run").orderBy("at"))
+    turns = hits.withColumn("island", island).groupBy("phrase", "run", "island").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    size = F.octet_length("left") + F.octet_length("right") - F.lit(n - k)
+    whole = crowds.where("many").select("phrase", "run", F.lit(0).alias("first"), size.alias("last")).distinct()
+    return turns.select("phrase", "run", "first", "last").unionByName(whole)
+
+
 def remove_repeated_strings(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int = N, k: int = K) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of docs."""
     if not 0 < k < n:
@@ -283,10 +351,11 @@ def remove_repeated_strings(docs: DataFrame, *, text: str = "text", doc_id: str
     counted = cut(docs_in.cogroup(wanted.unionByName(skipped).groupBy("shard")).applyInArrow(_counter(n, k), "shard int, phrase long, run long, times long"))
     distinct = counted.groupBy("phrase", "run").agg(F.sum("times").alias("times"), F.min("shard").alias("shard"))
     provided = distinct.select("shard", "phrase", "run", (F.col("times") > 1).alias("many"))
-    segments = docs_in.cogroup(provided.groupBy("shard")).applyInArrow(_cutter(n, k), "phrase long, run long, many boolean, left binary, right binary")
+    segments = cut(docs_in.cogroup(provided.groupBy("shard")).applyInArrow(_cutter(n, k), "phrase long, run long, many boolean, left binary, right binary"))
     crowded = distinct.groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
-    dealt = _dealt(segments, crowded, (n - k) // 2, n - k).groupBy(F.pmod(F.hash("group"), F.lit(shards)).alias("part"))
-    repeated = dealt.applyInArrow(_judge(n, k), "phrase long, run long, first int, last int")
+    few, crowds = _in_crowds(_dealt(segments, crowded, (n - k) // 2, n - k))
+    judged = lambda x: x.groupBy(F.pmod(F.hash("group"), F.lit(shards)).alias("part")).applyInArrow(_judge(n, k), "phrase long, run long, first int, last int")
+    repeated = judged(few).unionByName(_crowd_stretches(crowds, segments, judged, n, k))
     marks = counted.join(repeated, ["phrase", "run"]).select("shard", "phrase", "run", "first", "last", F.lit(0).alias("kind"))
     whole = copied.select(shard(shards).alias("shard"), F.col("id").alias("phrase"), F.col("th").alias("run"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(1).alias("kind"))
     removed = docs_in.cogroup(marks.unionByName(whole).groupBy("shard")).applyInArrow(_remover(n, k), _OUT)
