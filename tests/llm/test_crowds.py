@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import suffix_dedup
+from palimpsest.llm import shingle_dedup, suffix_dedup
 
 
 def _texts(count, passage, rng):
@@ -71,3 +71,58 @@ def test_no_group_over_the_bound(spark, monkeypatch, count):
     suffix_dedup.remove_repeated_strings(docs)
     (few, crowd), two = sizes
     assert few <= suffix_dedup.CROWD < crowd and two == 2
+
+
+def _pages(count, own):
+    """Templated pages: `own` words of each page's own in one sentence that all have in common."""
+    sentence = [f"s{i}" for i in range(26)]
+    pages = {}
+    for i in range(1, count + 1):
+        w = list(sentence)
+        for j in range(own):
+            w.insert(1 + 20 * j, f"o{i}x{j}")
+        pages[i] = " ".join(w)
+    return pages
+
+
+def test_templated_pages_form_few_pairs(spark, monkeypatch):
+    """2,400 pages that share a sentence and don't link: at most ten pairs a page are compared."""
+    pairs = []
+    first, across = shingle_dedup._first_pairs, shingle_dedup._across
+
+    def counted(make):
+        def run(*args):
+            found = shingle_dedup.cut(make(*args))
+            pairs.append(found.count())
+            return found
+        return run
+
+    monkeypatch.setattr(shingle_dedup, "_first_pairs", counted(first))
+    monkeypatch.setattr(shingle_dedup, "_across", counted(across))
+    pages = _pages(2400, 2)
+    found = shingle_dedup.similar_documents(spark.createDataFrame(list(pages.items()), "doc_id long, text string"))
+    assert found.select("component").distinct().count() == len(pages)
+    assert len(pairs) == 2 and pairs[1] == 0 and sum(pairs) <= 10 * len(pages)
+
+
+def test_links_across_a_crowd_stay(spark, monkeypatch):
+    """Pages of one template of which some link: by large postings alone, and by small ones before a large one."""
+    for name, value in {"BUCKET": 4, "CENTRES": 1, "BLOCK": 8, "SAMPLE": 1}.items():
+        monkeypatch.setattr(shingle_dedup, name, value)
+    rng = random.Random(9)
+    long = [f"t{i}" for i in range(60)]
+    pages = {i: t for i, t in _pages(60, 2).items()}
+    for i in range(100, 160):  # 5 to 15 of 60 shingles are replaced, by few words, so that the coefficient is near 0.8
+        w = list(long)
+        for place in rng.sample((3, 15, 27, 39, 51), rng.choice((1, 1, 2))):
+            w[place] = f"v{rng.randrange(9)}"
+        pages[i] = " ".join(w + [f"e{rng.randrange(30)}" for _ in range(rng.randrange(4))])
+    sets = {d: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for d, t in pages.items()}
+    root = {d: d for d in pages}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in pages:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(list(pages.items()), "doc_id long, text string")
+    found = shingle_dedup.similar_documents(docs).withColumn("least", F.expr("min(doc_id) OVER (PARTITION BY component)")).collect()
+    assert {r.doc_id: r.least for r in found} == root and len(set(root.values())) > 70
