@@ -2,9 +2,36 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+ZONE = "Asia/Seoul"
+
+
+class Clock(NamedTuple):
+    """One moment of asking, as constants of a zone: they are folded, so that filters on them reach the scan."""
+
+    now: Column
+    today: Column
+    second: Column
+
+
+def clock(moment: datetime, zone: str = ZONE) -> Clock:
+    """The moment in the zone's time: now (timestamp_ntz), today, second of the day. ValueError without an offset."""
+    if moment.utcoffset() is None:
+        raise ValueError("the moment of asking needs its offset from UTC")
+    utc = F.lit(moment.astimezone(UTC).replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
+    now = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    return Clock(now, now.cast("date"), F.hour(now) * 3600 + F.minute(now) * 60 + F.second(now))
+
+
+def local_day(at: Column, zone: str = ZONE) -> Column:
+    """The zone's date of a timestamp_ntz in UTC."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), at).cast("date")
+
 
 def deadline_state(end: Column, today: Column) -> tuple[Column, Column]:
     """(label, warn): D-n with a warning from seven days before, 'closed' after it, 'unknown' without a date."""

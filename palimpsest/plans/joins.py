@@ -218,6 +218,17 @@ def keyset_page_query(spark, sf_dir):
     return keyset_page(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", after=500, limit=50)
 
 
+@query("SO-08_capped_lists", """
+SELECT user_id, event_id, CAST(place AS INTEGER) AS place, greatest(n - 60, 0) AS n_left_out FROM (
+  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS place, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+WHERE place <= 60""")
+def capped_lists_query(spark, sf_dir):
+    from palimpsest.operators.ranking import capped_lists
+
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    return capped_lists(rows, ["user_id"], [F.col("ts").desc(), F.col("event_id")], limit=60).drop("ts")
+
+
 @query("SO-04_nulls_last", "SELECT doc_id, quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, doc_id) AS place FROM documents LEFT JOIN labels USING (doc_id)")
 def nulls_last(spark, sf_dir):
     from palimpsest.operators.ranking import global_row_number

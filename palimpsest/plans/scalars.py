@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
@@ -280,6 +281,17 @@ def intervals(spark, sf_dir):
         "event_id", (F.col("ts") - F.expr("INTERVAL 15 MINUTE")).alias("lease"), (F.col("ts") + F.make_dt_interval(secs=F.round("value").cast("decimal(18,6)"))).alias("due"))
 
 
+@query("SC-20_clock", """
+SELECT event_id, DATE '2024-01-16' - CAST(ts + INTERVAL 9 HOUR AS DATE) AS days_ago, CAST(ts + INTERVAL 9 HOUR AS DATE) = DATE '2024-01-16' AS today,
+  ts + INTERVAL 9 HOUR > TIMESTAMP '2024-01-16 00:30:00' AS ahead, 1800 AS second FROM events""")
+def clock_query(spark, sf_dir):
+    asked = dates.clock(datetime(2024, 1, 15, 15, 30, tzinfo=UTC))
+    day = dates.local_day(F.col("ts"))
+    ahead = F.convert_timezone(F.lit("UTC"), F.lit(dates.ZONE), "ts") > asked.now
+    ago = F.datediff(asked.today, day).cast("long")
+    return table(spark, sf_dir, "events").select("event_id", ago.alias("days_ago"), (day == asked.today).alias("today"), ahead.alias("ahead"), asked.second.alias("second"))
+
+
 @query("SC-30_l2_normalize", """
 SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / n) * (x::DOUBLE / n))), 6) AS length
 FROM (SELECT vec_id, embedding, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)""")
