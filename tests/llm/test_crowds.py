@@ -126,3 +126,21 @@ def test_links_across_a_crowd_stay(spark, monkeypatch):
     docs = spark.createDataFrame(list(pages.items()), "doc_id long, text string")
     found = shingle_dedup.similar_documents(docs).withColumn("least", F.expr("min(doc_id) OVER (PARTITION BY component)")).collect()
     assert {r.doc_id: r.least for r in found} == root and len(set(root.values())) > 70
+
+
+def test_links_at_the_bound_after_small_postings(spark, monkeypatch):
+    """Pairs of a coefficient of exactly 0.8 in a crowd: `shared` shingles that only the two have, then the template's."""
+    for name, value in {"BUCKET": 4, "CENTRES": 1, "BLOCK": 4, "SAMPLE": 1}.items():
+        monkeypatch.setattr(shingle_dedup, name, value)
+    pages, want = {}, {}
+    for shared in range(4):
+        template = [f"t{shared}x{i}" for i in range(28 - shared)]
+        for pair in range(10):
+            for side in range(2):
+                key = 100 * shared + 2 * pair + side + 1
+                own, both = [f"u{key}x{i}" for i in range(3)], [f"p{shared}x{pair}x{i}" for i in range(shared)]
+                # With none that only two have, the template alone links all.
+                pages[key], want[key] = " ".join(own + template + both), key - side if shared else 1
+    docs = spark.createDataFrame(list(pages.items()), "doc_id long, text string")
+    found = shingle_dedup.similar_documents(docs).withColumn("least", F.expr("min(doc_id) OVER (PARTITION BY component)")).collect()
+    assert {r.doc_id: r.least for r in found} == want
