@@ -4,7 +4,11 @@ Sets. A-Z are lower-cased; words are as in `simhash`; a document's set holds the
 `shingle` words (fewer words: the whole sequence; none: the empty set). Equal sets are one node. Nodes link if their
 Jaccard coefficient is `at_least` or more, and a component is what links connect.
 
-Candidates. Under any fixed order of the shingles, two sets of that coefficient share `MATCHES` among the first
+SimHash first. A node has a fingerprint of its shingles (see `simhash`), and the distinct fingerprints are linked by equal
+pairs of quarters and the table of pivot distances. Of each linked pair, and of the nodes of one fingerprint, a node is
+compared with the least one by whole sets; what this connects is known, and isn't compared again.
+
+Candidates. Copies further apart than the fingerprints' bound come from postings. Under any fixed order of the shingles, two sets of that coefficient share `MATCHES` among the first
 n - ceil(at_least * n) + MATCHES of either (or as many as the smaller must share); only those are posted. The order puts
 shingles last that recur in a sample of one in `SAMPLE` documents, so that common passages are hardly ever posted. The
 sample, and the bound `COMMON` on the table that is broadcast, only choose the order: no pair depends on them.
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import scan
 from palimpsest.llm.common import SPACES, col, cut, partitions, small_batches, text_hash
 from palimpsest.llm.routing import NO_ID, in_slots, maybe_in, numbered
-from palimpsest.llm.simhash import components, keep_least
+from palimpsest.llm.simhash import components, fingerprints, keep_least, links as near_prints
 
 SHINGLE, AT_LEAST, BUCKET, CENTRES, BLOCK = 5, 0.8, 16, 4, 256
 SAMPLE, COMMON, MATCHES, TALLY = 16, 1 << 19, 4, 128
@@ -94,7 +98,7 @@ def _common(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.nd
 
 
 def _posted(docs: DataFrame, text: str, doc_id: str, shingle: int, at_least: float) -> DataFrame:
-    """(doc_id, __th, node, n, tally, posted) of each row."""
+    """(doc_id, __th, node, fp, n, tally, posted) of each row; fp is the fingerprint."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, text, shingle))
 
     def run(batches):
@@ -112,12 +116,13 @@ def _posted(docs: DataFrame, text: str, doc_id: str, shingle: int, at_least: flo
                 size = np.minimum(n, n - np.ceil(at_least * n - 1e-9).astype(np.int64) + MATCHES)
                 place = np.arange(len(h)) - bounds[:-1][owner]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(_nodes(h, bounds)), pa.array(n), _tallies(h, bounds), _lists(h[order][place < size[owner]], size)],
-                    names=["doc_id", "__th", "node", "n", "tally", "posted"])
+                    [batch.column(0), batch.column(1), pa.array(_nodes(h, bounds)), pa.array(fingerprints(batch.column(2), shingle).view(np.int64)), pa.array(n), _tallies(h, bounds),
+                     _lists(h[order][place < size[owner]], size)],
+                    names=["doc_id", "__th", "node", "fp", "n", "tally", "posted"])
 
     light = docs.select(col(doc_id).alias("doc_id"), text_hash(text).alias("__th"), col(text).alias("text"))
     kind = light.schema["doc_id"].dataType.simpleString()
-    return light.mapInArrow(run, f"doc_id {kind}, __th long, node long, n long, tally array<smallint>, posted array<long>")
+    return light.mapInArrow(run, f"doc_id {kind}, __th long, node long, fp long, n long, tally array<smallint>, posted array<long>")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
@@ -208,12 +213,30 @@ def _across(postings: DataFrame, links: DataFrame, tallies: DataFrame, at_least:
     return left.join(right, ["h", "block"]).where(apart & here & _alike(at_least)).select(*_ends())
 
 
+def _print_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs to compare of the nodes (node, fp) whose fingerprints link, one pair for each node or link at most."""
+    prints = cut(prints)
+    least = cut(prints.groupBy("fp").agg(F.min("node").alias("least")))
+    same = prints.join(least, "fp").where("least < node").select(F.col("least").alias("x"), F.col("node").alias("y"))
+    first = lambda x: least.select(F.col("fp").alias(f"fp{x}"), F.col("least").alias(x))
+    linked = near_prints(least.select("fp")).withColumnsRenamed({"a": "fpx", "b": "fpy"})
+    return same.unionByName(linked.join(first("x"), "fpx").join(first("y"), "fpy").select("x", "y")).select(*_ends())
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b) that `links` don't connect."""
+    found = components(links)
+    root = lambda x: found.select(F.col("node").alias(x), F.col("root").alias(f"root{x}"))
+    known = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return known.where("roota IS NULL OR rootb IS NULL OR roota <> rootb").select("a", "b")
+
+
 def similar_documents(
     docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, at_least: float = AT_LEAST
 ) -> DataFrame:
     """(doc_id, __th, component) for each row of docs; __th tells texts of an id apart."""
     printed = cut(_posted(docs, text, doc_id, shingle, at_least))
-    nodes = printed.groupBy("node").agg(F.first("n").alias("n"), F.first("posted").alias("posted"))
+    nodes = printed.groupBy("node").agg(F.first("n").alias("n"), F.first("posted").alias("posted"), F.min("fp").alias("fp"))
     every = Window.partitionBy("h")
     # n and the place in the order travel as one number: this is the shuffle of all postings.
     posted = nodes.select("node", "n", F.posexplode("posted").alias("at", "h")).select("node", (F.col("n") * F.lit(1 << 32) + F.col("at")).alias("sized"), "h")
@@ -230,7 +253,9 @@ def similar_documents(
         sets = cut(_whole_sets(docs, wanted, text, doc_id, shingle).join(compared, "node", "left_semi"))
         return cut(_verified(pairs, sets, at_least))
 
-    links = verified(cut(_with_like_tallies(_first_pairs(postings, at_least), tallies, at_least)))
+    prints = nodes.where("n > 0").select("node", "fp")
+    links = verified(cut(_with_like_tallies(_print_pairs(prints), tallies, at_least)))
+    links = links.unionByName(verified(_apart(cut(_with_like_tallies(_first_pairs(postings, at_least), tallies, at_least)), links)))
     if not postings.where(F.col("m") > BUCKET).isEmpty():
         more = cut(_across(postings, links, tallies, at_least))
         if not more.isEmpty():

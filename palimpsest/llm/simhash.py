@@ -166,8 +166,9 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", at_least: float | None = None, **options) -> DataFrame:
     """The rows of docs that stay: of each component the document of least id, once.
 
-    With `at_least`, documents link by the Jaccard coefficient of their shingle sets (see shingle_dedup) instead: pairs of
-    0.8 lie up to 20 bits apart, a bound at which pivot distances of 64-bit fingerprints discard half a per cent of pairs.
+    With `at_least`, links of fingerprints are confirmed by the Jaccard coefficient of shingle sets, and pairs of that
+    coefficient that lie further apart are added (see shingle_dedup): those of 0.8 lie up to 20 bits apart, a bound at which
+    pivot distances of 64-bit fingerprints discard half a per cent of pairs.
     """
     if at_least is not None:
         from palimpsest.llm import shingle_dedup

@@ -22,3 +22,16 @@ def test_pairs_of_a_crowded_name_are_expanded_without_a_shuffle(spark, monkeypat
     # From the top of the plan, keys are exploded before anything is shuffled.
     plan = _plan(got)
     assert plan.index("Generate explode(keysb") < plan.index("Exchange")
+
+
+def test_near_duplicate_stage_links_by_fingerprints_and_pivots_first(spark, monkeypatch):
+    import corpus_pipeline
+    from palimpsest.llm import shingle_dedup
+
+    met = []
+    real = shingle_dedup.near_prints
+    monkeypatch.setattr(shingle_dedup, "near_prints", lambda prints, **options: met.append(prints.count()) or real(prints, **options))
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(reversed(words)), "two words", "two words", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 2, 3, 5} and met and met[0] >= 3
