@@ -129,6 +129,11 @@ def _vectors(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return unit(inner.to_pylist()), who
 
 
+def _half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """x, not negative, rounded half up, as SQL does: 1/128 is 0.007813."""
+    return np.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
 def search_all(
     queries: DataFrame, items: DataFrame, vectors: DataFrame, *, key: str, text: str, mode: str = "hybrid", title: str | None = None, published: str | None = None,
     group: str | None = None, vector_key: str = "vec_id", vector: str = "embedding", top: int = 20, block_bytes: int = BLOCK_BYTES,
@@ -141,6 +146,10 @@ def search_all(
     question states make it. An item without vectors, or a query without one, has vector score 0; of several vectors of an
     item the best counts.
 
+    A mode that gives one of the two scores no weight ranks without it, and works it out for the rows found alone. Without
+    lexical weight all items without vectors score 0 with every query, so only the first `top` of them by age and key, of
+    each group, take part.
+
     Queries and items are packed into blocks where they are, and pairs of blocks are scored in numpy; a task sends on the
     `top` of each query, and these are ranked over all tasks. No query passes the driver.
     """
@@ -162,6 +171,14 @@ def search_all(
         age = F.col(published).cast("double")
     rows = items.select(F.col(key).alias("id"), of_group(items), words(F.col(text)).alias("terms"), (grams(F.col(title)) if title else none).alias("grams"), age.alias("age"))
     rows = rows.join(own, F.col("id") == F.col("own"), "left").select("id", "in_group", "age", "terms", "grams", F.coalesce("v", vectors_none).alias("v"))
+    if not lexical_weight:
+        first = Window.partitionBy("in_group").orderBy(F.col("age").desc_nulls_first(), "id")
+        plain = rows.where(F.size("v") == 0).select("in_group", "id", "age")
+        # First within each partition, then of what these leave: no group passes one task.
+        few = plain.withColumn("__r", F.row_number().over(Window.partitionBy("in_group", F.pmod(F.xxhash64("id"), F.lit(256))).orderBy(F.col("age").desc_nulls_first(), "id")))
+        few = few.where(F.col("__r") <= top).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= top).select(F.col("id").alias("__id"), F.col("in_group").alias("__group")).distinct()
+        kept = rows.join(few, F.col("id").eqNullSafe(F.col("__id")) & F.col("in_group").eqNullSafe(F.col("__group")), "left_semi")
+        rows = rows.where(F.size("v") > 0).unionByName(kept.where(F.size("v") == 0))
     bytes_of = F.lit(64) + 8 * (F.size("terms") + F.size("grams") + F.aggregate("v", F.lit(0), lambda n, v: n + F.size(v)))
     within = ("in_group",) if group else ()
     left = cut(asked.withColumn("bytes", bytes_of))
@@ -186,14 +203,16 @@ def search_all(
                     known.clear()
                     known[number] = _Sets(q.field("terms")), _Sets(q.field("grams")), *_vectors(q.field("v"))
                 terms, titles, qv, whose = known[number]
-                shared, _ = terms.shared(x.field("terms"))
-                lexical = shared / np.maximum(terms.sizes, 1)[:, None]
-                if title:
-                    both, sizes = titles.shared(x.field("grams"))
-                    lexical = np.maximum(lexical, both / np.maximum(titles.sizes[:, None] + sizes - both, 1))
-                lexical, near = np.round(lexical, 6), np.zeros(lexical.shape)
-                xv, of = _vectors(x.field("v"))
-                if len(qv) and len(xv):
+                lexical, near = np.zeros((len(q), len(x))), np.zeros((len(q), len(x)))
+                if lexical_weight:
+                    shared, _ = terms.shared(x.field("terms"))
+                    lexical = shared / np.maximum(terms.sizes, 1)[:, None]
+                    if title:
+                        both, sizes = titles.shared(x.field("grams"))
+                        lexical = np.maximum(lexical, both / np.maximum(titles.sizes[:, None] + sizes - both, 1))
+                    lexical = _half_up(lexical, 6)
+                xv, of = _vectors(x.field("v")) if vector_weight and len(qv) else (qv, whose)
+                if vector_weight and len(qv) and len(xv):
                     # The best of an item's vectors: rows of one item are side by side.
                     starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                     near[np.ix_(whose, of[starts])] = np.round(np.maximum.reduceat(qv @ xv.T, starts, axis=1), 6)
@@ -202,9 +221,22 @@ def search_all(
                 order = pc.sort_indices(pa.table({"a": pc.is_valid(x.field("age")), "b": x.field("age"), "c": keys}), [("a", "ascending"), ("b", "descending"), ("c", "ascending")]).to_numpy()
                 row, column = first_of_each(-score, order, top)
                 columns = [q.field("q_id").take(pa.array(row)), keys.take(pa.array(column)), *[pa.array(m[row, column]) for m in (lexical, near, score)], pa.array(ages[column], from_pandas=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["q_id", key, "lexical", "vector", "score", "age"])
+                places = [pa.array(np.full(len(row), number)), pa.array(row.astype(np.int64)), pa.array(np.full(len(row), batch.column(batch.schema.get_field_index("x_block"))[i].as_py())), pa.array(column.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns + places, names=["q_id", key, "lexical", "vector", "score", "age", "qb", "qi", "xb", "xi"])
 
-    out = pairs.mapInArrow(best, f"q_id {queries.schema['q_id'].dataType.simpleString()}, {key} {kind}, lexical double, vector double, score double, age double")
+    out = pairs.mapInArrow(best, f"q_id {queries.schema['q_id'].dataType.simpleString()}, {key} {kind}, lexical double, vector double, score double, age double, qb long, qi long, xb long, xi long")
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("age").desc_nulls_first(), key))
     with few_records(spark):
-        return cut(out.withColumn("__r", rank).where(F.col("__r") <= top).drop("__r", "age"))
+        found = cut(out.withColumn("__r", rank).where(F.col("__r") <= top).drop("__r", "age"))
+    if lexical_weight and vector_weight:
+        return found.drop("qb", "qi", "xb", "xi")
+    # What has no weight is worked out for the rows found; a row is known by its block and its place there.
+    place = lambda df, n: df.select(F.col(f"{n}_block").alias(f"{n}b"), F.posexplode(n).alias(f"{n}i", f"{n}r")).select(f"{n}b", F.col(f"{n}i").cast("long").alias(f"{n}i"), *[F.col(f"{n}r.{c}").alias(f"{n}_{c}") for c in ("terms", "grams", "v")])
+    both = found.join(place(blocks[0], "q"), ["qb", "qi"]).join(place(blocks[1], "x"), ["xb", "xi"])
+    if vector_weight:
+        share = F.size(F.array_intersect("q_terms", "x_terms")) / F.greatest(F.size("q_terms"), F.lit(1))
+        other = {"lexical": F.round(F.greatest(share, jaccard(F.col("q_grams"), F.col("x_grams"))) if title else share, 6)}
+    else:
+        cosine = F.array_max(F.transform("x_v", lambda v: F.coalesce(F.lit(1.0) - cosine_distance(v, F.col("q_v")[0]), F.lit(0.0))))
+        other = {"vector": F.round(F.when(F.size("q_v") > 0, F.coalesce(cosine, F.lit(0.0))).otherwise(0.0), 6)}
+    return both.withColumns(other).select("q_id", key, "lexical", "vector", "score")

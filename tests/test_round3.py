@@ -35,3 +35,18 @@ def test_near_duplicate_stage_links_by_fingerprints_and_pivots_first(spark, monk
     texts = [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(reversed(words)), "two words", "two words", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 2, 3, 5} and met and met[0] >= 3
+
+
+def test_a_mode_of_vectors_alone_compares_no_words(spark, monkeypatch):
+    from palimpsest.operators import retrieval
+
+    docs = spark.createDataFrame([(i, f"red ring {i}" if i else "red ring") for i in range(80)], "doc_id long, text string")
+    vectors = spark.createDataFrame([(i, [1.0, i / 10]) for i in (0, 3, 5)] + [(7, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, "red ring", [1.0, 0.0])], "q_id long, query string, vector array<double>")
+    rows = retrieval.search_all(asked, docs, vectors, key="doc_id", text="text", mode="vector", top=6).orderBy("q_id", F.desc("score"), "doc_id").collect()
+    assert [(r.doc_id, r.lexical, r.vector) for r in rows] == [(0, 1.0, 1.0), (3, 1.0, 0.957826), (5, 1.0, 0.894427), (1, 1.0, 0.0), (2, 1.0, 0.0), (4, 1.0, 0.0)]
+    # A share of 1/128 is rounded as in SQL.
+    many = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(128)), [1.0, 0.0])], "q_id long, query string, vector array<double>")
+    one = spark.createDataFrame([(1, "w5")], "doc_id long, text string")
+    for mode in ("hybrid", "lexical", "vector"):
+        assert retrieval.search_all(many, one, vectors, key="doc_id", text="text", mode=mode).first()["lexical"] == 0.007813
