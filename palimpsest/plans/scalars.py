@@ -96,6 +96,9 @@ WITH q AS (SELECT doc_id, regexp_split_to_array(text, '\.\s')[1] AS q FROM docum
 SELECT doc_id, CASE WHEN NOT none THEN CAST(length(q) - length(regexp_replace(q, '^\s+', '')) AS INTEGER) END AS start,
   CASE WHEN NOT none THEN CAST(length(regexp_replace(q, '\s+$', '')) AS INTEGER) END AS stop FROM t""")
 def quote_offsets(spark, sf_dir):
+    from palimpsest.operators.packing import small_text_batches
+
+    small_text_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     quote = F.element_at(F.split("text", r"\.\s"), 1)
     return docs.select("doc_id", text.quote_offsets(F.col("text"), quote).alias("x")).select("doc_id", "x.start", "x.stop")
