@@ -50,3 +50,18 @@ def test_a_mode_of_vectors_alone_compares_no_words(spark, monkeypatch):
     one = spark.createDataFrame([(1, "w5")], "doc_id long, text string")
     for mode in ("hybrid", "lexical", "vector"):
         assert retrieval.search_all(many, one, vectors, key="doc_id", text="text", mode=mode).first()["lexical"] == 0.007813
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    from palimpsest.operators.packing import TEXT_ROWS
+    from palimpsest.plans import registry
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for query in ("DOC-04_list_items", "DOC-06_rendered_text", "DOC-08_revision_signals", "SC-10_quote_offsets"):
+            spark.conf.set(name, 10_000)
+            registry.queries()[query](spark, "/root/testdata/sf0.001")
+            assert int(spark.conf.get(name)) == TEXT_ROWS
+    finally:
+        spark.conf.set(name, before)
