@@ -134,9 +134,29 @@ def _half_up(x: np.ndarray, digits: int) -> np.ndarray:
     return np.floor(x * 10.0**digits + 0.5) / 10.0**digits
 
 
+def _asked_once(queries: DataFrame, group: Column) -> tuple[DataFrame, DataFrame]:
+    """(queries, of those without a vector that ask the same in a group only one, all of them: q_id and whom each asks as).
+
+    A q_id of several rows asks for itself: its rows share one list.
+    """
+    plain = queries.where("vector IS NULL").select("q_id", group.alias("__group"), "query")
+    single = cut(plain.groupBy("q_id").agg(F.count("*").alias("__n"), F.first("__group").alias("__group"), F.first("query").alias("query")).where("__n = 1"))
+    first = cut(single.groupBy("__group", "query").agg(F.min("q_id").alias("__as")))
+    same = single.join(first.withColumnsRenamed({"__group": "__g", "query": "__query"}), F.col("__group").eqNullSafe(F.col("__g")) & F.col("query").eqNullSafe(F.col("__query"))).select("q_id", "__as")
+    later = same.where("q_id <> __as").select(F.col("q_id").alias("__later"))
+    return queries.join(later, F.col("vector").isNull() & (F.col("q_id") == F.col("__later")), "left_anti"), same
+
+
+def _first_of_alike(rows: DataFrame, top: int) -> DataFrame:
+    """rows without those that others of the same group, text and title come before: without a vector the first `top` of them by age and id suffice."""
+    first = Window.partitionBy("in_group", "text", "title").orderBy(F.col("age").desc_nulls_first(), "id")
+    plain = rows.where("v IS NULL").withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= top).drop("__r")
+    return cut(plain.unionByName(rows.where("v IS NOT NULL")))
+
+
 def search_all(
     queries: DataFrame, items: DataFrame, vectors: DataFrame, *, key: str, text: str, mode: str = "hybrid", title: str | None = None, published: str | None = None,
-    group: str | None = None, vector_key: str = "vec_id", vector: str = "embedding", top: int = 20, block_bytes: int = BLOCK_BYTES,
+    group: str | None = None, vector_key: str = "vec_id", vector: str = "embedding", top: int = 20, block_bytes: int = BLOCK_BYTES, alike: bool = False,
 ) -> DataFrame:
     """(q_id, key, lexical, vector, score): the `top` items of each of many queries (q_id, query, vector), by all their tokens.
 
@@ -150,6 +170,9 @@ def search_all(
     lexical weight all items without vectors score 0 with every query, so only the first `top` of them by age and key, of
     each group, take part.
 
+    alike: many queries ask the same, and many items have the same group, text and title. Without vectors they score the same,
+    so such queries are asked once, and of such items only the first `top` by age and key are compared. No result changes.
+
     Queries and items are packed into blocks where they are, and pairs of blocks are scored in numpy; a task sends on the
     `top` of each query, and these are ranked over all tasks. No query passes the driver.
     """
@@ -160,6 +183,8 @@ def search_all(
     words = lambda x: hashed(F.array_distinct(tokens(x)))
     grams = lambda x: hashed(trigrams(F.lower(F.coalesce(x, F.lit(""))))) if title else none
     of_group = lambda df: (F.col(group) if group else F.lit(0)).alias("in_group")
+    if alike:
+        queries, same = _asked_once(queries, F.col(group) if group else F.lit(0))
     asked = queries.select("q_id", of_group(queries), words(F.col("query")).alias("terms"), grams(F.col("query")).alias("grams"),
                            F.when(F.col("vector").isNull(), vectors_none).otherwise(F.array(F.col("vector").cast("array<double>"))).alias("v"))
     own = vectors.groupBy(F.col(vector_key).alias("own")).agg(F.collect_list(F.col(vector).cast("array<double>")).alias("v"))
@@ -169,8 +194,10 @@ def search_all(
         age = F.unix_micros(F.col(published).cast("timestamp")).cast("double")
     else:
         age = F.col(published).cast("double")
-    rows = items.select(F.col(key).alias("id"), of_group(items), words(F.col(text)).alias("terms"), (grams(F.col(title)) if title else none).alias("grams"), age.alias("age"))
-    rows = rows.join(own, F.col("id") == F.col("own"), "left").select("id", "in_group", "age", "terms", "grams", F.coalesce("v", vectors_none).alias("v"))
+    rows = items.select(F.col(key).alias("id"), of_group(items), F.col(text).alias("text"), (F.col(title) if title else F.lit(None).cast("string")).alias("title"), age.alias("age"))
+    rows = rows.join(own, F.col("id") == F.col("own"), "left").select("id", "in_group", "age", "text", "title", "v")
+    rows = _first_of_alike(rows, top) if alike else rows
+    rows = rows.select("id", "in_group", "age", words(F.col("text")).alias("terms"), (grams(F.col("title")) if title else none).alias("grams"), F.coalesce("v", vectors_none).alias("v"))
     if not lexical_weight:
         first = Window.partitionBy("in_group").orderBy(F.col("age").desc_nulls_first(), "id")
         plain = rows.where(F.size("v") == 0).select("in_group", "id", "age")
@@ -190,7 +217,11 @@ def search_all(
     blocks = [cut(numbered_blocks(packed(df, name, block_bytes=block_bytes, within=within), f"{name}_block")) for df, name in ((left, "q"), (right, "x"))]
     if group:
         of = lambda df, name: df.withColumn(f"{name}_group", F.col(name)[0]["in_group"])
-        pairs = of(blocks[0], "q").join(of(blocks[1], "x"), F.col("q_group").eqNullSafe(F.col("x_group"))).select("q", "q_block", "x", "x_block")
+        # A large group's pairs are dealt over many tasks by the items' block, and its queries go to each of them.
+        salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        asking = of(blocks[0], "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        asked_of = of(blocks[1], "x").withColumn("salt", F.pmod(F.xxhash64("x_block"), F.lit(salts)).cast("int"))
+        pairs = asking.join(asked_of, F.col("q_group").eqNullSafe(F.col("x_group")) & (asking["salt"] == asked_of["salt"])).select("q", "q_block", "x", "x_block")
     else:
         pairs = block_pairs(*blocks)
 
@@ -228,6 +259,9 @@ def search_all(
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("age").desc_nulls_first(), key))
     with few_records(spark):
         found = cut(out.withColumn("__r", rank).where(F.col("__r") <= top).drop("__r", "age"))
+    if alike:
+        by = same.withColumnsRenamed({"q_id": "__q_id"})
+        found = found.join(by, F.col("q_id") == F.col("__as"), "left").withColumn("q_id", F.coalesce("__q_id", "q_id")).drop("__q_id", "__as")
     if lexical_weight and vector_weight:
         return found.drop("qb", "qi", "xb", "xi")
     # What has no weight is worked out for the rows found; a row is known by its block and its place there.

@@ -175,7 +175,7 @@ def question_search(spark, sf_dir):
         "income_bracket_max": lambda x: F.col("bracket") <= x, "region": lambda x: restricted_or_match(rule("for_regions"), bidirectional_prefix(F.array("region"), x)),
     }
     items, asked = admitted(offers.withColumn("text", F.concat_ws(" ", "p_type", "p_name")), asked, "filters", conditions, "admitted")
-    return search_all(asked, items, vectors, key="p_partkey", text="text", title="p_name", published="day", group="admitted", top=10)
+    return search_all(asked, items, vectors, key="p_partkey", text="text", title="p_name", published="day", group="admitted", top=10, alike=True)
 
 
 #: BM25 of each benchmark item's distinct tokens against every document in DuckDB.
