@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +19,29 @@ PREFERRED = {"pdf": ("pdf_hybrid", "pdf_hybrid_failed"), "hwp": ("hwp_pdf", "rhw
 DIRECT, ARCHIVES = ("html", "pdf", "png", "jpeg", "gif", "docx", "doc", "hwpx", "hwp", "xlsx", "xls", "pptx"), ("zip",)
 
 
+def save_each(rows: DataFrame, folder: str, *, name: str, content: str) -> None:
+    """Each row's content as a file of its own under folder, in one of 256 folders by a hash of its name; names have to differ.
+
+    A task writes its files where they stay, so no file is moved when the job ends, and a task that runs again writes the
+    same files.
+    """
+    place = F.concat_ws("/", F.lpad(F.hex(F.pmod(F.xxhash64(name), F.lit(256))), 2, "0"), F.col(name))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", folder))
+        made = set()
+        for batch in batches:
+            for path, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if (parent := path.split("/")[0]) not in made:
+                    store.create_dir(f"{root}/{parent}", recursive=True)
+                    made.add(parent)
+                with store.open_output_stream(f"{root}/{path}", compression=None) as out:
+                    out.write(value or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows.select(place.alias("path"), F.col(content).cast("binary").alias("content")).mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+
+
 def scan_saved(spark: SparkSession, folder: str, *, names: str = "*") -> DataFrame:
     """(path, length, sha, format, confidence) of the files under folder whose names match the glob `names`.
 

@@ -24,3 +24,18 @@ def test_questions_and_items_that_are_alike_are_compared_once(spark, monkeypatch
     assert ask(True) == plain
     # Six with vectors, two rows of one id and one for each group and question; four of each title in a group, and those with vectors.
     assert sizes["q"] <= 6 + 2 + 4 and sizes["x"] <= 6 * 4 + 10
+
+
+def test_saved_files_share_folders_and_a_page_of_two_rows_is_two_files(spark, tmp_path):
+    from palimpsest.plans import registry
+
+    pages = spark.range(600).select((F.col("id") % 590).alias("page_id"), F.lit("http://x.org").alias("url"), F.concat(F.lit("<html>\r\n"), F.col("id")).alias("html"))
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    found = registry.queries()["SRC-08_saved_files"](spark, str(tmp_path))
+    files = found.inputFiles()
+    rows = found.select("page_id", "length").collect()
+    assert len(rows) == 600 and len({r.page_id for r in rows}) == 590
+    before = ["", "%PDF-1.7", "GIF89a", "PK\x03\x04"]
+    want = sorted((i % 590, len(f"{before[i % 590 % 4]}<html>\r\n{i}\n")) for i in range(600))
+    assert sorted(map(tuple, rows)) == want
+    assert len({f.rsplit("/", 1)[0] for f in files if f.endswith(".txt")}) <= 256
