@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.plans.registry import query, table
 from palimpsest.operators.lineage import shared_folder
-from palimpsest.streaming.incremental import feed_in_order, first_requests, missing_streaks, run_to_end, settle, stream_table, tumbling_counts
+from palimpsest.streaming.incremental import first_requests, missing_streaks, run_to_end, settle, slices_in_order, stream_table, tumbling_counts
 
 
 @query("SM-15_stream_usage", "SELECT event_type, time_bucket(INTERVAL 1 MINUTE, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
@@ -47,7 +47,9 @@ def queue_of_events(rows):
 @query("SM-01_stream_queue")
 def stream_queue(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    path = feed_in_order(events, at="ts", files=4)
-    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    found = run_to_end(queue_of_events(rows), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+    path, out = (f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}" for kind in ("feed", "stream"))
+    # Each part is written by all tasks; the stream takes it whole and goes on from there with the next.
+    for part in slices_in_order(events, at="ts", parts=4):
+        part.write.mode("append").parquet(path)
+        found = run_to_end(queue_of_events(spark.readStream.schema(events.schema).parquet(path)), out)
     return found.select("user_id", "job", F.timestamp_millis("at").alias("at"), "change", "attempt")

@@ -69,19 +69,20 @@ def settle(stream: DataFrame, keys: Sequence[str], *, mode: str = "update") -> D
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "__batch").alias("x")).select(*keys, "x.*") if others else rows.select(*keys).distinct()
 
 
-def feed_in_order(rows: DataFrame, *, at: str, files: int) -> str:
-    """A folder of the shared one with the rows in files of consecutive times, written one after another, as a feed comes.
-
-    Times are cut at quantiles, so that all rows of one moment are in one file.
-    """
-    spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+def slices_in_order(rows: DataFrame, *, at: str, parts: int) -> list[DataFrame]:
+    """rows in parts of consecutive times, cut at quantiles, so that all rows of one moment are in one part."""
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    ends = rows.select(micros.alias("m")).agg(F.percentile_approx("m", [i / files for i in range(1, files)], 10_000)).first()[0] if files > 1 else []
+    ends = rows.select(micros.alias("m")).agg(F.percentile_approx("m", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
     cuts = [None, *sorted(set(ends or [])), None]
-    for low, high in zip(cuts[:-1], cuts[1:]):
-        part = rows if low is None else rows.where(micros > low)
-        (part if high is None else part.where(micros <= high)).coalesce(1).write.mode("append").parquet(path)
+    later = [rows if low is None else rows.where(micros > low) for low in cuts[:-1]]
+    return [part if high is None else part.where(micros <= high) for part, high in zip(later, cuts[1:])]
+
+
+def feed_in_order(rows: DataFrame, *, at: str, files: int) -> str:
+    """A folder of the shared one with the rows in files of consecutive times, written one after another, as a feed comes."""
+    path = f"{shared_folder(rows.sparkSession)}/feed-{uuid.uuid4().hex}"
+    for part in slices_in_order(rows, at=at, parts=files):
+        part.coalesce(1).write.mode("append").parquet(path)
     return path
 
 

@@ -39,3 +39,21 @@ def test_saved_files_share_folders_and_a_page_of_two_rows_is_two_files(spark, tm
     want = sorted((i % 590, len(f"{before[i % 590 % 4]}<html>\r\n{i}\n")) for i in range(600))
     assert sorted(map(tuple, rows)) == want
     assert len({f.rsplit("/", 1)[0] for f in files if f.endswith(".txt")}) <= 256
+
+
+def test_a_row_of_a_queue_does_not_go_through_all_its_jobs():
+    from palimpsest.streaming.queue import MINUTE, OpenJobs
+
+    class Jobs(dict):
+        def items(self):
+            raise AssertionError("all jobs were looked through")
+
+    queue = OpenJobs(Jobs(), 2)
+    for n in range(500):
+        queue.apply(n, n, "add", n % 3 == 0)
+    assert [queue.apply(0, 1000 + i, "claim", False) for i in range(3)] and [c[0] for c in queue.changes[500:]] == [0, 3, 6]
+    queue.apply(0, 2000, "fail", False)
+    queue.apply(0, 2001, "done", False)
+    queue.advance(60 * MINUTE)
+    assert queue.changes[503:] == [(6, 2000, "retry", 1), (3, 2001, "done", 1), (6, 2000 + 2 * MINUTE, "ready", 1), (0, 1000 + 15 * MINUTE, "expired", 1)]
+    assert queue.due() is None
