@@ -202,19 +202,19 @@ def evidence_tree(spark, sf_dir):
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     ref = lambda block, quote, kind: F.struct(block.alias("block_id"), quote.alias("quote"), kind.alias("evidence_type"))
     direct, x = F.lit("direct"), F.col
-    state = F.when(x("l_partkey") % 7 == 0, "conflict").otherwise("stated")
-    end = F.struct(x("l_partkey").alias("value"), state.alias("state"), F.array(ref(text("s", x("l_suppkey")), text("q", x("l_partkey")), direct), ref(text("s", x("l_suppkey") + 1), F.lit("second"), F.lit("inferred"))).alias("evidence"))
-    benefit = F.struct(F.lit("line").alias("kind"), F.array(ref(text("s", x("l_suppkey")), F.lit("benefit"), direct)).alias("evidence"))
-    window = F.struct(*[F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")], end.alias("end"), benefit.alias("benefit"), F.struct(F.struct(F.lit("unknown").alias("state")).alias("deep")).alias("rule"))
-    windows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(window)).alias("w"))
-    kept = F.transform("w", lambda w: F.struct(w["end"].alias("end"), w["benefit"].alias("benefit"), w["rule"].alias("rule")))
+    stated = lambda w: F.when(w["l_partkey"] % 7 == 0, "conflict").otherwise("stated")
+    end = lambda w: F.struct(w["l_partkey"].alias("value"), stated(w).alias("state"), F.array(ref(text("s", w["l_suppkey"]), text("q", w["l_partkey"]), direct), ref(text("s", w["l_suppkey"] + 1), F.lit("second"), F.lit("inferred"))).alias("evidence"))
+    benefit = lambda w: F.struct(F.lit("line").alias("kind"), F.array(ref(text("s", w["l_suppkey"]), F.lit("benefit"), direct)).alias("evidence"))
+    windows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("w"))
+    rule = F.struct(F.struct(F.lit("unknown").alias("state")).alias("deep")).alias("rule")
+    kept = F.transform("w", lambda w: F.struct(end(w).alias("end"), benefit(w).alias("benefit"), rule))
     kind = F.when(x("o_orderkey") % 4 == 0, "inferred").otherwise("direct")
     name = F.struct(x("o_orderpriority").alias("value"), F.when(x("o_orderstatus") == "F", "conflict").otherwise("stated").alias("state"), F.array(ref(text("s", x("o_custkey") % 20), x("o_orderpriority"), kind)).alias("evidence"))
     orders = table(spark, sf_dir, "orders").join(windows, x("l_orderkey") == x("o_orderkey"), "left")
     trees = orders.select("o_orderkey", F.to_json(F.struct(name.alias("name"), kept.alias("windows"))).alias("tree"))
     blocks = orders.select("o_orderkey", F.explode(F.array_distinct(F.concat(F.array(x("o_custkey") % 20), F.flatten(F.transform(F.coalesce("w", F.array()), lambda w: F.array(w["l_suppkey"], w["l_suppkey"] + 1)))))).alias("s"))
     blocks = blocks.join(table(spark, sf_dir, "supplier").where("s_acctbal > 0"), x("s") == x("s_suppkey")).select("o_orderkey", text("s", x("s")).alias("block_id"), x("s_nationkey").alias("document"))
-    warned = orders.select("o_orderkey", F.lit("/windows/1/end/evidence/0: the quote isn't there").alias("warning"))
+    warned = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("/windows/1/end/evidence/0: the quote isn't there").alias("warning"))
     return rows_of(trees, blocks, warned, key="o_orderkey", tree="tree")
 
 

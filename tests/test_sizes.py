@@ -57,3 +57,19 @@ def test_a_row_of_a_queue_does_not_go_through_all_its_jobs():
     queue.advance(60 * MINUTE)
     assert queue.changes[503:] == [(6, 2000, "retry", 1), (3, 2001, "done", 1), (6, 2000 + 2 * MINUTE, "ready", 1), (0, 1000 + 15 * MINUTE, "expired", 1)]
     assert queue.due() is None
+
+
+def test_references_of_a_tree_are_not_dealt_by_block(spark):
+    from palimpsest.operators.evidence import evidence_rows
+
+    trees = spark.createDataFrame([(1, '{"a": {"value": 2, "state": "conflict", "evidence": [{"block_id": "b"}, {"block_id": "c", "evidence_type": "inferred"}, 3]}}'), (2, "no JSON")], "k long, t string")
+    blocks = spark.createDataFrame([(1, "b", 5), (1, "c", 6), (1, "c", 7), (2, "b", 5)], "k long, block_id string, document long")
+    warned = spark.createDataFrame([(1, "/a/evidence/0: no")], "k long, warning string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = evidence_rows(trees, blocks, warned, key="k", tree="t")
+        assert {(r.block_id, r.document, r.value, r.status, r.verification) for r in rows.collect()} == {(b, d, "2", "conflicting", "pending") for b, d in (("b", 5), ("c", 6), ("c", 7))}
+        dealt = [x for x in rows._jdf.queryExecution().toString().splitlines() if "hashpartitioning(" in x]
+        assert dealt and not any("block_id" in x.split("hashpartitioning(")[1].split(")")[0] for x in dealt)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
