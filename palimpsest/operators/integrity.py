@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Links that are joined and counted by one task.
+PART_ROWS = 1 << 18
+
 
 def orphans(children: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
     return children.where(F.col(key).isNotNull()).join(parents.select(F.col(parent_key).alias("__p")), F.col(key) == F.col("__p"), "left_anti")
@@ -50,6 +53,11 @@ def unfounded_revalidations(fetches: DataFrame, *, key: str, reuses: str, same:
 
 
 def foreign_blocks(links: DataFrame, chunks: DataFrame, blocks: DataFrame, *, chunk: str, block: str, document: str) -> DataFrame:
-    """(chunk, foreign_blocks): chunks with blocks of another document than their own, and how many; links (chunk, block)."""
-    owned = links.join(chunks.select(chunk, F.col(document).alias("__own")), chunk).join(blocks.select(block, F.col(document).alias("__of")), block)
+    """(chunk, foreign_blocks): chunks with blocks of another document than their own, and how many; links (chunk, block).
+
+    Links are dealt into parts of about `PART_ROWS`, since a part is sorted and held in several aggregations at once; Spark
+    would join parts up to a size on disk, and keys that pack well take many times that in memory.
+    """
+    parts = max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-links.count() // PART_ROWS))
+    owned = links.repartition(parts, chunk).join(chunks.select(chunk, F.col(document).alias("__own")), chunk).join(blocks.select(block, F.col(document).alias("__of")), block)
     return owned.where(F.col("__own") != F.col("__of")).groupBy(chunk).agg(F.countDistinct(block).alias("foreign_blocks"))

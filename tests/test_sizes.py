@@ -73,3 +73,15 @@ def test_references_of_a_tree_are_not_dealt_by_block(spark):
         assert dealt and not any("block_id" in x.split("hashpartitioning(")[1].split(")")[0] for x in dealt)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_links_of_chunks_are_dealt_by_their_number(spark, monkeypatch):
+    from palimpsest.operators import integrity
+
+    monkeypatch.setattr(integrity, "PART_ROWS", 100, raising=False)
+    links = spark.range(2000).select((F.col("id") % 300).alias("chunk"), (F.col("id") % 7).alias("block"))
+    chunks, blocks = spark.range(300).select(F.col("id").alias("chunk"), (F.col("id") % 3).alias("d")), spark.range(7).select(F.col("id").alias("block"), (F.col("id") % 3).alias("d"))
+    rows = integrity.foreign_blocks(links, chunks, blocks, chunk="chunk", block="block", document="d")
+    want = {(c, len({i % 7 for i in range(c, 2000, 300) if i % 7 % 3 != c % 3})) for c in range(300)}
+    assert set(map(tuple, rows.collect())) == {x for x in want if x[1]}
+    assert rows.rdd.getNumPartitions() == 20
