@@ -16,13 +16,18 @@ rounds stay few. The result is that of a full scan, ties included.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.lineage import cut, shared_folder
+from palimpsest.operators.packing import small_text_batches
 from palimpsest.operators.retrieval import tokens
 
 PER_SHARD, FIRST, GROWTH, DIGITS = 128, 4, 4, 6
@@ -43,6 +48,25 @@ def _length_class(size: Column) -> Column:
     return F.floor(F.log2(size + 1) * 2).cast("int")
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """(key, size, term, f) of (key, t): a document's distinct tokens and how often it has each, counted where it is."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, sizes = batch.column(1), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            known = t.flatten().dictionary_encode()
+            n = max(len(known.dictionary), 1)
+            pairs, times = np.unique(np.repeat(np.arange(len(t)), sizes) * n + known.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            ends = pa.array(np.searchsorted(pairs, np.arange(len(t) + 1) * n).astype(np.int32))
+            terms = known.dictionary.take(pa.array(pairs % n))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int64)))],
+                names=["key", "size", "term", "f"])
+
+    small_text_batches(rows.sparkSession)
+    return rows.mapInArrow(count, f"key {rows.schema['key'].dataType.simpleString()}, size int, term array<string>, f array<long>")
+
+
 def build_postings(
     docs: DataFrame, *, key: str, text: str, path: str | None = None, per_shard: int = PER_SHARD, k1: float = 1.2, b: float = 0.75
 ) -> PostingsIndex:
@@ -51,20 +75,20 @@ def build_postings(
     A document without tokens counts for the mean length and is in no posting. Two numbers and a row for each class of
     lengths, of which there are some 60, come to the driver.
     """
-    rows = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t")).withColumn("size", F.size("t"))
+    rows = cut(_counted(docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t"))))
     classes = rows.groupBy(_length_class(F.col("size")).alias("c")).agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
     documents, words = sum(r["n"] for r in classes), sum(r["size"] for r in classes)
     mean = words / documents if words else 1.0
     shards = F.create_map(*[F.lit(x) for r in classes for x in (r["c"], -(-r["n"] // per_shard))]) if classes else F.create_map(F.lit(0), F.lit(1))
     shard = F.shiftleft(_length_class(F.col("size")).cast("long"), 40) + F.pmod(F.xxhash64("key"), F.try_element_at(shards, _length_class(F.col("size"))))
-    counted = rows.select("key", "size", shard.alias("shard"), F.explode("t").alias("term")).groupBy("key", "size", "shard", "term").agg(F.count("*").alias("f"))
+    counted = rows.select("key", "size", shard.alias("shard"), F.explode(F.arrays_zip("term", "f")).alias("x")).select("key", "size", "shard", "x.term", "x.f")
     weight = F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("size") / F.lit(mean)))
-    postings = counted.withColumn("weight", weight).groupBy("term", "shard").agg(
-        F.count("*").cast("int").alias("n"), F.max("weight").alias("most"), F.collect_list(F.struct("key", "weight")).alias("found"))
-    path = path or f"{shared_folder(docs.sparkSession)}/postings-{uuid.uuid4().hex}"
-    # Sorted by term: the reader skips the row groups that have none of the terms asked for.
+    # The one time that postings move: they are grouped, sorted and written where they come to.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings.repartition(parts, "term").sortWithinPartitions("term", "shard").write.parquet(f"{path}/postings")
+    dealt = counted.select("term", "shard", "key", weight.alias("weight")).repartition(parts, "term", "shard")
+    postings = dealt.groupBy("term", "shard").agg(F.count("*").cast("int").alias("n"), F.max("weight").alias("most"), F.collect_list(F.struct("key", "weight")).alias("found"))
+    path = path or f"{shared_folder(docs.sparkSession)}/postings-{uuid.uuid4().hex}"
+    postings.sortWithinPartitions("term", "shard").write.parquet(f"{path}/postings")
     known = docs.sparkSession.read.schema(postings.schema).parquet(f"{path}/postings")
     known.groupBy("term").agg(F.sum("n").alias("docs")).withColumn("documents", F.lit(documents)).write.parquet(f"{path}/terms")
     return open_postings(docs.sparkSession, path)

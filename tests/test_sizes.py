@@ -85,3 +85,14 @@ def test_links_of_chunks_are_dealt_by_their_number(spark, monkeypatch):
     want = {(c, len({i % 7 for i in range(c, 2000, 300) if i % 7 % 3 != c % 3})) for c in range(300)}
     assert set(map(tuple, rows.collect())) == {x for x in want if x[1]}
     assert rows.rdd.getNumPartitions() == 20
+
+
+def test_terms_are_counted_where_the_document_is(spark):
+    from palimpsest.operators.postings import _counted
+    from palimpsest.operators.retrieval import tokens
+
+    docs = spark.createDataFrame([(1, "b a, B c b"), (2, None), (3, ""), (4, "Ä ä x")], "key long, text string").coalesce(1)
+    rows = _counted(docs.select("key", tokens(F.col("text")).alias("t")))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    found = {r.key: (r.size, dict(zip(r.term, r.f))) for r in rows.collect()}
+    assert found == {1: (5, {"b": 3, "a": 1, "c": 1}), 2: (0, {}), 3: (0, {}), 4: (3, {"ä": 2, "x": 1})}
