@@ -39,8 +39,10 @@ def publication_violations(tables: dict[str, DataFrame]) -> DataFrame:
     witness = _with(named, evidence.select("id", "verified", F.col("version").alias("of")), "witness", "e")
     amended = _with(_with(sources, tables["decisions"], "decision", "d", "left"), versions.select("id", "opportunity"), "version", "v")
     theirs = (F.col("d_opportunity") == F.col("v_opportunity")) | F.coalesce(F.col("d_other") == F.col("v_opportunity"), F.lit(False))
-    used = evidence.select("version", "document").union(tables["chunks"].select("version", "document")).distinct()
-    documents = _with(used, tables["documents"], "document", "d")
+    # Only documents that a rule asks for meet the evidence, and only what meets them is dealt on.
+    used = evidence.select("version", "document").union(tables["chunks"].select("version", "document"))
+    doubtful = tables["documents"].where("NOT sealed OR status <> 'succeeded'")
+    documents = _with(used, doubtful, "document", "d")
     complete = versions.where("quality = 'complete'").select(F.col("id").alias("version"))
     partly = _with(current, tables["notice_versions"], "notice_version", "n").where("n_assets <> 'complete'").select("version")
     partly = partly.union(documents.where("d_status <> 'succeeded'").select("version"))

@@ -96,3 +96,13 @@ def test_terms_are_counted_where_the_document_is(spark):
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     found = {r.key: (r.size, dict(zip(r.term, r.f))) for r in rows.collect()}
     assert found == {1: (5, {"b": 3, "a": 1, "c": 1}), 2: (0, {}), 3: (0, {}), 4: (3, {"ä": 2, "x": 1})}
+
+
+def test_evidence_meets_only_doubtful_documents_before_it_is_dealt(spark):
+    import re
+
+    from palimpsest.plans import registry
+
+    found = registry.queries()["DM-27_publication_guard"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "unsealed document" in plan and not re.search(r"Aggregate \[version#\d+L?, document#\d+L?\]", plan)
