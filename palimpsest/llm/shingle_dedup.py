@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import scan
-from palimpsest.llm.common import SPACES, col, cut, partitions, small_batches, text_hash
-from palimpsest.llm.routing import NO_ID, in_slots, maybe_in, numbered
+from palimpsest.llm.common import SPACES, col, cut, small_batches, text_hash
+from palimpsest.llm.routing import NO_ID, numbered, only_in
 from palimpsest.llm.simhash import components, fingerprints, keep_least, links as near_prints
 
 SHINGLE, AT_LEAST, BUCKET, CENTRES, BLOCK = 5, 0.8, 16, 4, 256
@@ -122,7 +122,9 @@ def _posted(docs: DataFrame, text: str, doc_id: str, shingle: int, at_least: flo
 
     light = docs.select(col(doc_id).alias("doc_id"), text_hash(text).alias("__th"), col(text).alias("text"))
     kind = light.schema["doc_id"].dataType.simpleString()
-    return light.mapInArrow(run, f"doc_id {kind}, __th long, node long, fp long, n long, tally array<smallint>, posted array<long>")
+    posted = cut(light.mapInArrow(run, f"doc_id {kind}, __th long, node long, fp long, n long, tally array<smallint>, posted array<long>"))
+    common.destroy()
+    return posted
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
@@ -134,7 +136,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, shin
                 h, bounds = shingle_sets(batch.column(0), shingle)
                 yield pa.RecordBatch.from_arrays([pa.array(_nodes(h, bounds)), _lists(h, np.diff(bounds))], names=["node", "whole"])
 
-    inside, _ = in_slots(numbered(docs, text, doc_id), wanted, partitions(docs.sparkSession))
+    inside = only_in(numbered(docs, text, doc_id), wanted)
     return inside.select("text").mapInArrow(run, "node long, whole array<long>").groupBy("node").agg(F.first("whole").alias("whole"))
 
 
@@ -179,16 +181,16 @@ def _with_like_tallies(pairs: DataFrame, tallies: DataFrame, at_least: float) ->
 
 def _reaching(rest: DataFrame, postings: DataFrame, at_least: float) -> DataFrame:
     """rest (h, node, n, at, root) with `most`, which a pair that shares nothing large before h can share: where that may do."""
-    small = maybe_in(postings.where(F.col("m") <= BUCKET).select("node", "at"), rest.select("node"), "node")
+    small = only_in(postings.where(F.col("m") <= BUCKET).select("node", "at"), rest.select("node"), "node")
     early = small.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("at")), 1, MATCHES - 1).alias("early"))
     before = F.when(F.col("early").isNotNull(), F.size(F.filter("early", lambda e: e < F.col("at")))).otherwise(0)
     most = F.col("n") - F.col("at") + before
     return rest.join(early, "node", "left").withColumn("most", most).drop("early").where(F.col("most") >= at_least * F.col("n") - 1e-6)
 
 
-def _across(postings: DataFrame, links: DataFrame, tallies: DataFrame, at_least: float) -> DataFrame:
-    """(a, b) that share a large posting, that `links` leave in different components, and whose tallies are alike."""
-    found = components(links).withColumnsRenamed({"node": "linked"})
+def _across(postings: DataFrame, found: DataFrame, tallies: DataFrame, at_least: float) -> DataFrame:
+    """(a, b) that share a large posting, that are in different components (node, root) of `found`, and whose tallies are alike."""
+    found = found.select(F.col("node").alias("linked"), "root")
     large = postings.where(F.col("m") > BUCKET)
     rooted = large.join(found, large["node"] == found["linked"], "left").select("h", "node", "n", "at", F.coalesce("root", "node").alias("root"))
     every = Window.partitionBy("h")
@@ -219,23 +221,27 @@ def _print_pairs(prints: DataFrame) -> DataFrame:
     least = cut(prints.groupBy("fp").agg(F.min("node").alias("least")))
     same = prints.join(least, "fp").where("least < node").select(F.col("least").alias("x"), F.col("node").alias("y"))
     first = lambda x: least.select(F.col("fp").alias(f"fp{x}"), F.col("least").alias(x))
-    linked = near_prints(least.select("fp")).withColumnsRenamed({"a": "fpx", "b": "fpy"})
+    linked = cut(near_prints(least.select("fp"))).withColumnsRenamed({"a": "fpx", "b": "fpy"})
     return same.unionByName(linked.join(first("x"), "fpx").join(first("y"), "fpy").select("x", "y")).select(*_ends())
 
 
-def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs (a, b) that `links` don't connect."""
-    found = components(links)
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that aren't in one component (node, root) of `found`."""
     root = lambda x: found.select(F.col("node").alias(x), F.col("root").alias(f"root{x}"))
     known = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
     return known.where("roota IS NULL OR rootb IS NULL OR roota <> rootb").select("a", "b")
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, root) of `found` and more links (a, b)."""
+    return components(found.where("root < node").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(links))
+
+
 def similar_documents(
     docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, at_least: float = AT_LEAST
 ) -> DataFrame:
     """(doc_id, __th, component) for each row of docs; __th tells texts of an id apart."""
-    printed = cut(_posted(docs, text, doc_id, shingle, at_least))
+    printed = _posted(docs, text, doc_id, shingle, at_least)
     nodes = printed.groupBy("node").agg(F.first("n").alias("n"), F.first("posted").alias("posted"), F.min("fp").alias("fp"))
     every = Window.partitionBy("h")
     # n and the place in the order travel as one number: this is the shuffle of all postings.
@@ -254,13 +260,13 @@ def similar_documents(
         return cut(_verified(pairs, sets, at_least))
 
     prints = nodes.where("n > 0").select("node", "fp")
-    links = verified(cut(_with_like_tallies(_print_pairs(prints), tallies, at_least)))
-    links = links.unionByName(verified(_apart(cut(_with_like_tallies(_first_pairs(postings, at_least), tallies, at_least)), links)))
+    found = components(verified(cut(_with_like_tallies(_print_pairs(prints), tallies, at_least))))
+    found = _joined(found, verified(_apart(cut(_with_like_tallies(_first_pairs(postings, at_least), tallies, at_least)), found)))
     if not postings.where(F.col("m") > BUCKET).isEmpty():
-        more = cut(_across(postings, links, tallies, at_least))
+        more = cut(_across(postings, found, tallies, at_least))
         if not more.isEmpty():
-            links = links.unionByName(verified(more))
-    found = components(links).withColumnRenamed("node", "at")
+            found = _joined(found, verified(more))
+    found = found.withColumnRenamed("node", "at")
     return printed.join(found, printed["node"] == found["at"], "left").select("doc_id", "__th", F.coalesce("root", "node").alias("component"))
 
 

@@ -98,14 +98,18 @@ def links(prints: DataFrame, *, max_bits: int = MAX_BITS, pivots: int = PIVOTS,
         F.lit(10 * i + j) + F.lit(100) * (quarter(i) * F.lit(1 << 16) + quarter(j)) for i in range(4) for j in range(i + 1, 4)])
     keyed = cut(prints.select("fp", F.explode(keys).alias("key")))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(counts, "key")
     names = [f"d{i}" for i in range(pivots)]
-    small = with_pivot_distances(shared.where(F.col("n") <= bucket), pivots).select("key", "fp", F.struct(*names).alias("d"))
+    # Cut, so that the pairs' plan holds neither the counts nor the distances twice.
+    shared = cut(with_pivot_distances(keyed.join(counts, "key"), pivots).select("key", "fp", "n", F.struct(*names).alias("d")))
+    small = shared.where(F.col("n") <= bucket)
     left, right = small.select("key", F.col("fp").alias("a"), F.col("d").alias("da")), small.select("key", F.col("fp").alias("b"), F.col("d").alias("db"))
     near = reduce(lambda x, y: x & y, [F.abs(F.col(f"da.{n}") - F.col(f"db.{n}")) <= max_bits for n in names])
     verified = _distance(F.col("a"), F.col("b")) <= max_bits
     pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & near & verified).select("a", "b")
-    large = shared.where(F.col("n") > bucket).select("fp").distinct()
+    crowded = shared.where(F.col("n") > bucket)
+    if crowded.isEmpty():
+        return pairs.distinct()
+    large = crowded.select("fp").distinct()
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
     named = large.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("at"))
     least = named.groupBy("at").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top").select("at", "a")
@@ -124,24 +128,24 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """(node, root): for every node of the edges (a, b) the least node that it is connected to.
 
     Each round, every node takes the least root among its neighbours' roots, and roots follow their own roots; rounds are
-    logarithmic in a component's diameter in practice, and end when nothing changes. A large component's nodes share a
-    root, so joins on roots are salted; those on nodes have a row for each link.
+    logarithmic in a component's diameter in practice, and end when no neighbour's root is less. A large component's nodes
+    share a root, so joins on roots are salted; those on nodes have a row for each link.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")))
     roots = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
     for _ in range(most_rounds):
         around = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        mine = roots.join(around, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("to"))
+        mine = cut(roots.join(around, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("to")))
+        # Neighbours that all share a root are a component, and its least node is among them.
+        if mine.where("to < old").isEmpty():
+            return roots
         # A root that some node can improve is improved too, so that whole trees move at once.
         hooks = mine.where("to < old").groupBy(F.col("old").alias("root")).agg(F.min("to").alias("hook"))
         hooked = _salted(mine, hooks, "old", "root").select("node", "old", F.least("to", F.coalesce("hook", "to")).alias("to"))
         # Only a node that is a root can be jumped from.
         tops = roots.select("root").distinct().withColumnRenamed("root", "node")
         jump = roots.join(tops, "node", "left_semi").select("node", F.col("root").alias("next"))
-        moved = cut(_salted(hooked, jump, "to", "node").select("node", "old", F.least(F.col("to"), F.coalesce("next", "to")).alias("root")))
-        roots = moved.select("node", "root")
-        if moved.where("old <> root").isEmpty():
-            return roots
+        roots = cut(_salted(hooked, jump, "to", "node").select("node", F.least(F.col("to"), F.coalesce("next", "to")).alias("root")))
     raise RuntimeError(f"components did not settle within {most_rounds} rounds")
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import shingle_dedup, suffix_dedup
+from palimpsest.llm import shingle_dedup, simhash, suffix_dedup
 
 
 def _texts(count, passage, rng):
@@ -144,3 +144,23 @@ def test_links_at_the_bound_after_small_postings(spark, monkeypatch):
     docs = spark.createDataFrame(list(pages.items()), "doc_id long, text string")
     found = shingle_dedup.similar_documents(docs).withColumn("least", F.expr("min(doc_id) OVER (PARTITION BY component)")).collect()
     assert {r.doc_id: r.least for r in found} == want
+
+
+def test_plans_of_the_stage_stay_small(spark, monkeypatch):
+    """No step of the stage, which the driver plans and keeps, has over five joins, and slots make no row that isn't kept."""
+    for name, value in {"BUCKET": 4, "CENTRES": 1, "BLOCK": 8, "SAMPLE": 1}.items():
+        monkeypatch.setattr(shingle_dedup, name, value)
+    plans, real = [], simhash.cut
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df)
+
+    for module in (shingle_dedup, simhash):
+        monkeypatch.setattr(module, "cut", kept)
+    pages = _pages(40, 2) | {i: " ".join(f"t{j}" for j in range(60)) + f" e{i % 7}" for i in range(100, 140)}
+    found = shingle_dedup.similar_documents(spark.createDataFrame(list(pages.items()), "doc_id long, text string"))
+    assert found.select("component").distinct().count() == 41
+    assert max(p.count("Join ") for p in plans) <= 5
+    slots = [line for p in plans for line in p.splitlines() if "Join " in line and "__word" in line]
+    assert slots and all("LeftSemi" in line for line in slots)
