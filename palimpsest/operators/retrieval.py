@@ -214,14 +214,16 @@ def search_all(
     if group:
         # Rows of a group side by side, a large group over many tasks.
         left, right = left.sortWithinPartitions("in_group"), rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "in_group", "id").sortWithinPartitions("in_group")
-    blocks = [cut(numbered_blocks(packed(df, name, block_bytes=block_bytes, within=within), f"{name}_block")) for df, name in ((left, "q"), (right, "x"))]
+    of = lambda df, name: df.withColumn(f"{name}_group", F.col(name)[0]["in_group"]) if group else df
+    blocks = [cut(of(numbered_blocks(packed(df, name, block_bytes=block_bytes, within=within), f"{name}_block"), name)) for df, name in ((left, "q"), (right, "x"))]
     if group:
-        of = lambda df, name: df.withColumn(f"{name}_group", F.col(name)[0]["in_group"])
-        # A large group's pairs are dealt over many tasks by the items' block, and its queries go to each of them.
+        # A large group's pairs are dealt over many tasks by the items' block, and its queries go to each of them. They go
+        # there by a shuffle: the copies of a small table may be large, and a broadcast of them passes the driver.
         salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        asking = of(blocks[0], "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        asked_of = of(blocks[1], "x").withColumn("salt", F.pmod(F.xxhash64("x_block"), F.lit(salts)).cast("int"))
-        pairs = asking.join(asked_of, F.col("q_group").eqNullSafe(F.col("x_group")) & (asking["salt"] == asked_of["salt"])).select("q", "q_block", "x", "x_block")
+        asked_of = blocks[1].withColumn("salt", F.pmod(F.xxhash64("x_block"), F.lit(salts)).cast("int"))
+        has = asked_of.groupBy(F.col("x_group").alias("of_group")).agg(F.collect_set("salt").alias("salts"))
+        asking = blocks[0].join(has, F.col("q_group").eqNullSafe(F.col("of_group"))).select("q", "q_block", "q_group", F.explode("salts").alias("salt"))
+        pairs = asking.hint("merge").join(asked_of, F.col("q_group").eqNullSafe(F.col("x_group")) & (asking["salt"] == asked_of["salt"])).select("q", "q_block", "x", "x_block")
     else:
         pairs = block_pairs(*blocks)
 
