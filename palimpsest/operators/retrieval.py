@@ -134,6 +134,254 @@ def _half_up(x: np.ndarray, digits: int) -> np.ndarray:
     return np.floor(x * 10.0**digits + 0.5) / 10.0**digits
 
 
+class _Asked:
+    """A block of queries, and of each the tokens that an item must have some of to reach the query's bar.
+
+    A query's bar is a score that `top` items are known to reach. An item without a vector has to share `least` tokens with
+    it. Of a query's tokens, ordered from rare to frequent, the first `n_rare` are looked up: who shares m tokens in all shares
+    m - (size - n_rare) of these at least, since no more are left. Without bars every token is looked up.
+    """
+
+    def __init__(self, q: pa.StructArray, weights: tuple[float, float]):
+        terms = q.field("terms")
+        flat, self.sizes = terms.flatten().to_numpy(zero_copy_only=False), terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.known, self.at = np.unique(flat, return_inverse=True)
+        self.start = np.r_[0, np.cumsum(self.sizes)]
+        who = np.repeat(np.arange(len(q)), self.sizes)
+        self.bars = q.field("bar").to_numpy(zero_copy_only=False).astype(float) if q.type.get_field_index("bar") >= 0 else np.full(len(q), np.nan)
+        self.vectors, self.whose = _vectors(q.field("v"))
+        with np.errstate(invalid="ignore"):
+            self.least = np.nan_to_num(self.needed(np.arange(len(q)), 0.0, weights), nan=-1.0)
+        self.n_rare = np.clip(self.sizes - self.least + np.maximum(1, self.sizes // 8), 0, self.sizes).astype(np.int64)
+        order = np.lexsort((np.bincount(self.at, minlength=len(self.known))[self.at], who))
+        rare = order[np.arange(len(order)) - self.start[who] < self.n_rare[who]]
+        rare = rare[np.argsort(self.at[rare], kind="stable")]
+        #: Of each token, in how many queries it is looked up, and where in `who` these are.
+        self.times, self.who = np.bincount(self.at[rare], minlength=len(self.known)), who[rare]
+        self.first = np.cumsum(self.times) - self.times
+
+    def needed(self, who: np.ndarray, near: np.ndarray | float, weights: tuple[float, float]) -> np.ndarray:
+        """How many tokens an item has to share with each of the queries `who`, if its vector has the score `near`; nan without a bar.
+
+        The margin is more than what scores are rounded by.
+        """
+        return np.ceil(self.sizes[who] * ((self.bars[who] - weights[1] * near) / weights[0] - 2e-6) - 1e-9)
+
+
+def _places(known: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of flat are among known, and where there)."""
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.searchsorted(known, flat)
+    hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == flat)
+    return hit, at[hit]
+
+
+class _Met:
+    """The tokens of a block of items that a block of queries has: of which item, and which of the queries' tokens."""
+
+    def __init__(self, asked: _Asked, terms: pa.ListArray):
+        flat, sizes = terms.flatten().to_numpy(zero_copy_only=False), terms.value_lengths().to_numpy(zero_copy_only=False)
+        self.n = len(terms)
+        hit, self.at = _places(asked.known, flat)
+        self.item = np.repeat(np.arange(self.n), sizes)[hit]
+        self.edges = np.searchsorted(self.item, np.arange(self.n + 1))
+
+
+def _spans(asked: _Asked, met: _Met):
+    """(lo, hi, counts) of items: how many tokens that are looked up each query (row) shares with each of them (column), in parts of bounded size."""
+    rare = np.flatnonzero(asked.times[met.at])
+    at, item = met.at[rare], met.item[rare]
+    times = asked.times[at]
+    work = np.r_[0, np.cumsum(np.bincount(item, weights=times, minlength=met.n) + len(asked.sizes))]
+    lo = 0
+    while lo < met.n:
+        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + SPAN, "right")) - 1)
+        a, b = np.searchsorted(item, (lo, hi))
+        n = times[a:b]
+        place = np.arange(n.sum()) + np.repeat(asked.first[at[a:b]] - (np.cumsum(n) - n), n)
+        counts = np.bincount(asked.who[place] * (hi - lo) + np.repeat(item[a:b] - lo, n), minlength=len(asked.sizes) * (hi - lo))
+        yield lo, hi, counts.reshape(len(asked.sizes), -1)
+        lo = hi
+
+
+def _shared(asked: _Asked, met: _Met, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """How many tokens in all the query `row` and the item `column` of each pair share; pairs are ordered by column."""
+    out, mark = np.zeros(len(row), np.int64), np.zeros(len(asked.known), np.int8)
+    edges = np.r_[np.flatnonzero(np.r_[True, column[1:] != column[:-1]]), len(column)] if len(column) else np.zeros(1, int)
+    for a, b in zip(edges[:-1], edges[1:]):
+        at = met.at[met.edges[column[a]]:met.edges[column[a] + 1]]
+        mark[at] = 1
+        for c in range(a, b, SHARE):
+            who = row[c:min(c + SHARE, b)]
+            n = asked.sizes[who]
+            ends = np.cumsum(n)
+            place = np.arange(ends[-1]) + np.repeat(asked.start[who] - (ends - n), n)
+            sums = np.r_[0, np.cumsum(mark[asked.at[place]], dtype=np.int64)]
+            out[c:c + len(who)] = sums[ends] - sums[ends - n]
+        mark[at] = 0
+    return out
+
+
+def _nearness(asked: _Asked, v: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries with a vector, items with vectors, the vector score of each with each: the best of an item's vectors)."""
+    xv, of = _vectors(v)
+    if not (len(asked.vectors) and len(xv)):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0))
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    return asked.whose, of[starts], np.round(np.maximum.reduceat(asked.vectors @ xv.T, starts, axis=1), 6)
+
+
+def _reaching(asked: _Asked, x: pa.StructArray, weights: tuple[float, float]):
+    """(row, column, lexical, vector, score) of the pairs that reach the query's bar.
+
+    Of items that share nothing with a query and have no vector, only those marked `first` come: `top` items are before the others.
+    """
+    tokens_met, marked = _Met(asked, x.field("terms")), x.field("first").to_numpy(zero_copy_only=False)
+    whose, those, near = _nearness(asked, x.field("v")) if weights[1] else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0)))
+    left = (asked.sizes - asked.n_rare)[:, None]
+    floor = np.where(np.isnan(asked.bars), -1, np.maximum(asked.least, 1))[:, None] - left
+    pairs = []
+    for lo, hi, counts in _spans(asked, tokens_met):
+        met = counts >= floor
+        some = np.flatnonzero(marked[lo:hi])
+        met[:, some] = counts[:, some] >= asked.least[:, None] - left
+        a, b = np.searchsorted(those, (lo, hi))
+        if b > a and len(whose):
+            wanted = np.nan_to_num(asked.needed(whose[:, None], near[:, a:b], weights), nan=-1.0)
+            cells = np.ix_(whose, those[a:b] - lo)
+            met[cells] = counts[cells] >= wanted - left[whose]
+        column, row = np.nonzero(met.T)
+        pairs.append((row, column + lo))
+    row, column = (np.concatenate(c) if pairs else np.zeros(0, np.int64) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+    lexical = _half_up(_shared(asked, tokens_met, row, column) / np.maximum(asked.sizes[row], 1), 6)
+    vector = np.zeros(len(row))
+    if len(whose):
+        # A query has one vector at most.
+        of_q, of_x = np.full(len(asked.sizes), -1), np.full(len(x), -1)
+        of_q[whose], of_x[those] = np.arange(len(whose)), np.arange(len(those))
+        has = np.flatnonzero((of_q[row] >= 0) & (of_x[column] >= 0))
+        vector[has] = near[of_q[row[has]], of_x[column[has]]]
+    score = np.round(lexical * weights[0] + vector * weights[1], 8)
+    kept = np.flatnonzero(~(score < asked.bars[row]))
+    return row[kept], column[kept], lexical[kept], vector[kept], score[kept]
+
+
+def _scored(asked: _Asked, x: pa.StructArray, weights: tuple[float, float], top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, score) of the `top` best items of each query, by all its tokens."""
+    score = np.zeros((len(asked.sizes), len(x)))
+    for lo, hi, counts in _spans(asked, _Met(asked, x.field("terms"))):
+        score[:, lo:hi] = _half_up(counts / np.maximum(asked.sizes, 1)[:, None], 6) * weights[0]
+    if weights[1]:
+        whose, those, near = _nearness(asked, x.field("v"))
+        score[np.ix_(whose, those)] += near * weights[1]
+    score = np.round(score, 8)
+    row, column = first_of_each(-score, np.arange(len(x)), top)
+    return row, score[row, column]
+
+
+#: Items of the most tokens that bars come from, and as many of those with vectors.
+LARGEST = 2048
+#: Rows of a block at most.
+BLOCK_ROWS = 10_000
+#: Bytes of a block of queries; cells and hits that are counted at once, and pairs whose tokens are compared at once.
+ASKED_BYTES, SPAN, SHARE = 1 << 24, 1 << 21, 1 << 12
+
+
+def _by_bars(asked: DataFrame, rows: DataFrame, *, key: str, kind: str, weights: tuple[float, float], top: int, block_bytes: int) -> DataFrame:
+    """search_all where words weigh and there are neither titles nor groups: no pair is scored that can't reach its query's bar.
+
+    A bar is the `top`-th best score among few items: those of the most tokens, which share the most with any query, and the
+    first by age and id, which come before all others that share nothing. Any items would give a bar that loses no result.
+    asked (q_id, terms, v) and rows (id, age, terms, v).
+    """
+    spark = asked.sparkSession
+    by_age = (F.col("age").desc_nulls_first(), F.col("id"))
+    bare = rows.select("id", "age", (F.size("v") == 0).alias("plain"))
+    firsts = None
+    for some in (bare, bare.where("plain")):
+        # First within each part, then of what these leave.
+        few = some.withColumn("__r", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(256))).orderBy(*by_age))).where(F.col("__r") <= top)
+        few = few.withColumn("__r", F.row_number().over(Window.orderBy(*by_age))).where(F.col("__r") <= top).select(F.col("id").alias("__first"))
+        firsts = few if firsts is None else firsts.union(few)
+    firsts = cut(firsts.distinct().coalesce(1))
+    marked = rows.join(F.broadcast(firsts), F.col("id").eqNullSafe(F.col("__first")), "left").select("id", "age", "terms", "v", F.size("terms").alias("n"), (F.col("__first").isNotNull()).alias("first"))
+    marked = marked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    with few_records(spark, BLOCK_ROWS):
+        blocks = cut(packed(marked, "x", block_bytes=8 * block_bytes).withColumn("sizes", F.expr("transform(x, r -> struct(r.n AS n, size(r.v) > 0 AS has))")))
+    sizes = blocks.select(F.explode("sizes").alias("s")).select("s.n", "s.has")
+    floors = []
+    for some in (sizes, sizes.where("has")) if weights[1] else (sizes,):
+        # The size that fewer than `LARGEST` items exceed: equal ones are as many as they like.
+        found = some.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.col("n").desc()).withColumn("c", F.sum("c").over(Window.orderBy(F.col("n").desc()))).where(F.col("c") > LARGEST).agg(F.max("n")).first()[0]
+        floors.append(-1 if found is None else found)
+    of_bar = f"r.first OR r.n > {floors[0]}" + (f" OR (r.n > {floors[1]} AND size(r.v) > 0)" if weights[1] else "")
+    few = blocks.select(F.explode(F.expr(f"filter(x, r -> {of_bar})")).alias("r")).select("r.*")
+    with few_records(spark, BLOCK_ROWS):
+        few = cut(packed(few.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id"), "x", block_bytes=8 * block_bytes))
+    asked = cut(asked.withColumn("bytes", F.lit(64) + 8 * (F.size("terms") + F.aggregate("v", F.lit(0), lambda n, v: n + F.size(v)))))
+    n = max(1, -(-(asked.agg(F.sum("bytes")).first()[0] or 0) // ASKED_BYTES))
+
+    def asking(df: DataFrame) -> DataFrame:
+        with few_records(spark, BLOCK_ROWS):
+            # Parts without a block would read all items for nothing.
+            return cut(numbered_blocks(packed(df.repartition(n, "q_id"), "q", block_bytes=ASKED_BYTES), "q_block")).coalesce(n)
+
+    def each(batches):
+        """(queries, number of items, items) of each pair of blocks; a task meets the pairs of one block of queries in a row."""
+        known = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number = batch.column(batch.schema.get_field_index("q_block"))[i].as_py()
+                if number not in known:
+                    if len(known) == 2:
+                        known.clear()
+                    known[number] = rows_of(batch, "q", i).field("q_id"), _Asked(rows_of(batch, "q", i), weights)
+                yield *known[number], rows_of(batch, "x", i)
+
+    def to_bars(batches):
+        for ids, queries, x in each(batches):
+            row, score = _scored(queries, x, weights, top)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(score)], names=["q_id", "score"])
+
+    def reaching(batches):
+        for ids, queries, x in each(batches):
+            row, column, lexical, vector, score = _reaching(queries, x, weights)
+            if not weights[1] and len(row):
+                vector = _cosines(queries, x.field("v"), row, column)
+            at = pa.array(column)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), x.field("id").take(at), pa.array(lexical), pa.array(vector), pa.array(score), x.field("age").take(at)],
+                                             names=["q_id", key, "lexical", "vector", "score", "age"])
+
+    asked_as = asked.schema["q_id"].dataType.simpleString()
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("score").desc()))
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("age").desc_nulls_first(), key))
+    found = block_pairs(asking(asked.drop("bytes")), few).mapInArrow(to_bars, f"q_id {asked_as}, score double")
+    with few_records(spark, 1):
+        bars = cut(found.withColumn("__r", place).where(F.col("__r") == top).select(F.col("q_id").alias("__q_id"), F.col("score").alias("bar")))
+    barred = asked.join(bars, F.col("q_id").eqNullSafe(F.col("__q_id")), "left").select("q_id", "terms", "v", "bar")
+    out = block_pairs(asking(barred), blocks.select("x")).mapInArrow(reaching, f"q_id {asked_as}, {key} {kind}, lexical double, vector double, score double, age double")
+    with few_records(spark, 1):
+        return cut(out.withColumn("__r", rank).where(F.col("__r") <= top).drop("__r", "age"))
+
+
+def _cosines(asked: _Asked, v: pa.ListArray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The vector score of each pair (row, column)."""
+    out, of_q = np.zeros(len(row)), np.full(len(asked.sizes), -1)
+    of_q[asked.whose] = np.arange(len(asked.whose))
+    sizes = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    has = np.flatnonzero((of_q[row] >= 0) & (sizes[column] > 0))
+    if len(has):
+        those, at = np.unique(column[has], return_inverse=True)
+        xv, of = _vectors(v.take(pa.array(those)))
+        starts = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)]
+        n = (starts[1:] - starts[:-1])[at]
+        place = np.arange(n.sum()) + np.repeat(starts[at] - (np.cumsum(n) - n), n)
+        dots = np.einsum("ij,ij->i", np.repeat(asked.vectors[of_q[row[has]]], n, axis=0), xv[place])
+        out[has] = np.round(np.maximum.reduceat(dots, np.cumsum(n) - n), 6)
+    return out
+
+
 def _asked_once(queries: DataFrame, group: Column) -> tuple[DataFrame, DataFrame]:
     """(queries, of those without a vector that ask the same in a group only one, all of them: q_id and whom each asks as).
 
@@ -206,6 +454,8 @@ def search_all(
         few = few.where(F.col("__r") <= top).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= top).select(F.col("id").alias("__id"), F.col("in_group").alias("__group")).distinct()
         kept = rows.join(few, F.col("id").eqNullSafe(F.col("__id")) & F.col("in_group").eqNullSafe(F.col("__group")), "left_semi")
         rows = rows.where(F.size("v") > 0).unionByName(kept.where(F.size("v") == 0))
+    if lexical_weight and title is None and group is None and not alike:
+        return _by_bars(asked.select("q_id", "terms", "v"), rows.select("id", "age", "terms", "v"), key=key, kind=kind, weights=(lexical_weight, vector_weight), top=top, block_bytes=block_bytes)
     bytes_of = F.lit(64) + 8 * (F.size("terms") + F.size("grams") + F.aggregate("v", F.lit(0), lambda n, v: n + F.size(v)))
     within = ("in_group",) if group else ()
     left = cut(asked.withColumn("bytes", bytes_of))

@@ -1,7 +1,10 @@
 """What the review of round 4 found."""
 
+import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import retrieval
@@ -17,3 +20,44 @@ def test_copies_of_asking_blocks_pass_no_driver(spark, monkeypatch):
     assert len(rows) == 4 * 3 and all(r.id % 2 == r.q_id % 3 for r in rows)  # a group without items finds none
     met = [p for p in plans if re.search(r"Join \[.*q_group.*salt", p)]
     assert met and not any(re.search(r"BroadcastHashJoin \[.*q_group.*salt", p) for p in met)
+
+
+@pytest.mark.parametrize("mode", ["hybrid", "lexical"])
+def test_items_that_cannot_reach_a_querys_bar_are_not_scored(spark, monkeypatch, mode):
+    rng = random.Random(4)
+    monkeypatch.setattr(retrieval, "LARGEST", 40)
+    words = [f"w{i}" for i in range(400)]
+    rare = lambda: words[min(399, int(rng.paretovariate(0.5)))]
+    texts = {i: " ".join(rare() for _ in range(rng.choice([0, 3, 20, 60, 200]))) for i in range(600)} | {600: None, 601: "only here", 602: "only here"}
+    vectors = {i: [[rng.gauss(0, 1) for _ in range(4)] for _ in range(1 + i % 2)] for i in range(0, 600, 7)}
+    days = {i: i % 5 or None for i in texts}
+    docs = spark.createDataFrame([(i, t, days[i]) for i, t in texts.items()], "doc_id long, text string, day int")
+    rows = spark.createDataFrame([(i, v) for i, of in vectors.items() for v in of], "vec_id long, embedding array<double>")
+    asked = {i: (texts[i], vectors[i][0] if i in vectors else None) for i in [*range(0, 600, 25), 600, 601]} | {700: ("unknown words", None), 701: ("unknown words", [1.0, 0.0, 0.0, 0.0])}
+    queries = spark.createDataFrame([(q, *x) for q, x in asked.items()], "q_id long, query string, vector array<double>")
+    got = sorted(map(tuple, retrieval.search_all(queries, docs, rows, key="doc_id", text="text", published="day", mode=mode, top=6).collect()))
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    want, weights = [], retrieval.WEIGHTS[mode]
+    for q, (text, v) in asked.items():
+        terms, scored = set((text or "").split()), []
+        for i, t in texts.items():
+            lexical = float(retrieval._half_up(np.float64(len(terms & set((t or "").split())) / max(len(terms), 1)), 6))
+            near = round(max((float(unit(v) @ unit(x)) for x in vectors[i]), default=0.0), 6) if v and i in vectors else 0.0
+            scored.append((-round(lexical * weights[0] + near * weights[1], 8), days[i] is not None, -(days[i] or 0), i, lexical, near))
+        want += [(q, i, lexical, near, -score) for score, _, _, i, lexical, near in sorted(scored)[:6]]
+    assert [r[:2] for r in got] == [r[:2] for r in sorted(want)]
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in sorted(want)], atol=1e-9)
+
+
+def test_few_pairs_are_compared_by_all_their_tokens(spark):
+    """Of 300 items that have two of a query's three tokens, one has the third."""
+    import pyarrow as pa
+
+    terms = [[1, 2, 100 + i] for i in range(300)]
+    items = pa.array([{"id": i, "terms": t, "v": [], "first": False, "age": None} for i, t in enumerate(terms)], pa.struct([("id", pa.int64()), ("terms", pa.list_(pa.int64())), ("v", pa.list_(pa.list_(pa.float64()))), ("first", pa.bool_()), ("age", pa.float64())]))
+    asked = pa.array([{"q_id": i, "terms": [1, 2, 100 + i], "v": [], "bar": 0.9} for i in range(30)], pa.struct([("q_id", pa.int64()), ("terms", pa.list_(pa.int64())), ("v", pa.list_(pa.list_(pa.float64()))), ("bar", pa.float64())]))
+    block = retrieval._Asked(asked, (1.0, 0.0))
+    row, column, lexical, _, _ = retrieval._reaching(block, items, (1.0, 0.0))
+    assert list(row) == list(column) == list(range(30)) and set(lexical) == {1.0}
+    # Each query looks one of the tokens up that all have in common, at most.
+    assert block.n_rare.max() <= 2 and block.times.sum() <= 60
