@@ -61,3 +61,23 @@ def test_few_pairs_are_compared_by_all_their_tokens(spark):
     assert list(row) == list(column) == list(range(30)) and set(lexical) == {1.0}
     # Each query looks one of the tokens up that all have in common, at most.
     assert block.n_rare.max() <= 2 and block.times.sum() <= 60
+
+
+@pytest.mark.parametrize("page,error,items", [
+    ('<ul><li><a href="/a">A\n  <b>b</b></a></li><li><a href="http://y.org/c">C</a></li></ul>', None, [(1, "http://x.org/a", "A b"), (2, "http://y.org/c", "C")]),
+    ('<ul><li><a href="/a">A</a><ul><li><a href="b">B</a></li></ul></li></ul>', None, [(1, "http://x.org/a", "A"), (2, "http://x.org/p/b", "B")]),
+    ('<li><a href="/a">A</a><li><a href="/b">B</a> <a href="/c">C</a>', "list row 2 link: expected 1 element, found 2", []),
+    ('<ul><li><ul><li><a href="/b">B</a></li></ul></li></ul>', "list row 1 link: expected 1 element, found 0", []),
+    ('<li><a href="/a">A</a><li><a href="#top">B</a>', "list row 2: href missing or not HTTP(S)", []),
+    ('<li><a href="javascript:go()">A</a>', "list row 1: href missing or not HTTP(S)", []),
+    ('<li><a href="http://[bad">A</a>', "list row 1: href missing or not HTTP(S)", []),
+    ('<li><a href="/a"><img src="a.png"></a>', "list row 1: empty title", []),
+    ("<p>no list</p>", "no list", []),
+    (None, "no list", []),
+])
+def test_items_of_a_list_are_judged_as_strictly_as_by_the_reference(spark, tmp_path, page, error, items):
+    from palimpsest.plans import registry
+
+    spark.createDataFrame([(7, "http://x.org/p/", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    row = registry.queries()["DOC-04_list_items"](spark, str(tmp_path)).first()
+    assert (row.page_id, row.ok, row.error, row.n_items, [tuple(x) for x in row["items"]]) == (7, error is None, error, len(items), items)
