@@ -445,28 +445,52 @@ def search_all(
     rows = items.select(F.col(key).alias("id"), of_group(items), F.col(text).alias("text"), (F.col(title) if title else F.lit(None).cast("string")).alias("title"), age.alias("age"))
     rows = rows.join(own, F.col("id") == F.col("own"), "left").select("id", "in_group", "age", "text", "title", "v")
     rows = _first_of_alike(rows, top) if alike else rows
-    rows = rows.select("id", "in_group", "age", words(F.col("text")).alias("terms"), (grams(F.col("title")) if title else none).alias("grams"), F.coalesce("v", vectors_none).alias("v"))
+    grouped = group is not None
     if not lexical_weight:
-        first = Window.partitionBy("in_group").orderBy(F.col("age").desc_nulls_first(), "id")
-        plain = rows.where(F.size("v") == 0).select("in_group", "id", "age")
-        # First within each partition, then of what these leave: no group passes one task.
-        few = plain.withColumn("__r", F.row_number().over(Window.partitionBy("in_group", F.pmod(F.xxhash64("id"), F.lit(256))).orderBy(F.col("age").desc_nulls_first(), "id")))
-        few = few.where(F.col("__r") <= top).withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= top).select(F.col("id").alias("__id"), F.col("in_group").alias("__group")).distinct()
-        kept = rows.join(few, F.col("id").eqNullSafe(F.col("__id")) & F.col("in_group").eqNullSafe(F.col("__group")), "left_semi")
-        rows = rows.where(F.size("v") > 0).unionByName(kept.where(F.size("v") == 0))
+        # A query without a vector scores 0 with all items: the first of them all are its own, and a group of its own.
+        # Blocks hold less of a row than their bytes say, and each pair of blocks gives `top` rows for each query.
+        block_bytes *= 4
+        asked, grouped, has = asked.withColumn("in_group", F.struct("in_group", (F.size("v") == 0).alias("zero"))), True, F.size(F.coalesce("v", vectors_none)) > 0
+        by_age = F.col("age").desc_nulls_first(), F.col("id")
+
+        def firsts(some: DataFrame, mark: str) -> DataFrame:
+            """The first `top` of some in each group; first within each partition, then of what these leave: no group passes one task."""
+            few = some.withColumn("__r", F.row_number().over(Window.partitionBy("in_group", F.pmod(F.xxhash64("id"), F.lit(256))).orderBy(*by_age))).where(F.col("__r") <= top)
+            few = few.withColumn("__r", F.row_number().over(Window.partitionBy("in_group").orderBy(*by_age))).where(F.col("__r") <= top)
+            return few.select(F.col("id").alias("__id"), F.col("in_group").alias("__group"), F.lit(mark).alias("mark"))
+
+        bare = rows.select("in_group", "id", "age", has.alias("has"))
+        marks = firsts(bare, "all").unionByName(firsts(bare.where("NOT has").drop("has"), "plain")).groupBy("__id", "__group").agg(F.collect_set("mark").alias("marks"))
+        marked = rows.join(cut(marks), F.col("id").eqNullSafe(F.col("__id")) & F.col("in_group").eqNullSafe(F.col("__group")), "left").drop("__id", "__group")
+        # Texts are copied, and split into tokens, after the others have gone.
+        marked = cut(marked.withColumns({"has": has, "marks": F.coalesce("marks", F.array().cast("array<string>"))}).where("has OR size(marks) > 0"))
+        own_or_zero = lambda zero: marked.where("array_contains(marks, 'all')" if zero else "has OR array_contains(marks, 'plain')").withColumn("in_group", F.struct("in_group", F.lit(zero).alias("zero")))
+        rows = own_or_zero(False).unionByName(own_or_zero(True))
+    rows = rows.select("id", "in_group", "age", words(F.col("text")).alias("terms"), (grams(F.col("title")) if title else none).alias("grams"), F.coalesce("v", vectors_none).alias("v"))
     if lexical_weight and title is None and group is None and not alike:
         return _by_bars(asked.select("q_id", "terms", "v"), rows.select("id", "age", "terms", "v"), key=key, kind=kind, weights=(lexical_weight, vector_weight), top=top, block_bytes=block_bytes)
     bytes_of = F.lit(64) + 8 * (F.size("terms") + F.size("grams") + F.aggregate("v", F.lit(0), lambda n, v: n + F.size(v)))
-    within = ("in_group",) if group else ()
+    within = ("in_group",) if grouped else ()
     left = cut(asked.withColumn("bytes", bytes_of))
     n = max(1, -(-(left.agg(F.sum("bytes")).first()[0] or 0) // block_bytes))
     left, right = left.drop("bytes").repartition(n, "q_id"), rows
-    if group:
+    if grouped:
         # Rows of a group side by side, a large group over many tasks.
         left, right = left.sortWithinPartitions("in_group"), rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "in_group", "id").sortWithinPartitions("in_group")
-    of = lambda df, name: df.withColumn(f"{name}_group", F.col(name)[0]["in_group"]) if group else df
-    blocks = [cut(of(numbered_blocks(packed(df, name, block_bytes=block_bytes, within=within), f"{name}_block"), name)) for df, name in ((left, "q"), (right, "x"))]
-    if group:
+
+    def as_blocks(df: DataFrame, name: str) -> DataFrame:
+        """The blocks of df; what has no weight lies beside them, in `<name>_rest`, and isn't read when pairs are scored."""
+        found = numbered_blocks(packed(df, name, block_bytes=block_bytes, within=within), f"{name}_block")
+        if grouped:
+            found = found.withColumn(f"{name}_group", F.col(name)[0]["in_group"])
+        if not lexical_weight:
+            pick = lambda columns: F.transform(name, lambda r: F.struct(*[r[c].alias(c) for c in columns]))
+            found = found.withColumns({f"{name}_rest": pick(["terms", "grams"]), name: pick([c for c in df.columns if c not in ("terms", "grams")])})
+        with few_records(spark, BLOCK_ROWS):
+            return cut(found)
+
+    blocks = [as_blocks(df, name) for df, name in ((left, "q"), (right, "x"))]
+    if grouped:
         # A large group's pairs are dealt over many tasks by the items' block, and its queries go to each of them. They go
         # there by a shuffle: the copies of a small table may be large, and a broadcast of them passes the driver.
         salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -484,7 +508,7 @@ def search_all(
                 q, x, number = rows_of(batch, "q", i), rows_of(batch, "x", i), batch.column(batch.schema.get_field_index("q_block"))[i].as_py()
                 if number not in known:
                     known.clear()
-                    known[number] = _Sets(q.field("terms")), _Sets(q.field("grams")), *_vectors(q.field("v"))
+                    known[number] = *((_Sets(q.field("terms")), _Sets(q.field("grams"))) if lexical_weight else (None, None)), *_vectors(q.field("v"))
                 terms, titles, qv, whose = known[number]
                 lexical, near = np.zeros((len(q), len(x))), np.zeros((len(q), len(x)))
                 if lexical_weight:
@@ -517,7 +541,7 @@ def search_all(
     if lexical_weight and vector_weight:
         return found.drop("qb", "qi", "xb", "xi")
     # What has no weight is worked out for the rows found; a row is known by its block and its place there.
-    place = lambda df, n: df.select(F.col(f"{n}_block").alias(f"{n}b"), F.posexplode(n).alias(f"{n}i", f"{n}r")).select(f"{n}b", F.col(f"{n}i").cast("long").alias(f"{n}i"), *[F.col(f"{n}r.{c}").alias(f"{n}_{c}") for c in ("terms", "grams", "v")])
+    place = lambda df, n: df.select(F.col(f"{n}_block").alias(f"{n}b"), F.posexplode(n if lexical_weight else f"{n}_rest").alias(f"{n}i", f"{n}r")).select(f"{n}b", F.col(f"{n}i").cast("long").alias(f"{n}i"), *[F.col(f"{n}r.{c}").alias(f"{n}_{c}") for c in (("v",) if lexical_weight else ("terms", "grams"))])
     both = found.join(place(blocks[0], "q"), ["qb", "qi"]).join(place(blocks[1], "x"), ["xb", "xi"])
     if vector_weight:
         share = F.size(F.array_intersect("q_terms", "x_terms")) / F.greatest(F.size("q_terms"), F.lit(1))

@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -81,3 +82,24 @@ def test_items_of_a_list_are_judged_as_strictly_as_by_the_reference(spark, tmp_p
     spark.createDataFrame([(7, "http://x.org/p/", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     row = registry.queries()["DOC-04_list_items"](spark, str(tmp_path)).first()
     assert (row.page_id, row.ok, row.error, row.n_items, [tuple(x) for x in row["items"]]) == (7, error is None, error, len(items), items)
+
+
+def test_queries_without_a_vector_meet_the_first_items_only(spark, monkeypatch):
+    sizes, real = {}, retrieval.packed
+
+    def counted(df, name, **options):
+        sizes.update({name: sizes.get(name, []) + [(r.in_group.zero, r["count"]) for r in df.groupBy("in_group").count().collect()]})
+        return real(df, name, **options)
+
+    monkeypatch.setattr(retrieval, "packed", counted)
+    docs = spark.range(300).select("id", F.concat(F.lit("item "), F.col("id")).alias("text"), F.when(F.col("id") % 9 > 0, F.col("id") % 4).alias("day"))
+    vectors = spark.range(0, 300, 3).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id") / 100 - 1).alias("embedding"))
+    asked = spark.createDataFrame([(1, "item 18", None), (2, "item 7", None), (3, "item 9", [1.0, -1.0]), (4, "item", [-1.0, 0.0]), (5, "item", None), (5, "item", [1.0, 0.0])], "q_id long, query string, vector array<double>")
+    got = {q: [(r.id, r.lexical, r.vector) for r in rows] for q, rows in groupby(retrieval.search_all(
+        asked, docs, vectors, key="id", text="text", published="day", mode="vector", top=4).orderBy("q_id", F.desc("score"), "id").collect(), lambda r: r.q_id)}
+    assert got[1] == [(0, 0.5, 0.0), (9, 0.5, 0.0), (18, 1.0, 0.0), (27, 0.5, 0.0)]
+    assert [r[0] for r in got[2]] == [0, 9, 18, 27] and [r[0] for r in got[3]] == [0, 3, 6, 9]
+    # All vectors are behind the items without one.
+    assert [r[0] for r in got[4]] == [7, 11, 19, 23] and all(r[2] == 0 for r in got[4])
+    assert [r[0] for r in got[5]] == [99, 102, 96, 105]
+    assert sorted(sizes["x"]) == [(False, 100 + 4), (True, 4)] and sorted(sizes["q"]) == [(False, 3), (True, 3)]
